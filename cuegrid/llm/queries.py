@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuegrid.llm.quality_classifier import op5_quality_classifier
 from cuegrid.llm.quality_rules import op4_quality_rules
+from cuegrid.llm.token_counts import op7_token_counts
+from cuegrid.llm.toxicity import op9_toxicity
+
+QUERIES = [op4_quality_rules, op5_quality_classifier, op7_token_counts, op9_toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

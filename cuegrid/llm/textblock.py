@@ -19,6 +19,7 @@ CHUNK_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = ~_BLANK
+_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.default_rng(20240229)
@@ -40,19 +41,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            np.multiply.accumulate(x, out=x)
-            if size > 1 << 22:  # a giant text: not kept
-                if k:
-                    return first, x  # noqa: F821
-                first = x  # noqa: F841
-            else:
-                _powers[k] = x
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, n at least; those for giant texts aren't kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size, made = 1 << max(20, int(n - 1).bit_length()), []
+    for base in (_BASE, _BASE_INV):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size <= 1 << 22:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def _ptr_sum(prefix: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -62,10 +61,10 @@ def _ptr_sum(prefix: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 class TextBlock:
     """Texts ``n`` with bytes ``data``, text boundaries ``text_ptr`` (n + 1), words ``[start, end)`` and the words of each text ``word_ptr`` (n + 1)."""
 
-    def __init__(self, data: np.ndarray, text_ptr: np.ndarray):
+    def __init__(self, data: np.ndarray, text_ptr: np.ndarray, in_word: np.ndarray = _WORD):
         self.data, self.text_ptr, self.n = data, text_ptr.astype(np.int64), len(text_ptr) - 1
         size = len(data)
-        word = _WORD[data]
+        word = in_word[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
         last = word.copy()
@@ -89,6 +88,10 @@ class TextBlock:
         out.data, out._prefix = _LOWER[self.data], None
         return out
 
+    def letters(self) -> TextBlock:
+        """The same texts in lower case, cut into runs of ASCII letters and digits and of bytes beyond ASCII."""
+        return TextBlock(_LOWER[self.data], self.text_ptr, _LETTER)
+
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span."""
         up, down = _power(len(self.data) + 1)

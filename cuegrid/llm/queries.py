@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuegrid.llm.decontaminate import op2_decontamination
 from cuegrid.llm.mixing import op8_mixing
+from cuegrid.llm.ngram_join import op1_ngram_join
 from cuegrid.llm.quality_classifier import op5_quality_classifier
 from cuegrid.llm.quality_rules import op4_quality_rules
 from cuegrid.llm.token_counts import op7_token_counts
 from cuegrid.llm.toxicity import op9_toxicity
 from cuegrid.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = [op2_decontamination, op3_url_filter, op4_quality_rules, op5_quality_classifier, op7_token_counts, op8_mixing, op9_toxicity]
+QUERIES = [op1_ngram_join, op2_decontamination, op3_url_filter, op4_quality_rules, op5_quality_classifier, op7_token_counts, op8_mixing, op9_toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,8 @@ fixed by a seed; its context vector is the sum, over all documents, of the index
 vectors of the neighbours up to two words away.  The sums are integers, so they
 do not depend on the order of tasks; what they need is the same for any corpus
 size.  A document pools the context vectors, scaled to unit length, of its words
-and of its shapes: their means, deviations, and the lengths of the means.  The network is trained by numpy on at most
+and of its shapes: their means, deviations, the lengths of the means, the likeness
+of neighbours, and how many and how varied the words are.  The network is trained by numpy on at most
 ``per_class`` documents of each label outside the held-out fold, weighted to the
 label shares of all; a fifth of them sets the temperature.
 
@@ -116,11 +117,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (total / np.maximum(norm, 1)).astype(np.float32)
 
 
-WIDTH = 4 * DIM + 2
+WIDTH = 4 * DIM + 5
 
 
 def pooled(block: TextBlock, vectors: np.ndarray) -> np.ndarray:
-    """Of the words' and of the shapes' vectors of each text: means, deviations and the length of the mean (long where few words repeat)."""
+    """Of the words' and of the shapes' vectors of each text: means, deviations and the length of the mean (long where few words repeat); the likeness of neighbouring words, the share of distinct words and the logarithm of their number."""
     out = np.zeros((block.n, WIDTH), np.float32)
     full = np.flatnonzero(block.n_words)
     if len(full):
@@ -131,6 +132,14 @@ def pooled(block: TextBlock, vectors: np.ndarray) -> np.ndarray:
             out[full, 2 * k * DIM : (2 * k + 1) * DIM] = mean
             out[full, (2 * k + 1) * DIM : (2 * k + 2) * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, head, axis=0) / n - mean**2, 0))
             out[full, 4 * DIM + k] = np.sqrt((mean**2).sum(axis=1))
+            if k == 0:
+                text = block.text_of(block.word_ptr)
+                pair = text[1:] == text[:-1]
+                like = np.bincount(text[1:][pair], np.einsum("ij,ij->i", v[1:][pair], v[:-1][pair]), minlength=block.n)
+                kinds = np.bincount(np.unique(text * WORD_SLOTS + slot) // WORD_SLOTS, minlength=block.n)
+                out[:, 4 * DIM + 2] = like / np.maximum(block.n_words - 1, 1)
+                out[:, 4 * DIM + 3] = kinds / np.maximum(block.n_words, 1)
+                out[:, 4 * DIM + 4] = np.log1p(block.n_words)
     return out
 
 

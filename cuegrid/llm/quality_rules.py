@@ -59,11 +59,13 @@ def measures(block: TextBlock, _: pa.RecordBatch | None = None) -> dict:
     # a line starts at each text's start and behind each \n inside it; one that starts where its text ends has no word
     starts = np.unique(np.concatenate((block.text_ptr[:-1], breaks + 1)))
     starts = starts[starts < len(block.data)]
-    is_end = np.unique(np.concatenate((block.text_ptr[1:], breaks)))
-    ends = is_end[np.searchsorted(is_end, starts)]
-    has = np.searchsorted(block.start, ends) > np.searchsorted(block.start, starts)
-    starts, ends = starts[has], ends[has]
     text = np.searchsorted(block.text_ptr, starts, "right") - 1
+    # a line ends at the \n before the next start, or with its text
+    after, ends = np.append(starts[1:], len(block.data)), block.text_ptr[text + 1]
+    inside = (after <= ends) & (block.data[after - 1] == 10) if len(starts) else np.zeros(0, bool)
+    ends = np.where(inside, after - 1, ends)
+    has = np.searchsorted(block.start, ends) > np.searchsorted(block.start, starts)
+    starts, ends, text = starts[has], ends[has], text[has]
     line = block.span_hash(starts, ends) ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first = np.unique(line, return_index=True)
     n_lines = np.bincount(text, minlength=n)

@@ -80,7 +80,10 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
             head = ptr[:-1][full]
             for t in range(TREES):
                 for d in range(depth):
-                    prefix[:, t] = mix(prefix[:, t] * np.uint64(31) + np.minimum.reduceat(grams * _MULT[t, d], head))
+                    x = grams * _MULT[t, d]
+                    x ^= x >> np.uint64(31)  # a product alone keeps too much of the order of the low bits
+                    x *= np.uint64(0x9E3779B97F4A7C15)
+                    prefix[:, t] = mix(prefix[:, t] * np.uint64(31) + np.minimum.reduceat(x, head))
         at = np.concatenate(([0], np.cumsum(np.where(n > 0, TREES, 0))))
         return {"set_hash": _set_hash(grams, ptr), "n": n, "prefixes": ragged(prefix.view(np.int64).ravel(), at)}
 

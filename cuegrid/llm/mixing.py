@@ -6,8 +6,8 @@ each further time at a higher cost (0, 1, 2 ... a word), and feeds the quotas of
 its sources.  The cheapest flow that fills the quotas is found on this small
 graph (one node for each pattern and source).  Each pattern then takes its whole
 epochs, and for the rest a seeded choice of documents: in the order of a hash of
-the id, those that fit below the rest, and at last the largest of the others that
-still fits.
+the id, those that fit below the rest, and at last, up to three times, the largest
+of the others that still fits.
 
 The hash order is cut by buckets whose sizes are added up beforehand, so only the
 documents of one bucket in 4,096 are ordered; no pattern is ever in one task.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.llm.stages import materialise, table
 
-BUCKETS = 4096
+BUCKETS, FILL_ROUNDS = 4096, 3
 
 
 def word_count(text: str) -> Column:
@@ -35,15 +35,15 @@ def word_count(text: str) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def capped_targets(sizes: list[int], weights: list[float], repeats: int = 3) -> list[float]:
-    """Shares of the sum of sizes by weight; none above `repeats` times its size, the excess shared again by weight."""
-    out, free, rest = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0], float(sum(sizes))
+def capped_targets(sizes: list[int], weights: list[float], repeats: int = 3, total: int | None = None) -> list[float]:
+    """Shares of the total (the sum of sizes, unless sources overlap) by weight; none above `repeats` times its size, the excess shared again by weight."""
+    out, free, rest = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0], float(sum(sizes) if total is None else total)
     while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if rest * weights[i] / total > repeats * sizes[i]]
+        shares = sum(weights[i] for i in free)
+        over = [i for i in free if rest * weights[i] / shares > repeats * sizes[i]]
         if not over:
             for i in free:
-                out[i] = rest * weights[i] / total
+                out[i] = rest * weights[i] / shares
             break
         for i in over:
             out[i] = float(repeats * sizes[i])
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights:
     for p, cap in patterns:
         for s in p:
             size_of[place[s]] += cap
-    target = capped_targets(size_of, [weights[i % len(weights)] for i in range(len(sources))], repeats)
+    target = capped_targets(size_of, [weights[i % len(weights)] for i in range(len(sources))], repeats, sum(cap for _, cap in patterns))
     flow = cheapest_flow([cap for _, cap in patterns], [[place[s] for s in p] for p, _ in patterns], [round(t) for t in target], repeats)
     plan = []
     for (p, cap), f in zip(patterns, flow):
@@ -137,10 +137,15 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights:
     marks = cut.join(fits.select(F.col("pattern").alias("fp"), "last"), F.col("cp").eqNullSafe(F.col("fp")), "left").select("cp", "cut_bucket", F.coalesce(F.col("last.upto"), F.col("before")).alias("got"), "rest", F.col("last.h").alias("lh"), F.col("last.doc_id").alias("ld"), F.col("last.size").alias("ls"))
     me, last = F.struct("h", "doc_id", "size"), F.struct(F.col("lh").alias("h"), F.col("ld").alias("doc_id"), F.col("ls").alias("size"))
     marked = rows.join(marks, rows["pattern"].eqNullSafe(F.col("cp")), "left").withColumn("picked", F.coalesce((F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.col("lh").isNotNull() & (me <= last)), F.lit(False)))
-    extra = marked.where(~F.col("picked") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("got"))).groupBy("pattern").agg(F.max(F.struct("size", "h", "doc_id")).alias("x"))
-    extra = extra.select(F.col("pattern").alias("xp"), F.col("x.size").alias("xs"), F.col("x.h").alias("xh"), F.col("x.doc_id").alias("xd"))
-    out = marked.join(materialise(extra), F.col("pattern").eqNullSafe(F.col("xp")), "left").join(plan.drop("rest"), same, "left")
-    picked = F.col("picked") | F.coalesce((F.col("size") == F.col("xs")) & (F.col("h") == F.col("xh")) & F.col("doc_id").eqNullSafe(F.col("xd")), F.lit(False))
+    # one by one, the largest of the others that still fits: a row for each pattern and round
+    unit = F.struct("size", "h", "doc_id")
+    left = materialise(marks.select("cp", (F.col("rest") - F.col("got")).alias("room"), F.expr("cast(array() as array<struct<size: bigint, h: bigint, doc_id: bigint>>)").alias("more")))
+    others = marked.where(~F.col("picked") & (F.col("size") > 0)).select("pattern", "size", "h", "doc_id")
+    for _ in range(FILL_ROUNDS):
+        fit = others.join(left, F.col("pattern").eqNullSafe(F.col("cp"))).where((F.col("size") <= F.col("room")) & ~F.array_contains("more", unit)).groupBy("pattern").agg(F.max(unit).alias("x"))
+        left = materialise(left.join(fit, F.col("cp").eqNullSafe(F.col("pattern")), "left").select("cp", (F.col("room") - F.coalesce("x.size", F.lit(0))).alias("room"), F.when(F.col("x").isNotNull(), F.array_append("more", F.col("x"))).otherwise(F.col("more")).alias("more")))
+    out = marked.join(left.select(F.col("cp").alias("xp"), "more"), F.col("pattern").eqNullSafe(F.col("xp")), "left").join(plan.drop("rest"), same, "left")
+    picked = F.col("picked") | F.coalesce(F.array_contains("more", unit), F.lit(False))
     return out.select("doc_id", "size", "pattern", "source_size", "target", "epochs", picked.alias("picked"), (F.col("size") * (F.col("epochs") + picked.cast("long"))).alias("taken"))
 
 

@@ -35,7 +35,7 @@ cues AS (SELECT track_id, seq, CAST(sum(dur + gap) OVER (PARTITION BY track_id O
   CAST(sum(dur + gap) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - gap AS BIGINT) AS end_ms,
   CASE WHEN seq % 13 = 0 THEN '[Speaking Spanish]' WHEN seq % 17 = 0 THEN '[in French] ' || line WHEN seq % 19 = 0 THEN 'JOHN: ' || line WHEN seq % 23 = 0 THEN '<i>' || line || '</i> {{b}}'
     WHEN seq % 29 = 0 THEN line || ' 42' WHEN seq % 11 = 0 THEN line || '?' WHEN seq % 7 = 0 THEN line || ' never' ELSE line END AS source_text,
-  CASE WHEN seq % 31 = 0 THEN NULL WHEN seq % 37 = 0 THEN '' WHEN seq % 41 IN (0, 1) AND seq > 1 THEN {q(SAME)} WHEN seq % 43 = 0 THEN 'تەرجەمەی: ' || line
+  CASE WHEN seq % 31 = 0 THEN NULL WHEN seq % 26 = 0 THEN '' WHEN seq % 16 IN (6, 7) THEN {q(SAME)} WHEN seq % 43 = 0 THEN 'تەرجەمەی: ' || line
     WHEN seq % 58 = 0 THEN script || ' ٤٢' WHEN seq % 22 = 0 THEN script || ' ؟' WHEN seq % 5 = 0 THEN script || ' hello ok (see note) **' WHEN seq % 9 = 0 THEN {q(NOUN + " ")} || script
     WHEN seq % 12 = 0 THEN script || 'ê تە   ?' WHEN seq % 8 = 0 THEN script || chr(10) || script || chr(10) || 'دوو' ELSE script END AS target_text,
   CASE WHEN seq % 19 = 0 THEN 'JOHN' END AS speaker FROM timed)"""

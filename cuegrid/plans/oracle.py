@@ -57,7 +57,8 @@ m1 AS (SELECT *, CAST(coalesce(list_sum(ls), 0) AS BIGINT) AS char_count, CAST(l
 m AS (SELECT * EXCLUDE (ls), (char_count * 200000 + greatest(100, duration_ms)) // (2 * greatest(100, duration_ms)) AS cps_x100 FROM m1)"""
 
 
-CLEAN = rf"""{strip("CASE WHEN speaker IS NOT NULL AND starts_with(regexp_replace(regexp_replace(source_text, '<[^>]+>', '', 'g'), '\{[^}]+\}', '', 'g'), speaker || ':') THEN substr(regexp_replace(regexp_replace(source_text, '<[^>]+>', '', 'g'), '\{[^}]+\}', '', 'g'), length(speaker) + 2) ELSE regexp_replace(regexp_replace(source_text, '<[^>]+>', '', 'g'), '\{[^}]+\}', '', 'g') END")}"""
+_BARE = r"regexp_replace(regexp_replace(source_text, '<[^>]+>', '', 'g'), '\{[^}]+\}', '', 'g')"
+CLEAN = strip(f"CASE WHEN speaker IS NOT NULL AND starts_with({_BARE}, speaker || ':') THEN substr({_BARE}, length(speaker) + 2) ELSE {_BARE} END")
 
 RUNS = r"regexp_extract_all({x}, '[\x{{0600}}-\x{{06FF}}]+')"
 

@@ -74,7 +74,7 @@ def listed(spark: SparkSession) -> DataFrame:
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     """The pages carry no fetch time: a day of the year stands for it, derived from page_id."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 7919 % 365).alias("fetch_day"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.pmod("page_id", F.lit(365)) * 7919 % 365).alias("fetch_day"))
     return url_filter(pages, listed(spark))
 
 
@@ -82,7 +82,7 @@ _VALUES = ", ".join(f"('{k}', '{a}', {d}, {i})" for i, (k, a, d) in enumerate(LI
 OP3_SQL = rf"""
 WITH listed(key, action, day, seq) AS (VALUES {_VALUES}),
 held AS (SELECT * FROM (SELECT key, action, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day, seq) AS until FROM listed) WHERE action <> 'remove' AND (until IS NULL OR until > since)),
-caps AS (SELECT page_id, page_id * 7919 % 365 AS fetch_day, row_number() OVER () AS rid,
+caps AS (SELECT page_id, page_id % 365 * 7919 % 365 AS fetch_day, row_number() OVER () AS rid,
   regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[?#].*$', '') AS bare FROM pages),
 parts AS (SELECT *, regexp_extract(bare, '^([^/]*)', 1) AS host, list_filter(string_split(regexp_extract(bare, '^[^/]*(/.*)$', 1), '/'), lambda x: x <> '') AS seg FROM caps),
 keys AS (

@@ -233,3 +233,18 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.995) -
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS m FROM sh a JOIN sh b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT x, y, m = nx.n AND m = ny.n AS same FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 5 * m >= 4 * (nx.n + ny.n - m)),
+reach(rid, other) AS (SELECT rid, rid FROM w UNION SELECT r.rid, l.y FROM reach r JOIN l ON l.x = r.other),
+class AS (SELECT r.rid, min(o.doc_id) AS class_id FROM reach r JOIN w o ON o.rid = r.other GROUP BY r.rid),
+copy AS (SELECT x AS rid, min(o.doc_id) AS low FROM l JOIN w o ON o.rid = y WHERE same GROUP BY x),
+cnt AS (SELECT x AS rid, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, least(doc_id, coalesce(low, doc_id)) AS copy_id, coalesce(n_links, 0) AS n_links
+FROM w JOIN class USING (rid) LEFT JOIN copy USING (rid) LEFT JOIN cnt USING (rid)
+"""

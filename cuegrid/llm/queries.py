@@ -10,7 +10,7 @@ from cuegrid.llm.decontaminate import op2_decontamination
 from cuegrid.llm.language_model import op6_language_model
 from cuegrid.llm.licenses import op10_licenses
 from cuegrid.llm.mixing import op8_mixing
-from cuegrid.llm.ngram_join import op1_ngram_join
+from cuegrid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from cuegrid.llm.quality_classifier import op5_quality_classifier
 from cuegrid.llm.quality_rules import op4_quality_rules
 from cuegrid.llm.token_counts import op7_token_counts
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_url_filter": OP3_SQL}

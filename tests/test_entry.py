@@ -1,5 +1,3 @@
-import importlib.util
-
 import __spark_entry__ as entry
 from cuegrid.plans import oracle, queries
 
@@ -11,7 +9,7 @@ def test_every_sql_has_a_query():
 
 def test_ten_operators_and_the_pipeline_where_they_exist():
     names = entry.queries()
-    if importlib.util.find_spec("cuegrid.llm"):
+    if entry.HAS_LLM:
         assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
     else:
         assert not any(n.startswith("op") and n[2:3].isdigit() for n in names)

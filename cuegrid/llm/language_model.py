@@ -3,18 +3,19 @@
 Tokens are a text's words (blanks separate, A-Z in lower case) and one end.  The
 root restaurant serves words over a base that is uniform over the known words,
 with ``UNKNOWN_SHARE`` of it for the one outcome "any unknown word".  Context
-restaurants, all children of the root, belong to the text's start and to
-classes of short words (up to four bytes) that stand before; after a longer word
-a token sits in the root itself.  A table of a context restaurant is a customer of
-the root.
+restaurants, all children of the root, belong to the text's start and to each
+word that stands before, by its 64-bit hash.  A table of a context restaurant is a
+customer of the root.
 
 Seating is sampled by blocked Gibbs: in a sweep each dish's party gets up and is
 seated again customer by customer, given the tables of all others; behind the
 64th customer in groups of a thirty-second of those seated, each group a binomial
-draw.  Dishes are dealt over tasks by a hash; tasks exchange the restaurants'
-sums of customers and tables (a few hundred numbers) after the first sweep.  The
-score uses predictive probabilities averaged over the seatings of the last
-sweeps.  Discounts come from the counts of ones and twos, the strengths are fixed.
+draw.  Dishes are dealt over tasks by a hash.  A restaurant's dishes lie in many
+tasks, so its sums of customers and tables are added up by the context's hash, and
+each task gets those of the contexts it holds: before the first sweep and after it.
+The driver holds sums of the whole only.  The score uses predictive probabilities
+averaged over the seatings of the last sweeps.  Discounts come from the counts of
+ones and twos, the strengths are fixed.
 
 What moves: tasks send the distinct words and pairs of blocks of ``BLOCK_TOKENS``
 tokens, with counts, to the tasks that own the words; those send back the
@@ -41,28 +42,21 @@ from cuegrid.llm.textblock import chunks, crc_fold
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 3_000_000
-CONTEXTS = 256  # 0: none, 1: start, others: classes of short words
-SHORT = 4
+CONTEXTS = 256  # groups, by hash, in which the contexts' sums are exchanged; each context keeps its own
 STRENGTH, UNKNOWN_SHARE = 1.0, 0.5
 BURN_IN, SAMPLES = 1, 3
-END = np.uint64(0xE7D0F7E7D0F7)
+END, START = np.uint64(0xE7D0F7E7D0F7), np.uint64(0x57A2757A2757A275)
 KEY_PARTS = ("hashes", "total", "direct", "fan", "ctx", "cnt")
-KEY_TYPES = (np.uint64, np.uint32, np.uint32, np.uint16, np.uint8, np.uint32)
 
 
 def _tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and context of each token, and the tokens of each text."""
     low = block.lowered()
     words, ptr = low.word_hash(), low.word_ptr
-    short = low.end - low.start <= SHORT
-    behind = np.where(short, 2 + (words % np.uint64(CONTEXTS - 2)).astype(np.int64), 0).astype(np.uint8)
     token = np.insert(words, ptr[1:], END)
-    first = ptr[:-1] + np.arange(block.n)  # each text's first token
-    prev = np.zeros(len(token), np.uint8)
-    is_word = np.ones(len(token), bool)
-    is_word[ptr[1:] + np.arange(block.n)] = False
-    prev[np.flatnonzero(is_word) + 1] = behind
-    prev[first] = 1
+    prev = np.empty_like(token)
+    prev[1:] = token[:-1]
+    prev[ptr[:-1] + np.arange(block.n)] = START  # each text's first token
     return token, prev, np.diff(ptr) + 1
 
 
@@ -82,23 +76,21 @@ def _blocks(reducers: int):
             learn = np.repeat(train, size)
             words, word = np.unique(token, return_inverse=True)
             total = np.bincount(word, learn, minlength=len(words)).astype(np.uint32)
-            inner = ctx > 0
-            direct = np.bincount(word[~inner], learn[~inner], minlength=len(words)).astype(np.uint32)
-            pairs, pair = np.unique(word[inner] * CONTEXTS + ctx[inner], return_inverse=True)
-            cnt = np.bincount(pair, learn[inner], minlength=len(pairs)).astype(np.uint32)
-            of = pairs // CONTEXTS
-            ref = word.astype(np.int32)
-            ref[inner] = len(words) + pair
+            names, ctx = np.unique(ctx, return_inverse=True)
+            pairs, pair = np.unique(word * len(names) + ctx, return_inverse=True)
+            cnt = np.bincount(pair, learn, minlength=len(pairs)).astype(np.uint32)
+            of, before = pairs // len(names), names[pairs % len(names)]
             none = {k: [None] for k in KEY_PARTS}
-            yield {"kind": ["home"], "block": [part], "reducer": [None], "ids": [ids], "size": [size], "refs": [ref.tobytes()], "owner": [of.astype(np.int32).tobytes()]} | none
+            yield {"kind": ["home"], "block": [part], "reducer": [None], "ids": [ids], "size": [size], "refs": [pair.astype(np.int32).tobytes()], "owner": [of.astype(np.int32).tobytes()]} | none
             place = (words >> np.uint64(33)).astype(np.int64) * reducers >> 31
             cut = np.searchsorted(place, np.arange(reducers + 1))
-            fan = np.bincount(of, minlength=len(words)).astype(np.uint16)
+            fan = np.bincount(of, minlength=len(words)).astype(np.uint32)
+            direct = np.zeros(len(words), np.uint32)  # every token has a context
             p_cut = np.searchsorted(of, cut)
             for r in range(reducers):
                 a, b, c, d = cut[r], cut[r + 1], p_cut[r], p_cut[r + 1]
                 if b > a:
-                    own = (words[a:b], total[a:b], direct[a:b], fan[a:b], (pairs[c:d] % CONTEXTS).astype(np.uint8), cnt[c:d])
+                    own = (words[a:b], total[a:b], direct[a:b], fan[a:b], before[c:d], cnt[c:d])
                     yield {"kind": ["keys"], "block": [part], "reducer": [r], "ids": [None], "size": [None], "refs": [None], "owner": [None]} | {k: [x.tobytes()] for k, x in zip(KEY_PARTS, own)}
             part += 1
 
@@ -117,20 +109,31 @@ def _blocks(reducers: int):
     return run
 
 
+def _keys(row: dict) -> list[np.ndarray]:
+    """The arrays of KEY_PARTS, each as wide as its sender wrote it: the first four by word, the others by pair."""
+    n, out = len(row["hashes"]) // 8, []
+    for k in KEY_PARTS:
+        if k == "ctx":
+            n = int(out[-1].sum())
+        out.append(np.frombuffer(row[k], f"u{len(row[k]) // n if n else 8}"))
+    return out
+
+
 class Dishes:
-    """The words that one task owns: counts, pairs with contexts, and where each block's keys are among them."""
+    """The words that one task owns: counts, pairs with contexts (numbered from 1 in the order of their hashes), and where each block's keys are among them."""
 
     def __init__(self, rows: list[dict]):
-        parts = [[np.frombuffer(r[k], t) for k, t in zip(KEY_PARTS, KEY_TYPES)] for r in rows]
+        parts = [_keys(r) for r in rows]
         self.blocks = [r["block"] for r in rows]
         self.words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n = len(self.words)
         self.total = np.bincount(word, np.concatenate([p[1] for p in parts]), minlength=n).astype(np.int64)
         self.direct = np.bincount(word, np.concatenate([p[2] for p in parts]), minlength=n).astype(np.int64)
-        key = np.repeat(word, np.concatenate([p[3] for p in parts])) * CONTEXTS + np.concatenate([p[4] for p in parts])
+        self.contexts, ctx = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
+        key = np.repeat(word, np.concatenate([p[3] for p in parts])) * len(self.contexts) + ctx
         pairs, pair = np.unique(key, return_inverse=True)
         self.count = np.bincount(pair, np.concatenate([p[5] for p in parts]), minlength=len(pairs)).astype(np.int64)
-        self.owner, self.ctx = pairs // CONTEXTS, pairs % CONTEXTS
+        self.owner, self.ctx = pairs // len(self.contexts), pairs % len(self.contexts) + 1
         self.known = self.total > 0
         self.word_of = np.split(word, np.cumsum([len(p[0]) for p in parts])[:-1])
         self.pair_of = np.split(pair, np.cumsum([len(p[4]) for p in parts])[:-1])
@@ -145,8 +148,18 @@ class Dishes:
         self.c0 = self.direct + np.bincount(self.owner, self.t, minlength=len(self.words)).astype(np.int64)
 
     def sums(self) -> np.ndarray:
-        """Per context its tables; then the root's customers and tables."""
-        return np.concatenate((np.bincount(self.ctx, self.t, minlength=CONTEXTS).astype(np.int64), [self.c0.sum(), self.t0.sum()]))
+        """Per context its tables (place 0: none); then the root's customers and tables."""
+        return np.concatenate((self.by_context(self.t), [self.c0.sum(), self.t0.sum()]))
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ctx, x, minlength=len(self.contexts) + 1).astype(np.int64)
+
+    def asks(self, *values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """(group, contexts, values by context) for each group of contexts."""
+        cut = np.searchsorted((self.contexts >> np.uint64(33)).astype(np.int64) * CONTEXTS >> 31, np.arange(CONTEXTS + 1))
+        for g in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[g], cut[g + 1]
+            yield g, self.contexts[a:b].tobytes(), np.concatenate([v[a + 1 : b + 1] for v in values]).tobytes()
 
     def parent(self, m: dict, sums: np.ndarray) -> np.ndarray:
         base = np.where(self.known, (1 - m["unknown"]) / max(1, m["V"]), m["unknown"])
@@ -184,29 +197,51 @@ def seat(count: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.G
     return out
 
 
-def _owners(fn, names: tuple[str, ...]):
-    """Call fn(reducer, rows) for each owner of words; its rows follow each other."""
+def _owners(fn, names: tuple[str, ...], key: str = "reducer"):
+    """Call fn(reducer, rows) for each owner of words (or of another key); its rows follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rows: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and r["reducer"] != rows[0]["reducer"]:
-                    yield from fn(rows[0]["reducer"], rows)
+                if rows and r[key] != rows[0][key]:
+                    yield from fn(rows[0][key], rows)
                     rows = []
                 rows.append({k: r[k] for k in names})
         if rows:
-            yield from fn(rows[0]["reducer"], rows)
+            yield from fn(rows[0][key], rows)
 
     return run
 
 
-def _add_up(df: DataFrame, size: int) -> np.ndarray:
-    """Sums by place: `size` numbers reach the driver, whatever the input."""
-    out = np.zeros(size, np.int64)
-    for r in gather(df.groupBy("place").agg(F.sum("value").alias("value"))).to_pylist():
-        out[r["place"]] = r["value"]
-    return out
+def _whole(asked: DataFrame) -> np.ndarray:
+    """The sums of the whole: a row for each owner of words reaches the driver."""
+    rows = gather(asked.where("place IS NULL").select("value")).column(0).to_pylist()
+    return sum((np.frombuffer(x, np.int64) for x in rows), np.zeros(8, np.int64))
+
+
+def _replies(asked: DataFrame, kind: str, reducers: int) -> DataFrame:
+    """Values of contexts added up over all owners of words, to each owner those it asked for, in its order."""
+
+    def add(place: int, rows: list[dict]) -> Iterator[dict]:
+        asked_for = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
+        contexts, at = np.unique(np.concatenate(asked_for), return_inverse=True)
+        values = [np.frombuffer(r["value"], np.int64).reshape(-1, len(c)) for r, c in zip(rows, asked_for)]
+        sums = np.zeros((len(values[0]), len(contexts)), np.int64)
+        cut = np.cumsum([0, *map(len, asked_for)])
+        for v, a, b in zip(values, cut, cut[1:]):
+            sums[:, at[a:b]] += v  # a context once in each row
+        for r, a, b in zip(rows, cut, cut[1:]):
+            yield {"kind": [kind], "reducer": [r["reducer"]], "block": [place], "reply": [sums[:, at[a:b]].tobytes()]}
+
+    dealt = asked.where("place IS NOT NULL").repartition(reducers, "place").sortWithinPartitions("place", "reducer")
+    return emit_rows(dealt, _owners(add, ("place", "reducer", "contexts", "value"), "place"), "kind string, reducer int, block long, reply binary")
+
+
+def _read(own: list[dict], kind: str, rows: int) -> np.ndarray:
+    """The replies of a kind: values by context, place 0 for none."""
+    got = [np.frombuffer(r["reply"], np.int64).reshape(rows, -1) for r in own if r["kind"] == kind]
+    return np.concatenate([np.zeros((rows, 1), np.int64), *got], axis=1)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -219,59 +254,74 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ddl = "kind string, block long, reducer int, ids array<long>, size array<long>, refs binary, owner binary, " + ", ".join(f"{k} binary" for k in KEY_PARTS)
     rows = materialise(emit_rows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _blocks(reducers), ddl))
-    keys = rows.where("kind = 'keys'").select("reducer", "block", *KEY_PARTS)
-    dealt = keys.repartition(reducers, "reducer").sortWithinPartitions("reducer", "block")
-    names = ("reducer", "block", *KEY_PARTS)
-
-    def count(_: int, own: list[dict]) -> Iterator[dict]:
+    keys = rows.where("kind = 'keys'").select("kind", "reducer", "block", *KEY_PARTS)
+    names = ("kind", "reducer", "block", *KEY_PARTS)
+    ask_ddl = "place int, reducer int, contexts binary, value binary"
+
+    def deal(*more: DataFrame) -> DataFrame:
+        df = keys.withColumn("reply", F.lit(None).cast("binary"))
+        for x in more:
+            df = df.unionByName(x, allowMissingColumns=True)
+        return df.repartition(reducers, "reducer").sortWithinPartitions("reducer", "kind", "block")
+
+    def ask(r: int, d: Dishes, whole: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
+        yield {"place": [None], "reducer": [r], "contexts": [None], "value": [whole.astype(np.int64).tobytes()]}
+        for place, contexts, value in d.asks(*values):
+            yield {"place": [place], "reducer": [r], "contexts": [contexts], "value": [value]}
+
+    def count(r: int, own: list[dict]) -> Iterator[dict]:
         d = Dishes(own)
         d.start()
         ones = [int((x == k).sum()) for x in (d.total, d.count) for k in (1, 2)]
-        value = np.concatenate((d.sums(), np.bincount(d.ctx, d.count, minlength=CONTEXTS).astype(np.int64), [d.total.sum(), d.known.sum(), *ones]))
-        yield {"place": np.arange(len(value)), "value": value}
-
-    size = 2 * CONTEXTS + 8
-    got = _add_up(emit_rows(dealt, _owners(count, names), "place long, value long"), size)
-    first, customers, (n_train, v, w1, w2, p1, p2) = got[: CONTEXTS + 2], got[CONTEXTS + 2 : 2 * CONTEXTS + 2], got[2 * CONTEXTS + 2 :].tolist()
-    m = {"V": v, "d0": _discount(w1, w2), "d1": _discount(p1, p2), "customers": customers, "unknown": UNKNOWN_SHARE if v else 1.0}
-
-    def burn(r: int, own: list[dict]) -> tuple[Dishes, np.random.Generator]:
-        d, rng = Dishes(own), np.random.default_rng((seed, r))
+        whole = np.array([d.c0.sum(), d.t0.sum(), d.total.sum(), d.known.sum(), *ones])
+        yield from ask(r, d, whole, d.by_context(d.count), d.by_context(d.t))
+
+    asked = materialise(emit_rows(deal(), _owners(count, names), ask_ddl))
+    *first, n_train, v, w1, w2, p1, p2 = _whole(asked).tolist()
+    m = {"V": v, "d0": _discount(w1, w2), "d1": _discount(p1, p2), "unknown": UNKNOWN_SHARE if v else 1.0}
+    start = materialise(_replies(asked, "start", reducers))
+
+    def burn(r: int, own: list[dict]) -> tuple[Dishes, np.random.Generator, dict]:
+        d, rng = Dishes([x for x in own if x["kind"] == "keys"]), np.random.default_rng((seed, r))
+        customers, tables = _read(own, "start", 2)
+        mine = m | {"customers": customers}
         d.start()
         for _ in range(BURN_IN):
-            d.sweep(m, first, rng)
-        return d, rng
+            d.sweep(mine, np.concatenate((tables, first)), rng)
+        return d, rng, mine
 
     def tables(r: int, own: list[dict]) -> Iterator[dict]:
-        d, _ = burn(r, own)
-        yield {"place": np.arange(CONTEXTS + 2), "value": d.sums()}
+        d, _, _ = burn(r, own)
+        yield from ask(r, d, np.array([d.c0.sum(), d.t0.sum(), *[0] * 6]), d.by_context(d.t))
 
-    second = _add_up(emit_rows(dealt, _owners(tables, names), "place long, value long"), CONTEXTS + 2)
+    asked = materialise(emit_rows(deal(start), _owners(tables, (*names, "reply")), ask_ddl))
+    second = _whole(asked)[:2]
+    later = materialise(_replies(asked, "tables", reducers))
 
     def answer(r: int, own: list[dict]) -> Iterator[dict]:
-        d, rng = burn(r, own)
-        root, pair = np.zeros(len(d.words)), np.zeros(len(d.count))
+        d, rng, mine = burn(r, own)
+        sums = np.concatenate((_read(own, "tables", 1)[0], second))
+        pair = np.zeros(len(d.count))
         for _ in range(SAMPLES):
-            d.sweep(m, second, rng)
-            a, b = d.predict(m, second)
-            root, pair = root + a / SAMPLES, pair + b / SAMPLES
-        root, pair = np.log10(root).astype(np.float32), np.log10(pair).astype(np.float32)
+            d.sweep(mine, sums, rng)
+            pair += d.predict(mine, sums)[1] / SAMPLES
+        pair = np.log10(pair).astype(np.float32)
         for block, w, p in zip(d.blocks, d.word_of, d.pair_of):
-            yield {"block": [block], "reducer": [r], "total": [d.total[w].tobytes()], "root": [root[w].tobytes()], "pair": [pair[p].tobytes()]}
+            yield {"block": [block], "reducer": [r], "total": [d.total[w].tobytes()], "pair": [pair[p].tobytes()]}
 
-    answers = emit_rows(dealt, _owners(answer, names), "block long, reducer int, total binary, root binary, pair binary")
+    answers = emit_rows(deal(start, later), _owners(answer, (*names, "reply")), "block long, reducer int, total binary, pair binary")
     kind, arrow = schema_of("doc_id long, n_tokens long, n_known long, base_score double, score double")
 
     def finish(home: pa.Table, replies: pa.Table) -> pa.Table:
         replies = sorted(replies.to_pylist(), key=lambda x: x["reducer"])
         join = lambda k, t: np.concatenate([np.frombuffer(x[k], t) for x in replies])
-        total, root, pair = join("total", np.int64), join("root", np.float32), join("pair", np.float32)
+        total, pair = join("total", np.int64), join("pair", np.float32)
         out = []
         for h in home.to_pylist():
             ref, of, n = np.frombuffer(h["refs"], np.int32), np.frombuffer(h["owner"], np.int32), np.array(h["size"], np.int64)
             head = np.concatenate(([0], np.cumsum(n)[:-1]))
-            logp = np.concatenate((root, pair)).astype(np.float64)[ref]
-            c = np.concatenate((total, total[of]))[ref]
+            logp = pair.astype(np.float64)[ref]
+            c = total[of][ref]
             base = np.log10((c + 1) / (n_train + v + 1))
             cols = [h["ids"], n, np.add.reduceat((c > 0).astype(np.int64), head), np.add.reduceat(base, head), np.add.reduceat(logp, head)]
             out.append(pa.table([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow))

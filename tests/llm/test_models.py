@@ -136,3 +136,17 @@ def test_groups_of_customers_seat_like_single_ones():
     for s in range(1, 800):
         slow += rng.random(4000) < a / (a + s - disc * slow)
     assert abs(t.mean() - slow.mean()) < 0.15
+
+
+def test_every_word_before_has_its_own_restaurant(spark):
+    rng = random.Random(11)
+    follows = {f"langeswort{i:02d}": f"nachfolger{i:02d}" for i in range(40)} | {f"предыдущее{i}": f"следующее{i}" for i in range(40)}
+
+    def text(n):
+        return " ".join(f"{a} {follows[a]}" for a in rng.choices(list(follows), k=n))
+
+    df = spark.createDataFrame([row(i, text(40)) for i in range(300)], DOCS).repartition(5)
+    held = [r for r in M.score(df).collect() if r["held_out"]]
+    per_token = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    # half of the tokens are sure, the others one of 80; without contexts all are one of 160
+    assert per_token > -1.1 and sum(r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) < -2

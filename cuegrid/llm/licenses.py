@@ -2,13 +2,13 @@
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower
 case, so punctuation, case and line breaks don't matter.  A template of w words is
-compared with the spans of w words of a text (fewer at the text's end) that begin
-with a bigram of the template; a span that begins otherwise has no higher count
-than the one that begins at its first shared bigram.  Dice is twice the common
-bigrams (as multisets) over all bigrams of both.  A value of t or more needs sizes
-within t / (2 - t) of each other, which prunes templates that are too large for a
-text and spans that are too short, and as many bigrams of the template inside the
-span, which running counts tell before any span is compared exactly.
+compared with the spans of a text that begin and end with a bigram of the template;
+any other span has a lower value than the one between its first and last shared
+bigrams.  Dice is twice the common bigrams (as multisets) over all bigrams of both.
+A value of t or more needs sizes within t / (2 - t) of each other, so a span has
+that share of the template's bigrams or more, and its inverse or less, and it
+holds as many bigrams of the template, which running counts tell for each start and
+end before bigrams are counted one by one.
 
 Result: a row for each document and licence whose best span reaches the
 threshold, with the value and the span's first word and length (the first of
@@ -80,19 +80,25 @@ def scan(block: TextBlock, templates: Templates, threshold: float) -> list[tuple
     for name, count in templates.counts.items():
         size = sum(count.values())
         least = int(np.ceil(size * threshold / (2 - threshold) - 1e-9))  # of a span's bigrams
+        most = int(np.floor(size * (2 - threshold) / threshold + 1e-9))
         mine = templates.has[name][number]
         at, of, which = place[mine], owner[mine], number[mine]
-        stop = np.minimum(at + size, ptr[of + 1])  # behind the span's last bigram
-        inside = np.searchsorted(at, stop) - np.arange(len(at))
-        span = stop - at
-        good = np.flatnonzero((span >= least) & (2 * np.minimum(inside, size) >= threshold * (span + size) - 1e-9))
-        for k in good.tolist():
-            got = Counter(which[k : k + int(inside[k])].tolist())
-            common = sum(min(n, count[g]) for g, n in got.items())
-            dice = 2 * common / (int(span[k]) + size)
+        stop = np.searchsorted(at, np.minimum(at + most, ptr[of + 1]))  # behind the last possible end
+        for k in np.flatnonzero(2 * np.minimum(stop - np.arange(len(at)), size) >= threshold * (least + size) - 1e-9).tolist():
+            span = at[k : stop[k]] - at[k] + 1  # by the shared bigram at the span's end
+            good = (span >= least) & (2 * np.minimum(np.arange(1, len(span) + 1), size) >= threshold * (span + size) - 1e-9)
+            if not good.any():
+                continue
+            left, common = dict(count), 0
             key = (int(of[k]), name)
-            if dice >= threshold and (key not in found or dice > found[key][0]):
-                found[key] = (dice, int(at[k] - ptr[of[k]]), int(span[k]) + 1)
+            for g, n, fits in zip(which[k : stop[k]].tolist(), span.tolist(), good.tolist()):
+                if left[g]:
+                    left[g] -= 1
+                    common += 1
+                if fits:
+                    dice = 2 * common / (n + size)
+                    if dice >= threshold and (key not in found or dice > found[key][0]):
+                        found[key] = (dice, int(at[k] - ptr[of[k]]), n + 1)
     return [(t, name, *v) for (t, name), v in sorted(found.items())]
 
 

@@ -164,3 +164,39 @@ def test_licenses_equal_brute_force(spark, docs, empty):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) >= 15
     assert L.license_scan(empty).count() == 0
     assert L.license_scan(docs).count() == 0
+
+
+def brute_spans(t, template, threshold=0.8):
+    """The best value over all spans of all lengths."""
+    cut = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(x))
+    pairs = lambda w: list(zip(w, w[1:]))
+    w, b = pairs(cut(t)), Counter(pairs(cut(template)))
+    size, best = sum(b.values()), 0
+    for s in range(len(w)):
+        a, common = Counter(), 0
+        for e in range(s, len(w)):
+            a[w[e]] += 1
+            common += a[w[e]] <= b[w[e]]
+            best = max(best, 2 * common / (e - s + 1 + size))
+    return best if best >= threshold else None
+
+
+def test_licenses_of_any_span_length_equal_brute_force(spark):
+    rng = random.Random(9)
+    names = ["mit", "isc", "zlib", "mpl-2.0-notice", "gpl-3.0-header", "cc-by-4.0-notice"]
+    known, rows = {n: L.TEMPLATES[n] for n in names}, []
+    for i in range(24):
+        w = known[names[i % 6]].split()
+        if i % 4 == 0:
+            w = w[: len(w) - int(len(w) * rng.uniform(0.2, 0.36))]
+        elif i % 4 == 1:
+            del w[len(w) // 3 : len(w) // 3 + int(len(w) * rng.uniform(0.15, 0.3))]
+        else:
+            for j in sorted(rng.sample(range(4, len(w) - 1), min(3, len(w) - 5)), reverse=True):
+                w[j:j] = ["zusatz"] * int(len(w) * rng.uniform(0.05, 0.2))
+        rows.append((i, prose(rng, 40) + " " + " ".join(w) + " " + prose(rng, 80)))
+    rows.append((99, "x " + " ".join(known["mit"].split()[:115]) + " " + prose(rng, 200)))
+    df = spark.createDataFrame([row(*r) for r in rows], DOCS)
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in L.license_scan(df, known).collect()}
+    want = {(d, n): v for d, t in rows for n, x in known.items() if (v := brute_spans(t, x))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and (99, "mit") in got and len(got) >= 12

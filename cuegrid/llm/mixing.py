@@ -5,12 +5,15 @@ the sum of its documents' sizes.  A pattern may be used up to ``repeats`` times,
 each further time at a higher cost (0, 1, 2 ... a word), and feeds the quotas of
 its sources.  The cheapest flow that fills the quotas is found on this small
 graph (one node for each pattern and source).  Each pattern then takes its whole
-epochs, and for the rest a seeded choice of documents: in the order of a hash of
-the id, those that fit below the rest, and at last, up to three times, the largest
-of the others that still fits.
+epochs, and for the rest a seeded choice of documents, in the order of a hash of
+the id, until the room is smaller than the smallest document left.  A round takes
+those up to the first that doesn't fit any more; each next round goes over the
+others that fit the room and are larger than half the largest of these, so small
+ones are left for the end.  Two or three rounds halve the sizes that are open.
 
 The hash order is cut by buckets whose sizes are added up beforehand, so only the
 documents of one bucket in 4,096 are ordered; no pattern is ever in one task.
+What a round took follows from its limit and the last document taken.
 
 Defined results: a null text or size counts 0; a null source is a source of its
 own, last in order; documents that share id, pattern and size are taken or left
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from cuegrid.llm.stages import materialise, table
 
-BUCKETS, FILL_ROUNDS = 4096, 3
+BUCKETS = 4096
+ROUNDS = "array<struct<low: bigint, limit: bigint, every: boolean, h: bigint, doc_id: bigint, size: bigint>>"
 
 
 def word_count(text: str) -> Column:
@@ -104,12 +108,62 @@ def cheapest_flow(capacity: list[int], members: list[list[int]], demand: list[in
     return [[room[e ^ 1] for e in m] for m in uses]
 
 
+def _taken(weight: str, rounds: str) -> Column:
+    """Whether one of the rounds took the document."""
+    me = F.struct("h", "doc_id", "size")
+    return F.exists(rounds, lambda r: (F.col(weight) > r["low"]) & (F.col(weight) <= r["limit"]) & (r["every"] | (me <= F.struct(r["h"].alias("h"), r["doc_id"].alias("doc_id"), r["size"].alias("size")))))
+
+
+def _choose(units: DataFrame, patterns: list[list], rest: list[int]) -> list[list[tuple]]:
+    """The rounds of each pattern's choice; in a round three rows for each open pattern reach the driver."""
+    spark = units.sparkSession
+    rounds: list[list[tuple]] = [[] for _ in rest]
+    room = {i: r for i, r in enumerate(rest) if r > 0}
+    while room:
+        state = spark.createDataFrame([(i, patterns[i], room[i], rounds[i]) for i in room], f"i int, p array<string>, room long, rounds {ROUNDS}")
+        open_ = units.join(state, F.col("pattern").eqNullSafe(F.col("p"))).where((F.col("weight") > 0) & (F.col("weight") <= F.col("room")) & ~_taken("weight", "rounds"))
+        top = {r["i"]: r["top"] for r in open_.groupBy("i").agg(F.max("weight").alias("top")).collect()}
+        room = {i: r for i, r in room.items() if i in top}
+        if not room:
+            break
+        low = {i: top[i] // 2 if rounds[i] else 0 for i in room}
+        open_ = open_.join(spark.createDataFrame(list(low.items()), "li int, low long"), F.col("i") == F.col("li")).where("weight > low")
+        # one row for each pattern and bucket; a window over the buckets of a pattern, 4,096 at most
+        w = Window.partitionBy("i").orderBy("bucket")
+        sums = open_.groupBy("i", "bucket", "room").agg(F.sum("weight").alias("words")).withColumn("upto", F.sum("words").over(w))
+        over = F.when(F.col("upto") > F.col("room"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))
+        total = {r["i"]: r for r in sums.groupBy("i").agg(F.max("upto").alias("all"), F.min(over).alias("cut")).collect()}
+        cuts = [(i, r["cut"]["bucket"], r["cut"]["before"]) for i, r in total.items() if r["cut"]]
+        last = {}
+        if cuts:
+            inside = open_.join(spark.createDataFrame(cuts, "ci int, cut int, before long"), (F.col("i") == F.col("ci")) & (F.col("bucket") <= F.col("cut")))
+            # the last document taken: in the cut bucket, or the last one of the buckets before
+            order = Window.partitionBy("i").orderBy("h", "doc_id", "size")
+            me = F.struct("h", "doc_id", "size")
+            early = inside.where("bucket < cut").groupBy("i").agg(F.max(F.struct("before", me.alias("me"))).alias("last"))
+            late = inside.where("bucket = cut").withColumn("upto", F.col("before") + F.sum("weight").over(order)).where("upto <= room").groupBy("i").agg(F.max(F.struct("upto", me.alias("me"))).alias("last"))
+            last = {r["i"]: r["last"] for r in early.union(late).groupBy("i").agg(F.max("last").alias("last")).collect()}
+        for i in list(room):
+            if total[i]["cut"]:
+                got, (h, doc, size) = last[i][0], last[i][1]
+                rounds[i].append((low[i], room[i], False, h, doc, size))
+            else:
+                got = total[i]["all"]
+                rounds[i].append((low[i], room[i], True, None, None, None))
+            room[i] -= got
+            if not room[i]:
+                del room[i]
+    return rounds
+
+
 def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 11) -> DataFrame:
     """docs: doc_id, size, and an array of the sources it belongs to.  Adds pattern, source_size and target (of its first source), epochs, picked and taken.  Sources get the weights in turn, by code point, null last; one row for each pattern reaches the driver."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("size"), F.array_sort(F.array_distinct(F.col(members))).alias("pattern"))
-    rows = materialise(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int")))
-    patterns = [(tuple(r["pattern"] or []), r["cap"]) for r in rows.groupBy("pattern").agg(F.sum("size").alias("cap")).collect()]
+    # rows that share id, pattern and size are one unit; the sign bit is turned, so h and the buckets are in the hash's unsigned order
+    rows = rows.groupBy("pattern", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialise(rows.withColumn("weight", F.col("size") * F.col("rows")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("bucket", F.shiftright("h", 52).cast("int")))
+    patterns = [(tuple(r["pattern"] or []), r["cap"]) for r in rows.groupBy("pattern").agg(F.sum("weight").alias("cap")).collect()]
     patterns.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
     sources = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(sources)}
@@ -124,29 +178,11 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights:
         whole, rest = divmod(sum(f), cap) if cap else (0, 0)
         first = place[p[0]] if p else None
         plan.append((list(p), size_of[first] if p else 0, target[first] if p else 0.0, whole, rest))
-    plan = spark.createDataFrame(plan, "p array<string>, source_size long, target double, epochs long, rest long")
-    same = rows["pattern"].eqNullSafe(plan["p"])
-    # one row for each pattern and bucket; a window over the buckets of a pattern, 4,096 at most
-    w = Window.partitionBy("pattern").orderBy("bucket")
-    sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(w))
-    cut = sums.join(plan, sums["pattern"].eqNullSafe(plan["p"])).where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest"), "bucket").alias("cut"))
-    cut = materialise(cut.select(F.col("pattern").alias("cp"), "cut.*").withColumnRenamed("bucket", "cut_bucket"))
-    inside = rows.join(cut, rows["pattern"].eqNullSafe(F.col("cp")) & (rows["bucket"] == F.col("cut_bucket")))
-    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size")  # rows that tie share a sum
-    fits = materialise(inside.withColumn("upto", F.col("before") + F.sum("size").over(order)).where("upto <= rest").groupBy("pattern").agg(F.max(F.struct("upto", "h", "doc_id", "size")).alias("last")))
-    marks = cut.join(fits.select(F.col("pattern").alias("fp"), "last"), F.col("cp").eqNullSafe(F.col("fp")), "left").select("cp", "cut_bucket", F.coalesce(F.col("last.upto"), F.col("before")).alias("got"), "rest", F.col("last.h").alias("lh"), F.col("last.doc_id").alias("ld"), F.col("last.size").alias("ls"))
-    me, last = F.struct("h", "doc_id", "size"), F.struct(F.col("lh").alias("h"), F.col("ld").alias("doc_id"), F.col("ls").alias("size"))
-    marked = rows.join(marks, rows["pattern"].eqNullSafe(F.col("cp")), "left").withColumn("picked", F.coalesce((F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.col("lh").isNotNull() & (me <= last)), F.lit(False)))
-    # one by one, the largest of the others that still fits: a row for each pattern and round
-    unit = F.struct("size", "h", "doc_id")
-    left = materialise(marks.select("cp", (F.col("rest") - F.col("got")).alias("room"), F.expr("cast(array() as array<struct<size: bigint, h: bigint, doc_id: bigint>>)").alias("more")))
-    others = marked.where(~F.col("picked") & (F.col("size") > 0)).select("pattern", "size", "h", "doc_id")
-    for _ in range(FILL_ROUNDS):
-        fit = others.join(left, F.col("pattern").eqNullSafe(F.col("cp"))).where((F.col("size") <= F.col("room")) & ~F.array_contains("more", unit)).groupBy("pattern").agg(F.max(unit).alias("x"))
-        left = materialise(left.join(fit, F.col("cp").eqNullSafe(F.col("pattern")), "left").select("cp", (F.col("room") - F.coalesce("x.size", F.lit(0))).alias("room"), F.when(F.col("x").isNotNull(), F.array_append("more", F.col("x"))).otherwise(F.col("more")).alias("more")))
-    out = marked.join(left.select(F.col("cp").alias("xp"), "more"), F.col("pattern").eqNullSafe(F.col("xp")), "left").join(plan.drop("rest"), same, "left")
-    picked = F.col("picked") | F.coalesce(F.array_contains("more", unit), F.lit(False))
-    return out.select("doc_id", "size", "pattern", "source_size", "target", "epochs", picked.alias("picked"), (F.col("size") * (F.col("epochs") + picked.cast("long"))).alias("taken"))
+    rounds = _choose(rows, [x[0] for x in plan], [x[-1] for x in plan])
+    plan = spark.createDataFrame([(*x[:-1], r) for x, r in zip(plan, rounds)], f"p array<string>, source_size long, target double, epochs long, rounds {ROUNDS}")
+    out = rows.join(plan, rows["pattern"].eqNullSafe(plan["p"]), "left").withColumn("picked", F.coalesce((F.col("weight") > 0) & _taken("weight", "rounds"), F.lit(False)))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return out.select("doc_id", "size", "pattern", "source_size", "target", "epochs", "picked", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -50,6 +50,27 @@ def test_taken_words_come_near(spark):
         assert abs(r["t"] - r["g"]) <= 0.005 * r["g"]
 
 
+def test_a_giant_document_blocks_no_others(spark):
+    giant = {"a": 1, "b": 1, "c": 1}
+    for seed in range(6):
+        # each source's rest is 55 to 90 % of its words and not much more than its giant
+        rows = [(1000 * k + i, [s], 9000 if i < giant[s] else 40 + i % 7) for k, s in enumerate("abc") for i in range(280)]
+        out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long").repartition(3), seed=seed).collect()
+        for s in "abc":
+            mine = [r for r in out if r["pattern"] == [s]]
+            room = round(mine[0]["target"]) - sum(r["taken"] for r in mine)
+            assert 0 <= room < min((r["size"] for r in mine if not r["picked"]), default=1 << 40) and room < 47, (seed, s, room)
+
+
+def test_rows_of_one_document_are_taken_together(spark):
+    rows = [(1, ["a"], 10)] * 7 + [(i, ["a"], 3) for i in range(2, 30)] + [(50, ["b"], 40), (51, ["b"], 0), (None, ["b"], 5), (None, ["b"], 5)]
+    out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")).collect()
+    assert len(out) == len(rows) and all(len({r["taken"] for r in out if (r["doc_id"], r["size"]) == k}) == 1 for k in [(1, 10), (None, 5)])
+    for s in "ab":
+        mine = [r for r in out if r["pattern"] == [s]]
+        assert sum(r["taken"] for r in mine) <= round(mine[0]["target"])
+
+
 def test_overlapping_sources_share_documents(spark):
     rows = [(i, ["a"] if i < 50 else ["a", "b"] if i < 100 else ["b", None], 10) for i in range(150)]
     out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long"))

@@ -62,13 +62,56 @@ def test_a_giant_document_blocks_no_others(spark):
             assert 0 <= room < min((r["size"] for r in mine if not r["picked"]), default=1 << 40) and room < 47, (seed, s, room)
 
 
-def test_rows_of_one_document_are_taken_together(spark):
-    rows = [(1, ["a"], 10)] * 7 + [(i, ["a"], 3) for i in range(2, 30)] + [(50, ["b"], 40), (51, ["b"], 0), (None, ["b"], 5), (None, ["b"], 5)]
+def check_filled(out, short=lambda target, least: least):
+    """Each pattern's taken words are below the target by less than the smallest row left."""
+    by = defaultdict(list)
+    for r in out:
+        by[tuple(r["pattern"])].append(r)
+    for p, mine in by.items():
+        room = round(mine[0]["target"]) - sum(r["taken"] for r in mine)
+        least = min((r["size"] for r in mine if r["size"] and not r["picked"]), default=1)
+        assert 0 <= room < short(mine[0]["target"], least), (p, room, least)
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    # nine documents of 100 words and one of 33 (31) words that stands in 30 rows
+    rows = [(1000 * k + i, [s], 100) for k, s in enumerate("ab") for i in range(9)] + [(500, ["a"], 33)] * 30 + [(1500, ["b"], 31)] * 30
+    rows += [(1, ["a"], 10)] * 7 + [(51, ["b"], 0), (None, ["b"], 5), (None, ["b"], 5)]
+    for seed in range(4):
+        out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long"), seed=seed).collect()
+        assert len(out) == len(rows)
+        check_filled(out)
+
+
+def test_tiny_sources_whole_epochs_and_one_document(spark):
+    # source c is taken three times over; d holds one document, e none with a word
+    rows = [(i, ["a"], 50 + i % 11) for i in range(200)] + [(300 + i, ["b"], 1) for i in range(400)] + [(800, ["c"], 7), (801, ["d"], 5000), (802, ["e"], 0), (803, [None], 3)]
     out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")).collect()
-    assert len(out) == len(rows) and all(len({r["taken"] for r in out if (r["doc_id"], r["size"]) == k}) == 1 for k in [(1, 10), (None, 5)])
-    for s in "ab":
-        mine = [r for r in out if r["pattern"] == [s]]
-        assert sum(r["taken"] for r in mine) <= round(mine[0]["target"])
+    check_filled(out)
+    assert {r["doc_id"]: r["epochs"] for r in out}[800] == 3
+
+
+def test_choice_equals_brute_force(spark):
+    """The hash order up to the first row that doesn't fit, then from large classes to small, told by the rows' hashes."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice("abc"), int(rng.paretovariate(0.7)) % 5000) for i in range(900)]
+    df = spark.createDataFrame([(i, [s], n) for i, s, n in rows], "doc_id long, sources array<string>, size long")
+    out = {r["doc_id"]: r for r in X.mix(df).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(11), "doc_id", F.lit(1).cast("long")).alias("h")).collect()}
+    for s in "abc":
+        mine = sorted(((hashes[i] & (1 << 64) - 1, i, n) for i, x, n in rows if x == s and n))
+        room = round(out[mine[0][1]]["target"]) - sum(n for _, _, n in mine) * out[mine[0][1]]["epochs"]
+        want = set()
+        while mine and mine[0][2] <= room:
+            room -= mine[0][2]
+            want.add(mine.pop(0)[1])
+        while fits := [x for x in mine if x[2] <= room]:
+            top = max(x[2].bit_length() for x in fits)
+            h, i, n = min(x for x in fits if x[2].bit_length() == top)
+            room -= n
+            want.add(i)
+            mine.remove((h, i, n))
+        assert want == {i for i, x, _ in rows if x == s and out[i]["picked"]}
 
 
 def test_overlapping_sources_share_documents(spark):

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cuegrid.llm import decontaminate as D
@@ -47,7 +48,7 @@ def check_join(found, texts):
 
 def test_join_equals_brute_force(docs, texts):
     rest = [(d, t) for d, t in texts if d is not None]  # rows without an id have no links outside their copies
-    check_join(N.ngram_join(docs.where("doc_id IS NOT NULL"), target=0.99999).collect(), rest)
+    check_join(N.ngram_join(docs.where("doc_id IS NOT NULL")).collect(), rest)
     none = [r for r in N.ngram_join(docs).collect() if r["doc_id"] is None]
     assert sorted((r["class_id"] is None, r["n_links"]) for r in none) == [(False, 3), (True, 0)]
 
@@ -63,7 +64,46 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch, block):
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(N, "BLOCK_CLASSES", block)
     df = spark.createDataFrame([row(*r) for r in rows], DOCS)
-    check_join(N.ngram_join(df, target=0.99999).collect(), rows)
+    check_join(N.ngram_join(df).collect(), rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at 0.8 to 0.82 only, the hardest the join has to find, with the registered parameters."""
+    rng = random.Random(33)
+    rows, n = [], 0
+    while n < 1000:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(49, 120))]
+        v = list(w)
+        for at in rng.sample(range(0, len(w), 6), max(1, round(len(w) * 0.022))):
+            v[at] = "anders"
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(v))]
+            n += 1
+    out = N.ngram_join(spark.createDataFrame([row(*r) for r in rows], DOCS)).collect()
+    missed = sum(r["class_id"] != r["doc_id"] // 2 * 2 for r in out)
+    assert missed <= 1, missed
+
+
+def test_prefixes_are_shortened_as_far_as_the_links_need(spark):
+    assert N.least_depth(0.8, 0.9999) < N.DEPTH and N.met(0.8, N.least_depth(0.8, 0.9999)) >= 0.9999
+    like, unlike = np.zeros(N.BINS, int), np.zeros(N.BINS, int)
+    like[-1], unlike[0] = 10**6, 10**6
+    assert N.estimated_recall(like, 0.8, N.DEPTH, N.DEPTH) > 0.9999  # nearly equal texts: the full depth does
+    assert N.estimated_recall(unlike, 0.8, N.DEPTH, N.DEPTH) < 0.99 < N.estimated_recall(unlike, 0.8, N.DEPTH, 5)
+    assert N.estimated_recall(np.zeros(N.BINS, int), 0.8, N.DEPTH, N.DEPTH) < 0.99  # nothing found is no proof
+
+
+def test_tries_keep_matched_keys_only(spark):
+    rng = random.Random(2)
+    sigs = [bytes(rng.randrange(256) for _ in range(N.TREES * N.DEPTH * N.VALUE)) for _ in range(40)]
+    sigs += [s[:10] + bytes(310) for s in sigs[:10]]  # five values of the first tree
+    df = spark.createDataFrame([(i, i, 1, 3, bytearray(s)) for i, s in enumerate(sigs)], "set_hash long, copy_id long, copies long, n long, sig binary")
+    rows = N.forest(df, 4).collect()
+    first = {r["set_hash"]: r["deep"] for r in rows if r["tree"] == 0}
+    assert first == {i: 5 for i in [*range(10), *range(40, 50)]}
+    # the zero keys of the other trees: ten equal ones in each
+    assert all(r["set_hash"] >= 40 and r["deep"] == N.DEPTH for r in rows if r["tree"])
 
 
 def test_join_of_nothing(empty):
@@ -134,19 +174,19 @@ def test_hamming_blocks_find_all_pairs_within_the_radius(spark):
     assert got == want
 
 
-def brute_licenses(t, templates, threshold=0.8):
+def brute_spans(t, template, threshold=0.8):
+    """The best value over all spans of all lengths."""
     cut = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(x))
-    pairs = lambda w: Counter(zip(w, w[1:]))
-    w, out = cut(t), {}
-    for name, text in templates.items():
-        x = cut(text)
-        b = pairs(x)
-        for s in range(max(0, len(w) - 1)):
-            a = pairs(w[s : s + len(x)])
-            dice = 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
-            if dice >= threshold:
-                out[name] = max(out.get(name, 0), dice)
-    return out
+    pairs = lambda w: list(zip(w, w[1:]))
+    w, b = pairs(cut(t)), Counter(pairs(cut(template)))
+    size, best = sum(b.values()), 0
+    for s in range(len(w)):
+        a, common = Counter(), 0
+        for e in range(s, len(w)):
+            a[w[e]] += 1
+            common += a[w[e]] <= b[w[e]]
+            best = max(best, 2 * common / (e - s + 1 + size))
+    return best if best >= threshold else None
 
 
 def test_licenses_equal_brute_force(spark, docs, empty):
@@ -160,27 +200,12 @@ def test_licenses_equal_brute_force(spark, docs, empty):
         rows.append((10 + i, prose(rng, rng.randint(0, 30)) + " " + "\n".join(w) + " " + prose(rng, 10)))
     df = spark.createDataFrame([row(*r) for r in rows], DOCS)
     got = {(r["doc_id"], r["license"]): r["dice"] for r in L.license_scan(df).collect()}
-    want = {(d, n): v for d, t in rows for n, v in brute_licenses(t or "", L.TEMPLATES).items()}
+    want = {(d, n): v for d, t in rows for n, x in L.TEMPLATES.items() if (v := brute_spans(t or "", x))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) >= 15
     assert L.license_scan(empty).count() == 0
     assert L.license_scan(docs).count() == 0
 
 
-def brute_spans(t, template, threshold=0.8):
-    """The best value over all spans of all lengths."""
-    cut = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(x))
-    pairs = lambda w: list(zip(w, w[1:]))
-    w, b = pairs(cut(t)), Counter(pairs(cut(template)))
-    size, best = sum(b.values()), 0
-    for s in range(len(w)):
-        a, common = Counter(), 0
-        for e in range(s, len(w)):
-            a[w[e]] += 1
-            common += a[w[e]] <= b[w[e]]
-            best = max(best, 2 * common / (e - s + 1 + size))
-    return best if best >= threshold else None
-
-
 def test_licenses_of_any_span_length_equal_brute_force(spark):
     rng = random.Random(9)
     names = ["mit", "isc", "zlib", "mpl-2.0-notice", "gpl-3.0-header", "cc-by-4.0-notice"]

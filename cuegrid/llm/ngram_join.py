@@ -4,16 +4,26 @@ A text is the set of its shingles of five words (blanks separate, A-Z in lower
 case; a shorter text is one shingle).  Texts with one set are copies: they are one
 class from here on, whatever their number.
 
-The forest has ``TREES`` tries of MinHash signatures.  Matching starts at the full
-depth and shortens the prefix by one until a pair at the threshold would be met
-with the target probability, ``1 - (1 - t**depth) ** TREES``; deeper matches of a
-trie lie inside the prefix groups of that depth, which sorting keeps together.
-Groups of the same content, met in several tries, are kept once.  Every pair of a
-group is verified by the exact Jaccard similarity, in the first trie where it
-meets; groups too large for one task are cut into blocks, and each pair of blocks
+The forest has ``TREES`` tries of MinHash signatures, ``DEPTH`` values of 16 bits
+in each.  A trie is kept as its sorted keys: rows are dealt by tree and shortest
+prefix and sorted, and each key's longest common prefix with its neighbours tells
+how deep it is matched; keys without a match go.  Matching starts at the full
+depth, where the pairs found are verified.  Their similarities say how many others
+each depth would still miss: a found pair of similarity s stands for 1 / p(s)
+pairs, p(s) = 1 - (1 - s**depth) ** TREES being its chance to be met there, and one
+pair at the threshold is always supposed.  The prefix is shortened to the longest
+at which the estimated recall reaches the target, the pairs met there for the first
+time are verified, and so on until the estimate holds.  It is never shorter than
+the depth at which a pair at the threshold itself is met with the target
+probability, where no estimate is needed.
+
+Groups of the same content, met in several tries or before, are kept once.  Every
+pair of a group is verified by the exact Jaccard similarity, in the first trie where
+it meets; groups too large for one task are cut into blocks, and each pair of blocks
 is a task of its own.  Pairs are never written out: a task returns, for each
-class, how many documents it is linked to and the root of its links inside the
-task.  Links between tasks are joined to connected groups by pointer jumping.
+class, how many documents it is linked to, the root of its links inside the task,
+and a histogram of similarities.  Links between tasks are joined to connected groups
+by pointer jumping.
 
 Result: one row for each document with class_id (the smallest id among the
 documents linked to it directly or through others), copy_id (the smallest id with
@@ -23,7 +33,9 @@ the threshold, copies included).
 Defined results: a null or empty text has no links and is its own class; repeated
 rows are copies of each other; rows without an id are counted in their class,
 whose ids are the smallest that are not null, and a class without any id has no
-links outside it; other columns are ignored.
+links outside it; very long texts are whole sets like any other (one text's
+shingles must fit a task); ties don't arise, links being symmetric; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,23 +45,35 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.llm.stages import emit_rows, map_texts, materialise, ragged, table
 from cuegrid.llm.textblock import TextBlock, mix, shingles
 
-K, TREES, DEPTH = 5, 20, 10
+K, TREES, DEPTH, BINS = 5, 20, 8, 40
+VALUE = 2  # bytes of a signature's value
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 1000
-_MULT = np.random.default_rng(3).integers(1, 1 << 63, (TREES, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULT = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def prefix_depth(threshold: float, target: float) -> int:
+def met(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+    """The chance that a pair shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def least_depth(threshold: float, target: float) -> int:
     """The longest prefix at which the forest meets a pair at the threshold with the target probability."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
-        depth -= 1
-    return depth
+    return max((d for d in range(1, DEPTH + 1) if met(threshold, d) >= target), default=1)
+
+
+def estimated_recall(found: np.ndarray, threshold: float, at: int, depth: int) -> float:
+    """Recall at `depth`, from the numbers of pairs found at depth `at` in each bin of similarity."""
+    low = threshold + (1 - threshold) * np.arange(BINS) / BINS  # the lower edges, the worse side
+    seen = found.astype(float)
+    seen[0] += met(threshold, at)
+    pairs = seen / met(low, at)
+    return float((pairs * met(low, depth)).sum() / pairs.sum())
 
 
 def _sets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -68,36 +92,90 @@ def _set_hash(grams: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix(upto[ptr[1:]] - upto[ptr[:-1]] + np.diff(ptr).astype(np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, set_hash, n (0: no words) and a prefix for each tree."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, set_hash, n (0: no words) and the signature: DEPTH values for each tree."""
 
     def sign(block: TextBlock, _: pa.RecordBatch) -> dict:
         grams, ptr = _sets(block)
         n = np.diff(ptr)
         full = np.flatnonzero(n)
-        prefix = np.zeros((len(full), TREES), np.uint64)
+        values = np.zeros((len(full), TREES * DEPTH), np.uint16)
         if len(full):
             head = ptr[:-1][full]
-            for t in range(TREES):
-                for d in range(depth):
-                    x = grams * _MULT[t, d]
-                    x ^= x >> np.uint64(31)  # a product alone keeps too much of the order of the low bits
-                    x *= np.uint64(0x9E3779B97F4A7C15)
-                    prefix[:, t] = mix(prefix[:, t] * np.uint64(31) + np.minimum.reduceat(x, head))
-        at = np.concatenate(([0], np.cumsum(np.where(n > 0, TREES, 0))))
-        return {"set_hash": _set_hash(grams, ptr), "n": n, "prefixes": ragged(prefix.view(np.int64).ravel(), at)}
+            for k, m in enumerate(_MULT):
+                x = grams * m
+                x ^= x >> np.uint64(31)  # a product alone keeps too much of the order of the low bits
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+                # the halves are two hash functions
+                values[:, 2 * k] = np.minimum.reduceat(x.astype(np.uint32), head)
+                values[:, 2 * k + 1] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), head)
+        width = values.shape[1] * VALUE
+        at = np.concatenate(([0], np.cumsum(np.where(n > 0, width, 0)))).astype(np.int32)
+        sig = pa.Array.from_buffers(pa.binary(), block.n, [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())])
+        return {"set_hash": _set_hash(grams, ptr), "n": n, "sig": sig}
+
+    return map_texts(docs, sign, "doc_id long, set_hash long, n long, sig binary")
+
+
+def _prefix(depth: int | str) -> Column:
+    return F.expr(f"substring(key, 1, {VALUE} * {depth})")
 
-    return map_texts(docs, sign, "doc_id long, set_hash long, n long, prefixes array<long>")
+
+def _deepest(least: int):
+    """Sorted keys of the tries -> those that share a prefix of `least` values or more with a neighbour, and how many they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        tail: dict[str, np.ndarray] | None = None  # the last row so far, and what it shares with the one before
+        for batch in batches:
+            if not len(batch):
+                continue
+            col = {n: np.asarray(batch.column(k)) for k, n in enumerate(("tree", "set_hash", "n"))}
+            key = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, DEPTH)
+            if tail:
+                col = {n: np.concatenate((tail[n], x)) for n, x in col.items()}
+                key = np.concatenate((tail["key"], key))
+            same = (key[1:] == key[:-1]) & (col["tree"][1:] == col["tree"][:-1])[:, None]
+            shared = np.concatenate((tail["shared"] if tail else [0], np.minimum.accumulate(same, axis=1).sum(axis=1)))
+            yield from _kept(col, key, np.maximum(shared[:-1], shared[1:]), least)
+            tail = {n: x[-1:] for n, x in col.items()} | {"key": key[-1:], "shared": shared[-1:]}
+        if tail:
+            yield from _kept({n: tail[n] for n in ("tree", "set_hash", "n")}, tail["key"], tail["shared"], least)
+
+    return run
 
 
-def _verify(threshold: float):
+def _kept(col: dict[str, np.ndarray], key: np.ndarray, deep: np.ndarray, least: int) -> Iterator[dict]:
+    at = np.flatnonzero(deep >= least)
+    if len(at):
+        yield {n: x[at] for n, x in col.items()} | {"key": [x.tobytes() for x in key[at]], "deep": deep[at]}
+
+
+def forest(classes: DataFrame, least: int) -> DataFrame:
+    """tree, set_hash, n, key, deep: the matched keys of the tries."""
+    each = classes.where("copy_id IS NOT NULL").select("set_hash", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    each = each.select("tree", "set_hash", "n", F.expr(f"substring(sig, tree * {DEPTH * VALUE} + 1, {DEPTH * VALUE})").alias("key"))
+    tries = each.repartition("tree", _prefix(least)).sortWithinPartitions("tree", "key")
+    return emit_rows(tries, _deepest(least), "tree int, set_hash long, n long, key binary, deep int")
+
+
+def _prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
+    """A number for the prefix of each row (and tree): equal where the values are."""
+    out = np.zeros(sig.shape[:2], np.uint64)
+    for d in range(depth):
+        out = mix(out * np.uint64(31) + sig[:, :, d])
+    return out
+
+
+def _verify(threshold: float, depth: int, before: int | None):
+    """Links among the classes of a task that share a prefix of `depth` in its tree; `before`: the depth whose pairs are known."""
     bound = Fraction(str(threshold))
     num, den = bound.numerator, bound.denominator
 
     def group(rows: dict[str, np.ndarray]) -> dict | None:
         """Links among the classes of one pair of blocks."""
-        ids, side, copies, tree, prefix, grams, size = (rows[k] for k in ("set_hash", "block", "copies", "tree", "prefix", "grams", "n"))
-        m, t = len(ids), int(tree[0])
+        ids, side, copies, grams, size = (rows[k] for k in ("set_hash", "block", "copies", "grams", "n"))
+        m, t = len(ids), int(rows["tree"][0])
         ptr = np.concatenate(([0], np.cumsum(size)))
         kinds, back, times = np.unique(grams, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(times > 1)  # the others can't be in an intersection
@@ -120,14 +198,15 @@ def _verify(threshold: float):
         if rows["other"][0] != side[0]:  # two blocks: pairs inside one have a task of their own
             near &= side[:, None] != side[None, :]
         i, j = np.nonzero(near)
-        if t:
-            first = np.ones(len(i), bool)
+        first = np.ones(len(i), bool)
+        seen = [_prefixes(rows["sig"][:, :t], depth)] if t else []
+        if before:
+            seen.append(_prefixes(rows["sig"], before))
+        for prefix in seen:
             for s in range(0, len(i), 1 << 16):
                 x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                first[s : s + (1 << 16)] = ~(prefix[x, :t] == prefix[y, :t]).any(axis=1)
-            i_new, j_new = i[first], j[first]
-        else:
-            i_new, j_new = i, j
+                first[s : s + (1 << 16)] &= ~(prefix[x] == prefix[y]).any(axis=1)
+        i_new, j_new = i[first], j[first]
         if not len(i):
             return None
         root = np.arange(m)
@@ -140,7 +219,12 @@ def _verify(threshold: float):
             root = low
         docs = np.bincount(i_new, copies[j_new], minlength=m).astype(np.int64)
         keep = np.flatnonzero((docs > 0) | (root != np.arange(m)))
-        return {"set_hash": ids[keep], "root": ids[root[keep]], "linked": docs[keep]}
+        x, y = i_new[i_new < j_new], j_new[i_new < j_new]
+        likeness = meet[x, y] / (size[x] + size[y] - meet[x, y])
+        counts = np.bincount(np.clip(((likeness - threshold) / (1 - threshold) * BINS + 1e-9).astype(np.int64), 0, BINS - 1), minlength=BINS)
+        histogram = [None] * len(keep)
+        histogram[0] = counts
+        return {"set_hash": ids[keep], "root": ids[root[keep]], "linked": docs[keep], "counts": histogram}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[pa.RecordBatch] = []
@@ -151,7 +235,8 @@ def _verify(threshold: float):
                 x = pa.Table.from_batches(held).combine_chunks()
                 get = lambda n: np.asarray(x[n].combine_chunks())
                 flat = lambda n: np.asarray(x[n].combine_chunks().flatten())
-                made = group({n: get(n) for n in ("set_hash", "block", "other", "copies", "tree", "n")} | {"prefix": flat("prefixes").reshape(len(x), TREES), "grams": flat("grams")})
+                sig = np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint16).reshape(len(x), TREES, DEPTH)
+                made = group({n: get(n) for n in ("set_hash", "block", "other", "copies", "tree", "n")} | {"sig": sig, "grams": flat("grams")})
                 if made:
                     yield made
             held.clear()
@@ -187,20 +272,26 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return label
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.995) -> DataFrame:
+def _groups(matched: DataFrame, depth: int, known: list[DataFrame]) -> DataFrame:
+    """tree, prefix, blocks, content, m: the prefix groups of a depth that hold two classes or more; of those with the same content one, and none that is known."""
+    at = matched.where(F.col("deep") >= depth).groupBy("tree", _prefix(depth).alias("prefix"))
+    groups = at.agg(F.count("*").alias("m"), F.bit_xor("set_hash").alias("content"), F.sum("n").alias("volume")).where("m > 1")
+    groups = groups.groupBy("content", "m").agg(F.min(F.struct("tree", "prefix", "volume")).alias("g")).select("g.*", "content", "m")
+    for k in known:
+        groups = groups.join(k, ["content", "m"], "left_anti")
+    cut = F.greatest(F.ceil(F.col("volume") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int")
+    return groups.select("tree", "prefix", cut.alias("blocks"), "content", "m")
+
+
+def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
     """doc_id, class_id, copy_id, n_links."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    signed = materialise(signatures(docs, prefix_depth(threshold, target)))
-    classes = materialise(signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefixes").alias("prefixes")))
+    signed = materialise(signatures(docs))
+    classes = materialise(signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    least = least_depth(threshold, target)
+    matched = materialise(forest(classes, least))
 
-    each = classes.where("copy_id IS NOT NULL").select("set_hash", "n", F.posexplode("prefixes").alias("tree", "key"))
-    groups = each.groupBy("tree", "key").agg(F.count("*").alias("m"), F.bit_xor("set_hash").alias("content"), F.sum("n").alias("volume")).where("m > 1")
-    groups = groups.groupBy("content", "m").agg(F.min(F.struct("tree", "key", "volume")).alias("g")).select("g.*", "m")
-    cut = F.greatest(F.ceil(F.col("volume") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int")
-    groups = materialise(groups.select("tree", "key", cut.alias("blocks")))
-    members = materialise(each.select("set_hash", "tree", "key").join(groups, ["tree", "key"]))
-
-    wanted = members.select("set_hash").distinct().join(classes.select("set_hash", "copy_id", "copies", "prefixes"), "set_hash")
+    wanted = materialise(matched.select("set_hash").distinct().join(classes.select("set_hash", "copy_id", "copies", "sig"), "set_hash"))
     texts = docs.join(wanted.select(F.col("copy_id").alias("doc_id"), F.col("set_hash").alias("wanted")), "doc_id")
 
     def grams_of(block: TextBlock, _: pa.RecordBatch) -> dict:
@@ -208,16 +299,31 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.995) -
         return {"set_hash": _set_hash(grams, ptr), "n": np.diff(ptr), "grams": ragged(grams.view(np.int64), ptr)}
 
     grams = map_texts(texts, grams_of, "wanted long, set_hash long, n long, grams array<long>").where("set_hash = wanted").drop("wanted")
-    grams = materialise(grams.dropDuplicates(["set_hash"]))
-
-    facts = wanted.select("set_hash", "copies", "prefixes").join(grams, "set_hash")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("set_hash", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("task", F.xxhash64("tree", "key", F.least("block", "other"), F.greatest("block", "other")))
-    tasks = placed.join(facts, "set_hash").select("task", "set_hash", "block", "other", "copies", "tree", "n", "prefixes", "grams")
-    # a task's rows follow each other; the deeper prefixes of a trie are sorted with them
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "set_hash")
-    links = materialise(emit_rows(tasks, _verify(threshold), "set_hash long, root long, linked long"))
+    facts = materialise(wanted.select("set_hash", "copies", "sig").join(grams.dropDuplicates(["set_hash"]), "set_hash"))
+
+    found, parts, known = np.zeros(BINS, np.int64), [], []
+    depth, before = DEPTH, None
+    while True:
+        groups = materialise(_groups(matched, depth, known))
+        known.append(groups.select("content", "m"))
+        placed = matched.where(F.col("deep") >= depth).select("set_hash", "tree", _prefix(depth).alias("prefix")).join(groups.select("tree", "prefix", "blocks"), ["tree", "prefix"])
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("set_hash", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.withColumn("task", F.xxhash64("tree", "prefix", F.least("block", "other"), F.greatest("block", "other")))
+        tasks = placed.join(facts, "set_hash").select("task", "set_hash", "block", "other", "copies", "tree", "n", "sig", "grams")
+        # a task's rows follow each other
+        tasks = tasks.repartition("task").sortWithinPartitions("task", "set_hash")
+        part = materialise(emit_rows(tasks, _verify(threshold, depth, before), "set_hash long, root long, linked long, counts array<long>"))
+        parts.append(part)
+        # BINS numbers reach the driver
+        for r in part.where("counts IS NOT NULL").select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            found[r["bin"]] += r["n"]
+        if depth == least or estimated_recall(found, threshold, depth, depth) >= target:
+            break
+        before, depth = depth, max((d for d in range(least, depth) if estimated_recall(found, threshold, depth, d) >= target), default=least)
+    links = parts[0].drop("counts")
+    for part in parts[1:]:
+        links = links.unionByName(part.drop("counts"))
 
     linked = links.groupBy("set_hash").agg(F.sum("linked").alias("linked"))
     ids = classes.select("set_hash", "copy_id")

@@ -4,31 +4,38 @@ Tokens are a text's words (blanks separate, A-Z in lower case) and one end.  The
 root restaurant serves words over a base that is uniform over the known words,
 with ``UNKNOWN_SHARE`` of it for the one outcome "any unknown word".  Context
 restaurants, all children of the root, belong to the text's start and to each
-word that stands before, by its 64-bit hash.  A table of a context restaurant is a
-customer of the root.
-
-Seating is sampled by blocked Gibbs: in a sweep each dish's party gets up and is
-seated again customer by customer, given the tables of all others; behind the
-64th customer in groups of a thirty-second of those seated, each group a binomial
-draw.  Dishes are dealt over tasks by a hash.  A restaurant's dishes lie in many
-tasks, so its sums of customers and tables are added up by the context's hash, and
-each task gets those of the contexts it holds: before the first sweep and after it.
-The driver holds sums of the whole only.  The score uses predictive probabilities
-averaged over the seatings of the last sweeps.  Discounts come from the counts of
-ones and twos, the strengths are fixed.
-
-What moves: tasks send the distinct words and pairs of blocks of ``BLOCK_TOKENS``
-tokens, with counts, to the tasks that own the words; those send back the
-probabilities of what each block holds, for training and held-out texts alike.
+word that stands before, whatever it is; they share the root as their parent.  A
+table of a context restaurant is a customer of the root.
+
+Seating is sampled by Gibbs sweeps: each dish's party gets up and is seated again
+customer by customer, given all other parties as the sweep before left them: its
+own tables are out of its restaurant's sum, and its customers and tables out of the
+root.  A sweep serves all parties at once, then every restaurant's sums are added up
+anew.  Random numbers come from the hashes of word, context and sweep, so neither
+the number of tasks nor the order of rows changes a score.  The score uses
+predictive probabilities averaged over the seatings of the last sweeps.  Discounts
+come from the counts of ones and twos, the strengths are fixed.
+
+What moves: blocks of ``BLOCK_TOKENS`` tokens send their distinct words and pairs,
+with counts, to owners of words, one for each ``OWNER_BYTES`` of text.  A word that
+a sample shows to be frequent is split over several owners by its contexts; the
+sample decides where pairs are kept, not what is computed.  Owners merge what they
+get into a table that is bucketed by owner, so each sweep reads it without a
+shuffle; between sweeps the sums of contexts, and of split words, are added up by
+key and sent back.  Last, each owner returns the probabilities of what each block
+holds, and the blocks, made again from the texts, add them up.  The texts must
+therefore come in the same order twice, as a table's do; if not, an error is raised.
 
 Defined results: a null or empty text is its end alone; without training texts
 every token is unknown, and with no known word its probability is 1; repeated rows
-count, and are scored, each; other columns are ignored; a null id is of the fold
-of the empty text.
+count, and are scored, each; a very long text is one block, whole; equal texts of
+one fold get equal scores; an empty table gives no rows; other columns are ignored;
+a null id is of the fold of the empty text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,62 +44,136 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import emit_rows, fold, gather, materialise, schema_of, table
-from cuegrid.llm.textblock import chunks, crc_fold
+from cuegrid.llm.stages import bucketed, emit_rows, fold, free_shuffles, gather, materialise, release, schema_of, table
+from cuegrid.llm.textblock import chunks, crc_fold, mix
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 3_000_000
-CONTEXTS = 256  # groups, by hash, in which the contexts' sums are exchanged; each context keeps its own
+BLOCK_TOKENS, OWNER_BYTES = 3_000_000, 16_000_000
 STRENGTH, UNKNOWN_SHARE = 1.0, 0.5
-BURN_IN, SAMPLES = 1, 3
+BURN_IN, SAMPLES = 1, 2
+SINGLY = 64  # so many customers of a party are seated one by one, then the next new table is drawn at once
+SAMPLE = 64  # one of so many documents tells which words are frequent
 END, START = np.uint64(0xE7D0F7E7D0F7), np.uint64(0x57A2757A2757A275)
-KEY_PARTS = ("hashes", "total", "direct", "fan", "ctx", "cnt")
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of each token, and the tokens of each text."""
+def _pack(x: np.ndarray) -> bytes:
+    """Non-negative integers in the width that the largest needs, which the first byte tells."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"u{width}").tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+
+
+def _pack_rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0))
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b))
+
+
+def _context(h: np.ndarray) -> np.ndarray:
+    """A context is known by 48 bits of its word's hash."""
+    return h >> np.uint64(16)
+
+
+def _pack_contexts(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack_contexts(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def uniform(key: np.ndarray, seed: int, sweep: int, step: int | np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for a dish's key in a step of a sweep."""
+    salt = mix(np.array([(seed << 20) + sweep + 1], np.uint64))
+    x = mix(mix(key ^ salt) + np.atleast_1d(step).astype(np.uint64) * SALT)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word + mix(context + np.uint64(1)))
+
+
+def _tokens(block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, and the tokens of each text."""
     low = block.lowered()
     words, ptr = low.word_hash(), low.word_ptr
-    token = np.insert(words, ptr[1:], END)
-    prev = np.empty_like(token)
-    prev[1:] = token[:-1]
-    prev[ptr[:-1] + np.arange(block.n)] = START  # each text's first token
-    return token, prev, np.diff(ptr) + 1
+    return np.insert(words, ptr[1:], END), np.diff(ptr) + 1
+
+
+class Layout:
+    """Where pairs are kept: owners of words, and into how many shards frequent words are split."""
+
+    def __init__(self, owners: int, hot: dict[int, int]):
+        self.owners = owners
+        self.words = np.array(sorted(hot), np.uint64)
+        self.shards = np.array([hot[w] for w in sorted(hot)], np.int64)
 
+    def home(self, words: np.ndarray) -> np.ndarray:
+        return ((words >> np.uint64(33)).astype(np.int64) * self.owners) >> 31
 
-def _blocks(reducers: int):
-    """Rows of kind 'home' (what a block's texts refer to) and 'keys' (what each owner of words gets of it)."""
+    def split(self, words: np.ndarray) -> np.ndarray:
+        """Shards of each word."""
+        out = np.ones(len(words), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out = np.where(self.words[at] == words, self.shards[at], 1)
+        return out
+
+    def place_of_contexts(self, contexts: np.ndarray) -> np.ndarray:
+        return ((contexts >> np.uint64(17)).astype(np.int64) * self.owners) >> 31
+
+
+def _blocks(layout: Layout, home: bool):
+    """Rows of blocks: what their texts refer to (home), or what each owner of words gets of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        part = TaskContext.get().partitionId() << 24
         held: list[tuple] = []
-        n = 0
+        n = made = 0
 
         def flush() -> Iterator[dict]:
-            nonlocal part
+            nonlocal made
             ids = [x for h in held for x in h[0]]
-            token, ctx, size, train = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
+            token, size, train = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
             held.clear()
-            learn = np.repeat(train, size)
             words, word = np.unique(token, return_inverse=True)
-            total = np.bincount(word, learn, minlength=len(words)).astype(np.uint32)
-            names, ctx = np.unique(ctx, return_inverse=True)
-            pairs, pair = np.unique(word * len(names) + ctx, return_inverse=True)
-            cnt = np.bincount(pair, learn, minlength=len(pairs)).astype(np.uint32)
-            of, before = pairs // len(names), names[pairs % len(names)]
-            none = {k: [None] for k in KEY_PARTS}
-            yield {"kind": ["home"], "block": [part], "reducer": [None], "ids": [ids], "size": [size], "refs": [pair.astype(np.int32).tobytes()], "owner": [of.astype(np.int32).tobytes()]} | none
-            place = (words >> np.uint64(33)).astype(np.int64) * reducers >> 31
-            cut = np.searchsorted(place, np.arange(reducers + 1))
-            fan = np.bincount(of, minlength=len(words)).astype(np.uint32)
-            direct = np.zeros(len(words), np.uint32)  # every token has a context
-            p_cut = np.searchsorted(of, cut)
-            for r in range(reducers):
-                a, b, c, d = cut[r], cut[r + 1], p_cut[r], p_cut[r + 1]
-                if b > a:
-                    own = (words[a:b], total[a:b], direct[a:b], fan[a:b], before[c:d], cnt[c:d])
-                    yield {"kind": ["keys"], "block": [part], "reducer": [r], "ids": [None], "size": [None], "refs": [None], "owner": [None]} | {k: [x.tobytes()] for k, x in zip(KEY_PARTS, own)}
-            part += 1
+            # the number of the block, by its place and what it holds
+            held_hash = int(np.bitwise_xor.reduce(mix(token + np.arange(len(token), dtype=np.uint64))))
+            number = mix(np.array([held_hash ^ (TaskContext.get().partitionId() << 24) + made], np.uint64)).view(np.int64)[0]
+            made += 1
+            at = np.searchsorted(words, START)
+            names = np.insert(words, at, START)
+            before = np.empty_like(word)
+            before[1:] = word[:-1] + (word[:-1] >= at)
+            before[np.cumsum(size) - size] = at  # each text's first token
+            pairs, pair = np.unique(word * len(names) + before, return_inverse=True)
+            of, ctx = pairs // len(names), _context(names[pairs % len(names)])
+            owner, shards = layout.home(words)[of], layout.split(words)[of]
+            if (shards > 1).any():
+                owner = (owner + (ctx % shards.astype(np.uint64)).astype(np.int64)) % layout.owners
+                order = np.argsort(owner, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                of, ctx, owner, pair = of[order], ctx[order], owner[order], rank[pair]
+            # an entry is a word with one owner
+            first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]))))
+            fan = np.diff(np.append(first, len(of)))
+            if home:
+                yield {"block": [number], "ids": [ids], "size": [size], "refs": [_pack(pair)], "fan": [_pack(fan)]}
+                return
+            count = np.bincount(pair, np.repeat(train, size), minlength=len(of)).astype(np.int64)
+            cut = np.concatenate((np.flatnonzero(np.diff(owner[first], prepend=-1)), [len(first)]))
+            p_cut = np.append(first, len(of))[cut]
+            for a, b, c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), p_cut[:-1].tolist(), p_cut[1:].tolist()):
+                yield {"owner": [owner[c]], "block": [number], "words": [words[of[first[a:b]]].tobytes()], "fan": [_pack(fan[a:b])], "ctx": [_pack_contexts(ctx[c:d])], "cnt": [_pack(count[c:d])]}
 
         for batch in batches:
             train = crc_fold(batch.column(0), FOLDS) != HELD_OUT
@@ -109,96 +190,8 @@ def _blocks(reducers: int):
     return run
 
 
-def _keys(row: dict) -> list[np.ndarray]:
-    """The arrays of KEY_PARTS, each as wide as its sender wrote it: the first four by word, the others by pair."""
-    n, out = len(row["hashes"]) // 8, []
-    for k in KEY_PARTS:
-        if k == "ctx":
-            n = int(out[-1].sum())
-        out.append(np.frombuffer(row[k], f"u{len(row[k]) // n if n else 8}"))
-    return out
-
-
-class Dishes:
-    """The words that one task owns: counts, pairs with contexts (numbered from 1 in the order of their hashes), and where each block's keys are among them."""
-
-    def __init__(self, rows: list[dict]):
-        parts = [_keys(r) for r in rows]
-        self.blocks = [r["block"] for r in rows]
-        self.words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = len(self.words)
-        self.total = np.bincount(word, np.concatenate([p[1] for p in parts]), minlength=n).astype(np.int64)
-        self.direct = np.bincount(word, np.concatenate([p[2] for p in parts]), minlength=n).astype(np.int64)
-        self.contexts, ctx = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
-        key = np.repeat(word, np.concatenate([p[3] for p in parts])) * len(self.contexts) + ctx
-        pairs, pair = np.unique(key, return_inverse=True)
-        self.count = np.bincount(pair, np.concatenate([p[5] for p in parts]), minlength=len(pairs)).astype(np.int64)
-        self.owner, self.ctx = pairs // len(self.contexts), pairs % len(self.contexts) + 1
-        self.known = self.total > 0
-        self.word_of = np.split(word, np.cumsum([len(p[0]) for p in parts])[:-1])
-        self.pair_of = np.split(pair, np.cumsum([len(p[4]) for p in parts])[:-1])
-
-    def start(self) -> None:
-        """One table for each dish of a context, one for each word in the root."""
-        self.t = (self.count > 0).astype(np.int64)
-        self._root()
-        self.t0 = self.known.astype(np.int64)
-
-    def _root(self) -> None:
-        self.c0 = self.direct + np.bincount(self.owner, self.t, minlength=len(self.words)).astype(np.int64)
-
-    def sums(self) -> np.ndarray:
-        """Per context its tables (place 0: none); then the root's customers and tables."""
-        return np.concatenate((self.by_context(self.t), [self.c0.sum(), self.t0.sum()]))
-
-    def by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.ctx, x, minlength=len(self.contexts) + 1).astype(np.int64)
-
-    def asks(self, *values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-        """(group, contexts, values by context) for each group of contexts."""
-        cut = np.searchsorted((self.contexts >> np.uint64(33)).astype(np.int64) * CONTEXTS >> 31, np.arange(CONTEXTS + 1))
-        for g in np.flatnonzero(np.diff(cut)).tolist():
-            a, b = cut[g], cut[g + 1]
-            yield g, self.contexts[a:b].tobytes(), np.concatenate([v[a + 1 : b + 1] for v in values]).tobytes()
-
-    def parent(self, m: dict, sums: np.ndarray) -> np.ndarray:
-        base = np.where(self.known, (1 - m["unknown"]) / max(1, m["V"]), m["unknown"])
-        return (self.c0 - m["d0"] * self.t0 + (STRENGTH + m["d0"] * sums[-1]) * base) / (STRENGTH + sums[-2])
-
-    def sweep(self, m: dict, sums: np.ndarray, rng: np.random.Generator) -> None:
-        p0 = self.parent(m, sums)
-        self.t = seat(self.count, (STRENGTH + m["d1"] * sums[self.ctx]) * p0[self.owner], m["d1"], rng)
-        self._root()
-        self.t0 = seat(self.c0, np.full(len(self.words), (STRENGTH + m["d0"] * sums[-1]) * (1 - m["unknown"]) / max(1, m["V"])), m["d0"], rng)
-
-    def predict(self, m: dict, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the words in the root, and of the pairs in their contexts."""
-        p0 = self.parent(m, sums)
-        c_u = m["customers"][self.ctx]
-        return p0, (self.count - m["d1"] * self.t + (STRENGTH + m["d1"] * sums[self.ctx]) * p0[self.owner]) / (STRENGTH + c_u)
-
-
-def seat(count: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers are seated one by one: a new table weighs `fresh`, the old ones the seated customers less a discount for each table."""
-    order = np.argsort(-count, kind="stable")
-    c, a = count[order], fresh[order]
-    t = (c > 0).astype(np.float64)
-    seated = 1
-    n = int(np.searchsorted(-c, -1, "left"))  # dishes with more than one customer
-    while n:
-        group = 1 if seated < 64 else seated // 32
-        take = np.minimum(group, c[:n] - seated)
-        p = a[:n] / (a[:n] + seated + (group - 1) / 2 - discount * t[:n])
-        t[:n] += rng.random(n) < p if group == 1 else rng.binomial(take, p)
-        seated += group
-        n = int(np.searchsorted(-c, -seated, "left"))
-    out = np.empty(len(count), np.int64)
-    out[order] = t.astype(np.int64)
-    return out
-
-
-def _owners(fn, names: tuple[str, ...], key: str = "reducer"):
-    """Call fn(reducer, rows) for each owner of words (or of another key); its rows follow each other."""
+def _grouped(fn, key: str):
+    """Call fn(key's value, rows) for the rows of each key, which follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rows: list[dict] = []
@@ -207,129 +200,338 @@ def _owners(fn, names: tuple[str, ...], key: str = "reducer"):
                 if rows and r[key] != rows[0][key]:
                     yield from fn(rows[0][key], rows)
                     rows = []
-                rows.append({k: r[k] for k in names})
+                rows.append(r)
         if rows:
             yield from fn(rows[0][key], rows)
 
     return run
 
 
-def _whole(asked: DataFrame) -> np.ndarray:
-    """The sums of the whole: a row for each owner of words reaches the driver."""
-    rows = gather(asked.where("place IS NULL").select("value")).column(0).to_pylist()
-    return sum((np.frombuffer(x, np.int64) for x in rows), np.zeros(8, np.int64))
+def _merge(owner: int, rows: list[dict]) -> Iterator[dict]:
+    """The messages of all blocks to an owner as one row."""
+    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    ctx = [_unpack_contexts(r["ctx"]) for r in rows]
+    names, word = np.unique(np.concatenate(words), return_inverse=True)
+    contexts, c = np.unique(np.concatenate(ctx), return_inverse=True)
+    code = np.repeat(word, np.concatenate([_unpack(r["fan"]) for r in rows])) * len(contexts) + c
+    pairs, pair = np.unique(code, return_inverse=True)
+    count = np.bincount(pair, np.concatenate([_unpack(r["cnt"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
+    w_cut, p_cut = np.cumsum([len(x) for x in words])[:-1], np.cumsum([len(x) for x in ctx])[:-1]
+    yield {
+        "owner": [owner], "words": [names.tobytes()], "fan": [_pack(np.bincount(pairs // len(contexts), minlength=len(names)))], "contexts": [_pack_contexts(contexts)], "ctx": [_pack(pairs % len(contexts))], "cnt": [_pack(count)],
+        "blocks": [[r["block"] for r in rows]], "word_of": [[_pack_rising(x) for x in np.split(word, w_cut)]], "pair_of": [[_pack_rising(x) for x in np.split(pair, p_cut)]],
+    }
+
+
+STATE = "owner int, words binary, fan binary, contexts binary, ctx binary, cnt binary, blocks array<long>, word_of array<binary>, pair_of array<binary>"
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, eight places on."""
+    y = x + 8
+    low = np.ones_like(x)
+    for k in range(8):
+        low = low * (x + k)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+
+
+def seat(count: np.ndarray, others: np.ndarray, strength: float, discount: float, parent: np.ndarray, key: np.ndarray, seed: int, sweep: int) -> np.ndarray:
+    """Tables of each party after its customers are seated one by one: a new table weighs (strength + discount * all tables of the restaurant) * parent, the old ones the seated customers less a discount for each.  others: the tables of the other parties."""
+    out = (count > 0).astype(np.int64)
+    many = np.flatnonzero(count > 1)
+    order = many[np.argsort(-count[many], kind="stable")]
+    c, o, p, k = count[order], others[order], parent[order], key[order]
+    t = np.ones(len(order))
+    ends = np.searchsorted(-c, -np.arange(1, SINGLY + 1), "left")  # parties with more than so many customers
+    for s in range(1, SINGLY):
+        n = int(ends[s - 1])
+        if not n:
+            break
+        a = (strength + discount * (o[:n] + t[:n])) * p[:n]
+        t[:n] += uniform(k[:n], seed, sweep, s) * (a + s - discount * t[:n]) < a
+    n = int(ends[SINGLY - 1])
+    live, s = np.arange(n), np.full(n, float(SINGLY))
+    while len(live):
+        # how many sit down before the next new table: its survival is a ratio of gamma functions
+        a = (strength + discount * (o[live] + t[live])) * p[live]
+        x = s[live] - discount * t[live]
+        log_u = np.log(uniform(k[live], seed, sweep, SINGLY + t[live].astype(np.int64)))
+        at_start = log_gamma(a + x) - log_gamma(x)
+        stays = lambda m: at_start + log_gamma(x + m) - log_gamma(a + x + m)  # noqa: B023, E731
+        low, high = np.zeros(len(live)), c[live] - s[live] + 1  # more than are left: none opens
+        opens = stays(high - 1) < log_u
+        while (high - low > 1).any():
+            mid = np.floor((low + high) / 2)
+            below = stays(mid) < log_u
+            high, low = np.where(below, mid, high), np.where(below, low, mid)
+        t[live] += opens
+        s[live] += high
+        live = live[opens & (s[live] < c[live])]
+    out[order] = t.astype(np.int64)
+    return out
+
 
+class Owner:
+    """The pairs that one task owns, through the sweeps.  sums[k]: contexts' tables and split words' customers after sweep k; whole[k]: the root's customers and tables."""
 
-def _replies(asked: DataFrame, kind: str, reducers: int) -> DataFrame:
-    """Values of contexts added up over all owners of words, to each owner those it asked for, in its order."""
+    def __init__(self, row: dict, layout: Layout, model: dict):
+        self.m, self.number = model, row["owner"]
+        self.words, self.contexts = np.frombuffer(row["words"], np.uint64), _unpack_contexts(row["contexts"])
+        self.of = np.repeat(np.arange(len(self.words)), _unpack(row["fan"]))
+        self.ctx, self.count = _unpack(row["ctx"]), _unpack(row["cnt"])
+        self.split = np.flatnonzero(layout.split(self.words) > 1)
+        self.total = self.by_word(self.count)
+        self.t = (self.count > 0).astype(np.int64)
+        self.layout = layout
 
-    def add(place: int, rows: list[dict]) -> Iterator[dict]:
-        asked_for = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-        contexts, at = np.unique(np.concatenate(asked_for), return_inverse=True)
-        values = [np.frombuffer(r["value"], np.int64).reshape(-1, len(c)) for r, c in zip(rows, asked_for)]
-        sums = np.zeros((len(values[0]), len(contexts)), np.int64)
-        cut = np.cumsum([0, *map(len, asked_for)])
-        for v, a, b in zip(values, cut, cut[1:]):
-            sums[:, at[a:b]] += v  # a context once in each row
-        for r, a, b in zip(rows, cut, cut[1:]):
-            yield {"kind": [kind], "reducer": [r["reducer"]], "block": [place], "reply": [sums[:, at[a:b]].tobytes()]}
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, minlength=len(self.words)).astype(np.int64)
 
-    dealt = asked.where("place IS NOT NULL").repartition(reducers, "place").sortWithinPartitions("place", "reducer")
-    return emit_rows(dealt, _owners(add, ("place", "reducer", "contexts", "value"), "place"), "kind string, reducer int, block long, reply binary")
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ctx, x, minlength=len(self.contexts)).astype(np.int64)
 
+    def whole(self, *values: np.ndarray) -> np.ndarray:
+        """Sums over pairs and over the words that aren't split."""
+        return np.array([int(v.sum()) for v in values], np.int64)
 
-def _read(own: list[dict], kind: str, rows: int) -> np.ndarray:
-    """The replies of a kind: values by context, place 0 for none."""
-    got = [np.frombuffer(r["reply"], np.int64).reshape(rows, -1) for r in own if r["kind"] == kind]
-    return np.concatenate([np.zeros((rows, 1), np.int64), *got], axis=1)
+    def unsplit(self, x: np.ndarray) -> np.ndarray:
+        return np.delete(x, self.split)
+
+    def learn(self, first: dict) -> None:
+        """Take in the first sums: customers of contexts, all tables being one for each dish, and totals of split words."""
+        self.customers, self.tables = first["ctx"]
+        self.total[self.split] = first["word"][0]
+        self.known = self.total > 0
+        self.base = np.where(self.known, (1 - self.m["unknown"]) / max(1, self.m["V"]), self.m["unknown"])
+        self.c0 = self.by_word(self.t)
+        self.c0[self.split] = first["word"][1]
+        self.t0 = self.known.astype(np.int64)
+        self.key = pair_key(self.words[self.of], self.contexts[self.ctx])
+
+    def sweep(self, k: int, whole: np.ndarray) -> None:
+        """Sweep number k over the pairs, given the sums of the sweep before."""
+        m, own = self.m, self.t
+        c0 = self.c0[self.of] - own
+        t0 = np.minimum(self.t0[self.of], c0)
+        tables = whole[1] - (self.t0[self.of] - t0)
+        parent = (c0 - m["d0"] * t0 + (STRENGTH + m["d0"] * tables) * self.base[self.of]) / (STRENGTH + whole[0] - own)
+        self.t = seat(self.count, self.tables[self.ctx] - own, STRENGTH, m["d1"], parent, self.key, m["seed"], k)
+        self.c0 = self.by_word(self.t)
+
+    def root(self, k: int, whole: np.ndarray) -> None:
+        self.t0 = seat(self.c0, whole[1] - self.t0, STRENGTH, self.m["d0"], self.base, self.words, self.m["seed"], k)
+
+    def after(self, sums: dict, k: int, whole: np.ndarray) -> None:
+        """Take in the sums of sweep k; whole: of the sweep before."""
+        self.tables = sums["ctx"][0]
+        self.c0[self.split] = sums["word"][0]
+        self.root(k, whole)
+
+    def predict(self, whole: np.ndarray) -> np.ndarray:
+        m = self.m
+        root = (self.c0 - m["d0"] * self.t0 + (STRENGTH + m["d0"] * whole[1]) * self.base) / (STRENGTH + whole[0])
+        return (self.count - m["d1"] * self.t + (STRENGTH + m["d1"] * self.tables[self.ctx]) * root[self.of]) / (STRENGTH + self.customers[self.ctx])
+
+    def asks(self, ctx: list[np.ndarray], word: list[np.ndarray], whole: np.ndarray) -> Iterator[dict]:
+        """What goes to the places where sums are made: values by context and by split word; the whole goes to the driver."""
+        none = {"place": [None], "contexts": [None], "ctx": [None], "words": [None], "word": [None]}
+        yield none | {"owner": [self.number], "whole": [whole.tobytes()]}
+        cut = np.searchsorted(self.layout.place_of_contexts(self.contexts), np.arange(self.layout.owners + 1))
+        names = self.words[self.split]
+        w_cut = np.searchsorted(self.layout.home(names), np.arange(self.layout.owners + 1))
+        for g in np.flatnonzero((np.diff(cut) > 0) | (np.diff(w_cut) > 0)).tolist():
+            a, b, c, d = cut[g], cut[g + 1], w_cut[g], w_cut[g + 1]
+            yield {"place": [g], "owner": [self.number], "whole": [None], "contexts": [_pack_contexts(self.contexts[a:b])], "ctx": [_pack(np.concatenate([v[a:b] for v in ctx]))], "words": [names[c:d].tobytes()], "word": [_pack(np.concatenate([v[self.split][c:d] for v in word]))]}
+
+
+ASKS = "place int, owner int, whole binary, contexts binary, ctx binary, words binary, word binary"
+REPLIES = "owner int, k int, place int, whole binary, ctx binary, word binary"
+
+
+def _add(k: int, wholes):
+    """Values added up over all owners, to each those it asked for, in its order; wholes(words, sums, last): the split words' share of the whole."""
+
+    def add(place: int, rows: list[dict]) -> Iterator[dict]:
+        out, names = {}, {}
+        for key, kind, read in (("contexts", "ctx", _unpack_contexts), ("words", "word", lambda b: np.frombuffer(b, np.uint64))):
+            asked = [read(r[key]) for r in rows]
+            names[kind], at = np.unique(np.concatenate(asked), return_inverse=True)
+            cut = np.cumsum([0, *map(len, asked)])
+            n = max((len(_unpack(r[kind])) // len(x) for r, x in zip(rows, asked) if len(x)), default=0)
+            sums, last = np.zeros((n, len(names[kind])), np.int64), np.zeros((n, len(names[kind])), np.int64)
+            for r, x, a, b in zip(rows, asked, cut, cut[1:]):
+                if len(x):
+                    v = _unpack(r[kind]).reshape(n, -1)
+                    sums[:, at[a:b]] += v  # a key once in each row
+                    last[:, at[a:b]] = v
+            out[kind] = sums, last, at, cut
+        whole = wholes(names["word"], *out["word"][:2]).tobytes() if len(names["word"]) else None
+        for i, r in enumerate(rows):
+            # of split words the tables go back once only
+            packed = {kind: [_pack(sums[: 1 if k else 2, at[cut[i] : cut[i + 1]]].ravel())] for kind, (sums, _, at, cut) in out.items()}
+            yield {"owner": [r["owner"]], "k": [k], "place": [place], "whole": [whole if not i else None]} | packed
+
+    return _grouped(add, "place")
+
+
+def _sums(replies: list[dict], k: int, rows: int) -> dict[str, list[np.ndarray]]:
+    """The replies after sweep k, in the order of the keys."""
+    mine = sorted((r for r in replies if r["k"] == k), key=lambda r: r["place"])
+    return {kind: np.concatenate([np.zeros((rows, 0), np.int64), *[_unpack(r[kind]).reshape(rows, -1) for r in mine if len(r[kind]) > 1]], axis=1) for kind in ("ctx", "word")}
+
+
+def _total(*frames: DataFrame) -> np.ndarray:
+    """The sums of the whole: a row for each owner and place reaches the driver."""
+    out = np.zeros(8, np.int64)
+    for f in frames:
+        for x in gather(f.where("whole IS NOT NULL").select("whole")).column(0).to_pylist():
+            v = np.frombuffer(x, np.int64)
+            out[: len(v)] += v
+    return out
 
 
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
 
 
-def score(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def _layout(docs: DataFrame, owner_bytes: int) -> Layout:
+    """One owner for each `owner_bytes` of text; words that a sample shows to have more than a quarter of an owner's share are split.  4 words for each owner reach the driver at most."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = max(1, math.ceil(size / owner_bytes))
+    if owners == 1:
+        return Layout(1, {})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for _, _, block in chunks(batch.column(1)):
+                words, n = np.unique(_tokens(block)[0], return_counts=True)
+                yield {"word": np.append(words.view(np.int64), 0), "n": np.append(n, n.sum())}
+
+    sample = docs.where(fold("doc_id", SAMPLE) == 0)
+    counted = materialise(emit_rows(sample, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = (counted.where("word = 0").agg(F.sum("n")).first()[0]) or 0
+    hot = {}
+    if total:
+        for r in counted.where((F.col("word") != 0) & (F.col("n") * 4 * owners > total)).collect():
+            if (k := min(owners, math.ceil(2 * owners * r["n"] / total))) > 1:
+                hot[r["word"] & ((1 << 64) - 1)] = k
+    release(counted)
+    return Layout(owners, hot)
+
+
+def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
-    reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ddl = "kind string, block long, reducer int, ids array<long>, size array<long>, refs binary, owner binary, " + ", ".join(f"{k} binary" for k in KEY_PARTS)
-    rows = materialise(emit_rows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _blocks(reducers), ddl))
-    keys = rows.where("kind = 'keys'").select("kind", "reducer", "block", *KEY_PARTS)
-    names = ("kind", "reducer", "block", *KEY_PARTS)
-    ask_ddl = "place int, reducer int, contexts binary, value binary"
-
-    def deal(*more: DataFrame) -> DataFrame:
-        df = keys.withColumn("reply", F.lit(None).cast("binary"))
-        for x in more:
-            df = df.unionByName(x, allowMissingColumns=True)
-        return df.repartition(reducers, "reducer").sortWithinPartitions("reducer", "kind", "block")
-
-    def ask(r: int, d: Dishes, whole: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
-        yield {"place": [None], "reducer": [r], "contexts": [None], "value": [whole.astype(np.int64).tobytes()]}
-        for place, contexts, value in d.asks(*values):
-            yield {"place": [place], "reducer": [r], "contexts": [contexts], "value": [value]}
-
-    def count(r: int, own: list[dict]) -> Iterator[dict]:
-        d = Dishes(own)
-        d.start()
-        ones = [int((x == k).sum()) for x in (d.total, d.count) for k in (1, 2)]
-        whole = np.array([d.c0.sum(), d.t0.sum(), d.total.sum(), d.known.sum(), *ones])
-        yield from ask(r, d, whole, d.by_context(d.count), d.by_context(d.t))
-
-    asked = materialise(emit_rows(deal(), _owners(count, names), ask_ddl))
-    *first, n_train, v, w1, w2, p1, p2 = _whole(asked).tolist()
-    m = {"V": v, "d0": _discount(w1, w2), "d1": _discount(p1, p2), "unknown": UNKNOWN_SHARE if v else 1.0}
-    start = materialise(_replies(asked, "start", reducers))
-
-    def burn(r: int, own: list[dict]) -> tuple[Dishes, np.random.Generator, dict]:
-        d, rng = Dishes([x for x in own if x["kind"] == "keys"]), np.random.default_rng((seed, r))
-        customers, tables = _read(own, "start", 2)
-        mine = m | {"customers": customers}
-        d.start()
-        for _ in range(BURN_IN):
-            d.sweep(mine, np.concatenate((tables, first)), rng)
-        return d, rng, mine
-
-    def tables(r: int, own: list[dict]) -> Iterator[dict]:
-        d, _, _ = burn(r, own)
-        yield from ask(r, d, np.array([d.c0.sum(), d.t0.sum(), *[0] * 6]), d.by_context(d.t))
-
-    asked = materialise(emit_rows(deal(start), _owners(tables, (*names, "reply")), ask_ddl))
-    second = _whole(asked)[:2]
-    later = materialise(_replies(asked, "tables", reducers))
-
-    def answer(r: int, own: list[dict]) -> Iterator[dict]:
-        d, rng, mine = burn(r, own)
-        sums = np.concatenate((_read(own, "tables", 1)[0], second))
-        pair = np.zeros(len(d.count))
-        for _ in range(SAMPLES):
-            d.sweep(mine, sums, rng)
-            pair += d.predict(mine, sums)[1] / SAMPLES
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    layout = _layout(docs, owner_bytes)
+    n = layout.owners
+    keys = emit_rows(docs, _blocks(layout, False), "owner int, block long, words binary, fan binary, ctx binary, cnt binary")
+    state = bucketed(emit_rows(keys.repartition(n, "owner").sortWithinPartitions("owner", "block"), _grouped(_merge, "owner"), STATE), n, "owner")
+    del keys
+    free_shuffles(spark)
+    sweeps = BURN_IN + SAMPLES
+    model = {"seed": seed, "d0": 0.5, "d1": 0.5, "V": 0, "unknown": 1.0}
+    whole: list[np.ndarray] = []
+    replies: list[DataFrame] = []
+
+    def exchange(asked: DataFrame, k: int, wholes) -> np.ndarray:
+        asked = materialise(asked)
+        dealt = asked.where("place IS NOT NULL").drop("whole").repartition(n, "place").sortWithinPartitions("place", "owner")
+        replies.append(materialise(emit_rows(dealt, _add(k, wholes), REPLIES)))
+        out = _total(asked, replies[-1])
+        release(asked)
+        return out
+
+    def ones_twos(x: np.ndarray) -> list[np.ndarray]:
+        return [x == 1, x == 2]
+
+    def begin(_, rows: list[dict]) -> Iterator[dict]:
+        for row in rows:
+            o = Owner(row, layout, model)
+            dishes = o.by_word(o.t)
+            totals = o.unsplit(o.total)
+            sums = o.whole(o.t, totals > 0, o.count, totals > 0, *ones_twos(totals), *ones_twos(o.count))
+            yield from o.asks([o.by_context(o.count), o.by_context(o.t)], [o.total, dishes], sums)
+
+    def begin_split(_: np.ndarray, sums: np.ndarray, __: np.ndarray) -> np.ndarray:
+        total = sums[0]
+        return np.array([0, (total > 0).sum(), 0, (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
+
+    got = exchange(emit_rows(state.select("owner", "words", "fan", "contexts", "ctx", "cnt"), _grouped(begin, "owner"), ASKS), 0, begin_split)
+    n_train, v, w1, w2, p1, p2 = got[2:].tolist()
+    whole.append(got[:2])
+    model |= {"V": v, "d0": _discount(w1, w2), "d1": _discount(p1, p2), "unknown": UNKNOWN_SHARE if v else 1.0}
+
+    def replay(rows: list[dict], got: list[dict], upto: int) -> Iterator[Owner]:
+        """An owner after each of the sweeps, from 0, with its sums; the last one as it is before they are made, if they aren't known."""
+        o = Owner(rows[0], layout, model)
+        o.learn(_sums(got, 0, 2))
+        yield o
+        for k in range(1, upto + 1):
+            o.sweep(k, whole[k - 1])
+            if k < len(whole):
+                o.after(_sums(got, k, 1), k, whole[k - 1])
+            yield o
+
+    def both(fn, ddl: str, columns: list[str]) -> DataFrame:
+        """fn(owner's row, its replies) for each owner: the state isn't shuffled."""
+        kind, arrow = schema_of(ddl)
+
+        def call(left: pa.Table, right: pa.Table) -> pa.Table:
+            made = [pa.table([pa.array(r[f.name], f.type) for f in arrow], schema=arrow) for r in fn(left.to_pylist(), right.to_pylist())] if len(left) else []
+            return pa.concat_tables(made) if made else arrow.empty_table()
+
+        got = replies[0]
+        for r in replies[1:]:
+            got = got.unionByName(r)
+        return state.select(*columns).groupBy("owner").cogroup(got.drop("whole").groupBy("owner")).applyInArrow(call, kind)
+
+    for k in range(1, sweeps + 1):
+
+        def sweep(rows: list[dict], got: list[dict], k: int = k) -> Iterator[dict]:
+            o = list(replay(rows, got, k))[-1]
+            last = o.t0.copy()
+            own = o.c0.copy()  # the root's customers from here
+            o.root(k, whole[k - 1])
+            yield from o.asks([o.by_context(o.t)], [own, last], o.whole(o.t, o.unsplit(o.t0)))
+
+        def split(words: np.ndarray, sums: np.ndarray, last: np.ndarray, k: int = k) -> np.ndarray:
+            base = np.full(len(words), (1 - model["unknown"]) / max(1, model["V"]))
+            t0 = seat(sums[0], whole[k - 1][1] - last[1], STRENGTH, model["d0"], base, words, seed, k)
+            return np.array([0, t0.sum()], np.int64)
+
+        whole.append(exchange(both(sweep, ASKS, ["owner", "words", "fan", "contexts", "ctx", "cnt"]), k, split)[:2])
+    free_shuffles(spark)
+
+    def answer(rows: list[dict], got: list[dict]) -> Iterator[dict]:
+        pair = 0
+        for k, o in enumerate(replay(rows, got, sweeps)):
+            if k > BURN_IN:
+                pair = pair + o.predict(whole[k]) / SAMPLES
         pair = np.log10(pair).astype(np.float32)
-        for block, w, p in zip(d.blocks, d.word_of, d.pair_of):
-            yield {"block": [block], "reducer": [r], "total": [d.total[w].tobytes()], "pair": [pair[p].tobytes()]}
+        for block, w, p in zip(rows[0]["blocks"], rows[0]["word_of"], rows[0]["pair_of"]):
+            yield {"block": [block], "owner": [rows[0]["owner"]], "total": [_pack(o.total[_unpack_rising(w)])], "pair": [pair[_unpack_rising(p)].tobytes()]}
 
-    answers = emit_rows(deal(start, later), _owners(answer, (*names, "reply")), "block long, reducer int, total binary, pair binary")
+    answers = both(answer, "block long, owner int, total binary, pair binary", [f.split()[0] for f in STATE.split(", ")])
     kind, arrow = schema_of("doc_id long, n_tokens long, n_known long, base_score double, score double")
 
-    def finish(home: pa.Table, replies: pa.Table) -> pa.Table:
-        replies = sorted(replies.to_pylist(), key=lambda x: x["reducer"])
-        join = lambda k, t: np.concatenate([np.frombuffer(x[k], t) for x in replies])
-        total, pair = join("total", np.int64), join("pair", np.float32)
-        out = []
-        for h in home.to_pylist():
-            ref, of, n = np.frombuffer(h["refs"], np.int32), np.frombuffer(h["owner"], np.int32), np.array(h["size"], np.int64)
-            head = np.concatenate(([0], np.cumsum(n)[:-1]))
-            logp = pair.astype(np.float64)[ref]
-            c = total[of][ref]
-            base = np.log10((c + 1) / (n_train + v + 1))
-            cols = [h["ids"], n, np.add.reduceat((c > 0).astype(np.int64), head), np.add.reduceat(base, head), np.add.reduceat(logp, head)]
-            out.append(pa.table([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow))
-        return pa.concat_tables(out) if out else arrow.empty_table()
-
-    home = rows.where("kind = 'home'").select("block", "ids", "size", "refs", "owner")
+    def finish(home: pa.Table, got: pa.Table) -> pa.Table:
+        if len(home) != 1 or not len(got):
+            raise ValueError("the documents came in another order when they were read again; write them to a table first")
+        h = home.to_pylist()[0]
+        got = sorted(got.to_pylist(), key=lambda x: x["owner"])
+        total = np.concatenate([_unpack(x["total"]) for x in got])
+        pair = np.concatenate([np.frombuffer(x["pair"], np.float32) for x in got])
+        ref, size = _unpack(h["refs"]), np.array(h["size"], np.int64)
+        c = np.repeat(total, _unpack(h["fan"]))
+        head = np.cumsum(size) - size
+        base = np.log10((c + 1) / (n_train + v + 1))
+        cols = [h["ids"], size, np.add.reduceat((c > 0)[ref].astype(np.int64), head), np.add.reduceat(base[ref], head), np.add.reduceat(pair.astype(np.float64)[ref], head)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
+
+    home = emit_rows(docs, _blocks(layout, True), "block long, ids array<long>, size array<long>, refs binary, fan binary")
     done = home.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, kind)
-    return done.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    return done.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,23 +23,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share.  Where the session names none, a local master gets a temporary one, as in tests; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cuegrid-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _kept(df: DataFrame, at: str) -> DataFrame:
+    path, files = _path(df.sparkSession, at)
+    files.deleteOnExit(path)
+    df._kept_at = at
+    return df
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: what follows has no lineage and survives lost executors.  The files go when the application ends."""
+    """Write to the shared folder and read again: what follows has no lineage and survives lost executors.  The files go by release(), or when the application ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return _kept(spark.read.schema(df.schema).parquet(at), at)
+
+
+def bucketed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """As materialise, in n buckets by key: grouping by the key needs no shuffle."""
+    spark = df.sparkSession
+    name = f"cuegrid_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/table-{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(min(n, 100_000), key).saveAsTable(name)
+    return _kept(spark.table(name), at)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        path, files = _path(df.sparkSession, df._kept_at)
+        files.delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM finds that no frame refers to them; else they stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def schema_of(ddl: str) -> tuple[StructType, pa.Schema]:

@@ -103,39 +103,130 @@ def test_language_model(spark, docs, texts, empty):
     assert M.score(empty).count() == 0
 
 
-def test_probabilities_add_up_to_one():
+def word_hashes(spark, words):
+    """Token hashes as the model makes them."""
+    import pyarrow as pa
+
+    from cuegrid.llm.textblock import chunks
+
+    out = []
+    for _, _, block in chunks(pa.array(words)):
+        out += M._tokens(block)[0][::2].tolist()
+    return dict(zip(words, out))
+
+
+class BruteModel:
+    """The same model in dicts, one customer after the other."""
+
+    def __init__(self, toks, hashes, seed=17):
+        self.hash = {w: np.uint64(h) for w, h in hashes.items()} | {"\0end": M.END, "\0start": M.START}
+        pairs = Counter((p, w) for t in toks for p, w in zip(["\0start", *t], t))
+        total = Counter(w for t in toks for w in t)
+        self.v, self.seed, self.pairs, self.total = len(total), seed, pairs, total
+        self.unknown = M.UNKNOWN_SHARE if total else 1.0
+        ones = lambda c: (sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+        self.d0, self.d1 = M._discount(*ones(total)), M._discount(*ones(pairs))
+        self.customers = Counter()
+        for (p, _), n in pairs.items():
+            self.customers[p] += n
+        self.states = []
+        t, t0 = {x: 1 for x in pairs}, {w: 1 for w in total}
+        self._sums(t, t0)
+        for k in range(1, M.BURN_IN + M.SAMPLES + 1):
+            new = {}
+            for p, w in pairs:
+                own = t[p, w]
+                c0, r0 = self.c0[w] - own, min(t0[w], self.c0[w] - own)
+                parent = (c0 - self.d0 * r0 + (M.STRENGTH + self.d0 * (self.t0_all - t0[w] + r0)) * self.base(w)) / (M.STRENGTH + self.c0_all - own)
+                key = M.pair_key(np.array([self.hash[w]]), M._context(np.array([self.hash[p]])))
+                new[p, w] = self.seat(pairs[p, w], self.tables[p] - own, self.d1, parent, key, k)
+            t = new
+            all_before = self.t0_all
+            self._sums(t, t0)
+            t0 = {w: self.seat(self.c0[w], all_before - t0[w], self.d0, self.base(w), np.array([self.hash[w]]), k) for w in total}
+            self._sums(t, t0)
+            if k > M.BURN_IN:
+                self.states.append((t, t0, self.tables, self.c0, self.c0_all, self.t0_all))
+
+    def _sums(self, t, t0):
+        self.tables, self.c0 = Counter(), Counter()
+        for (p, w), n in t.items():
+            self.tables[p] += n
+            self.c0[w] += n
+        self.c0_all, self.t0_all = sum(t.values()), sum(t0.values())
+
+    def base(self, w):
+        return (1 - self.unknown) / max(1, self.v) if self.total[w] else self.unknown
+
+    def seat(self, n, others, d, parent, key, sweep):
+        t = 1
+        for s in range(1, min(n, M.SINGLY)):
+            a = (M.STRENGTH + d * (others + t)) * parent
+            t += int(M.uniform(key, self.seed, sweep, s)[0] * (a + s - d * t) < a)
+        s = M.SINGLY
+        while s < n:  # one draw tells when the next new table opens
+            a, u, stay = (M.STRENGTH + d * (others + t)) * parent, M.uniform(key, self.seed, sweep, M.SINGLY + t)[0], 1.0
+            x = s - d * t
+            while s < n and stay >= u:
+                stay *= x / (a + x)
+                x, s = x + 1, s + 1
+            t += stay < u
+        return t
+
+    def prob(self, p, w):
+        out = 0
+        for t, t0, tables, c0, c0_all, t0_all in self.states:
+            root = (c0[w] - self.d0 * t0.get(w, 0) + (M.STRENGTH + self.d0 * t0_all) * self.base(w)) / (M.STRENGTH + c0_all)
+            out += (self.pairs[p, w] - self.d1 * t.get((p, w), 0) + (M.STRENGTH + self.d1 * tables[p]) * root) / (M.STRENGTH + self.customers[p])
+        return out / len(self.states)
+
+
+def test_score_equals_brute_force_at_any_number_of_tasks(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(50)]
+    texts = [(i, " ".join(rng.choice(words[: rng.choice([8, 50])]) for _ in range(rng.randint(0, 16)))) for i in range(260)]
+    texts += [(1000 + i, t) for i, t in enumerate(["w1 niegesehen w2", "", "w1 w1", "fremd fremd"] * 4)]
+    toks = {i: WORDS.findall(t) + ["\0end"] for i, t in texts}
+    hashes = word_hashes(spark, sorted({w for t in toks.values() for w in t} - {"\0end"}))
+    brute = BruteModel([t for i, t in toks.items() if crc(i, 7) != 2], hashes)
+    assert max(n for x in brute.states for n in x[3].values()) > M.SINGLY
+    known = [*brute.total]
+    for p in ("\0start", "w1", "w39", "fremd"):  # every restaurant's probabilities add up to one, with the outcome "unknown"
+        assert abs(sum(brute.prob(p, w) for w in known) + brute.prob(p, "unbekannt") - 1) < 1e-9
+    want = {i: sum(math.log10(brute.prob(p, w)) for p, w in zip(["\0start", *t], t)) for i, t in toks.items()}
+    df = spark.createDataFrame([row(*r) for r in texts], DOCS).repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, owner_bytes in (("4", M.OWNER_BYTES), ("7", 900), ("211", 4000)):  # one owner; many, with split words; a few
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r["doc_id"]: r for r in M.score(df, owner_bytes=owner_bytes).collect()}
+        assert got.keys() == want.keys()
+        assert max(abs(got[i]["score"] - want[i]) for i in want) < 1e-4, owner_bytes
+        assert all(abs(math.log10(r["perplexity"]) + r["score"] / r["n_tokens"]) < 1e-9 for r in got.values())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(M._layout(df, 900).words) > 3
+
+
+def test_words_are_split_where_they_are_frequent(spark):
+    texts = [row(i, "und " * 50 + f"a{i} b{i}") for i in range(2000)]
+    layout = M._layout(spark.createDataFrame(texts, DOCS), 20_000)
+    h = word_hashes(spark, ["und", "a1"])
+    assert layout.owners > 10 and layout.split(np.array([h["und"]], np.uint64))[0] == layout.owners and layout.split(np.array([h["a1"]], np.uint64))[0] == 1
+
+
+def test_large_parties_are_seated_like_customers_one_by_one():
+    n, c, others, parent, d = 4000, 800, 3, 0.3, 0.4
     rng = np.random.default_rng(2)
-    n = 30
-    count = rng.integers(0, 9, (n, 3))
-    direct = rng.integers(0, 5, n)
-    total = count.sum(axis=1) + direct
-    words = np.sort(rng.integers(1, 1 << 60, n, dtype=np.uint64))
-    part = {"block": 0, "hashes": words.tobytes(), "total": total.astype(np.uint32).tobytes(), "direct": direct.astype(np.uint32).tobytes(), "fan": np.full(n, 3, np.uint16).tobytes(), "ctx": np.tile([1, 2, 3], n).astype(np.uint8).tobytes(), "cnt": count.ravel().astype(np.uint32).tobytes()}
-    d = M.Dishes([part])
-    d.start()
-    v = int((total > 0).sum())
-    customers = np.bincount(d.ctx, d.count, minlength=M.CONTEXTS)
-    m = {"V": v, "d0": 0.6, "d1": 0.7, "customers": customers, "unknown": 0.5}
-    for _ in range(3):
-        d.sweep(m, d.sums(), rng)
-        assert (d.t <= d.count).all() and ((d.t > 0) == (d.count > 0)).all() and (d.t0 <= d.c0).all()
-    root, pair = d.predict(m, d.sums())
-    sums = d.sums()
-    new = (M.STRENGTH + 0.6 * sums[-1]) / (M.STRENGTH + sums[-2]) * 0.5
-    assert abs(root[d.known].sum() + new - 1) < 1e-9
-    for u in (1, 2, 3):
-        unknown = (M.STRENGTH + 0.7 * sums[u]) / (M.STRENGTH + customers[u]) * new
-        mine = (d.ctx == u) & d.known[d.owner]
-        assert abs(pair[mine].sum() + unknown - 1) < 1e-9
-
-
-def test_groups_of_customers_seat_like_single_ones():
-    c, a, disc = np.full(4000, 800), np.full(4000, 1.5), 0.4
-    t = M.seat(c, a, disc, np.random.default_rng(1))
-    rng, slow = np.random.default_rng(2), np.ones(4000)
-    for s in range(1, 800):
-        slow += rng.random(4000) < a / (a + s - disc * slow)
-    assert abs(t.mean() - slow.mean()) < 0.15
+    t = M.seat(np.full(n, c), np.full(n, others), 1.0, d, np.full(n, parent), rng.integers(1, 1 << 60, n, dtype=np.uint64), 1, 1)
+    slow = np.ones(n)
+    for s in range(1, c):
+        a = (1 + d * (others + slow)) * parent
+        slow += rng.random(n) < a / (a + s - d * slow)
+    assert abs(t.mean() - slow.mean()) < 4 * slow.std() * (2 / n) ** 0.5 and abs(t.std() / slow.std() - 1) < 0.1
+
+
+def test_log_gamma():
+    x = np.array([0.05, 0.5, 1, 3.3, 64, 1e4, 1e8])
+    assert np.allclose(M.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
 
 
 def test_every_word_before_has_its_own_restaurant(spark):

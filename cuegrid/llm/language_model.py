@@ -8,9 +8,9 @@ word that stands before, whatever it is; they share the root as their parent.  A
 table of a context restaurant is a customer of the root.
 
 Seating is sampled by Gibbs sweeps: each dish's party gets up and is seated again
-customer by customer, given all other parties as the sweep before left them: its
-own tables are out of its restaurant's sum, and its customers and tables out of the
-root.  A sweep serves all parties at once, then every restaurant's sums are added up
+customer by customer (the last ones of large parties in small groups), given all
+other parties as the sweep before left them: its own tables are out of its
+restaurant's sum, and its customers and tables out of the root.  A sweep serves all parties at once, then every restaurant's sums are added up
 anew.  Random numbers come from the hashes of word, context and sweep, so neither
 the number of tasks nor the order of rows changes a score.  The score uses
 predictive probabilities averaged over the seatings of the last sweeps.  Discounts
@@ -51,7 +51,7 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS, OWNER_BYTES = 3_000_000, 16_000_000
 STRENGTH, UNKNOWN_SHARE = 1.0, 0.5
 BURN_IN, SAMPLES = 1, 2
-SINGLY = 64  # so many customers of a party are seated one by one, then the next new table is drawn at once
+SINGLY = 64  # customers of a party up to twice this come one by one, then in groups of this part of those seated
 SAMPLE = 64  # one of so many documents tells which words are frequent
 END, START = np.uint64(0xE7D0F7E7D0F7), np.uint64(0x57A2757A2757A275)
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -226,47 +226,54 @@ def _merge(owner: int, rows: list[dict]) -> Iterator[dict]:
 STATE = "owner int, words binary, fan binary, contexts binary, ctx binary, cnt binary, blocks array<long>, word_of array<binary>, pair_of array<binary>"
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, eight places on."""
-    y = x + 8
-    low = np.ones_like(x)
-    for k in range(8):
-        low = low * (x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Successes of n trials for two uniform numbers: by inversion up to a mean of 16, above it by the normal law."""
+    turned = p > 0.5
+    q = np.where(turned, 1 - p, p)
+    mean = n * q
+    out = np.rint(mean + np.sqrt(mean * (1 - q) * -2 * np.log(u)) * np.cos(2 * np.pi * v))
+    few = np.flatnonzero(mean <= 16)
+    k, m, x, odds = np.zeros(len(few)), n[few], u[few], q[few] / (1 - q[few])
+    mass = np.exp(m * np.log1p(-q[few]))
+    upto, at = mass.copy(), 0
+    while (more := (x > upto) & (k < m)).any() and at < 200:
+        at += 1
+        mass = mass * (m - at + 1) / at * odds
+        upto = upto + mass
+        k[more] = at
+    out[few] = k
+    out = np.clip(out, 0, n)
+    return np.where(turned, n - out, out)
 
 
 def seat(count: np.ndarray, others: np.ndarray, strength: float, discount: float, parent: np.ndarray, key: np.ndarray, seed: int, sweep: int) -> np.ndarray:
-    """Tables of each party after its customers are seated one by one: a new table weighs (strength + discount * all tables of the restaurant) * parent, the old ones the seated customers less a discount for each.  others: the tables of the other parties."""
+    """Tables of each party after its customers are seated: a new table weighs (strength + discount * all tables of the restaurant) * parent, the old ones the seated customers less a discount for each.  others: the tables of the other parties.
+
+    The first customers come one by one; behind them come groups of a SINGLY-th of those
+    seated, each with the weights that hold in its middle, so a party of any size takes
+    a number of steps that grows with its logarithm only.
+    """
     out = (count > 0).astype(np.int64)
     many = np.flatnonzero(count > 1)
     order = many[np.argsort(-count[many], kind="stable")]
     c, o, p, k = count[order], others[order], parent[order], key[order]
     t = np.ones(len(order))
-    ends = np.searchsorted(-c, -np.arange(1, SINGLY + 1), "left")  # parties with more than so many customers
-    for s in range(1, SINGLY):
-        n = int(ends[s - 1])
-        if not n:
-            break
-        a = (strength + discount * (o[:n] + t[:n])) * p[:n]
-        t[:n] += uniform(k[:n], seed, sweep, s) * (a + s - discount * t[:n]) < a
-    n = int(ends[SINGLY - 1])
-    live, s = np.arange(n), np.full(n, float(SINGLY))
-    while len(live):
-        # how many sit down before the next new table: its survival is a ratio of gamma functions
-        a = (strength + discount * (o[live] + t[live])) * p[live]
-        x = s[live] - discount * t[live]
-        log_u = np.log(uniform(k[live], seed, sweep, SINGLY + t[live].astype(np.int64)))
-        at_start = log_gamma(a + x) - log_gamma(x)
-        stays = lambda m: at_start + log_gamma(x + m) - log_gamma(a + x + m)  # noqa: B023, E731
-        low, high = np.zeros(len(live)), c[live] - s[live] + 1  # more than are left: none opens
-        opens = stays(high - 1) < log_u
-        while (high - low > 1).any():
-            mid = np.floor((low + high) / 2)
-            below = stays(mid) < log_u
-            high, low = np.where(below, mid, high), np.where(below, low, mid)
-        t[live] += opens
-        s[live] += high
-        live = live[opens & (s[live] < c[live])]
+    s = 1
+    while n := int(np.searchsorted(-c, -s, "left")):  # parties with more than s customers
+        group = max(1, s // SINGLY)
+        take = np.minimum(group, c[:n] - s).astype(np.float64)
+        x = s + (take - 1) / 2
+
+        def opens(tables: np.ndarray, n: int = n, x: np.ndarray = x) -> np.ndarray:
+            a = (strength + discount * (o[:n] + tables)) * p[:n]
+            return a / (a + x - discount * tables)
+
+        if group == 1:
+            t[:n] += uniform(k[:n], seed, sweep, 2 * s) < opens(t[:n])
+        else:
+            middle = t[:n] + take * opens(t[:n]) / 2
+            t[:n] += binomial(take, opens(middle), uniform(k[:n], seed, sweep, 2 * s), uniform(k[:n], seed, sweep, 2 * s + 1))
+        s += group
     out[order] = t.astype(np.int64)
     return out
 

@@ -159,18 +159,18 @@ class BruteModel:
         return (1 - self.unknown) / max(1, self.v) if self.total[w] else self.unknown
 
     def seat(self, n, others, d, parent, key, sweep):
-        t = 1
-        for s in range(1, min(n, M.SINGLY)):
-            a = (M.STRENGTH + d * (others + t)) * parent
-            t += int(M.uniform(key, self.seed, sweep, s)[0] * (a + s - d * t) < a)
-        s = M.SINGLY
-        while s < n:  # one draw tells when the next new table opens
-            a, u, stay = (M.STRENGTH + d * (others + t)) * parent, M.uniform(key, self.seed, sweep, M.SINGLY + t)[0], 1.0
-            x = s - d * t
-            while s < n and stay >= u:
-                stay *= x / (a + x)
-                x, s = x + 1, s + 1
-            t += stay < u
+        t, s = 1, 1
+        opens = lambda t, x: (a := (M.STRENGTH + d * (others + t)) * parent) / (a + x - d * t)
+        u = lambda k: M.uniform(key, self.seed, sweep, k)
+        while s < n:
+            group = max(1, s // M.SINGLY)
+            take = min(group, n - s)
+            x = s + (take - 1) / 2
+            if group == 1:
+                t += int(u(2 * s)[0] < opens(t, x))
+            else:
+                t += int(M.binomial(np.array([float(take)]), np.array([opens(t + take * opens(t, x) / 2, x)]), u(2 * s), u(2 * s + 1))[0])
+            s += group
         return t
 
     def prob(self, p, w):
@@ -189,7 +189,7 @@ def test_score_equals_brute_force_at_any_number_of_tasks(spark):
     toks = {i: WORDS.findall(t) + ["\0end"] for i, t in texts}
     hashes = word_hashes(spark, sorted({w for t in toks.values() for w in t} - {"\0end"}))
     brute = BruteModel([t for i, t in toks.items() if crc(i, 7) != 2], hashes)
-    assert max(n for x in brute.states for n in x[3].values()) > M.SINGLY
+    assert max(n for x in brute.states for n in x[3].values()) > 2 * M.SINGLY
     known = [*brute.total]
     for p in ("\0start", "w1", "w39", "fremd"):  # every restaurant's probabilities add up to one, with the outcome "unknown"
         assert abs(sum(brute.prob(p, w) for w in known) + brute.prob(p, "unbekannt") - 1) < 1e-9
@@ -214,7 +214,7 @@ def test_words_are_split_where_they_are_frequent(spark):
 
 
 def test_large_parties_are_seated_like_customers_one_by_one():
-    n, c, others, parent, d = 4000, 800, 3, 0.3, 0.4
+    n, c, others, parent, d = 4000, 3000, 3, 0.3, 0.4
     rng = np.random.default_rng(2)
     t = M.seat(np.full(n, c), np.full(n, others), 1.0, d, np.full(n, parent), rng.integers(1, 1 << 60, n, dtype=np.uint64), 1, 1)
     slow = np.ones(n)
@@ -224,9 +224,12 @@ def test_large_parties_are_seated_like_customers_one_by_one():
     assert abs(t.mean() - slow.mean()) < 4 * slow.std() * (2 / n) ** 0.5 and abs(t.std() / slow.std() - 1) < 0.1
 
 
-def test_log_gamma():
-    x = np.array([0.05, 0.5, 1, 3.3, 64, 1e4, 1e8])
-    assert np.allclose(M.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
+def test_binomial():
+    rng = np.random.default_rng(1)
+    for n, p in ((1, 0.3), (7, 0.9), (40, 0.2), (1000, 0.4), (1000, 0.003), (50, 1.0)):
+        got = M.binomial(np.full(40_000, float(n)), np.full(40_000, p), rng.random(40_000), rng.random(40_000))
+        want = rng.binomial(n, p, 40_000)
+        assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / 40_000) ** 0.5 + 1e-9 and abs(got.var() - want.var()) < 0.05 * want.var() + 1e-9 and got.min() >= 0 and got.max() <= n
 
 
 def test_every_word_before_has_its_own_restaurant(spark):

@@ -74,20 +74,31 @@ def line_breaks(text: Column, width: int = K.PREFERRED_CPL) -> Column:
     bind = lambda x, f: F.transform(F.array(x), f)[0]
 
     def broken(t: Column, words: Column) -> Column:
-        lengths = F.transform(words, lambda w: F.length(w))
-        upto = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n + 1)
-        bonus = lambda w: F.when(w.rlike("[،؛.]$"), 5).otherwise(0)
-        cost = lambda i: F.abs(upto(i) - F.floor(F.length(t) / 2).cast("int")) - bonus(F.get(words, i - 1))
-        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(cost(i).alias("d"), i.alias("i"))))
-        return F.when(best["d"] < 999, F.concat(F.array_join(F.slice(words, F.lit(1), best["i"]), " "), F.lit("\n"), F.array_join(F.slice(words, best["i"] + 1, F.size(words)), " "))).otherwise(t)
+        half = F.floor(F.length(t) / 2).cast("int")
+        state = lambda upto, i, d, at: F.struct(upto.alias("upto"), i.alias("i"), d.alias("d"), at.alias("at"))
+
+        def step(s: Column, w: Column) -> Column:
+            upto = s["upto"] + F.length(w) + 1
+            cost = F.abs(upto - half) - F.when(w.rlike("[،؛.]$"), 5).otherwise(0)
+            return state(upto, s["i"] + 1, F.least(s["d"], cost), F.when(cost < s["d"], s["i"] + 1).otherwise(s["at"]))
+
+        # one pass over the words but the last: the length so far, and the best break so far
+        best = F.aggregate(F.slice(words, F.lit(1), F.size(words) - 1), state(F.lit(0), F.lit(0), F.lit(999), F.lit(0)), step)
+        cut = lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(words, F.lit(1), i), " "), F.lit("\n"), F.array_join(F.slice(words, i + 1, F.size(words)), " "))).otherwise(t)
+        return bind(best["at"], cut)
 
     return bind(flat, lambda t: F.when(F.length(t) <= width, t).otherwise(bind(tokens(t), lambda ws: F.when(F.size(ws) <= 2, t).otherwise(broken(t, ws)))))
 
 
-def kurmanji(x: Column) -> Column:
-    """Distinct Kurmanji letters and markers, sorted."""
+def runs(x: Column) -> Column:
+    """Runs of letters of the Arabic block."""
+    return F.regexp_extract_all(x, F.lit(ARABIC_RUN), 0)
+
+
+def kurmanji(x: Column, arabic: Column | None = None) -> Column:
+    """Distinct Kurmanji letters and markers, sorted.  arabic: the text's runs, where they are known."""
     chars = F.regexp_extract_all(x, F.lit(f"[{K.KURMANJI_CHARS}]"), 0)
-    markers = F.filter(F.regexp_extract_all(x, F.lit(ARABIC_RUN), 0), lambda w: w.isin(K.KURMANJI_MARKERS))
+    markers = F.filter(runs(x) if arabic is None else arabic, lambda w: w.isin(K.KURMANJI_MARKERS))
     return F.array_sort(F.array_distinct(F.concat(chars, markers)))
 
 
@@ -96,17 +107,17 @@ def untranslated(x: Column) -> Column:
     return F.filter(F.regexp_extract_all(x, F.lit(r"(?U)\b[A-Za-z]{2,}\b"), 0), lambda w: ~F.lower(w).isin(K.ALLOWED_ENGLISH))
 
 
-def ezafe_chains(x: Column) -> Column:
+def ezafe_chains(x: Column, arabic: Column | None = None) -> Column:
     """Lengths of the chains of four or more words in a row that end in ی."""
-    marks = F.array_join(F.transform(F.regexp_extract_all(x, F.lit(ARABIC_RUN), 0), lambda w: F.when(F.endswith(w, F.lit("ی")), "1").otherwise("0")), "")
+    marks = F.array_join(F.transform(runs(x) if arabic is None else arabic, lambda w: F.when(F.endswith(w, F.lit("ی")), "1").otherwise("0")), "")
     return F.transform(F.regexp_extract_all(marks, F.lit("1{4,}"), 0), lambda run: F.length(run))
 
 
-def llm_errors(x: Column) -> Column:
+def llm_errors(x: Column, arabic: Column | None = None) -> Column:
     """Names of the error patterns, once for each finding."""
-    runs = F.regexp_extract_all(x, F.lit(ARABIC_RUN), 0)
-    kaf = F.transform(F.filter(runs, lambda w: F.contains(w, F.lit("ك")) & F.contains(w, F.lit("ی"))), lambda _: F.lit("mixed_script"))
-    yeh = F.transform(F.filter(runs, lambda w: F.contains(w, F.lit("ي"))), lambda _: F.lit("arabic_yeh"))
+    arabic = runs(x) if arabic is None else arabic
+    kaf = F.transform(F.filter(arabic, lambda w: F.contains(w, F.lit("ك")) & F.contains(w, F.lit("ی"))), lambda _: F.lit("mixed_script"))
+    yeh = F.transform(F.filter(arabic, lambda w: F.contains(w, F.lit("ي"))), lambda _: F.lit("arabic_yeh"))
     triple = F.transform(F.array(tokens(x)), lambda ws: F.transform(F.filter(F.when(F.size(ws) > 2, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>")), lambda i: (F.get(ws, i) == F.get(ws, i + 1)) & (F.get(ws, i) == F.get(ws, i + 2)) & (F.length(F.get(ws, i)) > 1)), lambda _: F.lit("triple_word")))[0]
     single = F.array_compact(F.array(F.when(x.rlike(r"\([^)]*[A-Za-z]{3,}[^)]*\)"), "note"), F.when(F.contains(x, F.lit("**")) | F.contains(x, F.lit("__")), "markdown"), F.when(x.rlike(r"(?U)^\d+[.)]\s"), "numbered_list")))
     return F.concat(kaf, yeh, triple, single)
@@ -125,15 +136,26 @@ def numbers(x: Column) -> Column:
 
 def dictionary_translation(text: Column) -> Column:
     """The first phrase inside the text decides, else the text behind a placeholder."""
+    phrases = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in K.PHRASES])
     low = F.call_function("btrim", F.lower(text), F.lit(".,!?\"'"))
-    return F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in K.PHRASES], F.concat(F.lit(K.PLACEHOLDER + " "), text))
+    # a folded list keeps the generated code small
+    hit = F.transform(F.array(low), lambda t: F.get(F.filter(phrases, lambda p: F.contains(t, p["k"])), F.lit(0))["v"])[0]
+    return F.coalesce(hit, F.concat(F.lit(K.PLACEHOLDER + " "), text))
+
+
+def glossary(custom: dict[str, tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """The honorifics in force, in order: the fixed ones and the project's own terms (source: target, category).  A term of another category takes the place of an honorific of the same key and then changes nothing."""
+    terms = {key: (name, "honorific") for key, name in K.HONORIFICS}
+    for source, (target, category) in (custom or {}).items():
+        terms[source.strip().lower()] = (target.strip(), category)
+    return [(key, name) for key, (name, category) in terms.items() if category == "honorific"]
 
 
-def enforce_honorifics(source: Column, target: Column) -> Column:
+def enforce_honorifics(source: Column, target: Column, terms: list[tuple[str, str]] | None = None) -> Column:
     """Honorifics of the source that the target lacks are put before it, in order."""
     low = F.lower(source)
     hit = lambda key: low.rlike(rf"(?U)(?:\b|^)\Q{key}\E(?:\b|$|\s)")
-    named = F.array_compact(F.array(*[F.when(hit(key), F.lit(name)) for key, name in K.HONORIFICS]))
+    named = F.array_compact(F.array(*[F.when(hit(key), F.lit(name)) for key, name in (K.HONORIFICS if terms is None else terms)]))
     # a fold: each step sees what the ones before have put in front
     out = F.aggregate(named, target, lambda t, name: F.when(F.contains(t, name), t).otherwise(F.concat(name, F.lit(" "), t)))
     return F.when(target.isNull() | (target == ""), target).otherwise(out)

@@ -7,6 +7,7 @@ Distinct texts are sent once, by their content key.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,25 +42,42 @@ class DictionaryProvider:
         return cues.select("track_id", "seq", F.lit("agree").alias("decision"), F.lit("none").alias("severity"), F.lit(None).cast("string").alias("alternative"))
 
 
+class ProviderError(Exception):
+    """A provider's failure; those of the codes in RETRIED may pass."""
+
+    RETRIED = frozenset({429, 500, 502, 503, 529})
+
+    def __init__(self, code: int, message: str = ""):
+        super().__init__(f"{code} {message}".strip())
+        self.code = code
+
+
+def _as_it_is(texts: pd.Series) -> pd.Series:
+    return texts
+
+
 class BatchProvider(DictionaryProvider):
-    """A function of a pandas batch (source_text) to translations, called with retries, once for each distinct text."""
+    """A function of a pandas batch (source_text) to translations, called once for each distinct text, with retries after 1, 2, 4 ... seconds.  A failure whose code can't pass isn't retried.  What fails for good goes to the fallback (the source text); with None it has no translation."""
 
-    def __init__(self, call: Callable[[pd.Series], pd.Series], retries: int = 3, fallback: Callable[[pd.Series], pd.Series] | None = None):
-        self.call, self.retries, self.fallback = call, retries, fallback or (lambda s: s)
+    def __init__(self, call: Callable[[pd.Series], pd.Series], retries: int = 3, fallback: Callable[[pd.Series], pd.Series] | None = _as_it_is, backoff: float = 1.0):
+        self.call, self.retries, self.fallback, self.backoff = call, retries, fallback, backoff
 
     def translate(self, cues: DataFrame) -> DataFrame:
-        call, retries, fallback = self.call, self.retries, self.fallback
+        call, retries, fallback, backoff = self.call, self.retries, self.fallback, self.backoff
+
+        def attempt(texts: pd.Series):
+            for k in range(retries):
+                try:
+                    return call(texts)
+                except Exception as e:  # noqa: BLE001  a provider may fail in any way
+                    if k == retries - 1 or isinstance(e, ProviderError) and e.code not in ProviderError.RETRIED:
+                        break
+                    time.sleep(backoff * 2**k)
+            return fallback(texts) if fallback else [None] * len(texts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for k in range(retries):
-                    try:
-                        out = call(b["source_text"])
-                        break
-                    except Exception:  # noqa: BLE001  a provider may fail in any way
-                        if k == retries - 1:
-                            out = fallback(b["source_text"])
-                yield pd.DataFrame({"content_key": b["content_key"], "translation": list(out)})
+                yield pd.DataFrame({"content_key": b["content_key"], "translation": list(attempt(b["source_text"]))})
 
         keyed = cues.withColumn("content_key", T.content_key(F.col("source_text")))
         distinct = keyed.groupBy("content_key").agg(F.first("source_text").alias("source_text"))
@@ -67,6 +85,42 @@ class BatchProvider(DictionaryProvider):
         return keyed.select("track_id", "seq", "content_key").join(made, "content_key").drop("content_key")
 
 
+class CachedProvider(DictionaryProvider):
+    """Answers of another provider, kept in a table by provider, model, prompt version and text; only what the table lacks is asked for, and what is answered is added."""
+
+    def __init__(self, inner: Provider, path: str, name: str = "provider", model: str = "", version: str = "1"):
+        self.inner, self.path, self.parts = inner, path, (name, model, version)
+
+    def translate(self, cues: DataFrame) -> DataFrame:
+        spark = cues.sparkSession
+        schema = "content_key string, translation string"
+        keyed = cues.withColumn("content_key", T.content_key(*[F.lit(p) for p in self.parts], F.col("source_text")))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        kept = spark.read.schema(schema).parquet(self.path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+        # one cue for each text that is asked for
+        new = keyed.join(kept, "content_key", "left_anti").groupBy("content_key").agg(F.min(F.struct("track_id", "seq", *[c for c in cues.columns if c not in ("track_id", "seq")])).alias("c")).select("content_key", "c.*")
+        made = self.inner.translate(new.drop("content_key")).join(new.select("track_id", "seq", "content_key"), ["track_id", "seq"])
+        made.where("translation IS NOT NULL").select("content_key", "translation").write.mode("append").parquet(self.path)
+        known = spark.read.schema(schema).parquet(self.path).groupBy("content_key").agg(F.min("translation").alias("translation"))
+        return keyed.select("track_id", "seq", "content_key").join(known, "content_key").drop("content_key")
+
+
+#: Providers by name; others are added with register().
+REGISTRY: dict[str, Callable[[], Provider]] = {"dictionary": DictionaryProvider, "mock": DictionaryProvider}
+
+
+def register(name: str, make: Callable[[], Provider]) -> None:
+    REGISTRY[name.strip().lower()] = make
+
+
+def get_provider(name: str, fallback: bool = True) -> Provider:
+    """The provider of that name; for an unknown one the dictionary, or an error without fallback."""
+    make = REGISTRY.get(name.strip().lower(), DictionaryProvider if fallback else None)
+    if make is None:
+        raise ValueError(f"unknown provider: {name}")
+    return make()
+
+
 def translate_missing(cues: DataFrame, provider: Provider, memory: DataFrame | None = None, threshold: float = 0.92) -> DataFrame:
     """target_text and its origin (given, memory, provider) of every cue.  The memory is that of earlier runs, so results don't depend on the order of scenes."""
     keys = ["track_id", "seq"]

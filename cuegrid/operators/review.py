@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cuegrid import constants as K
 
@@ -38,14 +39,38 @@ def recent(corrections: DataFrame, n: int, project: str | None = None) -> DataFr
     return rows.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
-def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "term", case_sensitive: bool = False) -> DataFrame:
-    """Each text with each term of a small dictionary that it contains.  The dictionary is folded into the rows as one array of its size, so no pairs are formed that don't match."""
+FOLD_BYTES = 1 << 20
+
+
+def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "term", case_sensitive: bool | str = False) -> DataFrame:
+    """Each text with each term of a dictionary that it contains; case_sensitive may name a column of the dictionary.
+
+    A dictionary of FOLD_BYTES or less, which is measured, is folded into the rows as
+    one array.  A larger one is joined on the terms' first three characters with the
+    distinct character triples of each text (pairs and single ones for shorter terms),
+    and what meets is checked; no pairs are formed that share nothing.
+    """
     fields = [c for c in terms.columns]
-    packed = terms.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("terms"))
-    t = F.col(text) if case_sensitive else F.lower(F.col(text))
-    hit = lambda x: F.contains(t, x[term] if case_sensitive else F.lower(x[term]))
-    joined = texts.withColumn("terms", packed.scalar())
-    return joined.withColumn("x", F.explode(F.filter("terms", hit))).drop("terms").select(*texts.columns, *[F.col(f"x.{f}").alias(f) for f in fields])
+    exact = (lambda x: x[case_sensitive]) if isinstance(case_sensitive, str) else (lambda x: F.lit(case_sensitive))
+    low = F.lower(F.col(text))
+    hit = lambda x: F.when(F.coalesce(exact(x), F.lit(False)), F.contains(F.col(text), x[term])).otherwise(F.contains(low, F.lower(x[term])))
+    known = terms.where(F.col(term).isNotNull())
+    size = known.agg(F.sum(F.octet_length(F.to_json(F.struct(*fields))))).first()[0] or 0
+    if size <= FOLD_BYTES:
+        packed = known.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("terms"))
+        joined = texts.withColumn("terms", packed.scalar()).withColumn("x", F.explode(F.filter("terms", hit))).drop("terms")
+    else:
+        starts = known.select(F.struct(*fields).alias("x"), F.substring(F.lower(term), 1, 3).alias("_gram"))
+        grams = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        each = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))))
+        joined = each.join(starts, "_gram").where(hit(F.col("x"))).drop("_gram")
+    return joined.select(*texts.columns, *[F.col(f"x.{f}").alias(f) for f in fields])
+
+
+def glossary_matches(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
+    """The approved entries that each text holds.  entries: term, status and, if there, case_sensitive for each entry."""
+    approved = entries.where("status = 'approved'").drop("status")
+    return contains_join(texts, approved, text, case_sensitive="case_sensitive" if "case_sensitive" in entries.columns else False)
 
 
 def compliance(targets: DataFrame, text: str = "target_text") -> DataFrame:
@@ -67,6 +92,21 @@ def resume(cues: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFram
     return done, cues.join(checkpoints.select(*keys).distinct(), keys, "left_anti")
 
 
+def save_checkpoint(scenes: DataFrame, path: str) -> None:
+    """Adds the scenes to the checkpoint table, by track."""
+    scenes.write.mode("append").partitionBy("track_id").parquet(path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The checkpoint table; of a scene stored twice the later one.  Empty where there is none yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    latest = rows.groupBy("track_id", "scene_no").agg(F.max("run").alias("run"))
+    return rows.join(latest, ["track_id", "scene_no", "run"]).select(*schema.names)
+
+
 def overlay(cues: DataFrame, edits: DataFrame) -> DataFrame:
     """The last edit of a cue replaces its translation.  edits: track_id, seq, version, target_text."""
     last = edits.groupBy("track_id", "seq").agg(F.max_by("target_text", "version").alias("edited"))

@@ -2,9 +2,12 @@
 
 A scene closes after its last possible cue (``max_cues``), or after a gap of
 ``gap_ms`` once it holds ``min_cues``.  The reset depends on the count since the
-last reset, which no window expresses.  Rows are partitioned by track and sorted
-once; the fold then reads the sorted partition batch by batch and holds two
-numbers, so a track of any length needs no more memory than one Arrow batch.
+last reset, which no window expresses.  A window over the track, which needs the
+rows by track and in order, gives each cue its gap and its neighbours' values; the
+fold reads what the window leaves batch by batch, jumps from break to break, and
+holds two numbers, so a track of any length needs no more memory than one Arrow
+batch.  Neighbours are cut at the edges of scenes there, so the rules that compare
+cues of a scene need no further shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  as pa.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructType
@@ -21,41 +25,69 @@ from pyspark.sql.types import IntegerType, StructType
 from cuegrid import constants as K
 
 
-def fold_breaks(track: np.ndarray, start: np.ndarray, end: np.ndarray, state: tuple, low: int, high: int, gap: int) -> tuple[np.ndarray, tuple]:
-    """Scene numbers of sorted rows; state: (track, end of the last cue, cues in the scene, scene)."""
-    out = np.empty(len(start), np.int32)
-    last_track, last_end, n, scene = state
-    for i, (t, a, b) in enumerate(zip(track, start, end)):
-        if t != last_track:
-            last_track, n, scene = t, 0, 1
-        elif n >= high or (n >= low and a - last_end >= gap):
-            n, scene = 0, scene + 1
-        n += 1
-        last_end = b
-        out[i] = scene
-    return out, (last_track, last_end, n, scene)
+def fold_breaks(gap: np.ndarray, first: np.ndarray, n: int, scene: int, low: int, high: int) -> tuple[np.ndarray, int, int]:
+    """Scene numbers of sorted rows, the cues in the last scene and its number.  gap: whether a pause long enough precedes the row; first: whether a track begins; n, scene: where the rows before have stopped."""
+    size, before = len(gap), scene
+    starts, numbers = [], []
+    tracks = np.flatnonzero(first).tolist()
+    gaps = np.flatnonzero(gap)
+    at = -n  # where the open scene began, perhaps before these rows
+    for begin, stop in zip([0, *tracks], [*tracks, size]):
+        if begin < size and first[begin]:
+            at, scene = begin, 1
+            starts.append(begin)
+            numbers.append(scene)
+        while True:
+            k = np.searchsorted(gaps, at + low)
+            nxt = min(at + high, int(gaps[k]) if k < len(gaps) else size)
+            if nxt >= stop:
+                break
+            at, scene = nxt, scene + 1
+            starts.append(at)
+            numbers.append(scene)
+    out = np.empty(size, np.int32)
+    edges = np.array([*starts, size], np.int64)
+    head = int(edges[0])
+    out[:head] = before
+    out[head:] = np.repeat(np.array(numbers, np.int32), np.diff(edges))
+    return out, size - at, scene
 
 
 def segment(cues: DataFrame, low: int = K.SCENE_MIN_CUES, high: int = K.SCENE_MAX_CUES, gap: int = K.SCENE_GAP_MS, track: str = "track_id", order: str = "seq", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Adds scene_no (1..n in each track)."""
-    schema = StructType([*cues.schema.fields]).add("scene_no", IntegerType())
+    """Adds scene_no (1..n in each track) and, from the neighbours in the scene, next_start_ms and prev_target (null at its edges)."""
+    w = Window.partitionBy(track).orderBy(order)
+    pause = F.col(start) - F.lag(end).over(w)
+    beside = {"next_start_ms": F.lead(start).over(w)}
+    if "target_text" in cues.columns:
+        beside["prev_target"] = F.lag("target_text").over(w)
+    ready = cues.withColumns(beside | {"_pause": pause, "_after": F.col("next_start_ms") - F.col(end), "_first": F.row_number().over(w) == 1})
+    cut = set(beside)
+    kept = [*cues.columns, *beside]
+    schema = StructType([ready.schema[c] for c in kept]).add("scene_no", IntegerType())
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = (object(), 0, 0, 0)
+        n, scene = 0, 0
         for batch in batches:
-            col = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731,B023
-            made, state = fold_breaks(col(track), col(start), col(end), state, low, high, gap)
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, arrow)], pa.array(made)], schema=arrow)
-
-    return cues.repartition(track).sortWithinPartitions(track, order).mapInArrow(run, schema)
+            if not len(batch):
+                continue
+            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731,B023
+            long = lambda name: np.asarray(col(name).fill_null(-(1 << 62))) >= gap  # noqa: E731,B023
+            made, m, last = fold_breaks(long("_pause"), np.asarray(col("_first").cast(pa.uint8())).astype(bool), n, scene, low, high)
+            # the next cue opens a scene: told by the rows behind and, for the batch's last, by the rule
+            opens = np.append(made[1:] != made[:-1], m >= high or (m >= low and bool(long("_after")[-1])))
+            begins = np.append(made[0] != scene or n == 0, made[1:] != made[:-1])
+            n, scene = m, last
+            edge = {"next_start_ms": opens, "prev_target": begins}
+            columns = [pa.compute.if_else(pa.array(edge[c]), pa.nulls(len(batch), col(c).type), col(c)) if c in cut else col(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(columns, arrow)], pa.array(made)], schema=arrow)
+
+    return ready.mapInArrow(run, schema)
 
 
 def bounds(cues: DataFrame) -> DataFrame:
     """A row for each scene: cues, first start, the last cue's end (not the largest), id, neighbours' ids, text."""
     facts = cues.groupBy("track_id", "scene_no").agg(F.count("*").alias("cues"), F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"))
-    from pyspark.sql import Window
-
     name = lambda n: F.format_string("S%03d", n)
     w = Window.partitionBy("track_id").orderBy("scene_no")
     return facts.withColumns({"scene_id": name(F.col("scene_no")), "previous_id": name(F.lag("scene_no").over(w)), "next_id": name(F.lead("scene_no").over(w))}).withColumns({k: F.when(F.col(k) != "Snull", F.col(k)) for k in ("previous_id", "next_id")})

@@ -123,3 +123,18 @@ def compare(pairs: DataFrame, original: str = "original", revised: str = "revise
     changed = facts.where("has_changes").withColumns({"wer": word_error_rate("o", "n"), "cer": char_error_rate("o", "n"), "diff_html": diff_html("o", "n")})
     same = facts.where("NOT has_changes").withColumns({"wer": F.lit(0.0), "cer": F.lit(0.0), "diff_html": F.concat(F.lit("<span>"), F.col("o"), F.lit("</span>"))})
     return changed.unionByName(same).drop("o", "n")
+
+
+def ensemble(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = ("track_id", "seq")) -> DataFrame:
+    """Two providers' translations of the same cues: those of the first, and the second's where there is one ('' else), with their consensus."""
+    other = second.groupBy(*keys).agg(F.max("translation").alias("second"))
+    both = first.select(*keys, F.col("translation").alias("first")).join(other, [*keys], "left").withColumn("second", F.coalesce("second", F.lit("")))
+    return both.withColumn("score", consensus(F.col("first"), F.col("second")))
+
+
+def benchmark(items: DataFrame, provider) -> DataFrame:
+    """A provider's run over a gold set, by category.  items: id, category, source, gold, alternatives, literals."""
+    asked = items.select(F.lit("gold").alias("track_id"), F.col("id").alias("seq"), F.col("source").alias("source_text"))
+    said = provider.translate(asked).select(F.col("seq").alias("id"), "translation")
+    answered = items.join(said, "id", "left").withColumn("translation", F.coalesce("translation", F.lit("")))
+    return category_report(gold_verdicts(answered).join(gold_chrf(answered), "id"))

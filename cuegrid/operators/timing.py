@@ -9,15 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid import constants as K
 from cuegrid.functions import text as T
+from cuegrid.profiles import HOUSE, Profile
 
 
 def neighbours(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no")) -> Window:
     return Window.partitionBy(*[k for k in keys if k in cues.columns]).orderBy("seq")
 
 
-def metrics(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no")) -> DataFrame:
+def next_start(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no")) -> Column:
+    """The start of the next cue of the scene: as segmentation has left it, else by a window."""
+    return F.col("next_start_ms") if "next_start_ms" in cues.columns and "scene_no" in keys else F.lead("start_ms").over(neighbours(cues, keys))
+
+
+def metrics(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no"), profile: Profile = HOUSE) -> DataFrame:
     """Adds duration_ms, char_count, line_count, max_cpl, cps_x100 (characters a second, in hundredths, rounded half up), gap_ms to the next cue and the five flags."""
     shown = F.coalesce(F.nullif("target_text", F.lit("")), "source_text")
     lines = F.transform(F.filter(F.split(shown, "\n"), lambda x: T.strip(x) != ""), lambda x: F.length(T.strip(x)))
@@ -25,18 +30,18 @@ def metrics(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no")) -
     out = out.withColumns({"line_count": F.size("line_lengths"), "char_count": F.aggregate("line_lengths", F.lit(0), lambda a, n: a + n).cast("long"), "max_cpl": F.coalesce(F.array_max("line_lengths"), F.lit(0))}).drop("line_lengths")
     span = F.greatest(F.lit(100), F.col("duration_ms"))
     out = out.withColumn("cps_x100", F.floor((F.col("char_count") * 200000 + span) / (span * 2)))
-    out = out.withColumn("gap_ms", F.lead("start_ms").over(neighbours(cues, keys)) - F.col("end_ms"))
+    out = out.withColumn("gap_ms", next_start(cues, keys) - F.col("end_ms"))
     return out.withColumns({
-        "cps_exceeded": F.col("cps_x100") > K.HARD_MAX_CPS * 100, "cpl_exceeded": F.col("max_cpl") > K.HARD_MAX_CPL, "lines_exceeded": F.col("line_count") > K.MAX_LINES,
-        "too_short": F.col("duration_ms") < K.MIN_DURATION_MS, "gap_too_short": F.coalesce(F.col("gap_ms") < K.MIN_GAP_MS, F.lit(False)),
+        "cps_exceeded": F.col("cps_x100") > int(profile.hard_max_cps * 100), "cpl_exceeded": F.col("max_cpl") > profile.hard_max_cpl, "lines_exceeded": F.col("line_count") > profile.max_lines,
+        "too_short": F.col("duration_ms") < profile.min_duration_ms, "gap_too_short": F.coalesce(F.col("gap_ms") < profile.min_gap_ms, F.lit(False)),
     })
 
 
-def retime(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no")) -> DataFrame:
+def retime(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no"), profile: Profile = HOUSE) -> DataFrame:
     """new_end_ms: cues read too fast last longer, as far as the gap to the next one allows; without a next one, as long as needed."""
-    m = metrics(cues, keys)
-    needed = F.floor(F.col("char_count") * 1000 / K.PREFERRED_CPS) - F.col("duration_ms")
-    room = F.when(F.col("gap_ms").isNull(), needed).otherwise(F.least(needed, F.greatest(F.lit(0), F.col("gap_ms") - K.MIN_GAP_MS)))
+    m = metrics(cues, keys, profile)
+    needed = F.floor(F.col("char_count") * 1000 / profile.preferred_cps) - F.col("duration_ms")
+    room = F.when(F.col("gap_ms").isNull(), needed).otherwise(F.least(needed, F.greatest(F.lit(0), F.col("gap_ms") - profile.min_gap_ms)))
     return m.withColumn("new_end_ms", F.col("end_ms") + F.when(F.col("cps_exceeded") & (needed > 0), F.greatest(F.lit(0), room)).otherwise(0))
 
 

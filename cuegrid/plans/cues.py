@@ -20,9 +20,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "line_no", "line", "role")
-    return rows.select("turn", "role", "line", F.col("conv_id").cast("string").alias("track_id"), F.row_number().over(order).cast("long").alias("seq"))
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("track_id"), "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
+    order = Window.partitionBy("track_id").orderBy("turn", "line_no", "line", "role")
+    return rows.select("turn", "role", "line", "track_id", F.row_number().over(order).cast("long").alias("seq"))
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from cuegrid import constants as K
 from cuegrid.plans.cues import LATIN, NOUN, SAME, SCRIPT
+from cuegrid.plans.queries import ANSWERS, ITEMS
+from cuegrid.sources.writers import PAGE
 
 SQL: dict[str, str] = {}
 WORD = r"[\p{L}\p{N}_]+"
@@ -178,12 +182,14 @@ SQL["validate_counts"] = f"WITH n AS (SELECT len({kurmanji('text')}) AS kurmanji
 SQL["suspicious_names"] = on(f"{CUES}, c AS (SELECT track_id, seq, {CLEAN} AS clean FROM cues), b AS (SELECT track_id, seq, list_transform({toks('clean')}, lambda w: trim(w, '.,!?\"''()[]')) AS ws FROM c)", r"SELECT track_id, seq, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: regexp_matches(z[1], '^\p{Lu}') AND upper(z[1]) <> z[1] AND (z[2] > 1 OR length(z[1]) > 4)), lambda z: z[1]))), ',') AS names FROM b")
 _lang = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in K.LANGUAGES.items())
 SQL["foreign_routing"] = on(rf"{CUES}, c AS (SELECT track_id, seq, {CLEAN} AS clean FROM cues), o AS (SELECT *, regexp_matches(clean, '(?i)^\[(speaking|in|speaks)\s+([a-z\s]+)\]$') AS b, {strip(r'''regexp_extract(clean, '(?i)^\[(speaking|in|speaks)\s+([a-z\s]+)\]$', 2)''')} AS l FROM c)", f"SELECT track_id, seq, CASE WHEN b THEN 'B' ELSE 'A' END AS case_type, b AS opaque, CASE WHEN b THEN '[' || CASE lower(l) {_lang} ELSE l END || ' {K.SPEAKS}]' END AS indicator, CASE WHEN b THEN 'preserve_opaque' ELSE 'translate' END AS action FROM o")
-_honor = "target_text"
-_steps = f"{CUES}, h0 AS (SELECT track_id, seq, target_text AS t, lower(CASE WHEN seq % 6 = 0 THEN 'Captain and Dr. ' || source_text WHEN seq % 6 = 1 THEN 'Mrs. ' || source_text ELSE source_text END) AS s FROM cues)"
-for _i, (_key, _name) in enumerate(K.HONORIFICS):
-    _quoted = _key.replace(".", r"\.")
-    _steps += rf", h{_i + 1} AS (SELECT track_id, seq, s, CASE WHEN t <> '' AND regexp_matches(s, '(\b|^){_quoted}(\b|$|\s)') AND NOT contains(t, {q(_name)}) THEN {q(_name + ' ')} || t ELSE t END AS t FROM h{_i})"
-SQL["glossary_enforce"] = on(_steps, f"SELECT track_id, seq, t AS enforced FROM h{len(K.HONORIFICS)}")
+
+
+def honorifics(start: str, terms, tail: str, recursive: bool = False) -> str:
+    """A step for each term over h0 (t: translation, s: source in lower case)."""
+    return on(start + "".join(rf", h{i + 1} AS (SELECT * REPLACE (CASE WHEN t <> '' AND regexp_matches(s, '(\b|^){key.replace('.', chr(92) + '.')}(\b|$|\s)') AND NOT contains(t, {q(name)}) THEN {q(name + ' ')} || t ELSE t END AS t) FROM h{i})" for i, (key, name) in enumerate(terms)), f"{tail} FROM h{len(terms)}", recursive)
+
+
+SQL["glossary_enforce"] = honorifics(f"{CUES}, h0 AS (SELECT track_id, seq, target_text AS t, lower(CASE WHEN seq % 6 = 0 THEN 'Captain and Dr. ' || source_text WHEN seq % 6 = 1 THEN 'Mrs. ' || source_text ELSE source_text END) AS s FROM cues)", K.HONORIFICS, "SELECT track_id, seq, t AS enforced")
 
 
 def dictionary(x: str) -> str:
@@ -197,19 +203,30 @@ SQL["cue_search"] = on(CUES, f"SELECT track_id, seq FROM cues WHERE contains(sou
 SQL["number_consistency"] = f"SELECT doc_id, CAST({lacking(numbers('text'), numbers(digits('''translate(text, '13579', '٠٢٤٦٨')''')))} AS INTEGER) AS missing FROM documents"
 SQL["duplicate_prev"] = on(CUES, "SELECT track_id, seq FROM (SELECT *, lag(target_text) OVER (PARTITION BY track_id ORDER BY seq) AS prev FROM cues) WHERE prev = target_text AND length(target_text) > 5")
 
-_each = " UNION ALL ".join(f"SELECT track_id, seq, '{r}' AS rule, '{c}' AS category, '{s}' AS severity, {p} AS points FROM qc WHERE {r}" for r, c, s, p in K.RULES)
+_ratio = "'ratio ' || (tl * 100 // greatest(1, sw)) || ' %'"
+_says = {
+    "hard_max_cps": f"'reading speed ' || printf('%d.%02d', cps_x100 // 100, cps_x100 % 100) || ' above {K.HARD_MAX_CPS} characters a second'", "hard_max_cpl": f"'line of ' || max_cpl || ' characters above {K.HARD_MAX_CPL}'", "max_lines": f"line_count || ' lines, {K.MAX_LINES} allowed'",
+    "min_duration": f"'shown for ' || duration_ms || ' ms, less than {K.MIN_DURATION_MS}'", "kurmanji_contamination": "'Kurmanji: ' || array_to_string(fk, ', ')", "untranslated_english": "'English left: ' || array_to_string(fe, ', ')",
+    "llm_error_pattern": "'error patterns: ' || array_to_string(fl[1:3], ', ')", "excessive_ezafe_chain": "'chains of words in yeh: ' || array_to_string(fz[1:2], ', ')",
+    "number_inconsistency": f"'numbers lost: ' || array_to_string(list_filter({numbers('clean')}, lambda n: NOT list_contains({numbers(digits('tgt'))}, n)), ', ')", "negation_reversal": "'the source denies, the translation may not'", "question_mark_missing": "'question mark lost'",
+    "mock_fallback_detected": "'a placeholder, no translation'", "length_ratio_too_short": f"'very short, ' || {_ratio}", "length_ratio_too_long": f"'very long, ' || {_ratio}", "duplicate_translation": "'the same as the cue before'",
+}
+_each = " UNION ALL ".join(f"SELECT track_id, seq, '{r}' AS rule, '{c}' AS category, '{s}' AS severity, {p} AS points, {_says[r]} AS message, 'open' AS status FROM qc WHERE {r}" for r, c, s, p in K.RULES)
 SQL["qc_issues"] = on(QC, _each, True)
 SQL["qc_eval"] = on(QC, "SELECT track_id, seq, scene_no, technical, linguistic, semantic, CAST(overall AS INTEGER) AS overall, passed, requires_review FROM qc", True)
 SQL["qc_summary"] = on(QC, "SELECT track_id, scene_no, count(*) AS cues, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE requires_review) AS for_review, CAST(sum(n_critical) AS BIGINT) AS critical_issues, CAST(sum(overall) AS BIGINT) AS points FROM qc GROUP BY ALL", True)
 SQL["run_summary"] = on(QC, "SELECT count(*) AS cues, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE passed) * 1000 // count(*) AS pass_permille, CAST(sum(n_critical) AS BIGINT) AS critical_issues, count(*) FILTER (WHERE requires_review) AS queue FROM qc", True)
-SQL["proper_nouns"] = on(QC, f"SELECT track_id, seq, 'proper_noun_missing' AS rule, 'semantic' AS category, 'major' AS severity, 15 AS points FROM qc, (VALUES ('john'), ('spanish')) n(name) WHERE contains(lower(clean), name) AND length({strip('tgt')}) < 3", True)
+SQL["proper_nouns"] = on(QC, f"SELECT track_id, seq, 'proper_noun_missing' AS rule, 'semantic' AS category, 'major' AS severity, 15 AS points, 'the name ' || name || ' is lost' AS message FROM qc, (VALUES ('John'), ('Spanish')) n(name) WHERE contains(lower(clean), lower(name)) AND length({strip('tgt')}) < 3", True)
 SQL["verification"] = on(QC, "SELECT track_id, seq, CASE WHEN requires_review AND seq % 3 = 0 THEN 'disagree' ELSE 'agree' END AS decision, CASE WHEN requires_review AND seq % 4 = 0 THEN 'major' ELSE 'none' END AS severity, requires_review AND (seq % 3 = 0 OR seq % 4 = 0) AS escalated FROM qc", True)
 SQL["review_queue"] = on(QC, "SELECT track_id, seq, CAST(overall AS INTEGER) AS overall FROM qc WHERE requires_review AND n_critical > 0", True)
 SQL["decisions"] = on(CUES, f"SELECT track_id, seq, CASE WHEN seq % 4 = 0 THEN target_text WHEN seq % 4 = 1 THEN {TGT} WHEN seq % 8 = 2 THEN 'alt' ELSE 'ok ' || seq END AS final_text, CASE seq % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'edited' END AS status FROM cues")
 
 _rules = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in K.COMPLIANCE)
 SQL["compliance_terms"] = f"SELECT doc_id, term, replacement, severity FROM documents, (VALUES {_rules}) t(term, replacement, severity) WHERE contains(regexp_replace(text, '[Tt]he ', 'سگ ', 'g'), term)"
-SQL["glossary_match"] = "SELECT doc_id, term FROM documents, (VALUES ('Licensed'), ('the and'), ('idiot')) t(term) WHERE contains(lower(text), lower(term))"
+SQL["glossary_match"] = "SELECT doc_id, term FROM documents, (VALUES ('Licensed', true), ('licensed', true), ('THE and', false), ('idiot', false)) t(term, exact) WHERE CASE WHEN exact THEN contains(text, term) ELSE contains(lower(text), lower(term)) END"
+_terms = [("mr.", "بەڕێز"), ("mrs.", "خاتوونی"), ("ms.", "خاتوو"), ("professor", "پڕۆفیسۆر"), ("captain", "سەرکردە"), ("detective", "پشکنەر"), ("queen", "شاژن")]
+SQL["glossary_custom"] = honorifics(f"{CUES}, h0 AS (SELECT track_id, seq, target_text AS t, lower(CASE WHEN seq % 4 = 0 THEN 'Captain and Dr. ' || source_text WHEN seq % 4 = 1 THEN 'The queen ' || source_text ELSE source_text END) AS s FROM cues)", _terms, "SELECT track_id, seq, t AS enforced")
+SQL["cue_records"] = on(f"{CUES}, c AS (SELECT track_id, seq, {CLEAN} AS clean FROM cues), b AS (SELECT track_id, seq, clean, list_transform({toks('clean')}, lambda w: trim(w, '.,!?\"''()[]')) AS ws FROM c), n AS (SELECT *, " + r"len(list_distinct(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: regexp_matches(z[1], '^\p{Lu}') AND upper(z[1]) <> z[1] AND (z[2] > 1 OR length(z[1]) > 4)), lambda z: z[1]))) AS names FROM b)", r"SELECT track_id, seq, names > 0 AS suspicious_names, regexp_matches(clean, '(?i)\[(speaking|in)\s+[a-z]+\]') AS foreign_speech, CASE WHEN names > 0 THEN 'possible names: ' || names END AS note FROM n")
 SQL["active_characters"] = on(SCENES, ", s AS (SELECT track_id, scene_no, lower(string_agg(source_text, ' ' ORDER BY seq)) AS t FROM seg GROUP BY ALL) SELECT DISTINCT track_id, scene_no, id FROM s, (VALUES ('c1', 'thandor'), ('c1', 'than'), ('c1', 'ander'), ('c2', 'idiot'), ('c2', 'scum'), ('c2', 'clown'), ('c3', 'erin')) n(id, name) WHERE contains(t, name)", True)
 
 _pairs = "pairs AS (SELECT a.item_id, a.text AS r, b.text AS h FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
@@ -236,7 +253,7 @@ keyed AS (SELECT *, trim({normal("translation")}, '.,!؟? ') AS got, trim({norma
 verdict AS (SELECT id, category, contains(got, 'wrong') AS literal, got = key AS exact, got = altkey AS acceptable, CASE WHEN contains(got, 'wrong') THEN 0 WHEN got = key THEN 100 WHEN got = altkey THEN 90 WHEN length(got) > 2 THEN 50 ELSE 0 END AS score_x100, got, key, altkey FROM keyed)"""
 SQL["gold_scoring"] = on(_gold, "SELECT id, category, literal, exact, acceptable, score_x100 FROM verdict")
 SQL["category_rollup"] = on(f"{_gold}, refs AS (SELECT id, 0 AS k, key AS r, got AS h FROM verdict UNION ALL SELECT id, 1, altkey, got FROM verdict), {chrf('refs', 'id, k')}, top AS (SELECT id, max(chrf_e4) AS chrf_e4 FROM chrf GROUP BY id)", "SELECT category, count(*) AS items, count(*) FILTER (WHERE score_x100 >= 90) AS passed, count(*) FILTER (WHERE literal) AS literal_errors, CAST(sum(score_x100) AS BIGINT) AS score_sum, CAST(sum(chrf_e4) AS BIGINT) AS chrf_sum FROM verdict JOIN top USING (id) GROUP BY ROLLUP (category)")
-SQL["ensemble_consensus"] = on(f"{LINES}, p AS (SELECT track_id, seq, {dictionary('line')} AS a, CASE WHEN seq % 3 = 0 THEN '' ELSE {dictionary('lower(line)')} END AS b FROM lines), n AS (SELECT track_id, seq, {normal('a')} AS a, {normal('b')} AS b FROM p)", "SELECT track_id, seq, CASE WHEN a = b THEN 100 WHEN a <> '' AND b <> '' THEN 75 ELSE 0 END AS score FROM n")
+SQL["ensemble_consensus"] = on(f"{LINES}, p AS (SELECT track_id, seq, {dictionary('line')} AS a, CASE WHEN seq % 3 = 0 THEN '' ELSE {dictionary('lower(line)')} END AS b FROM lines), n AS (SELECT track_id, seq, b AS s, {normal('a')} AS a, {normal('b')} AS b FROM p)", "SELECT track_id, seq, CAST(length(s) AS INTEGER) AS second_length, CASE WHEN a = b THEN 100 WHEN a <> '' AND b <> '' THEN 75 ELSE 0 END AS score FROM n")
 SQL["edit_distance"] = on(_pairs, "SELECT item_id, levenshtein(regexp_replace(r, '[^ -~]', '', 'g'), regexp_replace(h, '[^ -~]', '', 'g')) AS distance, length(regexp_replace(r, '[^ -~]', '', 'g')) AS n FROM pairs")
 
 _memory = "mem AS (SELECT text AS source_text, min(conv_id * 1000 + turn) AS tm_id FROM conversations WHERE text IS NOT NULL GROUP BY text)"
@@ -259,7 +276,7 @@ SQL["cost_file"] = on(f"{CUES}, f AS (SELECT track_id, count(*) AS cues, CAST(su
 SQL["budget_running"] = on(f"{SCENES}, {_cost}, s AS (SELECT track_id AS project_id, scene_no AS call_id, usd_e6, CAST(sum(usd_e6) OVER (PARTITION BY track_id ORDER BY scene_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_e6 FROM priced)", "SELECT *, greatest(0, 1000 - spent_e6) AS remaining_e6, spent_e6 <= 1000 AS fits FROM s", True)
 SQL["resume_scenes"] = on(SCENES, "SELECT track_id, seq, CASE WHEN scene_no = 1 THEN 'done' ELSE 'todo' END AS state FROM seg", True)
 SQL["overlay_edits"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq % 3 = 0 THEN 'edit 2' ELSE target_text END AS target_text FROM cues")
-SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq <= 5")
+SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq % 5 <> 0")
 SQL["first_interpretation"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq <= 2 THEN 'm1' WHEN seq % 2 = 1 THEN 'm' || (seq - 2) ELSE 'm' || (seq - 1) END AS meaning FROM cues")
 
 
@@ -284,16 +301,56 @@ def esc(x: str) -> str:
     return x
 
 
-_fired = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r, *_ in K.RULES) + "], lambda e: e IS NOT NULL), ', ')"
-SQL["export_html"] = on(QC, f"""SELECT track_id, seq, '<tr><td>' || seq || '</td><td>' || {stamp('start_ms', ',')} || ' --&gt; ' || {stamp('end_ms', ',')} || '</td><td>' || {esc('clean')} || '</td><td dir="rtl">' || {esc(TGT)} || '</td><td style="color: ' || CASE WHEN seq % 5 <> 0 AND passed THEN '#28a745' ELSE '#dc3545' END || '">' || CASE WHEN seq % 5 = 0 THEN 'N/A' ELSE printf('%d.%02d', overall // 100, overall % 100) END || '</td><td>' || CASE WHEN seq % 5 = 0 THEN '' ELSE {_fired} END || '</td></tr>' AS html FROM qc""", True)
-SQL["qc_report"] = on(QC, "SELECT track_id, count(*) AS total_cues, count(*) FILTER (WHERE passed) AS passed_cues, count(*) FILTER (WHERE requires_review) AS review_required_cues FROM qc GROUP BY track_id", True)
+_fired = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {r} THEN {_says[r]} END" for r, *_ in K.RULES) + "], lambda e: e IS NOT NULL), ', ')"
+_row = f"""'<tr><td>' || seq || '</td><td>' || {stamp('start_ms', ',')} || ' --&gt; ' || {stamp('end_ms', ',')} || '</td><td>' || {esc('clean')} || '</td><td dir="rtl">' || {esc(TGT)} || '</td><td style="color: ' || CASE WHEN seq % 5 <> 0 AND passed THEN '#28a745' ELSE '#dc3545' END || '">' || CASE WHEN seq % 5 = 0 THEN 'N/A' ELSE printf('%d.%02d', overall // 100, overall % 100) END || '</td><td>' || CASE WHEN seq % 5 = 0 THEN '' ELSE {esc(_fired)} END || '</td></tr>'"""
+_end = "\n</tbody>\n</table>\n</body>\n</html>\n"
+SQL["export_html"] = on(f"{QC}, page AS (SELECT track_id, {q(PAGE.format(title='Bilingual inspection'))} || string_agg({_row}, chr(10) ORDER BY seq) || {q(_end)} AS c FROM qc GROUP BY track_id)", _file.replace("FROM f", "FROM page"), True)
+_lost = " + ".join(f"CASE WHEN {r} THEN {p} ELSE 0 END" for r, _, _, p in K.RULES)
+_open = " + ".join(f"CAST({r} AS INTEGER)" for r, *_ in K.RULES)
+SQL["qc_report"] = on(QC, f"SELECT track_id, count(*) AS total_cues, count(*) FILTER (WHERE passed) AS passed_cues, count(*) FILTER (WHERE requires_review) AS review_required_cues, CAST((sum(overall) * 20 + count(*)) // (2 * count(*)) AS BIGINT) AS average_permille, count(*) AS evaluations, CAST(sum(overall) AS BIGINT) AS points, CAST(sum({_lost}) AS BIGINT) AS lost, string_agg(seq, ',' ORDER BY seq) AS seqs, CAST(sum({_open}) AS BIGINT) AS open_issues FROM qc GROUP BY track_id", True)
 SQL["srt_roundtrip"] = on(CUES, "SELECT track_id, seq, start_ms, end_ms, source_text, CASE WHEN seq % 19 = 0 AND starts_with(source_text, 'JOHN: ') THEN 'JOHN' END AS speaker FROM cues")
 SQL["vtt_roundtrip"] = on(CUES, "SELECT track_id, seq, start_ms, end_ms, source_text, CAST(NULL AS VARCHAR) AS speaker FROM cues")
 SQL["ass_roundtrip"] = on(CUES, rf"SELECT track_id, seq, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, {strip(r'''regexp_replace(source_text, '\{[^}]*\}', '', 'g')''')} AS source_text, CAST(NULL AS VARCHAR) AS speaker FROM cues")
-SQL["track_ranking"] = r"""WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS media, url || CASE page_id % 3 WHEN 0 THEN '.en.srt' WHEN 1 THEN '.forced.ass' ELSE '.txt' END AS path FROM pages),
+SQL["track_ranking"] = r"""WITH p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS media FROM pages),
+l AS (SELECT media, url || CASE page_id % 3 WHEN 0 THEN '.en.srt' WHEN 1 THEN '.forced.ass' ELSE '.txt' END AS path FROM p WHERE length(media) % 3 <> 0),
 n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS low, lower(regexp_replace(regexp_extract(media, '([^/]*)$', 1), '\.[^.]*$', '')) AS base FROM l),
-c AS (SELECT media, path, CASE WHEN contains(low, 'en') THEN 'en' ELSE 'unknown' END AS language, regexp_extract(low, '\.(srt|ass|vtt)$', 1) AS format, CASE WHEN contains(low, 'forced') THEN 'forced' WHEN contains(low, 'sdh') OR contains(low, 'cc') THEN 'sdh' ELSE 'full' END AS track_type, 90 + CASE WHEN starts_with(low, base) THEN 5 ELSE 0 END + CASE WHEN contains(low, 'en') THEN 5 ELSE 0 END AS score FROM n)
-SELECT * FROM c WHERE format <> '' QUALIFY row_number() OVER (PARTITION BY media ORDER BY score DESC, path) = 1"""
-SQL["response_content"] = "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE substr(source, 1, 20) END AS content FROM documents"
-SQL["cue_id_coercion"] = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id || ',' || doc_id WHEN 1 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE '1' END AS ids FROM documents"
+c AS (SELECT media, path, CASE WHEN contains(low, 'en') THEN 'en' ELSE 'unknown' END AS language, regexp_extract(low, '\.(srt|ass|vtt)$', 1) AS format, CASE WHEN contains(low, 'forced') THEN 'forced' WHEN contains(low, 'sdh') OR contains(low, 'cc') THEN 'sdh' ELSE 'full' END AS track_type, 90 + CASE WHEN starts_with(low, base) THEN 5 ELSE 0 END + CASE WHEN contains(low, 'en') THEN 5 ELSE 0 END AS score FROM n),
+e AS (SELECT media, max(page_id) % 4 AS k FROM p WHERE length(media) % 3 = 1 GROUP BY media),
+a AS (SELECT * FROM c WHERE format <> '' UNION ALL SELECT media, media || '#1', 'en', 'subrip', 'sdh', 95 FROM e WHERE k = 0 UNION ALL SELECT media, media || '#0', 'unknown', 'srt', 'full', 50 FROM e WHERE k = 1),
+best AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY media ORDER BY score DESC, path) = 1)
+SELECT * FROM best UNION ALL SELECT DISTINCT media, media, 'en', 'asr', 'full', 70 FROM p WHERE media NOT IN (SELECT media FROM best)"""
+SQL["response_content"] = "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE source END AS content FROM documents"
+
+
+def by_remainder(texts: list[str]) -> str:
+    plain = [t.replace("{{", "{").replace("}}", "}").split("{0}") for t in texts]
+    return f"CASE doc_id % {len(texts)} " + " ".join(f"WHEN {k} THEN {' || doc_id || '.join(q(x) for x in t)}" for k, t in enumerate(plain)) + " END"
+
+
+SQL["cue_id_coercion"] = f"SELECT doc_id, {by_remainder([b for _, b in ITEMS])} AS ids FROM documents"
+SQL["lenient_json"] = f"SELECT doc_id, {by_remainder([b for _, b in ANSWERS])} AS parsed FROM documents"
+
+# The whole way: routed or translated, honorifics, retimed, wrapped, evaluated.
+_routed = rf"""{SCENES},
+r0 AS (SELECT track_id, scene_no, seq, start_ms, end_ms, source_text, speaker, {CLEAN} AS clean FROM seg),
+r1 AS (SELECT *, regexp_matches(clean, '(?i)^\[(speaking|in|speaks)\s+([a-z\s]+)\]$') AS routed, {strip(r'''regexp_extract(clean, '(?i)^\[(speaking|in|speaks)\s+([a-z\s]+)\]$', 2)''')} AS l FROM r0),
+h0 AS (SELECT * EXCLUDE (l, clean), lower(clean) AS s, CASE WHEN routed THEN '[' || CASE lower(l) {_lang} ELSE l END || ' {K.SPEAKS}]' ELSE {dictionary('clean')} END AS t FROM r1)"""
+_steps = honorifics(_routed, K.HONORIFICS, "SELECT *", True).removeprefix("WITH RECURSIVE ").removesuffix(f" SELECT * FROM h{len(K.HONORIFICS)}")
+_before = re.sub(r"\bm AS\b", "nm AS", re.sub(r"\bm([01])\b", r"n\1", metrics("plain", "track_id, scene_no")))
+_localized = rf"""{_steps},
+plain AS (SELECT * EXCLUDE (s, t), t AS target_text FROM h{len(K.HONORIFICS)}), {_before},
+rt AS (SELECT *, char_count * 1000 // {K.PREFERRED_CPS} - duration_ms AS needed FROM nm),
+rn AS (SELECT *, end_ms + CASE WHEN cps_x100 > {K.HARD_MAX_CPS * 100} AND needed > 0 THEN greatest(0, CASE WHEN gap_ms IS NULL THEN needed ELSE least(needed, greatest(0, gap_ms - {K.MIN_GAP_MS})) END) ELSE 0 END AS new_end, {strip("replace(target_text, chr(10), ' ')")} AS flat FROM rt),
+lw AS (SELECT *, {toks("flat")} AS ws FROM rn),
+lp AS (SELECT track_id, seq, flat, ws, unnest(range(1, len(ws))) AS i FROM lw WHERE length(flat) > {K.PREFERRED_CPL} AND len(ws) > 2),
+lc AS (SELECT *, abs(list_sum(list_transform(ws[1:i], lambda x: length(x) + 1)) - length(flat) // 2) - CASE WHEN regexp_matches(ws[i], '[،؛.]$') THEN 5 ELSE 0 END AS diff FROM lp),
+lb AS (SELECT track_id, seq, arg_min(i, diff * 100000 + i) AS i, min(diff) AS diff FROM lc GROUP BY ALL),
+ready AS (SELECT track_id, scene_no, seq, start_ms, new_end AS end_ms, source_text, speaker, routed, CASE WHEN target_text = '' THEN target_text WHEN lb.i IS NOT NULL AND lb.diff < 999 THEN array_to_string(ws[1:lb.i], ' ') || chr(10) || array_to_string(ws[lb.i + 1:], ' ') ELSE flat END AS target_text FROM lw LEFT JOIN lb USING (track_id, seq)),
+{metrics("ready", "track_id, scene_no")}, {QC[QC.index("f AS (SELECT *, "):]}"""
+SQL["localized_scenes"] = on(_localized, "SELECT track_id, scene_no, count(*) AS cues, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE requires_review) AS for_review, CAST(sum(n_critical) AS BIGINT) AS critical_issues, CAST(sum(overall) AS BIGINT) AS points, CAST(sum(end_ms) AS BIGINT) AS ends, CAST(sum(length(target_text)) AS BIGINT) AS chars, count(*) FILTER (WHERE routed) AS routed FROM qc GROUP BY ALL", True)
+SQL["localized_summary"] = on(_localized, "SELECT count(*) AS cues, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE passed) * 1000 // count(*) AS pass_permille, CAST(sum(n_critical) AS BIGINT) AS critical_issues, CAST(0 AS BIGINT) AS failed_scenes, count(*) FILTER (WHERE requires_review) AS queue, count(*) FILTER (WHERE NOT routed) AS lookups, CAST(0 AS BIGINT) AS hits FROM qc", True)
+_run = f"""gold AS (SELECT item_id AS id, 'cat' || item_id % 4 AS category, CASE WHEN item_id % 3 = 0 THEN {dictionary('text')} ELSE 'سڵاو هاوڕێم' END AS gold, {dictionary('lower(text)')} AS alt, {dictionary('text')} AS translation FROM benchmark),
+keyed AS (SELECT *, trim({normal("translation")}, '.,!؟? ') AS got, trim({normal("gold")}, '.,!؟? ') AS key, trim({normal("alt")}, '.,!؟? ') AS altkey FROM gold),
+verdict AS (SELECT id, category, contains(got, 'وشە') AS literal, CASE WHEN contains(got, 'وشە') THEN 0 WHEN got = key THEN 100 WHEN got = altkey THEN 90 WHEN length(got) > 2 THEN 50 ELSE 0 END AS score_x100, got, key, altkey FROM keyed)"""
+SQL["benchmark_run"] = on(f"{_run}, refs AS (SELECT id, 0 AS k, key AS r, got AS h FROM verdict UNION ALL SELECT id, 1, altkey, got FROM verdict), {chrf('refs', 'id, k')}, top AS (SELECT id, max(chrf_e4) AS chrf_e4 FROM chrf GROUP BY id)", "SELECT category, count(*) AS items, count(*) FILTER (WHERE score_x100 >= 90) AS passed, count(*) FILTER (WHERE literal) AS literal_errors, CAST(sum(score_x100) AS BIGINT) AS score_sum, CAST(sum(chrf_e4) AS BIGINT) AS chrf_sum FROM verdict JOIN top USING (id) GROUP BY ROLLUP (category)")
 SQL["project_ids"] = r"SELECT page_id, regexp_matches(regexp_extract(url, '/([^/]*)$', 1), '^[a-zA-Z0-9_\-]+$') AS valid FROM pages"

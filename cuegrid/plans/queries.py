@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.functions import responses as R
 from cuegrid.functions import text as T
 from cuegrid.operators import cost, memory, provider, quality, review, scenes, scoring, timing
+from cuegrid.plans import process
 from cuegrid.plans.cues import cues, lines, load
 from cuegrid.sources import subtitles, writers
 
@@ -203,7 +204,7 @@ def run_summary(spark, d):
 @query
 def proper_nouns(spark, d):
     ev = quality.evaluate(segmented(spark, d), names=["John", "Spanish"])
-    return quality.issues_long(ev).where("rule = 'proper_noun_missing'")
+    return quality.issues_long(ev).where("rule = 'proper_noun_missing'").drop("status")
 
 
 @query
@@ -236,8 +237,23 @@ def compliance_terms(spark, d):
 
 @query
 def glossary_match(spark, d):
-    terms = spark.createDataFrame([("Licensed", "approved"), ("the and", "approved"), ("idiot", "approved"), ("of the", "draft")], "term string, status string").where("status = 'approved'")
-    return review.contains_join(load(spark, d, "documents").select("doc_id", "text"), terms, "text").select("doc_id", "term")
+    rows = [("Licensed", "approved", True), ("licensed", "approved", True), ("THE and", "approved", False), ("idiot", "approved", None), ("of the", "draft", False)]
+    terms = spark.createDataFrame(rows, "term string, status string, case_sensitive boolean")
+    return review.glossary_matches(load(spark, d, "documents").select("doc_id", "text"), terms).select("doc_id", "term")
+
+
+@query
+def glossary_custom(spark, d):
+    """A project's own honorific, one that takes the place of a fixed one, and a general term, which changes nothing."""
+    terms = T.glossary({"Queen": ("شاژن", "honorific"), "captain": ("سەرکردە", "honorific"), "Dr.": ("پزیشک", "general")})
+    source = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Captain and Dr. "), F.col("source_text"))).when(F.col("seq") % 4 == 1, F.concat(F.lit("The queen "), F.col("source_text"))).otherwise(F.col("source_text"))
+    return cues(spark, d).select("track_id", "seq", T.enforce_honorifics(source, F.col("target_text"), terms).alias("enforced"))
+
+
+@query
+def cue_records(spark, d):
+    """Without audio: flags for names and foreign speech."""
+    return quality.cue_records(cues(spark, d)).select("track_id", "seq", "suspicious_names", "foreign_speech", "note")
 
 
 @query
@@ -284,8 +300,21 @@ def category_rollup(spark, d):
 
 @query
 def ensemble_consensus(spark, d):
-    c = lines(spark, d).withColumns({"first": T.dictionary_translation(F.col("line")), "second": F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(T.dictionary_translation(F.lower("line")))})
-    return c.select("track_id", "seq", scoring.consensus(F.col("first"), F.col("second")).alias("score"))
+    """Two providers, the second without every third cue."""
+    c = lines(spark, d)
+    first = c.select("track_id", "seq", T.dictionary_translation(F.col("line")).alias("translation"))
+    second = c.where("seq % 3 <> 0").select("track_id", "seq", T.dictionary_translation(F.lower("line")).alias("translation"))
+    return scoring.ensemble(first, second).select("track_id", "seq", F.length("second").alias("second_length"), "score")
+
+
+@query
+def benchmark_run(spark, d):
+    """A gold set through the built-in provider, scored by category."""
+    b = load(spark, d, "benchmark")
+    text = F.col("text")
+    gold = F.when(F.col("item_id") % 3 == 0, T.dictionary_translation(text)).otherwise(F.lit("سڵاو هاوڕێم"))
+    items = b.select(F.col("item_id").alias("id"), F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"), text.alias("source"), gold.alias("gold"), F.array(T.dictionary_translation(F.lower(text))).alias("alternatives"), F.array(F.lit("وشە")).alias("literals"))
+    return scoring.benchmark(items, provider.DictionaryProvider())
 
 
 @query
@@ -391,6 +420,24 @@ def resume_scenes(spark, d):
     return done.select("track_id", "seq", F.lit("done").alias("state")).unionByName(todo.select("track_id", "seq", F.lit("todo").alias("state")))
 
 
+def _localized(spark, d) -> DataFrame:
+    fresh = cues(spark, d).withColumn("target_text", F.lit(None).cast("string"))
+    return process.localize(scenes.segment(fresh))
+
+
+@query
+def localized_scenes(spark, d):
+    """The whole way from untranslated cues to evaluated ones, a row for each scene."""
+    out = _localized(spark, d).groupBy("track_id", "scene_no")
+    critical = F.size(F.filter("issues", lambda x: x["severity"] == "critical"))
+    return out.agg(F.count("*").alias("cues"), F.count_if("passed").alias("passed"), F.count_if("requires_review").alias("for_review"), F.sum(critical).cast("long").alias("critical_issues"), F.sum("overall").cast("long").alias("points"), F.sum("end_ms").alias("ends"), F.sum(F.length("target_text")).alias("chars"), F.count_if(F.col("origin") == "routed").alias("routed"))
+
+
+@query
+def localized_summary(spark, d):
+    return process.summarize(_localized(spark, d))
+
+
 @query
 def overlay_edits(spark, d):
     c = cues(spark, d)
@@ -401,7 +448,7 @@ def overlay_edits(spark, d):
 @query
 def zip_files(spark, d):
     a = cues(spark, d).select("track_id", "seq", "source_text")
-    b = cues(spark, d).where("seq <= 5").select("track_id", "seq", "target_text")
+    b = cues(spark, d).where("seq % 5 <> 0").select("track_id", "seq", "target_text")
     return review.zip_files(a, b)
 
 
@@ -415,36 +462,40 @@ def first_interpretation(spark, d):
 # --- sources and sinks
 
 
-def _numbered(spark, d) -> DataFrame:
-    return cues(spark, d)
-
-
 @query
 def export_srt(spark, d):
-    return writers.to_srt(_numbered(spark, d)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
+    # numbered anew, whatever seq is
+    return writers.to_srt(cues(spark, d).withColumn("seq", F.col("seq") * 3 + 5)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
 @query
 def export_vtt(spark, d):
-    return writers.to_vtt(_numbered(spark, d)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
+    return writers.to_vtt(cues(spark, d)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
 @query
 def export_ass(spark, d):
-    return writers.to_ass(_numbered(spark, d)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
+    return writers.to_ass(cues(spark, d)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
 @query
 def export_html(spark, d):
     ev = evaluated(spark, d)
-    qc = ev.where("seq % 5 <> 0").select("track_id", "seq", F.lit(1).alias("version"), F.col("overall").alias("confidence"), "passed", F.transform("issues", lambda x: x["rule"]).alias("messages"))
-    return writers.to_html_rows(cues(spark, d), qc)
+    qc = ev.where("seq % 5 <> 0").select("track_id", "seq", F.lit(1).alias("version"), F.col("overall").alias("confidence"), "passed", F.transform("issues", lambda x: x["message"]).alias("messages"))
+    return writers.to_html(cues(spark, d), qc).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
 @query
 def qc_report(spark, d):
+    """The report's totals, and what its evaluations add up to."""
     rep = writers.to_qc_report(evaluated(spark, d))
-    return rep.select("track_id", *[F.get_json_object("report", f"$.{k}").cast("long").alias(k) for k in ("total_cues", "passed_cues", "review_required_cues")])
+    shape = "total_cues long, passed_cues long, review_required_cues long, average_confidence double, evaluations array<struct<seq: long, overall: long, issues: array<struct<rule: string, points: long, status: string>>>>"
+    r = rep.select("track_id", F.from_json("content", shape).alias("r")).select("track_id", "r.*")
+    fired = F.flatten(F.transform("evaluations", lambda e: e["issues"]))
+    return r.select(
+        "track_id", "total_cues", "passed_cues", "review_required_cues", F.round(F.col("average_confidence") * 1000).cast("long").alias("average_permille"), F.size("evaluations").cast("long").alias("evaluations"), F.aggregate("evaluations", F.lit(0).cast("long"), lambda a, e: a + e["overall"]).alias("points"),
+        F.aggregate(fired, F.lit(0).cast("long"), lambda a, i: a + i["points"]).alias("lost"), F.array_join(F.transform("evaluations", lambda e: e["seq"].cast("string")), ",").alias("seqs"), F.size(F.filter(fired, lambda i: i["status"] == "open")).cast("long").alias("open_issues"),
+    )
 
 
 def _roundtrip(spark, d, write, ext: str) -> DataFrame:
@@ -471,30 +522,52 @@ def ass_roundtrip(spark, d):
 
 @query
 def track_ranking(spark, d):
-    pages = load(spark, d, "pages").select("page_id", "url")
-    listed = pages.select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("media"), F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, ".en.srt").when(F.col("page_id") % 3 == 1, ".forced.ass").otherwise(".txt")).alias("path"))
-    return subtitles.master_track(subtitles.track_candidates(listed))
+    """Sidecars and embedded streams of each media file; one without either asks for speech recognition."""
+    pages = load(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("media"))
+    listed = pages.select("media", F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, ".en.srt").when(F.col("page_id") % 3 == 1, ".forced.ass").otherwise(".txt")).alias("path")).where(F.length("media") % 3 != 0)
+    probe = F.when(F.col("page_id") % 4 == 0, F.lit('{"streams":[{"codec_type":"video"},{"codec_type":"subtitle","codec_name":"subrip","tags":{"language":"eng","title":"SDH"}}]}')).when(F.col("page_id") % 4 == 1, F.lit('{"streams":[{"codec_type":"subtitle"}]}')).otherwise(F.lit("no probe"))
+    probes = pages.where(F.length("media") % 3 == 1).groupBy("media").agg(F.max("page_id").alias("page_id")).select("media", probe.alias("probe"))
+    return subtitles.master_track(subtitles.track_candidates(listed).unionByName(subtitles.embedded_candidates(probes)), files=pages)
 
 
 @query
 def response_content(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.substring("source", 1, 20).alias("s"))
+    docs = load(spark, d, "documents").select("doc_id", F.col("source").alias("s"))
     body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("s"), F.lit('"}}]}'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"content":[{"text":"'), F.col("s"), F.lit('"}]}'))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), F.col("s"), F.lit('"}]}}]}'))).otherwise(F.lit("{}"))
     return docs.select("doc_id", R.content(body).alias("content"))
 
 
+#: An item for each remainder of doc_id, and the ids it must give ({0} stands for doc_id).
+ITEMS = [
+    ('{{"cue_ids":[{0},"{0}","x",null]}}', "{0},{0}"), ('{{"cue_id":"{0}"}}', "{0}"), ('{{"id":{0}}}', "{0}"), ('{{"cue_ids":"none"}}', "1"), ("{{}}", "1"), ('{{"cue_ids":[-{0}.5,{0}.9]}}', "-{0},{0}"), ('{{"cue_ids":["{0}.5"]}}', "1"),
+    ('{{"cue_id":-{0}.7}}', "-{0}"), ('{{"cue_ids":null,"cue_id":null,"id":" {0} "}}', "{0}"), ('{{"cue_ids":[],"id":{0}}}', "1"), ('{{"cue_ids":{{"a":{0}}}}}', "1"), ("no JSON {0}", "1"), ('{{"cue_ids":[[{0}],true,{0}]}}', "1,{0}"),
+]
+
+
+def _by_remainder(texts: list[str], n: str = "doc_id") -> Column:
+    out = F.lit(None).cast("string")
+    for k, t in enumerate(texts):
+        plain = t.replace("{{", "{").replace("}}", "}").split("{0}")
+        parts = [x for i, piece in enumerate(plain) for x in ((F.col(n).cast("string"), F.lit(piece)) if i else (F.lit(piece),))]
+        out = F.when(F.col(n) % len(texts) == k, F.concat(*parts)).otherwise(out)
+    return out
+
+
 @query
 def cue_id_coercion(spark, d):
-    docs = load(spark, d, "documents").select("doc_id")
-    item = F.when(F.col("doc_id") % 5 == 0, F.format_string('{"cue_ids":[%d,"%d","x"]}', "doc_id", "doc_id")).when(F.col("doc_id") % 5 == 1, F.format_string('{"cue_id":"%d"}', "doc_id")).when(F.col("doc_id") % 5 == 2, F.format_string('{"id":%d}', "doc_id")).when(F.col("doc_id") % 5 == 3, F.lit('{"cue_ids":"none"}')).otherwise(F.lit("{}"))
-    return docs.select("doc_id", F.array_join(R.cue_ids(item), ",").alias("ids"))
+    return load(spark, d, "documents").select("doc_id", F.array_join(R.cue_ids(_by_remainder([a for a, _ in ITEMS])), ",").alias("ids"))
+
+
+#: Answers of a model, and what they hold.
+ANSWERS = [
+    ('```json\n{{"id": {0}}}\n```', '{{"id": {0}}}'), ("Sure: [{0}] done", '{{"items": [{0}], "translations": [{0}]}}'), ("nothing here {0}", "{{}}"), ("```\n[{0}, 1]", '{{"items": [{0}, 1], "translations": [{0}, 1]}}'), ('So {{"a": [{0}]}} it is', '{{"a": [{0}]}}'),
+    ("Text ```JSON [{0}]``` and more", '{{"items": [{0}], "translations": [{0}]}}'), ("broken {{ x }} then [{0}]", '{{"items": [{0}], "translations": [{0}]}}'), ('{{"a": {0}', "{{}}"),
+]
 
 
 @query
 def lenient_json(spark, d):
-    docs = load(spark, d, "documents").select("doc_id")
-    said = F.when(F.col("doc_id") % 3 == 0, F.format_string('```json\n{"id": %d}\n```', "doc_id")).when(F.col("doc_id") % 3 == 1, F.format_string("Sure: [%d] done", "doc_id")).otherwise(F.lit("nothing here"))
-    return docs.select("doc_id", R.lenient_json(said).alias("parsed"))
+    return load(spark, d, "documents").select("doc_id", R.lenient_json(_by_remainder([a for a, _ in ANSWERS])).alias("parsed"))
 
 
 @query

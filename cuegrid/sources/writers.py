@@ -15,15 +15,16 @@ def shown() -> Column:
     return F.coalesce(F.col("target_text"), F.col("source_text"))
 
 
-def _by_track(cues: DataFrame, block: Column, sep: str, head: str = "", tail: str = "") -> DataFrame:
-    """Blocks of a track in cue order; a track is one file, so its text is one row."""
+def _by_track(cues: DataFrame, block: Column, sep: str, head: str = "", tail: str = "", numbered: bool = False) -> DataFrame:
+    """Blocks of a track in cue order, if wanted with their number before them; a track is one file, so its text is one row."""
     parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), block.alias("b"))))
-    return cues.groupBy("track_id").agg(F.concat(F.lit(head), F.array_join(F.transform(parts, lambda x: x["b"]), sep), F.lit(tail)).alias("content"))
+    shown_as = (lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["b"])) if numbered else (lambda x: x["b"])
+    return cues.groupBy("track_id").agg(F.concat(F.lit(head), F.array_join(F.transform(parts, shown_as), sep), F.lit(tail)).alias("content"))
 
 
 def to_srt(cues: DataFrame) -> DataFrame:
-    """cues: track_id, seq (1..n), start_ms, end_ms, source_text, target_text."""
-    return _by_track(cues, F.concat(F.col("seq"), F.lit("\n"), C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown()), "\n\n", tail="\n")
+    """cues: track_id, seq (the order), start_ms, end_ms, source_text, target_text.  Blocks are numbered from 1 whatever seq is."""
+    return _by_track(cues, F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown()), "\n\n", tail="\n", numbered=True)
 
 
 def to_vtt(cues: DataFrame) -> DataFrame:
@@ -53,11 +54,38 @@ def to_html_rows(cues: DataFrame, qc: DataFrame) -> DataFrame:
     return joined.select("track_id", "seq", row.alias("html"))
 
 
+PAGE = """<!DOCTYPE html>
+<html lang="en">
+<head>
+<meta charset="UTF-8">
+<title>{title}</title>
+<style>table {{ border-collapse: collapse }} td, th {{ border: 1px solid #ccc; padding: 8px }}</style>
+</head>
+<body>
+<table>
+<thead><tr><th>#</th><th>Time</th><th>Source</th><th>Translation</th><th>Confidence</th><th>Issues</th></tr></thead>
+<tbody>
+"""
+
+
+def to_html(cues: DataFrame, qc: DataFrame, title: str = "Bilingual inspection") -> DataFrame:
+    """A page for each track: track_id, content.  qc: as for to_html_rows."""
+    return _by_track(to_html_rows(cues, qc), F.col("html"), "\n", head=PAGE.format(title=title), tail="\n</tbody>\n</table>\n</body>\n</html>\n")
+
+
 def to_qc_report(evaluated: DataFrame) -> DataFrame:
-    """track_id and a JSON report: totals and the evaluations of the track in cue order."""
+    """track_id and a JSON report: totals, the average confidence (0 to 1, three places, halves up) and the evaluations of the track in cue order."""
     one = F.struct("seq", "technical", "linguistic", "semantic", "overall", "passed", "requires_review", "issues")
-    facts = evaluated.groupBy("track_id").agg(F.count("*").alias("total_cues"), F.count_if("passed").alias("passed_cues"), F.count_if("requires_review").alias("review_required_cues"), F.round(F.avg("overall"), 3).alias("average_confidence"), F.array_sort(F.collect_list(one)).alias("evaluations"))
-    return facts.select("track_id", F.to_json(F.struct("track_id", "total_cues", "passed_cues", "review_required_cues", "average_confidence", "evaluations")).alias("report"))
+    facts = evaluated.groupBy("track_id").agg(F.count("*").alias("total_cues"), F.count_if("passed").alias("passed_cues"), F.count_if("requires_review").alias("review_required_cues"), F.sum("overall").cast("long").alias("points"), F.array_sort(F.collect_list(one)).alias("evaluations"))
+    average = F.floor((F.col("points") * 20 + F.col("total_cues")) / (2 * F.col("total_cues"))) / 1000
+    return facts.select("track_id", F.to_json(F.struct("track_id", "total_cues", "passed_cues", "review_required_cues", average.alias("average_confidence"), "evaluations")).alias("content"))
+
+
+def save(contents: DataFrame, path: str, content: str = "content") -> None:
+    """Writes each track's text as a file of its own, in a folder track_id=... under path; an older one of the same track is replaced, other tracks stay."""
+    # the writer ends each text with a line break of its own
+    rows = contents.select("track_id", F.regexp_replace(content, r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track_id").text(path)
 
 
 def training_rows(corrections: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -128,8 +128,8 @@ def brute_leaks(texts, items):
             if len(x) < 5:
                 continue
             b = Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
-            for s in range(max(1, len(w) - 4)):
-                v = w[s : s + len(x)]
+            for s in range(5 - len(x), max(1, len(w) - 4)):  # cut at both ends of the text
+                v = w[max(0, s) : s + len(x)]
                 a = Counter(tuple(v[k : k + 5]) for k in range(len(v) - 4))
                 if a and (sim := sum((a & b).values()) / sum((a | b).values())) >= 0.8:
                     out[d, i] = max(out.get((d, i), 0), sim)
@@ -153,7 +153,31 @@ def test_leaks_equal_brute_force(spark, docs, texts):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.leaks(df, bench).collect()}
     want = brute_leaks(texts + extra, [(i, t or "") for i, t in items])
     assert set(got) == set(want) and len(got) >= 20
-    assert all(got[k] <= want[k] + 1e-9 for k in got)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_windows_at_the_threshold_are_within_the_radius(spark):
+    """Passages whose edge words are replaced until the similarity is just above 0.8, all words distinct: the farthest a match can be."""
+    rng = random.Random(40)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for i in range(1500):
+        x = words(rng.randint(30, 60))
+        n = len(x) - 4
+        gone = max(k for k in range(n) if (n - k) / (n + k) >= 0.8)  # so many shingles may go
+        items.append((i, " ".join(x)))
+        rows.append((i, " ".join([*words(20), *x[gone // 2 : len(x) - (gone - gone // 2)], *words(20)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"] for r in D.leaks(spark.createDataFrame([row(*r) for r in rows], DOCS), bench).collect() if r["doc_id"] == r["item_id"]}
+    assert len(got) >= 1499, len(got)
+
+
+def test_long_items_take_linear_work(spark):
+    rng = random.Random(41)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(8000))
+    bench = spark.createDataFrame([(1, long), (2, prose(rng, 20))], "item_id long, text string")
+    df = spark.createDataFrame([row(i, f"{prose(rng, 30)} {long} {i}") for i in range(8)], DOCS)
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["n_words"]) for r in D.leaks(df, bench).collect()) == [(i, 1, 1.0, 8000) for i in range(8)]
 
 
 def test_leaks_of_nothing(spark, docs, empty):

@@ -9,8 +9,10 @@ sequence is done when none of its pairs has a rank.  What survives is counted:
 one for a symbol of the vocabulary, its UTF-8 bytes for a character outside it.
 
 Counts of pre-tokens are kept in a table of bounded size, so repeated words are
-merged once per worker.  Defined results: a null or empty text has 0 tokens; 
-repeated rows are counted each; extra columns are ignored.
+merged once per worker.  The settings of the model that this relies on are checked.
+Defined results: a null or empty text has 0 tokens; very long texts are counted
+whole; equal texts have equal counts, repeated rows one each; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,6 +145,11 @@ def load(path: str) -> PieceRanks:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     kinds = model.SentencePiece
+    how, normal = model.trainer_spec, model.normalizer_spec
+    expected = {"a BPE model": how.model_type == how.BPE, "byte fallback": how.byte_fallback, "blanks as a prefix": not how.treat_whitespace_as_suffix, "no normalisation": not normal.precompiled_charsmap, "a mark before the text": normal.add_dummy_prefix, "all blanks kept": not normal.remove_extra_whitespaces, "blanks as marks": normal.escape_whitespaces}
+    expected["no piece across a blank"] = all(MARK not in p.piece.lstrip(MARK) for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED))
+    if missing := [k for k, v in expected.items() if not v]:
+        raise ValueError(f"{path}: the counts rely on {', '.join(missing)}")
     return PieceRanks([(p.piece, p.score) for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)])
 
 

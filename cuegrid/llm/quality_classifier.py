@@ -1,19 +1,24 @@
 """Quality classifier: random-indexing vectors pooled per document, a two-layer network, calibrated by temperature.
 
-Each word has a slot for itself and one for its shape (kinds of its first, second
-and last byte, and its length).  A slot's index vector is sparse, ternary and
-fixed by a seed; its context vector is the sum, over all documents, of the index
-vectors of the neighbours up to two words away.  The sums are integers, so they
-do not depend on the order of tasks; what they need is the same for any corpus
-size.  A document pools the context vectors, scaled to unit length, of its words
-and of its shapes: their means, deviations, the lengths of the means, the likeness
-of neighbours, and how many and how varied the words are.  The network is trained by numpy on at most
-``per_class`` documents of each label outside the held-out fold, weighted to the
-label shares of all; a fifth of them sets the temperature.
+Every word, whatever it is, has an index vector: sparse, ternary and fixed by its
+hash.  The vocabulary is the ``WORDS`` words that most documents of the labelled
+sample hold; each of them has a context vector of its own, and so has each shape
+(kinds of a word's first, second and last byte, and its length), which stands for
+all words, known or not.  A context vector is the sum, over all documents, of the
+index vectors of the neighbours up to two words away.  The sums are integers, so
+they do not depend on the order of tasks; what they need is bounded by the
+vocabulary, not by the corpus.  A document pools the context vectors, scaled to unit
+length, of its words and of its shapes (means, deviations and the lengths of the
+means) and its words' index vectors, which rare words have too (the length of their
+mean, and how many are equal to a neighbour).  The network is trained by numpy on at most ``per_class``
+documents of each label outside the held-out fold, weighted to the label shares of
+all; a fifth of them sets the temperature.
 
 Defined results: a null or empty text pools to zeros and gets the network's score
-for them; without labels of both kinds every score is the share of label 1 (1 if
-there is none); extra columns are ignored; repeated ids are scored row by row.
+for them; a very long text is pooled whole; equal texts get equal scores; words that
+occur in equally many documents are ordered by their hash; without labels of both
+kinds every score is the share of label 1 (1 if there is none); an empty table gives
+no rows; extra columns are ignored; repeated ids are scored row by row.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import emit_rows, fold, gather, labelled_sample, map_texts, one_label, ragged, table
+from cuegrid.llm.stages import emit_rows, fold, gather, labelled_sample, map_texts, materialise, one_label, ragged, table
 from cuegrid.llm.textblock import TextBlock, chunks
 
 FOLDS, HELD_OUT = 5, 0
-DIM, WORD_SLOTS, SHAPE_SLOTS = 32, 1 << 13, 6 * 6 * 6 * 8
+DIM, WORDS, SHAPES = 32, 1 << 16, 6 * 6 * 6 * 8
+PATTERNS = 1 << 14  # index vectors to choose from
 PARTS = 64  # the context matrix travels in so many pieces
 
 
@@ -45,74 +51,125 @@ _KIND = _kinds()
 
 
 def index_vectors() -> np.ndarray:
-    """Two entries of +1 and two of -1 in each row, at seeded places."""
+    """Two entries of +1 and two of -1 in each pattern, at seeded places."""
     rng = np.random.default_rng(5)
-    n = WORD_SLOTS + SHAPE_SLOTS
-    place = rng.random((n, DIM)).argsort(axis=1)[:, :4]
-    out = np.zeros((n, DIM), np.int16)
+    place = rng.random((PATTERNS, DIM)).argsort(axis=1)[:, :4]
+    out = np.zeros((PATTERNS, DIM), np.int16)
     for k, sign in enumerate((1, 1, -1, -1)):
-        out[np.arange(n), place[:, k]] = sign
+        out[np.arange(PATTERNS), place[:, k]] = sign
     return out
 
 
-def slots(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-    """The word slot and the shape slot of each word."""
+class Vocabulary:
+    """Hashes of the known words, sorted, and a table of where those of the first 20 bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.first = np.searchsorted(self.keys >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+        self.size = len(self.keys)
+
+    def slots(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word; `size` for those that aren't known."""
+        top = (words >> np.uint64(44)).astype(np.int64)
+        at, stop = self.first[top], self.first[top + 1]
+        out = np.full(len(words), self.size, np.int64)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            hit = self.keys[at[open_]] == words[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
+
+
+def shapes(block: TextBlock) -> np.ndarray:
     size = block.end - block.start
     first, last = _KIND[block.data[block.start]], _KIND[block.data[block.end - 1]]
     second = _KIND[block.data[np.minimum(block.start + 1, block.end - 1)]]
-    shape = ((first * 6 + second) * 6 + last) * 8 + np.minimum(size, 8) - 1
-    return (block.word_hash() >> np.uint64(51)).astype(np.int64), WORD_SLOTS + shape
+    return ((first * 6 + second) * 6 + last) * 8 + np.minimum(size, 8) - 1
 
 
-def _contexts(block: TextBlock, index: np.ndarray, total: np.ndarray) -> None:
+def _contexts(block: TextBlock, known: Vocabulary, index: np.ndarray, total: np.ndarray) -> None:
     """Add to total what the neighbours in the block give."""
-    word, shape = slots(block)
-    n = len(word)
+    hashes = block.word_hash()
+    n = len(hashes)
     if n < 2:
         return
-    own = index[word] + index[shape]
+    own = index[(hashes & np.uint64(PATTERNS - 1)).astype(np.int64)]
     text = block.text_of(block.word_ptr)
     near = np.zeros((n, DIM), np.int16)
     for k in (1, 2):
         if n > k:
-            same = (text[k:] == text[:-k])[:, None]
-            near[k:] += own[:-k] * same
-            near[:-k] += own[k:] * same
-    for slot in (word, shape):
-        order = np.argsort(slot, kind="stable")
-        ids = slot[order]
+            a, b = own[:-k], own[k:]
+            if (other := np.flatnonzero(text[k:] != text[:-k])).size:
+                a, b = a.copy(), b.copy()
+                a[other] = b[other] = 0
+            near[k:] += a
+            near[:-k] += b
+    word, shape = known.slots(hashes), known.size + 1 + shapes(block)
+    for slot, keep in ((word, word < known.size), (shape, None)):
+        at = np.argsort(slot, kind="stable") if keep is None else np.flatnonzero(keep)[np.argsort(slot[keep], kind="stable")]
+        if not len(at):
+            continue
+        ids = slot[at]
         head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        total[ids[head]] += np.add.reduceat(near[order], head, axis=0, dtype=np.int64)
+        total[ids[head]] += np.add.reduceat(near[at], head, axis=0, dtype=np.int64)
+
 
+def vocabulary(sample: DataFrame, most: int = WORDS) -> Vocabulary:
+    """The words that most documents of the sample hold, two at least."""
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of all slots, over all documents."""
-    n = WORD_SLOTS + SHAPE_SLOTS
+    def count(block: TextBlock, _: pa.RecordBatch) -> dict:
+        hashes, text = block.word_hash(), block.text_of(block.word_ptr)
+        order = np.lexsort((text, hashes))
+        hashes, text = hashes[order], text[order]
+        one = np.ones(len(hashes), bool)
+        one[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+        words, n = np.unique(hashes[one], return_counts=True)
+        pad = np.concatenate(([0], np.full(block.n, len(words))))  # a list in each chunk's first row
+        return {"key": ragged(words.view(np.int64), pad), "n": ragged(n, pad)}
+
+    lists = map_texts(sample, count, "key array<long>, n array<long>").where("size(key) > 0")
+    top = lists.select(F.explode(F.arrays_zip("key", "n")).alias("x")).groupBy("x.key").agg(F.sum("x.n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(most)
+    return Vocabulary(np.asarray(gather(top.select("key"))["key"]).astype(np.int64).view(np.uint64))
+
+
+def word_vectors(docs: DataFrame, known: Vocabulary) -> np.ndarray:
+    """Unit context vectors of all known words (then a row of zeros) and shapes, over all documents."""
+    n = known.size + 1 + SHAPES
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total, index, any_row = np.zeros((n, DIM), np.int64), index_vectors(), False
         for batch in batches:
             for _, _, block in chunks(batch.column(0)):
-                _contexts(block, index, total)
+                _contexts(block, known, index, total)
                 any_row = True
         if any_row:
-            yield {"part": np.arange(PARTS, dtype=np.int32), "sums": [x.tobytes() for x in np.array_split(total, PARTS)]}
+            kind = np.int32 if abs(total).max() < 1 << 31 else np.int64
+            yield {"part": np.arange(PARTS, dtype=np.int32), "sums": [x.astype(kind).tobytes() for x in np.array_split(total, PARTS)]}
+
+    rows_of = [len(x) for x in np.array_split(np.arange(n), PARTS)]
+
+    def read(part: int, sums: bytes) -> np.ndarray:
+        size = rows_of[part] * DIM
+        return np.frombuffer(sums, np.int64 if len(sums) == 8 * size else np.int32).astype(np.int64)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(sums.as_buffer(), np.int64)
+                x = read(part, sums.as_buffer())
                 held[part] = held[part] + x if part in held else x
         if held:
             yield {"part": list(held), "sums": [x.tobytes() for x in held.values()]}
 
     ddl = "part int, sums binary"
-    # PARTS rows of fixed size reach the driver: about 2.5 MB
+    # PARTS rows of fixed size reach the driver: (WORDS + SHAPES) * DIM numbers, 17 MB at most
     rows = gather(emit_rows(emit_rows(docs.select("text"), emit, ddl).repartition(PARTS, "part"), merge, ddl)).to_pylist()
     if not rows:
         return np.zeros((n, DIM), np.float32)
-    total = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]).reshape(n, DIM).astype(np.float64)
+    total = np.concatenate([read(r["part"], r["sums"]) for r in sorted(rows, key=lambda r: r["part"])]).reshape(n, DIM).astype(np.float64)
     norm = np.sqrt((total**2).sum(axis=1, keepdims=True))
     return (total / np.maximum(norm, 1)).astype(np.float32)
 
@@ -120,26 +177,26 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 WIDTH = 4 * DIM + 5
 
 
-def pooled(block: TextBlock, vectors: np.ndarray) -> np.ndarray:
-    """Of the words' and of the shapes' vectors of each text: means, deviations and the length of the mean (long where few words repeat); the likeness of neighbouring words, the share of distinct words and the logarithm of their number."""
+def pooled(block: TextBlock, known: Vocabulary, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Of each text: means, deviations and the length of the mean (long where few words repeat) of its words' and of its shapes' context vectors; the length of the mean of its words' index vectors, and how many of them stand one and two words before an equal one."""
     out = np.zeros((block.n, WIDTH), np.float32)
     full = np.flatnonzero(block.n_words)
     if len(full):
         head, n = block.word_ptr[:-1][full], block.n_words[full, None]
-        for k, slot in enumerate(slots(block)):
+        hashes = block.word_hash()
+        for k, slot in enumerate((known.slots(hashes), known.size + 1 + shapes(block))):
             v = vectors[slot]
             mean = np.add.reduceat(v, head, axis=0) / n
             out[full, 2 * k * DIM : (2 * k + 1) * DIM] = mean
             out[full, (2 * k + 1) * DIM : (2 * k + 2) * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, head, axis=0) / n - mean**2, 0))
             out[full, 4 * DIM + k] = np.sqrt((mean**2).sum(axis=1))
-            if k == 0:
-                text = block.text_of(block.word_ptr)
-                pair = text[1:] == text[:-1]
-                like = np.bincount(text[1:][pair], np.einsum("ij,ij->i", v[1:][pair], v[:-1][pair]), minlength=block.n)
-                kinds = np.bincount(np.unique(text * WORD_SLOTS + slot) // WORD_SLOTS, minlength=block.n)
-                out[:, 4 * DIM + 2] = like / np.maximum(block.n_words - 1, 1)
-                out[:, 4 * DIM + 3] = kinds / np.maximum(block.n_words, 1)
-                out[:, 4 * DIM + 4] = np.log1p(block.n_words)
+        pattern = (hashes & np.uint64(PATTERNS - 1)).astype(np.int64)
+        mean = np.add.reduceat(index[pattern], head, axis=0, dtype=np.int64) / n
+        out[full, 4 * DIM + 2] = np.sqrt((mean**2).sum(axis=1))
+        text = block.text_of(block.word_ptr)
+        for k in (1, 2):
+            same = (pattern[k:] == pattern[:-k]) & (text[k:] == text[:-k])
+            out[:, 4 * DIM + 2 + k] = np.bincount(text[k:][same], minlength=block.n) / np.maximum(block.n_words, 1)
     return out
 
 
@@ -183,22 +240,26 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[np.ndarray, Network | float]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[Vocabulary, np.ndarray, Network | float]:
     known = one_label(labels, "quality").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("y").isin(0, 1))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    none = Vocabulary(np.zeros(0, np.uint64))
+    blank = np.zeros((1 + SHAPES, DIM), np.float32)
     if len(sizes) < 2:
-        return np.zeros((WORD_SLOTS + SHAPE_SLOTS, DIM), np.float32), float(0 not in sizes)
-    vectors = word_vectors(docs)
+        return none, blank, float(0 not in sizes)
     # at most 2 * per_class ids: a proven bound for the broadcast
     ids = F.broadcast(labelled_sample(labels, "quality", per_class, FOLDS, HELD_OUT))
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "y")
+    sample = materialise(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "y"))
+    words = vocabulary(sample)
+    vectors = word_vectors(docs, words)
+    index = index_vectors()
 
     def rows(block: TextBlock, _: pa.RecordBatch) -> dict:
-        return {"x": ragged(pooled(block, vectors).ravel(), np.arange(block.n + 1) * WIDTH)}
+        return {"x": ragged(pooled(block, words, vectors, index).ravel(), np.arange(block.n + 1) * WIDTH)}
 
     got = gather(map_texts(sample, rows, "doc_id long, y int, x array<float>"))
     if not len(got):
-        return vectors, float(sizes[1] / (sizes[0] + sizes[1]))
+        return words, vectors, float(sizes[1] / (sizes[0] + sizes[1]))
     y = np.asarray(got["y"])
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(len(y), WIDTH).astype(np.float64)
     order = np.lexsort((*x.T[:3], np.asarray(got["doc_id"])))  # the same training in any run
@@ -207,17 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[np.n
     weight = np.array([sizes[0] / n[0], sizes[1] / n[1]])
     weight *= len(y) / weight[y].sum()
     if len(set(y)) < 2:
-        return vectors, float(y[0])
-    return vectors, Network(x, y.astype(np.float64), weight[y])
+        return words, vectors, float(y[0])
+    return words, vectors, Network(x, y.astype(np.float64), weight[y])
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 5000) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    vectors, model = fit(docs, labels, per_class)
+    words, vectors, model = fit(docs, labels, per_class)
+    index = index_vectors()
 
     def score(block: TextBlock, _: pa.RecordBatch) -> dict:
-        return {"score": np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, vectors).astype(np.float64))}
+        return {"score": np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, words, vectors, index).astype(np.float64))}
 
     out = map_texts(docs, score, "doc_id long, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -81,6 +81,29 @@ def test_quality_on_held_out_documents(spark, docs, empty):
     assert {r["score"] for r in C.quality_classifier(docs, labels.where("quality = 1")).collect()} == {1.0}
 
 
+def test_context_vectors_equal_brute_force(spark, docs, texts):
+    """Each known word has a vector of its own: the sum of the index vectors of its neighbours, of all texts."""
+    known = C.vocabulary(docs.select("text"), 40)
+    index = C.index_vectors()
+    toks = [WORDS.findall(t) for _, t in texts]
+    hashes = {w: int(h) for w in {w for t in toks for w in t} for h in [word_hash_as_is(w)]}
+    df = Counter(w for t in toks for w in set(t))
+    top = sorted((w for w in df if df[w] > 1), key=lambda w: (-df[w], np.uint64(hashes[w]).astype(np.int64)))[:40]
+    assert sorted(hashes[w] for w in top) == known.keys.tolist()
+    want = {w: np.zeros(C.DIM) for w in top}
+    for t in toks:
+        for i, w in enumerate(t):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if w in want and 0 <= j < len(t):
+                    want[w] += index[hashes[t[j]] & (C.PATTERNS - 1)]
+    got = C.word_vectors(docs, known)
+    slot = dict(zip(known.keys.tolist(), range(known.size)))
+    for w in top:
+        assert np.allclose(got[slot[hashes[w]]], want[w] / max(1, np.linalg.norm(want[w])), atol=1e-6)
+    assert not got[known.size].any()
+    assert known.slots(np.array([hashes[top[0]], 12345], np.uint64)).tolist() == [slot[hashes[top[0]]], known.size]
+
+
 def test_non_negative_risk_turns_back():
     ptr, feature = np.arange(101), np.array([0] * 50 + [0] * 15 + [1] * 35)  # 30 % of the unlabelled are positive
     positive = np.arange(100) < 50
@@ -115,6 +138,14 @@ def word_hashes(spark, words):
     return dict(zip(words, out))
 
 
+def word_hash_as_is(word):
+    import pyarrow as pa
+
+    from cuegrid.llm.textblock import chunks
+
+    return next(b for _, _, b in chunks(pa.array([word]))).word_hash()[0]
+
+
 class BruteModel:
     """The same model in dicts, one customer after the other."""
 

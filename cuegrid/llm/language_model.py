@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm.stages import bucketed, emit_rows, fold, free_shuffles, gather, materialise, release, schema_of, table
@@ -110,10 +110,11 @@ def _tokens(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Layout:
-    """Where pairs are kept: owners of words, and into how many shards frequent words are split."""
+    """Where pairs are kept: owners of words, and into how many shards frequent words are split.  keys: a number for each owner, so that hashing by it gives every partition one owner."""
 
-    def __init__(self, owners: int, hot: dict[int, int]):
+    def __init__(self, owners: int, hot: dict[int, int], keys: list[int] | None = None):
         self.owners = owners
+        self.keys = keys or [0] * owners
         self.words = np.array(sorted(hot), np.uint64)
         self.shards = np.array([hot[w] for w in sorted(hot)], np.int64)
 
@@ -173,7 +174,7 @@ def _blocks(layout: Layout, home: bool):
             cut = np.concatenate((np.flatnonzero(np.diff(owner[first], prepend=-1)), [len(first)]))
             p_cut = np.append(first, len(of))[cut]
             for a, b, c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), p_cut[:-1].tolist(), p_cut[1:].tolist()):
-                yield {"owner": [owner[c]], "block": [number], "words": [words[of[first[a:b]]].tobytes()], "fan": [_pack(fan[a:b])], "ctx": [_pack_contexts(ctx[c:d])], "cnt": [_pack(count[c:d])]}
+                yield {"key": [layout.keys[owner[c]]], "owner": [owner[c]], "block": [number], "words": [words[of[first[a:b]]].tobytes()], "fan": [_pack(fan[a:b])], "ctx": [_pack_contexts(ctx[c:d])], "cnt": [_pack(count[c:d])]}
 
         for batch in batches:
             train = crc_fold(batch.column(0), FOLDS) != HELD_OUT
@@ -218,12 +219,12 @@ def _merge(owner: int, rows: list[dict]) -> Iterator[dict]:
     count = np.bincount(pair, np.concatenate([_unpack(r["cnt"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
     w_cut, p_cut = np.cumsum([len(x) for x in words])[:-1], np.cumsum([len(x) for x in ctx])[:-1]
     yield {
-        "owner": [owner], "words": [names.tobytes()], "fan": [_pack(np.bincount(pairs // len(contexts), minlength=len(names)))], "contexts": [_pack_contexts(contexts)], "ctx": [_pack(pairs % len(contexts))], "cnt": [_pack(count)],
+        "key": [rows[0]["key"]], "owner": [owner], "words": [names.tobytes()], "fan": [_pack(np.bincount(pairs // len(contexts), minlength=len(names)))], "contexts": [_pack_contexts(contexts)], "ctx": [_pack(pairs % len(contexts))], "cnt": [_pack(count)],
         "blocks": [[r["block"] for r in rows]], "word_of": [[_pack_rising(x) for x in np.split(word, w_cut)]], "pair_of": [[_pack_rising(x) for x in np.split(pair, p_cut)]],
     }
 
 
-STATE = "owner int, words binary, fan binary, contexts binary, ctx binary, cnt binary, blocks array<long>, word_of array<binary>, pair_of array<binary>"
+STATE = "key int, owner int, words binary, fan binary, contexts binary, ctx binary, cnt binary, blocks array<long>, word_of array<binary>, pair_of array<binary>"
 
 
 def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -341,21 +342,21 @@ class Owner:
 
     def asks(self, ctx: list[np.ndarray], word: list[np.ndarray], whole: np.ndarray) -> Iterator[dict]:
         """What goes to the places where sums are made: values by context and by split word; the whole goes to the driver."""
-        none = {"place": [None], "contexts": [None], "ctx": [None], "words": [None], "word": [None]}
+        none = {"key": [None], "place": [None], "contexts": [None], "ctx": [None], "words": [None], "word": [None]}
         yield none | {"owner": [self.number], "whole": [whole.tobytes()]}
         cut = np.searchsorted(self.layout.place_of_contexts(self.contexts), np.arange(self.layout.owners + 1))
         names = self.words[self.split]
         w_cut = np.searchsorted(self.layout.home(names), np.arange(self.layout.owners + 1))
         for g in np.flatnonzero((np.diff(cut) > 0) | (np.diff(w_cut) > 0)).tolist():
             a, b, c, d = cut[g], cut[g + 1], w_cut[g], w_cut[g + 1]
-            yield {"place": [g], "owner": [self.number], "whole": [None], "contexts": [_pack_contexts(self.contexts[a:b])], "ctx": [_pack(np.concatenate([v[a:b] for v in ctx]))], "words": [names[c:d].tobytes()], "word": [_pack(np.concatenate([v[self.split][c:d] for v in word]))]}
+            yield {"key": [self.layout.keys[g]], "place": [g], "owner": [self.number], "whole": [None], "contexts": [_pack_contexts(self.contexts[a:b])], "ctx": [_pack(np.concatenate([v[a:b] for v in ctx]))], "words": [names[c:d].tobytes()], "word": [_pack(np.concatenate([v[self.split][c:d] for v in word]))]}
 
 
-ASKS = "place int, owner int, whole binary, contexts binary, ctx binary, words binary, word binary"
-REPLIES = "owner int, k int, place int, whole binary, ctx binary, word binary"
+ASKS = "key int, place int, owner int, whole binary, contexts binary, ctx binary, words binary, word binary"
+REPLIES = "key int, owner int, k int, place int, whole binary, ctx binary, word binary"
 
 
-def _add(k: int, wholes):
+def _add(k: int, wholes, keys: list[int]):
     """Values added up over all owners, to each those it asked for, in its order; wholes(words, sums, last): the split words' share of the whole."""
 
     def add(place: int, rows: list[dict]) -> Iterator[dict]:
@@ -376,7 +377,7 @@ def _add(k: int, wholes):
         for i, r in enumerate(rows):
             # of split words the tables go back once only
             packed = {kind: [_pack(sums[: 1 if k else 2, at[cut[i] : cut[i + 1]]].ravel())] for kind, (sums, _, at, cut) in out.items()}
-            yield {"owner": [r["owner"]], "k": [k], "place": [place], "whole": [whole if not i else None]} | packed
+            yield {"key": [keys[r["owner"]]], "owner": [r["owner"]], "k": [k], "place": [place], "whole": [whole if not i else None]} | packed
 
     return _grouped(add, "place")
 
@@ -397,6 +398,17 @@ def _total(*frames: DataFrame) -> np.ndarray:
     return out
 
 
+def _even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash deals to it; n rows reach the driver."""
+    found: dict[int, int] = {}
+    size = 16 * n + 64
+    while len(found) < n:
+        numbers = spark.range(size).select(F.col("id").cast("int").alias("key"))
+        found = {r["p"]: r["key"] for r in numbers.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).collect()}
+        size *= 2
+    return [found[p] for p in range(n)]
+
+
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
 
@@ -423,7 +435,7 @@ def _layout(docs: DataFrame, owner_bytes: int) -> Layout:
             if (k := min(owners, math.ceil(2 * owners * r["n"] / total))) > 1:
                 hot[r["word"] & ((1 << 64) - 1)] = k
     release(counted)
-    return Layout(owners, hot)
+    return Layout(owners, hot, _even_keys(docs.sparkSession, owners))
 
 
 def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> DataFrame:
@@ -432,8 +444,8 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     layout = _layout(docs, owner_bytes)
     n = layout.owners
-    keys = emit_rows(docs, _blocks(layout, False), "owner int, block long, words binary, fan binary, ctx binary, cnt binary")
-    state = bucketed(emit_rows(keys.repartition(n, "owner").sortWithinPartitions("owner", "block"), _grouped(_merge, "owner"), STATE), n, "owner")
+    keys = emit_rows(docs, _blocks(layout, False), "key int, owner int, block long, words binary, fan binary, ctx binary, cnt binary")
+    state = bucketed(emit_rows(keys.repartition(n, "key").sortWithinPartitions("owner", "block"), _grouped(_merge, "owner"), STATE), n, "key")
     del keys
     free_shuffles(spark)
     sweeps = BURN_IN + SAMPLES
@@ -443,8 +455,8 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
 
     def exchange(asked: DataFrame, k: int, wholes) -> np.ndarray:
         asked = materialise(asked)
-        dealt = asked.where("place IS NOT NULL").drop("whole").repartition(n, "place").sortWithinPartitions("place", "owner")
-        replies.append(materialise(emit_rows(dealt, _add(k, wholes), REPLIES)))
+        dealt = asked.where("place IS NOT NULL").drop("whole").repartition(n, "key").sortWithinPartitions("place", "owner")
+        replies.append(materialise(emit_rows(dealt, _add(k, wholes, layout.keys), REPLIES)))
         out = _total(asked, replies[-1])
         release(asked)
         return out
@@ -464,7 +476,7 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
         total = sums[0]
         return np.array([0, (total > 0).sum(), 0, (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
 
-    got = exchange(emit_rows(state.select("owner", "words", "fan", "contexts", "ctx", "cnt"), _grouped(begin, "owner"), ASKS), 0, begin_split)
+    got = exchange(emit_rows(state.select("key", "owner", "words", "fan", "contexts", "ctx", "cnt"), _grouped(begin, "owner"), ASKS), 0, begin_split)
     n_train, v, w1, w2, p1, p2 = got[2:].tolist()
     whole.append(got[:2])
     model |= {"V": v, "d0": _discount(w1, w2), "d1": _discount(p1, p2), "unknown": UNKNOWN_SHARE if v else 1.0}
@@ -491,7 +503,7 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
         got = replies[0]
         for r in replies[1:]:
             got = got.unionByName(r)
-        return state.select(*columns).groupBy("owner").cogroup(got.drop("whole").groupBy("owner")).applyInArrow(call, kind)
+        return state.select(*columns).groupBy("key").cogroup(got.drop("whole").groupBy("key")).applyInArrow(call, kind)
 
     for k in range(1, sweeps + 1):
 
@@ -507,7 +519,7 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
             t0 = seat(sums[0], whole[k - 1][1] - last[1], STRENGTH, model["d0"], base, words, seed, k)
             return np.array([0, t0.sum()], np.int64)
 
-        whole.append(exchange(both(sweep, ASKS, ["owner", "words", "fan", "contexts", "ctx", "cnt"]), k, split)[:2])
+        whole.append(exchange(both(sweep, ASKS, ["key", "owner", "words", "fan", "contexts", "ctx", "cnt"]), k, split)[:2])
     free_shuffles(spark)
 
     def answer(rows: list[dict], got: list[dict]) -> Iterator[dict]:

@@ -249,3 +249,17 @@ def test_licenses_of_any_span_length_equal_brute_force(spark):
     got = {(r["doc_id"], r["license"]): r["dice"] for r in L.license_scan(df, known).collect()}
     want = {(d, n): v for d, t in rows for n, x in known.items() if (v := brute_spans(t, x))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and (99, "mit") in got and len(got) >= 12
+
+
+def test_related_licenses_are_told_apart(spark):
+    rng = random.Random(10)
+    names = ["bsd-2-clause", "bsd-3-clause", "mit", "mit-0", "isc", "0bsd", "gpl-2.0-header", "gpl-3.0-header", "agpl-3.0-header", "gpl-2.0-opening", "gpl-3.0-opening", "mpl-2.0-opening"]
+    rows = [row(i, f"{prose(rng, 30)} {L.TEMPLATES[n].lower()} {prose(rng, 40)}") for i, n in enumerate(names)]
+    rows.append(row(99, L.TEMPLATES["mit"] + " " + prose(rng, 50) + " " + L.TEMPLATES["bsd-3-clause"]))
+    found = L.license_scan(spark.createDataFrame(rows, DOCS)).collect()
+    best = defaultdict(set)
+    for r in found:
+        if r["best"]:
+            best[r["doc_id"]].add(r["license"])
+    assert {k: v for k, v in best.items() if k != 99} == {i: {n} for i, n in enumerate(names)} and best[99] == {"mit", "bsd-3-clause"}
+    assert any(r["license"] == "bsd-2-clause" and not r["best"] for r in found if r["doc_id"] == 1)

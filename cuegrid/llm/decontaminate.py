@@ -21,7 +21,7 @@ choice: of windows at the threshold of 0.8 it holds all but one in some thousand
 
 Defined results: null or empty texts and texts or items of fewer than five words
 match nothing; very long texts and items are whole, and work grows with their
-length; repeated documents and items give one row for each pair of ids; of several
+length; repeated documents and items give one row for each pair; of several
 windows the most similar, then the first, is reported; an empty table gives no
 rows; other columns are ignored.
 """
@@ -95,7 +95,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, similarity, distance, start_word, n_words: documents with a window as similar to an item."""
+    """doc_id, text_hash, item_id, similarity, distance, start_word, n_words: texts of documents with a window as similar to an item."""
     items = benchmark.select("item_id", words_of("text").alias("iw")).where(F.size("iw") >= K)
     # items of the same words are one
     items = items.groupBy("iw").agg(F.collect_set("item_id").alias("ids")).withColumn("ik", F.xxhash64("iw"))
@@ -128,10 +128,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     best = back.groupBy("tk", "ik").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x"))
     named = best.join(items.select("ik", F.explode("ids").alias("item_id")), "ik").select("tk", "item_id", "x")
     out = matched.select("doc_id", "tk").distinct().join(named, "tk")
-    # an id may stand for several texts
-    out = out.groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
-    return out.select("doc_id", "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"))
+    return out.select("doc_id", F.col("tk").alias("text_hash"), "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The best window of each document and item; an id may stand for several texts."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x"))
+    return best.select("doc_id", "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"))

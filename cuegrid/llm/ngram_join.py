@@ -31,9 +31,8 @@ the same set of shingles) and n_links (other documents of similarity at or above
 the threshold, copies included).
 
 Defined results: a null or empty text has no links and is its own class; repeated
-rows are copies of each other; rows without an id are counted in their class,
-whose ids are the smallest that are not null, and a class without any id has no
-links outside it; very long texts are whole sets like any other (one text's
+rows are copies of each other; rows without an id are linked like any other, the ids
+of a class are the smallest that are not null, and null where none is; very long texts are whole sets like any other (one text's
 shingles must fit a task); ties don't arise, links being symmetric; an empty table
 gives no rows; other columns are ignored.
 """
@@ -93,7 +92,7 @@ def _set_hash(grams: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set_hash, n (0: no words) and the signature: DEPTH values for each tree."""
+    """doc_id, text_hash, set_hash, n (0: no words) and the signature: DEPTH values for each tree."""
 
     def sign(block: TextBlock, _: pa.RecordBatch) -> dict:
         grams, ptr = _sets(block)
@@ -115,7 +114,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         sig = pa.Array.from_buffers(pa.binary(), block.n, [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())])
         return {"set_hash": _set_hash(grams, ptr), "n": n, "sig": sig}
 
-    return map_texts(docs, sign, "doc_id long, set_hash long, n long, sig binary")
+    return map_texts(docs, sign, "doc_id long, text_hash long, set_hash long, n long, sig binary")
 
 
 def _prefix(depth: int | str) -> Column:
@@ -153,7 +152,7 @@ def _kept(col: dict[str, np.ndarray], key: np.ndarray, deep: np.ndarray, least:
 
 def forest(classes: DataFrame, least: int) -> DataFrame:
     """tree, set_hash, n, key, deep: the matched keys of the tries."""
-    each = classes.where("copy_id IS NOT NULL").select("set_hash", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    each = classes.select("set_hash", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     each = each.select("tree", "set_hash", "n", F.expr(f"substring(sig, tree * {DEPTH * VALUE} + 1, {DEPTH * VALUE})").alias("key"))
     tries = each.repartition("tree", _prefix(least)).sortWithinPartitions("tree", "key")
     return emit_rows(tries, _deepest(least), "tree int, set_hash long, n long, key binary, deep int")
@@ -284,15 +283,17 @@ def _groups(matched: DataFrame, depth: int, known: list[DataFrame]) -> DataFrame
 
 
 def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    """doc_id, class_id, copy_id, n_links; text_hash and class_key (null without words) for rows that share ids or have none."""
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash")
     signed = materialise(signatures(docs))
-    classes = materialise(signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = materialise(signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     least = least_depth(threshold, target)
     matched = materialise(forest(classes, least))
 
-    wanted = materialise(matched.select("set_hash").distinct().join(classes.select("set_hash", "copy_id", "copies", "sig"), "set_hash"))
-    texts = docs.join(wanted.select(F.col("copy_id").alias("doc_id"), F.col("set_hash").alias("wanted")), "doc_id")
+    wanted = materialise(matched.select("set_hash").distinct().join(classes.select("set_hash", "one", "copies", "sig"), "set_hash"))
+    # one text of each class
+    side = wanted.select(F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"), F.col("set_hash").alias("wanted"))
+    texts = docs.join(side, docs["doc_id"].eqNullSafe(side["one_id"]) & (docs["text_hash"] == side["one_hash"]))
 
     def grams_of(block: TextBlock, _: pa.RecordBatch) -> dict:
         grams, ptr = _sets(block)
@@ -326,19 +327,19 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999)
         links = links.unionByName(part.drop("counts"))
 
     linked = links.groupBy("set_hash").agg(F.sum("linked").alias("linked"))
-    ids = classes.select("set_hash", "copy_id")
-    named = links.where("set_hash <> root").select("set_hash", "root").distinct().join(ids, "set_hash").select("root", F.col("copy_id").alias("a"))
-    named = named.join(ids.select(F.col("set_hash").alias("root"), F.col("copy_id").alias("b")), "root").select("a", "b")
-    found = connected(named).select(F.col("node").alias("copy_id"), F.col("root").alias("class_id"))
-    per_class = materialise(classes.select("set_hash", "copy_id", "copies").join(linked, "set_hash", "left").join(found, "copy_id", "left").select("set_hash", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    found = connected(links.where("set_hash <> root").select(F.col("set_hash").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("node").alias("set_hash"), F.col("root").alias("class_key"))
+    keyed = classes.select("set_hash", "copy_id", "copies").join(found, "set_hash", "left").withColumn("class_key", F.coalesce("class_key", "set_hash"))
+    named = keyed.groupBy("class_key").agg(F.min("copy_id").alias("class_id"))
+    per_class = materialise(keyed.join(named, "class_key").join(linked, "set_hash", "left").select("set_hash", "class_key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
     # few distinct classes hold most documents: Spark splits the documents' side where it is skewed
-    with_words = signed.where("n > 0").select("doc_id", "set_hash").join(per_class, "set_hash").select("doc_id", "class_id", "copy_id", "n_links")
-    without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    out = ["doc_id", "class_id", "copy_id", "n_links", "text_hash", "class_key"]
+    with_words = signed.where("n > 0").select("doc_id", "text_hash", "set_hash").join(per_class, "set_hash").select(*out)
+    without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("class_key"))
     return with_words.unionByName(without)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
 
 OP1_SQL = r"""

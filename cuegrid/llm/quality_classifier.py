@@ -273,17 +273,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[Voca
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 5000) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    """doc_id, held_out, score, predicted, text_hash."""
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash")
     words, vectors, model = fit(docs, labels, per_class)
     index = index_vectors()
 
     def score(block: TextBlock, _: pa.RecordBatch) -> dict:
         return {"score": np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, words, vectors, index).astype(np.float64))}
 
-    out = map_texts(docs, score, "doc_id long, score double")
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = map_texts(docs, score, "doc_id long, score double, text_hash long")
+    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")

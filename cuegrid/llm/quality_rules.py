@@ -10,10 +10,15 @@ strata keep the chance of any wrong certificate under delta.  Among the valid
 cutoffs the one that rejects most bad documents, less a price for good ones, is
 taken, the highest at ties.
 
-Defined results: a null text is empty (no words: base_failed).  A null stratum
-is a stratum of its own; a stratum without enough labels gets no cutoff, so
-only the base rules act there.  Repeated ids are scored row by row; repeated
-labels count once, with the larger label.  Extra columns are ignored.
+The certificate is about the cutoffs: it counts good documents that pass the base
+rules and are rejected by a cutoff; what the base rules themselves reject, which the
+contract fixes, is not counted.
+
+Defined results: a null text is empty (no words: base_failed).  Very long texts are
+measured whole.  A null stratum is a stratum of its own; a stratum without enough
+labels gets no cutoff, so only the base rules act there.  Repeated ids are scored row
+by row; repeated labels count once, with the larger label.  An empty table gives no
+rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +139,7 @@ def with_shares(metrics: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, int]]:
-    """Cutoff bins by stratum and rule from all labelled documents that pass the base rules.  What reaches the driver is one row per stratum, rule and bin."""
+    """Cutoff bins by stratum and rule from all labelled documents that pass the base rules.  What reaches the driver is one row per stratum, rule and bin: 1,005 for each stratum at most."""
     known = scored.where(~F.col("base_failed")).join(one_label(labels, "quality"), "doc_id")
     long = known.select("stratum", "y", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES])).alias("x"))
     counts = gather(long.groupBy("stratum", "x.rule", "x.bin").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("bad"))).to_pylist()

@@ -13,8 +13,10 @@ where a step goes up the second term's gradient while it is negative.
 Only ids outside the held-out fold are learned from: at most ``positives`` toxic
 ones and ``unlabelled`` others, both in a seeded order; pi is the toxic share of
 all labelled ids outside the fold.  Defined results: null or empty texts get the
-score of a text without features; without any toxic label every score is 0; extra
-columns are ignored; repeated ids are scored row by row.
+score of a text without features; very long texts are read whole; equal texts get
+equal scores; features of equal z are ordered by their hash; without any toxic label
+every score is 0; an empty table gives no rows; extra columns are ignored; repeated
+ids are scored row by row.
 """
 
 from __future__ import annotations
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted, text_hash."""
     keys, weight, bias = fit(docs, labels, **bounds)
     look = Lookup(keys)
 
@@ -155,9 +157,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
         with np.errstate(over="ignore"):
             return {"score": 1 / (1 + np.exp(-s))}
 
-    out = map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), score, "doc_id long, score double")
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash"), score, "doc_id long, score double, text_hash long")
+    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")

@@ -96,3 +96,22 @@ def test_run_equals_its_stages_and_queries_are_named(spark, planted):
     out = P.run(spark, d)
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() > 400
     assert sorted(queries.queries()) == sorted(f.__name__ for f in queries.QUERIES) and len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def test_pipeline_of_empty_tables_and_odd_rows(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("odd"))
+    rng = random.Random(3)
+    base, other, third = prose(rng, 80), prose(rng, 70), prose(rng, 60)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, base, "en", "a", 1), (5, base + " mehr", "en", "a", 1), (5, other, "en", None, 1), (None, base, None, "b", 1), (None, third, None, "b", 1), (None, third + " x", None, "b", 1), (7, prose(rng, 30000), "en", "a", 1), (8, None, None, None, None), (9, "", "en", "a", 0)]
+    for name, data, kind in (("documents", rows, kinds), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{at}/{name}.parquet")
+    kept = P.drop_copies(spark, P.table(spark, at, "documents"), at)
+    # of the rows that share the id 5 only the copy goes; rows without an id are copies too
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept.collect() if r["doc_id"] != 7) == sorted([(1, base[:20]), (5, other[:20]), (0, third[:20]), (8, ""), (9, "")])
+    assert P.drop_leaks(spark, P.table(spark, at, "documents"), at).count() == len(rows)
+    assert P.drop_toxic(spark, P.table(spark, at, "documents"), at).count() == len(rows)
+    none = str(tmp_path_factory.mktemp("none"))
+    for name, kind in (("documents", kinds), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{none}/{name}.parquet")
+    assert P.run(spark, none).count() == 0

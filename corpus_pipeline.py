@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
 as Parquet and reads again as the next stage's docs.  A document without labels
-or with a null text is judged by its text like any other (null: empty).
+or with a null text is judged by its text like any other (null: empty), a very long
+one by its whole text.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,28 +21,40 @@ from cuegrid.llm.toxicity import toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id isn't among `ids`; those without an id stay."""
-    return docs.join(materialise(ids.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents whose id and text aren't among `found` (doc_id, text_hash): rows are told by both, ids may be shared or null."""
+    gone = materialise(found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    return hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["gone_id"]) & (hashed["_hash"] == gone["gone_hash"]), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is predicted to be toxic go.  Without toxic labels all stay; null and empty texts are judged as texts without features; an empty table stays empty."""
     return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is predicted to be of poor quality go.  With labels of one kind only all are judged alike; null and empty texts are judged as texts without words; an empty table stays empty."""
     return _without(docs, quality_classifier(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows that share an id, one."""
-    found = materialise(ngram_join(docs))
-    out = _without(docs, found.where("class_id <> doc_id"))
-    repeated = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
+    """Of each group of near copies the row with the smallest id stays (those without an id come last, then the text's hash decides); equal rows of id and text are one.  Texts without words are no copies; rows that share an id but not their text are judged by their texts."""
+    found = materialise(ngram_join(docs).where("class_key IS NOT NULL").groupBy("class_key", "doc_id", "text_hash").agg(F.count("*").alias("rows")))
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.groupBy("class_key").agg(F.min(row).alias("first"))
+    out = _without(docs, found.join(first, "class_key").where(row != F.col("first")))
+    again = found.where("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+    if again.isEmpty():
+        return out
+    hashed = out.withColumn("_hash", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(again["again_id"]) & (hashed["_hash"] == again["again_hash"])
+    once = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return hashed.join(again, same, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a passage of the benchmark go.  An empty benchmark takes none; null, empty and very short texts stay."""
     return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
 
 

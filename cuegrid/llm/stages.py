@@ -38,9 +38,14 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Folders of tables that this process has written and not released.
+_WRITTEN: set[str] = set()
+
+
 def _kept(df: DataFrame, at: str) -> DataFrame:
     path, files = _path(df.sparkSession, at)
     files.deleteOnExit(path)
+    _WRITTEN.add(at)
     df._kept_at = at
     return df
 
@@ -67,6 +72,18 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path, files = _path(df.sparkSession, df._kept_at)
         files.delete(path, True)
+        _WRITTEN.discard(df._kept_at)
+
+
+def materialise_only(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what make() gives, and delete the tables that were written on the way to it."""
+    before = set(_WRITTEN)
+    out = materialise(make())
+    for at in _WRITTEN - before - {out._kept_at}:
+        path, files = _path(out.sparkSession, at)
+        files.delete(path, True)
+        _WRITTEN.discard(at)
+    return out
 
 
 def free_shuffles(spark: SparkSession) -> None:

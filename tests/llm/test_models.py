@@ -104,6 +104,54 @@ def test_context_vectors_equal_brute_force(spark, docs, texts):
     assert known.slots(np.array([hashes[top[0]], 12345], np.uint64)).tolist() == [slot[hashes[top[0]]], known.size]
 
 
+def test_toxicity_scores_equal_brute_force(spark, docs, texts):
+    """Weights of the features that a text has, told by plain string operations."""
+    import re
+
+    df, labels = labelled(spark, 400)
+    both = df.unionByName(docs.withColumn("doc_id", docs.doc_id + 10_000))
+    keys, weight, bias = X.fit(both, labels)
+    number = {int(k): w for k, w in zip(keys, weight)}
+
+    def score(t):
+        feats = set()
+        for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(t)):
+            raw = w.encode()
+            feats.add(int(hash_of(raw)))
+            feats |= {int(hash_of(raw[:k])) ^ k for k in (4, 5) if len(raw) > k}
+        return 1 / (1 + math.exp(-(sum(number.get(f, 0.0) for f in feats) + bias)))
+
+    want = Counter((None if d is None else d + 10_000, round(score(t), 6)) for d, t in texts)
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in X.toxicity(both, labels).collect() if r["doc_id"] is None or r["doc_id"] >= 10_000)
+    assert got == want
+
+
+def test_pooling_equals_brute_force(spark, docs, texts):
+    known = C.vocabulary(docs.select("text"), 60)
+    index, vectors = C.index_vectors(), C.word_vectors(docs, known)
+    slot = dict(zip(known.keys.tolist(), range(known.size)))
+    import pyarrow as pa
+
+    from cuegrid.llm.textblock import chunks
+
+    kind = lambda b: 5 if b >= 128 else 0 if chr(b).islower() else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 if chr(b) in ".,;:'" else 4
+    some = [t for _, t in texts if len(t) < 4000]
+    got = np.concatenate([C.pooled(b, known, vectors, index) for _, _, b in chunks(pa.array(some))])
+    for t, x in zip(some, got):
+        ws = WORDS.findall(t)
+        if not ws:
+            assert not x.any()
+            continue
+        h = [int(word_hash_as_is(w)) for w in ws]
+        raw = [w.encode() for w in ws]
+        own = np.array([vectors[slot.get(k, known.size)] for k in h])
+        shape = np.array([vectors[known.size + 1 + ((kind(r[0]) * 6 + kind(r[min(1, len(r) - 1)])) * 6 + kind(r[-1])) * 8 + min(len(r), 8) - 1] for r in raw])
+        idx = np.array([index[k & (C.PATTERNS - 1)] for k in h], float)
+        want = [*own.mean(0), *own.std(0), *shape.mean(0), *shape.std(0), np.linalg.norm(own.mean(0)), np.linalg.norm(shape.mean(0)), np.linalg.norm(idx.mean(0))]
+        want += [sum((a & (C.PATTERNS - 1)) == (b & (C.PATTERNS - 1)) for a, b in zip(h, h[k:])) / len(h) for k in (1, 2)]
+        assert np.allclose(x, want, atol=2e-3)
+
+
 def test_non_negative_risk_turns_back():
     ptr, feature = np.arange(101), np.array([0] * 50 + [0] * 15 + [1] * 35)  # 30 % of the unlabelled are positive
     positive = np.arange(100) < 50
@@ -146,6 +194,12 @@ def word_hash_as_is(word):
     return next(b for _, _, b in chunks(pa.array([word]))).word_hash()[0]
 
 
+def hash_of(raw: bytes):
+    from cuegrid.llm.textblock import TextBlock
+
+    return TextBlock(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).span_hash(np.array([0]), np.array([len(raw)]))[0]
+
+
 class BruteModel:
     """The same model in dicts, one customer after the other."""
 

@@ -82,3 +82,47 @@ def test_a_certified_rule_rejects(spark):
     labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(3000)], "doc_id long, quality int")
     out = {r["doc_id"]: r["kept"] for r in Q.quality_rules(docs, labels, alpha=0.05, delta=0.05).collect()}
     assert not any(out[i] for i in range(0, 3000, 5)) and sum(out.values()) >= 2390
+
+
+def test_kept_equals_brute_force(spark):
+    """Cutoffs by exact binomial sums over all candidates, then every document judged."""
+    rng = random.Random(14)
+    alpha, delta, rows, labels = 0.2, 0.2, [], []
+    for i in range(3000):
+        t = prose(rng, rng.randint(5, 60))
+        kind = rng.randrange(6)
+        t = {0: t.upper(), 1: t + " #" * rng.randint(1, 40), 2: "\n".join([t] * 3), 3: t + "!" * rng.randint(1, 30)}.get(kind, t)
+        rows.append((i, t, rng.choice(["en", "fr", None]), "s"))
+        if rng.random() < 0.8:
+            labels.append((i, int(rng.random() < (0.003 if kind < 4 else 0.97))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["base_failed"], r["failed_rule"], r["kept"]) for r in Q.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int"), alpha=alpha, delta=delta).collect()}
+    label = dict(labels)
+
+    def shares(t):
+        n, chars, symbols, dup, repeats = brute(t)
+        lines = sum(bool(WORDS.search(x)) for x in t.split("\n"))
+        part = {"symbols": (symbols, chars), "dup_lines": (dup, lines), "repeats": (repeats, n), "capitals": (sum("A" <= c <= "Z" for c in t), chars), "exclaims": (t.count("!"), n)}
+        return n < 20 or 100 * repeats > 30 * n, {k: min(Q.BINS, Q.BINS * a // max(1, b)) for k, (a, b) in part.items()}
+
+    facts = {i: (s, *shares(t)) for i, t, s, _ in rows}
+    strata = {s for s, failed, _ in facts.values()}
+    tail = lambda k, n: sum(comb(n, i) * alpha_r**i * (1 - alpha_r) ** (n - i) for i in range(k + 1))
+    alpha_r = alpha / len(Q.RULES)
+    cut = {}
+    for s in strata:
+        known = [(bins, label[i]) for i, (x, failed, bins) in facts.items() if x == s and not failed and i in label]
+        for rule in Q.RULES:
+            best, gain = Q.BINS, 0
+            for b in range(Q.BINS - 1, -1, -1):
+                lost, won = (sum(bins[rule] > b and y == k for bins, y in known) for k in (1, 0))
+                if tail(lost, sum(y for _, y in known)) > delta / (len(Q.RULES) * len(strata)):
+                    break
+                if won - 10 * lost > gain:
+                    best, gain = b, won - 10 * lost
+            cut[s, rule] = best
+    want = {}
+    for i, (s, failed, bins) in facts.items():
+        rule = "base" if failed else next((r for r in Q.RULES if bins[r] > cut[s, r]), None)
+        want[i] = (failed, rule, rule is None)
+    assert got == want and len({v[1] for v in want.values()}) >= 4

@@ -15,7 +15,7 @@ from cuegrid.llm.decontaminate import leaks
 from cuegrid.llm.mixing import mix_documents
 from cuegrid.llm.ngram_join import ngram_join
 from cuegrid.llm.quality_classifier import quality_classifier
-from cuegrid.llm.stages import materialise, table
+from cuegrid.llm.stages import materialise, materialise_only, release, table
 from cuegrid.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,6 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = materialise_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs

@@ -61,7 +61,15 @@ def fingerprint(words: Column) -> Column:
     hashes = F.transform(words, lambda x: F.xxhash64(x))
     bit = lambda hs, b: F.size(F.filter(hs, lambda h: F.getbit(h, b) == 1)) * 2 > F.size(hs)
     # the hashes are bound by a lambda, so they are computed once
-    return F.transform(F.array(hashes), lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: F.when(bit(hs, b), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)))[0]
+    return F.transform(
+        F.array(hashes),
+        lambda hs: F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)),
+            F.lit(0).cast("long"),
+            lambda acc,
+            b: F.when(bit(hs, b), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc),
+        ),
+    )[0]
 
 
 def _block(fp: Column, i: Column) -> Column:
@@ -73,8 +81,14 @@ def hamming_pairs(left: DataFrame, right: DataFrame, on: str | None = None) -> D
     near = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
     each = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     a = left.withColumn("block", F.explode(each)).withColumn("part", _block(F.col("fp"), F.col("block")))
-    b = right.withColumn("block", F.explode(each)).withColumn("mask", F.explode(F.lit(near))).withColumn("part", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("mask"))).drop("mask")
-    pairs = a.join(b, ["block", "part", *([on] if on else [])]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
+    b = right.withColumn("block", F.explode(each)).withColumn("mask", F.explode(F.lit(near))).withColumn(
+        "part",
+        _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("mask")),
+    ).drop("mask")
+    pairs = a.join(b, ["block", "part", *([on] if on else [])]).withColumn(
+        "distance",
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))),
+    ).where(F.col("distance") <= RADIUS)
     # a pair meets in several blocks: it counts in the first that is near enough
     earlier = F.exists(each, lambda i: (i < F.col("block")) & (F.bit_count(_block(F.col("fp"), i).bitwiseXOR(_block(F.col("item_fp"), i))) <= RADIUS // BLOCKS))
     return pairs.where(~earlier).drop("block", "part")
@@ -108,13 +122,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     texts = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("tk"))
     all_grams = texts.select("tk", words_of("text").alias("w")).select("tk", F.size("w").alias("n"), _grams("w").alias("gs"))
     # outer: the plain form infers a filter below, which would make the grams twice
-    near = all_grams.select("tk", "n", F.posexplode_outer("gs").alias("p", "g")).withColumn("slot", slot(F.col("g"))).join(F.broadcast(slots), "slot", "left_semi")
-    laid = near.join(grams, "g").select("tk", F.greatest(F.lit(0), F.col("p") - F.col("offset")).alias("start"), F.least(F.col("n"), F.col("p") - F.col("offset") + F.col("length")).alias("stop"), "length").distinct()
+    near = all_grams.select(
+        "tk",
+        "n",
+        F.posexplode_outer("gs").alias("p", "g"),
+    ).withColumn("slot", slot(F.col("g"))).join(F.broadcast(slots), "slot", "left_semi")
+    laid = near.join(grams, "g").select(
+        "tk",
+        F.greatest(F.lit(0), F.col("p") - F.col("offset")).alias("start"),
+        F.least(F.col("n"), F.col("p") - F.col("offset") + F.col("length")).alias("stop"),
+        "length",
+    ).distinct()
     spots = materialise(laid.groupBy("tk").agg(F.collect_list(F.struct("start", "stop", "length")).alias("spots")))
     # the texts with windows; a text that many documents share is one skewed key, which a join alone may split
     matched = materialise(texts.join(spots.select("tk"), "tk"))
     whole = matched.groupBy("tk").agg(F.first("text").alias("text")).join(spots, "tk").select("tk", "spots", words_of("text").alias("w"))
-    cut = F.transform("spots", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice(F.col("w"), x["start"] + 1, x["stop"] - x["start"]).alias("ww")))
+    cut = F.transform(
+        "spots",
+        lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice(F.col("w"), x["start"] + 1, x["stop"] - x["start"]).alias("ww")),
+    )
     windows = materialise(whole.select("tk", F.explode(cut).alias("x")).select("tk", "x.*").withColumn("wh", F.xxhash64("ww")))
 
     once = windows.groupBy("wh", "length").agg(F.first("ww").alias("ww")).where(F.size("ww") >= K).withColumn("fp", fingerprint(F.col("ww")))
@@ -128,11 +154,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     best = back.groupBy("tk", "ik").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x"))
     named = best.join(items.select("ik", F.explode("ids").alias("item_id")), "ik").select("tk", "item_id", "x")
     out = matched.select("doc_id", "tk").distinct().join(named, "tk")
-    return out.select("doc_id", F.col("tk").alias("text_hash"), "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"))
+    return out.select(
+        "doc_id",
+        F.col("tk").alias("text_hash"),
+        "item_id",
+        "x.similarity",
+        (-F.col("x.d")).alias("distance"),
+        (-F.col("x.s")).alias("start_word"),
+        F.col("x.n_words").alias("n_words"),
+    )
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """The best window of each document and item; an id may stand for several texts."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x"))
-    return best.select("doc_id", "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"))
+    best = found.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x"),
+    )
+    return best.select(
+        "doc_id",
+        "item_id",
+        "x.similarity",
+        (-F.col("x.d")).alias("distance"),
+        (-F.col("x.s")).alias("start_word"),
+        F.col("x.n_words").alias("n_words"),
+    )

@@ -174,7 +174,15 @@ def _blocks(layout: Layout, home: bool):
             cut = np.concatenate((np.flatnonzero(np.diff(owner[first], prepend=-1)), [len(first)]))
             p_cut = np.append(first, len(of))[cut]
             for a, b, c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), p_cut[:-1].tolist(), p_cut[1:].tolist()):
-                yield {"key": [layout.keys[owner[c]]], "owner": [owner[c]], "block": [number], "words": [words[of[first[a:b]]].tobytes()], "fan": [_pack(fan[a:b])], "ctx": [_pack_contexts(ctx[c:d])], "cnt": [_pack(count[c:d])]}
+                yield {
+                    "key": [layout.keys[owner[c]]],
+                    "owner": [owner[c]],
+                    "block": [number],
+                    "words": [words[of[first[a:b]]].tobytes()],
+                    "fan": [_pack(fan[a:b])],
+                    "ctx": [_pack_contexts(ctx[c:d])],
+                    "cnt": [_pack(count[c:d])],
+                }
 
         for batch in batches:
             train = crc_fold(batch.column(0), FOLDS) != HELD_OUT
@@ -219,8 +227,12 @@ def _merge(owner: int, rows: list[dict]) -> Iterator[dict]:
     count = np.bincount(pair, np.concatenate([_unpack(r["cnt"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
     w_cut, p_cut = np.cumsum([len(x) for x in words])[:-1], np.cumsum([len(x) for x in ctx])[:-1]
     yield {
-        "key": [rows[0]["key"]], "owner": [owner], "words": [names.tobytes()], "fan": [_pack(np.bincount(pairs // len(contexts), minlength=len(names)))], "contexts": [_pack_contexts(contexts)], "ctx": [_pack(pairs % len(contexts))], "cnt": [_pack(count)],
-        "blocks": [[r["block"] for r in rows]], "word_of": [[_pack_rising(x) for x in np.split(word, w_cut)]], "pair_of": [[_pack_rising(x) for x in np.split(pair, p_cut)]],
+        "key": [rows[0]["key"]], "owner": [owner], "words": [names.tobytes()], "fan": [
+            _pack(np.bincount(pairs // len(contexts), minlength=len(names)))
+        ], "contexts": [_pack_contexts(contexts)], "ctx": [_pack(pairs % len(contexts))], "cnt": [_pack(count)],
+        "blocks": [[r["block"] for r in rows]], "word_of": [
+            [_pack_rising(x) for x in np.split(word, w_cut)]
+        ], "pair_of": [[_pack_rising(x) for x in np.split(pair, p_cut)]],
     }
 
 
@@ -349,7 +361,16 @@ class Owner:
         w_cut = np.searchsorted(self.layout.home(names), np.arange(self.layout.owners + 1))
         for g in np.flatnonzero((np.diff(cut) > 0) | (np.diff(w_cut) > 0)).tolist():
             a, b, c, d = cut[g], cut[g + 1], w_cut[g], w_cut[g + 1]
-            yield {"key": [self.layout.keys[g]], "place": [g], "owner": [self.number], "whole": [None], "contexts": [_pack_contexts(self.contexts[a:b])], "ctx": [_pack(np.concatenate([v[a:b] for v in ctx]))], "words": [names[c:d].tobytes()], "word": [_pack(np.concatenate([v[self.split][c:d] for v in word]))]}
+            yield {
+                "key": [self.layout.keys[g]],
+                "place": [g],
+                "owner": [self.number],
+                "whole": [None],
+                "contexts": [_pack_contexts(self.contexts[a:b])],
+                "ctx": [_pack(np.concatenate([v[a:b] for v in ctx]))],
+                "words": [names[c:d].tobytes()],
+                "word": [_pack(np.concatenate([v[self.split][c:d] for v in word]))],
+            }
 
 
 ASKS = "key int, place int, owner int, whole binary, contexts binary, ctx binary, words binary, word binary"
@@ -385,7 +406,12 @@ def _add(k: int, wholes, keys: list[int]):
 def _sums(replies: list[dict], k: int, rows: int) -> dict[str, list[np.ndarray]]:
     """The replies after sweep k, in the order of the keys."""
     mine = sorted((r for r in replies if r["k"] == k), key=lambda r: r["place"])
-    return {kind: np.concatenate([np.zeros((rows, 0), np.int64), *[_unpack(r[kind]).reshape(rows, -1) for r in mine if len(r[kind]) > 1]], axis=1) for kind in ("ctx", "word")}
+    return {
+        kind: np.concatenate(
+            [np.zeros((rows, 0), np.int64), *[_unpack(r[kind]).reshape(rows, -1) for r in mine if len(r[kind]) > 1]],
+            axis=1,
+        ) for kind in ("ctx", "word")
+    }
 
 
 def _total(*frames: DataFrame) -> np.ndarray:
@@ -545,12 +571,27 @@ def score(docs: DataFrame, seed: int = 17, owner_bytes: int = OWNER_BYTES) -> Da
         c = np.repeat(total, _unpack(h["fan"]))
         head = np.cumsum(size) - size
         base = np.log10((c + 1) / (n_train + v + 1))
-        cols = [h["ids"], size, np.add.reduceat((c > 0)[ref].astype(np.int64), head), np.add.reduceat(base[ref], head), np.add.reduceat(pair.astype(np.float64)[ref], head)]
+        cols = [
+            h["ids"],
+            size,
+            np.add.reduceat((c > 0)[ref].astype(np.int64), head),
+            np.add.reduceat(base[ref], head),
+            np.add.reduceat(pair.astype(np.float64)[ref], head),
+        ]
         return pa.table([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
 
     home = emit_rows(docs, _blocks(layout, True), "block long, ids array<long>, size array<long>, refs binary, fan binary")
     done = home.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, kind)
-    return done.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return done.select(
+        "doc_id",
+        (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(n_train).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:

@@ -128,10 +128,20 @@ def _first_in_order(units: DataFrame, state: DataFrame) -> DataFrame:
     # one row for each pattern and bucket; a window over the buckets of a pattern, BUCKETS at most
     upto = F.sum("words").over(Window.partitionBy("i").orderBy("bucket"))
     sums = open_.groupBy("i", "rest", "bucket").agg(F.sum("size").alias("words")).withColumn("upto", upto).where("upto > rest")
-    cuts = materialise(sums.groupBy("i", "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("i", "rest", "c.*"))
-    inside = open_.drop("rest").join(cuts, ["i", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("i").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = materialise(
+        sums.groupBy("i", "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("i", "rest", "c.*"),
+    )
+    inside = open_.drop("rest").join(cuts, ["i", "bucket"]).withColumn(
+        "upto",
+        F.col("before") + F.sum("size").over(Window.partitionBy("i").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)),
+    )
     last = inside.where("upto <= rest").groupBy("i").agg(F.max(F.struct("upto", F.struct(*KEY).alias("me"))).alias("x"))
-    return cuts.join(last, "i", "left").select("i", F.col("bucket").alias("cut"), F.col("x.me").alias("last"), (F.col("rest") - F.coalesce("x.upto", "before")).alias("room"))
+    return cuts.join(last, "i", "left").select(
+        "i",
+        F.col("bucket").alias("cut"),
+        F.col("x.me").alias("last"),
+        (F.col("rest") - F.coalesce("x.upto", "before")).alias("room"),
+    )
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +160,9 @@ def _choose(units: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = materialise(_first_in_order(units, state))
     named = state.select("i", "p").join(edges.where("room > 0"), "i")
     later = F.col("last").isNull() | (F.struct(*KEY) > F.col("last"))
-    left = units.join(named, units["pattern"].eqNullSafe(named["p"])).where("size > 0 AND size <= room").where((F.col("bucket") > F.col("cut")) | ((F.col("bucket") == F.col("cut")) & later))
+    left = units.join(named, units["pattern"].eqNullSafe(named["p"])).where("size > 0 AND size <= room").where(
+        (F.col("bucket") > F.col("cut")) | ((F.col("bucket") == F.col("cut")) & later),
+    )
     left = left.select("i", "bucket", *KEY, F.floor(F.log2("size")).cast("int").alias("class"))
     room, parts = edges.select("i", "room"), []
     while True:
@@ -175,14 +187,30 @@ def _choose(units: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, taken
 
 
-def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 11) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    members: str = "sources",
+    size: str = "size",
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    repeats: int = 3,
+    seed: int = 11,
+) -> DataFrame:
     """docs: doc_id, size, and an array of the sources it belongs to.  Adds pattern, source_size and target (of its first source), epochs, picked and taken.  Sources get the weights in turn, by code point, null last; one row for each pattern reaches the driver."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("size"), F.array_sort(F.array_distinct(F.col(members))).alias("pattern"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("size"),
+        F.array_sort(F.array_distinct(F.col(members))).alias("pattern"),
+    )
     # rows that share id, pattern and size are numbered
-    rows = rows.groupBy("pattern", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
+    rows = rows.groupBy("pattern", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "copy",
+        F.explode(F.sequence(F.lit(1).cast("long"), "rows")),
+    ).drop("rows")
     # the sign bit is turned, so h and the buckets are in the hash's unsigned order
-    units = materialise(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "copy").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("bucket", (F.shiftright("h", 52)).cast("int")))
+    units = materialise(
+        rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "copy").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("bucket", (F.shiftright("h", 52)).cast("int")),
+    )
     patterns = [(tuple(r["pattern"] or []), r["cap"]) for r in units.groupBy("pattern").agg(F.sum("size").alias("cap")).collect()]
     patterns.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
     sources = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
@@ -210,12 +238,24 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", weights:
     out = out.join(filled, me, "left")
     first = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.struct(*KEY) <= F.col("last")))
     out = out.withColumn("picked", (F.col("size") > 0) & (F.col("fi").isNotNull() | F.coalesce(first, F.lit(False))))
-    return out.select("doc_id", "size", "pattern", "source_size", "target", "epochs", "picked", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"))
+    return out.select(
+        "doc_id",
+        "size",
+        "pattern",
+        "source_size",
+        "target",
+        "epochs",
+        "picked",
+        (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"),
+    )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Documents with one source each."""
-    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array(F.col("source").cast("string")).alias("sources")), **options)
+    return mix(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array(F.col("source").cast("string")).alias("sources")),
+        **options,
+    )
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -286,7 +286,15 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999)
     """doc_id, class_id, copy_id, n_links; text_hash and class_key (null without words) for rows that share ids or have none."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash")
     signed = materialise(signatures(docs))
-    classes = materialise(signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = materialise(
+        signed.where("n > 0").groupBy("set_hash").agg(
+            F.min("doc_id").alias("copy_id"),
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"),
+            F.count("*").alias("copies"),
+            F.first("n").alias("n"),
+            F.first("sig").alias("sig"),
+        ),
+    )
     least = least_depth(threshold, target)
     matched = materialise(forest(classes, least))
 
@@ -307,7 +315,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999)
     while True:
         groups = materialise(_groups(matched, depth, known))
         known.append(groups.select("content", "m"))
-        placed = matched.where(F.col("deep") >= depth).select("set_hash", "tree", _prefix(depth).alias("prefix")).join(groups.select("tree", "prefix", "blocks"), ["tree", "prefix"])
+        placed = matched.where(F.col("deep") >= depth).select("set_hash", "tree", _prefix(depth).alias("prefix")).join(
+            groups.select("tree", "prefix", "blocks"),
+            ["tree", "prefix"],
+        )
         placed = placed.withColumn("block", F.pmod(F.xxhash64("set_hash", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         placed = placed.withColumn("task", F.xxhash64("tree", "prefix", F.least("block", "other"), F.greatest("block", "other")))
@@ -327,14 +338,31 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.9999)
         links = links.unionByName(part.drop("counts"))
 
     linked = links.groupBy("set_hash").agg(F.sum("linked").alias("linked"))
-    found = connected(links.where("set_hash <> root").select(F.col("set_hash").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("node").alias("set_hash"), F.col("root").alias("class_key"))
+    found = connected(
+        links.where("set_hash <> root").select(F.col("set_hash").alias("a"), F.col("root").alias("b")).distinct(),
+    ).select(F.col("node").alias("set_hash"), F.col("root").alias("class_key"))
     keyed = classes.select("set_hash", "copy_id", "copies").join(found, "set_hash", "left").withColumn("class_key", F.coalesce("class_key", "set_hash"))
     named = keyed.groupBy("class_key").agg(F.min("copy_id").alias("class_id"))
-    per_class = materialise(keyed.join(named, "class_key").join(linked, "set_hash", "left").select("set_hash", "class_key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    per_class = materialise(
+        keyed.join(named, "class_key").join(linked, "set_hash", "left").select(
+            "set_hash",
+            "class_key",
+            "copy_id",
+            "class_id",
+            (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+        ),
+    )
     # few distinct classes hold most documents: Spark splits the documents' side where it is skewed
     out = ["doc_id", "class_id", "copy_id", "n_links", "text_hash", "class_key"]
     with_words = signed.where("n > 0").select("doc_id", "text_hash", "set_hash").join(per_class, "set_hash").select(*out)
-    without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("class_key"))
+    without = signed.where("n = 0").select(
+        "doc_id",
+        F.col("doc_id").alias("class_id"),
+        F.col("doc_id").alias("copy_id"),
+        F.lit(0).cast("long").alias("n_links"),
+        "text_hash",
+        F.lit(None).cast("long").alias("class_key"),
+    )
     return with_words.unionByName(without)
 
 

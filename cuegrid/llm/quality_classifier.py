@@ -131,7 +131,9 @@ def vocabulary(sample: DataFrame, most: int = WORDS) -> Vocabulary:
         return {"key": ragged(words.view(np.int64), pad), "n": ragged(n, pad)}
 
     lists = map_texts(sample, count, "key array<long>, n array<long>").where("size(key) > 0")
-    top = lists.select(F.explode(F.arrays_zip("key", "n")).alias("x")).groupBy("x.key").agg(F.sum("x.n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(most)
+    top = lists.select(
+        F.explode(F.arrays_zip("key", "n")).alias("x"),
+    ).groupBy("x.key").agg(F.sum("x.n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(most)
     return Vocabulary(np.asarray(gather(top.select("key"))["key"]).astype(np.int64).view(np.uint64))
 
 
@@ -282,7 +284,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
         return {"score": np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, words, vectors, index).astype(np.float64))}
 
     out = map_texts(docs, score, "doc_id long, score double, text_hash long")
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
+    return out.select(
+        "doc_id",
+        (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        "text_hash",
+    )
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -135,14 +135,21 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: flo
 
 def with_shares(metrics: DataFrame) -> DataFrame:
     out = metrics.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.withColumns({f"bin_{r}": F.least(F.lit(BINS), F.floor(BINS * F.col(a) / F.greatest(F.lit(1), F.col(b)))).cast("int") for r, (a, b) in RULES.items()})
+    return out.withColumns(
+        {f"bin_{r}": F.least(F.lit(BINS), F.floor(BINS * F.col(a) / F.greatest(F.lit(1), F.col(b)))).cast("int") for r, (a, b) in RULES.items()},
+    )
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, int]]:
     """Cutoff bins by stratum and rule from all labelled documents that pass the base rules.  What reaches the driver is one row per stratum, rule and bin: 1,005 for each stratum at most."""
     known = scored.where(~F.col("base_failed")).join(one_label(labels, "quality"), "doc_id")
     long = known.select("stratum", "y", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES])).alias("x"))
-    counts = gather(long.groupBy("stratum", "x.rule", "x.bin").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("bad"))).to_pylist()
+    counts = gather(
+        long.groupBy("stratum", "x.rule", "x.bin").agg(
+            F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"),
+            F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("bad"),
+        ),
+    ).to_pylist()
     hist: dict[tuple[str, str], np.ndarray] = {}
     for r in counts:
         h = hist.setdefault((r["stratum"], r["rule"]), np.zeros((2, BINS + 1), np.int64))
@@ -160,10 +167,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     scored = with_shares(materialise(map_texts(rows, measures, ddl)))
     cutoffs = calibrate(scored, labels, alpha, delta)
     spark = docs.sparkSession
-    cut = spark.createDataFrame([(s, *(c.get(r, BINS) for r in RULES)) for s, c in cutoffs.items()], "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
+    cut = spark.createDataFrame(
+        [(s, *(c.get(r, BINS) for r in RULES)) for s, c in cutoffs.items()],
+        "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES),
+    )
     failed = F.coalesce(*[F.when(F.col(f"bin_{r}") > F.coalesce(F.col(f"cut_{r}"), F.lit(BINS)), F.lit(r)) for r in RULES])
     out = scored.join(cut, "stratum", "left").withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(failed))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", F.col("failed_rule").isNull().alias("kept"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "failed_rule",
+        F.col("failed_rule").isNull().alias("kept"),
+    )
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,18 @@ from cuegrid.llm.token_counts import op7_token_counts
 from cuegrid.llm.toxicity import op9_toxicity
 from cuegrid.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = [op1_ngram_join, op2_decontamination, op3_url_filter, op4_quality_rules, op5_quality_classifier, op6_language_model, op7_token_counts, op8_mixing, op9_toxicity, op10_licenses]
+QUERIES = [
+    op1_ngram_join,
+    op2_decontamination,
+    op3_url_filter,
+    op4_quality_rules,
+    op5_quality_classifier,
+    op6_language_model,
+    op7_token_counts,
+    op8_mixing,
+    op9_toxicity,
+    op10_licenses,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

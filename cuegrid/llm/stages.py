@@ -106,7 +106,10 @@ def map_texts(df: DataFrame, fn: Callable[[TextBlock, pa.RecordBatch], dict], dd
             for i, j, block in chunks(batch.column(batch.schema.get_field_index(text))):
                 rows = batch.slice(i, j - i)
                 made = fn(block, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else rows.column(rows.schema.get_field_index(f.name)).cast(f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[f.name], f.type) if f.name in made else rows.column(rows.schema.get_field_index(f.name)).cast(f.type) for f in arrow],
+                    schema=arrow,
+                )
 
     return df.mapInArrow(run, kind)
 
@@ -129,7 +132,10 @@ def fold(doc_id: str, mod: int) -> Column:
 
 def one_label(labels: DataFrame, label: str) -> DataFrame:
     """doc_id, y: one row per id; the larger label where rows disagree; null ids and labels don't count."""
-    return labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
+    return labels.select(
+        "doc_id",
+        F.col(label).cast("int").alias("y"),
+    ).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 def labelled_sample(labels: DataFrame, label: str, per_class: int, mod: int = 5, out: int = 0) -> DataFrame:

@@ -146,7 +146,15 @@ def load(path: str) -> PieceRanks:
         model.ParseFromString(f.read())
     kinds = model.SentencePiece
     how, normal = model.trainer_spec, model.normalizer_spec
-    expected = {"a BPE model": how.model_type == how.BPE, "byte fallback": how.byte_fallback, "blanks as a prefix": not how.treat_whitespace_as_suffix, "no normalisation": not normal.precompiled_charsmap, "a mark before the text": normal.add_dummy_prefix, "all blanks kept": not normal.remove_extra_whitespaces, "blanks as marks": normal.escape_whitespaces}
+    expected = {
+        "a BPE model": how.model_type == how.BPE,
+        "byte fallback": how.byte_fallback,
+        "blanks as a prefix": not how.treat_whitespace_as_suffix,
+        "no normalisation": not normal.precompiled_charsmap,
+        "a mark before the text": normal.add_dummy_prefix,
+        "all blanks kept": not normal.remove_extra_whitespaces,
+        "blanks as marks": normal.escape_whitespaces,
+    }
     expected["no piece across a blank"] = all(MARK not in p.piece.lstrip(MARK) for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED))
     if missing := [k for k, v in expected.items() if not v]:
         raise ValueError(f"{path}: the counts rely on {', '.join(missing)}")

@@ -81,7 +81,9 @@ def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int) -> np.
         return {"key": ragged(key[head].view(np.int64), pad), "p": ragged(p, pad), "u": ragged(n - p, pad)}
 
     lists = map_texts(sample, count, "key array<long>, p array<long>, u array<long>").where("size(key) > 0")
-    flat = lists.select(F.explode(F.arrays_zip("key", "p", "u")).alias("x")).groupBy("x.key").agg(F.sum("x.p").alias("p"), F.sum("x.u").alias("u")).where("p + u >= 4")
+    flat = lists.select(
+        F.explode(F.arrays_zip("key", "p", "u")).alias("x"),
+    ).groupBy("x.key").agg(F.sum("x.p").alias("p"), F.sum("x.u").alias("u")).where("p + u >= 4")
     a, b = F.col("p") / n_pos, F.col("u") / n_unl
     mid = (F.col("p") + F.col("u")) / (n_pos + n_unl)
     z = F.abs(a - b) / F.sqrt(F.greatest(mid * (1 - mid), F.lit(1e-9)) * (1.0 / n_pos + 1.0 / n_unl))
@@ -89,7 +91,16 @@ def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int) -> np.
     return np.asarray(gather(top)["key"]).astype(np.int64).view(np.uint64)
 
 
-def train(ptr: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(
+    ptr: np.ndarray,
+    feature: np.ndarray,
+    positive: np.ndarray,
+    n_features: int,
+    prior: float,
+    steps: int = 400,
+    rate: float = 0.05,
+    decay: float = 1e-4,
+) -> tuple[np.ndarray, float]:
     """Weights and bias under the non-negative risk, by full-batch Adam."""
     n = len(positive)
     row = np.repeat(np.arange(n), np.diff(ptr))
@@ -123,9 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     prior = min(0.9, max(1e-3, toxic / total))
     pos = labelled_sample(labels, "toxic", positives, FOLDS, HELD_OUT).where("y = 1").select("doc_id", F.lit(True).alias("positive"))
     ids = docs.select("doc_id").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull())
-    unl = ids.withColumn("h", F.xxhash64(F.lit("unlabelled"), "doc_id")).orderBy("h", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    unl = ids.withColumn(
+        "h",
+        F.xxhash64(F.lit("unlabelled"), "doc_id"),
+    ).orderBy("h", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # at most positives + unlabelled ids: a proven bound for the broadcast
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id").select("doc_id", "text", "positive").repartition(24, "doc_id"))
+    sample = materialise(
+        docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id").select("doc_id", "text", "positive").repartition(24, "doc_id"),
+    )
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_unl:
@@ -157,8 +173,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
         with np.errstate(over="ignore"):
             return {"score": 1 / (1 + np.exp(-s))}
 
-    out = map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash"), score, "doc_id long, score double, text_hash long")
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
+    out = map_texts(
+        docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash"),
+        score,
+        "doc_id long, score double, text_hash long",
+    )
+    return out.select(
+        "doc_id",
+        (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        "text_hash",
+    )
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

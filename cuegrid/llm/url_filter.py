@@ -37,7 +37,12 @@ def _key(key: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """key, action, since, until (null: still holds), without removals and empty intervals."""
     w = Window.partitionBy("key").orderBy("day", "seq")
-    known = entries.select(_key(F.col("key")).alias("key"), "action", F.col("day").cast("long").alias("day"), "seq").where("key IS NOT NULL AND action IS NOT NULL AND day IS NOT NULL")
+    known = entries.select(
+        _key(F.col("key")).alias("key"),
+        "action",
+        F.col("day").cast("long").alias("day"),
+        "seq",
+    ).where("key IS NOT NULL AND action IS NOT NULL AND day IS NOT NULL")
     held = known.withColumn("until", F.lead("day").over(w))
     return held.where("action <> 'remove' AND (until IS NULL OR until > day)").select("key", "action", F.col("day").alias("since"), "until")
 
@@ -52,7 +57,10 @@ def lookup_keys(url: Column, segments: int, labels: int) -> Column:
     label = F.split(host, r"\.")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     key = lambda rank, k: F.struct(rank.cast("int").alias("rank"), k.alias("key"))
-    paths = F.transform(upto(F.size(path)) if segments else F.array().cast("array<int>"), lambda k: key(-k, F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))))
+    paths = F.transform(
+        upto(F.size(path)) if segments else F.array().cast("array<int>"),
+        lambda k: key(-k, F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))),
+    )
     ends = F.transform(upto(F.least(F.size(label) - 1, F.lit(labels))), lambda k: key(F.size(label) - k, F.array_join(F.slice(label, -k, k), ".")))
     return F.when(host.isNotNull(), F.concat(paths, F.array(key(F.lit(0), host)), ends))
 
@@ -62,12 +70,26 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: s
     held = intervals(entries)
     deep, wide = held.agg(F.max(F.size(F.split("key", "/")) - 1), F.max(F.size(F.split(F.regexp_extract("key", r"^([^/]*)", 1), r"\.")))).first()
     rows = captures.select(F.col("page_id"), F.col(url).alias("url"), F.col(day).cast("long").alias("fetch_day"))
-    asked = rows.where("url IS NOT NULL AND fetch_day IS NOT NULL").select("url", "fetch_day", F.explode(lookup_keys(F.col("url"), deep or 0, wide or 0)).alias("k"))
+    asked = rows.where("url IS NOT NULL AND fetch_day IS NOT NULL").select(
+        "url",
+        "fetch_day",
+        F.explode(lookup_keys(F.col("url"), deep or 0, wide or 0)).alias("k"),
+    )
     side = held.select(F.col("key").alias("key_r"), "since", "until", "action")
-    met = asked.join(side, (F.col("k.key") == F.col("key_r")) & (F.col("fetch_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetch_day") < F.col("until"))))
+    met = asked.join(
+        side,
+        (F.col("k.key") == F.col("key_r")) & (F.col("fetch_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetch_day") < F.col("until"))),
+    )
     hit = met.groupBy("url", "fetch_day").agg(F.min_by(F.struct("key_r", "action", "since"), "k.rank").alias("hit"))
     out = rows.join(hit, ["url", "fetch_day"], "left")
-    return out.select("page_id", "fetch_day", F.col("hit.key_r").alias("matched_key"), F.col("hit.action").alias("action"), F.col("hit.since").alias("since"), (F.coalesce(F.col("hit.action"), F.lit("allow")) != "block").alias("allowed"))
+    return out.select(
+        "page_id",
+        "fetch_day",
+        F.col("hit.key_r").alias("matched_key"),
+        F.col("hit.action").alias("action"),
+        F.col("hit.since").alias("since"),
+        (F.coalesce(F.col("hit.action"), F.lit("allow")) != "block").alias("allowed"),
+    )
 
 
 def listed(pages: DataFrame) -> DataFrame:
@@ -75,10 +97,22 @@ def listed(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     first = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]+)", 1)
     keys = pages.select(host.alias("host"), first.alias("first")).where("host <> ''").distinct()
-    each = keys.select(F.explode(F.array(F.col("host"), F.substring_index("host", ".", -2), F.when(F.col("first") != "", F.concat("host", F.lit("/"), F.col("first"))))).alias("key")).where("key IS NOT NULL").distinct()
-    digits = each.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("v", F.conv(F.substring(F.md5("key"), F.col("seq") * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    each = keys.select(
+        F.explode(
+            F.array(F.col("host"), F.substring_index("host", ".", -2), F.when(F.col("first") != "", F.concat("host", F.lit("/"), F.col("first")))),
+        ).alias("key"),
+    ).where("key IS NOT NULL").distinct()
+    digits = each.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+        "v",
+        F.conv(F.substring(F.md5("key"), F.col("seq") * 2 + 1, F.lit(2)), 16, 10).cast("int"),
+    )
     action = F.when(F.col("v") % 3 == 0, "block").when(F.col("v") % 3 == 1, "allow").otherwise("remove")
-    return digits.where("v < 96").select("key", action.alias("action"), (F.col("v") * 37 % 365).cast("long").alias("day"), F.col("seq").cast("long").alias("seq"))
+    return digits.where("v < 96").select(
+        "key",
+        action.alias("action"),
+        (F.col("v") * 37 % 365).cast("long").alias("day"),
+        F.col("seq").cast("long").alias("seq"),
+    )
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

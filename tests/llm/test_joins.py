@@ -213,7 +213,14 @@ def brute_spans(t, template, threshold=0.8):
 def test_licenses_equal_brute_force(spark, docs, empty):
     rng = random.Random(8)
     names = list(L.TEMPLATES)
-    rows = [(1, L.TEMPLATES["mit"]), (2, "x " + L.TEMPLATES["apache-2.0-notice"].upper() + " y"), (3, None), (4, ""), (5, "released under the mit"), (6, "released under the bsd license")]
+    rows = [
+        (1, L.TEMPLATES["mit"]),
+        (2, "x " + L.TEMPLATES["apache-2.0-notice"].upper() + " y"),
+        (3, None),
+        (4, ""),
+        (5, "released under the mit"),
+        (6, "released under the bsd license"),
+    ]
     for i in range(20):
         w = L.TEMPLATES[rng.choice(names)].split()
         for _ in range(rng.randint(0, 1 + len(w) // 12)):
@@ -250,7 +257,20 @@ def test_licenses_of_any_span_length_equal_brute_force(spark):
 
 def test_related_licenses_are_told_apart(spark):
     rng = random.Random(10)
-    names = ["bsd-2-clause", "bsd-3-clause", "mit", "mit-0", "isc", "0bsd", "gpl-2.0-header", "gpl-3.0-header", "agpl-3.0-header", "gpl-2.0-opening", "gpl-3.0-opening", "mpl-2.0-opening"]
+    names = [
+        "bsd-2-clause",
+        "bsd-3-clause",
+        "mit",
+        "mit-0",
+        "isc",
+        "0bsd",
+        "gpl-2.0-header",
+        "gpl-3.0-header",
+        "agpl-3.0-header",
+        "gpl-2.0-opening",
+        "gpl-3.0-opening",
+        "mpl-2.0-opening",
+    ]
     rows = [row(i, f"{prose(rng, 30)} {L.TEMPLATES[n].lower()} {prose(rng, 40)}") for i, n in enumerate(names)]
     rows.append(row(99, L.TEMPLATES["mit"] + " " + prose(rng, 50) + " " + L.TEMPLATES["bsd-3-clause"]))
     found = L.license_scan(spark.createDataFrame(rows, DOCS)).collect()

@@ -21,7 +21,15 @@ def test_flow_is_the_cheapest():
     cost = lambda f: sum(max(0, sum(x) - c) for x, c in zip(f, capacity))
     filled = [sum(f[k] for f, m in zip(flow, members) for k, s in enumerate(m) if s == j) for j in range(3)]
     assert filled == demand and all(sum(f) <= 2 * c for f, c in zip(flow, capacity))
-    best = min(cost(((a,), (b, c), (d, e))) for a, b, c, d, e in itertools.product(range(9), range(7), range(7), range(11), range(11)) if (a + b, c + d, e) == (5, 4, 6) and a <= 8 and b + c <= 6 and d + e <= 10)
+    best = min(
+        cost(((a,), (b, c), (d, e))) for a, b, c, d, e in itertools.product(
+            range(9),
+            range(7),
+            range(7),
+            range(11),
+            range(11),
+        ) if (a + b, c + d, e) == (5, 4, 6) and a <= 8 and b + c <= 6 and d + e <= 10
+    )
     assert cost(flow) == best
 
 
@@ -85,7 +93,12 @@ def test_repeated_rows_are_taken_one_by_one(spark):
 
 def test_tiny_sources_whole_epochs_and_one_document(spark):
     # source c is taken three times over; d holds one document, e none with a word
-    rows = [(i, ["a"], 50 + i % 11) for i in range(200)] + [(300 + i, ["b"], 1) for i in range(400)] + [(800, ["c"], 7), (801, ["d"], 5000), (802, ["e"], 0), (803, [None], 3)]
+    rows = [(i, ["a"], 50 + i % 11) for i in range(200)] + [(300 + i, ["b"], 1) for i in range(400)] + [
+        (800, ["c"], 7),
+        (801, ["d"], 5000),
+        (802, ["e"], 0),
+        (803, [None], 3),
+    ]
     out = X.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")).collect()
     check_filled(out)
     assert {r["doc_id"]: r["epochs"] for r in out}[800] == 3
@@ -125,9 +138,50 @@ def entries(spark, rows):
 
 
 def test_lists_are_read_as_of_the_fetch(spark):
-    e = entries(spark, [("Bad.org", "block", 10), ("bad.org", "remove", 20), ("bad.org", "block", 30), ("bad.org/ok", "allow", 30), ("x.bad.org", "allow", 40), ("tie.org", "block", 5), ("tie.org", "allow", 5), (None, "block", 1), ("n.org", None, 1), ("n.org", "block", None), ("deep.org/a/b/c/d/e", "block", 1), ("b.c.d.e.long.tld", "block", 1), ("single", "block", 1)])
-    urls = [("http://bad.org/", 9, None, True), ("https://user@www.bad.org:80/a?b#c", 10, "bad.org", False), ("http://bad.org", 20, None, True), ("bad.org/ok/page", 35, "bad.org/ok", True), ("http://bad.org/okay", 35, "bad.org", False), ("http://x.bad.org./z", 45, "x.bad.org", True), ("http://notbad.org", 15, None, True), ("http://tie.org", 7, "tie.org", True), ("http://BAD.org/OK/x", 35, "bad.org", False), ("http://deep.org/a/b/c/d/e/f", 5, "deep.org/a/b/c/d/e", False), ("http://deep.org/a/b/c/d/E", 5, None, True), ("http://a.b.c.d.e.long.tld/x", 5, "b.c.d.e.long.tld", False), ("http://any.single", 5, "single", False), ("http://x.org/" + "p/" * 20000, 5, None, True), ("http://bad.org/", 10, "bad.org", False), ("http://bad.org/", 10, "bad.org", False), (None, 15, None, True), ("", 15, None, True), ("http://bad.org", None, None, True), ("http://n.org", 9, None, True)]
-    df = spark.createDataFrame([(i, u, d, "x", "y") for i, (u, d, _, _) in enumerate(urls)], "page_id long, url string, fetch_day long, key string, action string")
+    e = entries(
+        spark,
+        [
+            ("Bad.org", "block", 10),
+            ("bad.org", "remove", 20),
+            ("bad.org", "block", 30),
+            ("bad.org/ok", "allow", 30),
+            ("x.bad.org", "allow", 40),
+            ("tie.org", "block", 5),
+            ("tie.org", "allow", 5),
+            (None, "block", 1),
+            ("n.org", None, 1),
+            ("n.org", "block", None),
+            ("deep.org/a/b/c/d/e", "block", 1),
+            ("b.c.d.e.long.tld", "block", 1),
+            ("single", "block", 1),
+        ],
+    )
+    urls = [
+        ("http://bad.org/", 9, None, True),
+        ("https://user@www.bad.org:80/a?b#c", 10, "bad.org", False),
+        ("http://bad.org", 20, None, True),
+        ("bad.org/ok/page", 35, "bad.org/ok", True),
+        ("http://bad.org/okay", 35, "bad.org", False),
+        ("http://x.bad.org./z", 45, "x.bad.org", True),
+        ("http://notbad.org", 15, None, True),
+        ("http://tie.org", 7, "tie.org", True),
+        ("http://BAD.org/OK/x", 35, "bad.org", False),
+        ("http://deep.org/a/b/c/d/e/f", 5, "deep.org/a/b/c/d/e", False),
+        ("http://deep.org/a/b/c/d/E", 5, None, True),
+        ("http://a.b.c.d.e.long.tld/x", 5, "b.c.d.e.long.tld", False),
+        ("http://any.single", 5, "single", False),
+        ("http://x.org/" + "p/" * 20000, 5, None, True),
+        ("http://bad.org/", 10, "bad.org", False),
+        ("http://bad.org/", 10, "bad.org", False),
+        (None, 15, None, True),
+        ("", 15, None, True),
+        ("http://bad.org", None, None, True),
+        ("http://n.org", 9, None, True),
+    ]
+    df = spark.createDataFrame(
+        [(i, u, d, "x", "y") for i, (u, d, _, _) in enumerate(urls)],
+        "page_id long, url string, fetch_day long, key string, action string",
+    )
     got = {r["page_id"]: (r["matched_key"], r["allowed"]) for r in U.url_filter(df, e).collect()}
     assert got == {i: (k, a) for i, (_, _, k, a) in enumerate(urls)}
     assert U.url_filter(df.limit(0), e).count() == 0 and U.url_filter(df, e.limit(0)).where("NOT allowed").count() == 0

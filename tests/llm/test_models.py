@@ -22,7 +22,15 @@ def crc(i, mod):
 
 def test_token_counts_equal_the_library(spark, docs, texts, empty):
     rng = random.Random(1)
-    odd = ["▁▁ ▁a", "<s></s><0x0A>", "東京 tower 😀", " " * 70 + "x", "aaaaabaaab" * 30, "\x00\x07", "".join(rng.choice("ab tehi  \n▁é東😀<0A>") for _ in range(400))]
+    odd = [
+        "▁▁ ▁a",
+        "<s></s><0x0A>",
+        "東京 tower 😀",
+        " " * 70 + "x",
+        "aaaaabaaab" * 30,
+        "\x00\x07",
+        "".join(rng.choice("ab tehi  \n▁é東😀<0A>") for _ in range(400)),
+    ]
     df = docs.unionByName(spark.createDataFrame([row(5000 + i, t) for i, t in enumerate(odd)], DOCS))
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = Counter((d, len(t.encode()), len(lib.encode(t))) for d, t in [*texts, *((5000 + i, t) for i, t in enumerate(odd))])
@@ -66,7 +74,10 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
 
 def test_held_out_labels_teach_nothing(spark):
     df, labels = labelled(spark, 300)
-    flipped = spark.createDataFrame([(r["doc_id"], 1 - r["quality"], 1 - r["toxic"]) if crc(r["doc_id"], 5) == 0 else tuple(r) for r in labels.collect()], labels.schema)
+    flipped = spark.createDataFrame(
+        [(r["doc_id"], 1 - r["quality"], 1 - r["toxic"]) if crc(r["doc_id"], 5) == 0 else tuple(r) for r in labels.collect()],
+        labels.schema,
+    )
     for f in (X.toxicity, C.quality_classifier):
         a, b = ({r["doc_id"]: round(r["score"], 9) for r in f(df, x).collect()} for x in (labels, flipped))
         assert a == b
@@ -147,7 +158,15 @@ def test_pooling_equals_brute_force(spark, docs, texts):
         own = np.array([vectors[slot.get(k, known.size)] for k in h])
         shape = np.array([vectors[known.size + 1 + ((kind(r[0]) * 6 + kind(r[min(1, len(r) - 1)])) * 6 + kind(r[-1])) * 8 + min(len(r), 8) - 1] for r in raw])
         idx = np.array([index[k & (C.PATTERNS - 1)] for k in h], float)
-        want = [*own.mean(0), *own.std(0), *shape.mean(0), *shape.std(0), np.linalg.norm(own.mean(0)), np.linalg.norm(shape.mean(0)), np.linalg.norm(idx.mean(0))]
+        want = [
+            *own.mean(0),
+            *own.std(0),
+            *shape.mean(0),
+            *shape.std(0),
+            np.linalg.norm(own.mean(0)),
+            np.linalg.norm(shape.mean(0)),
+            np.linalg.norm(idx.mean(0)),
+        ]
         want += [sum((a & (C.PATTERNS - 1)) == (b & (C.PATTERNS - 1)) for a, b in zip(h, h[k:])) / len(h) for k in (1, 2)]
         assert np.allclose(x, want, atol=2e-3)
 

@@ -36,7 +36,10 @@ def planted(spark, tmp_path_factory):
         ids["leaks"].add(2000 + k)
     rows += [(3000, clean[30][1], "en", "s0", 1), (3000, clean[30][1], "en", "s0", 1), (3001, None, None, None, None), (None, prose(rng, 40), "en", "s2", 1)]
     at = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(1)).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).withColumn("extra", F.lit(1)).repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return str(at), ids, items
@@ -103,12 +106,24 @@ def test_pipeline_of_empty_tables_and_odd_rows(spark, tmp_path_factory):
     rng = random.Random(3)
     base, other, third = prose(rng, 80), prose(rng, 70), prose(rng, 60)
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, base, "en", "a", 1), (5, base + " mehr", "en", "a", 1), (5, other, "en", None, 1), (None, base, None, "b", 1), (None, third, None, "b", 1), (None, third + " x", None, "b", 1), (7, prose(rng, 30000), "en", "a", 1), (8, None, None, None, None), (9, "", "en", "a", 0)]
+    rows = [
+        (1, base, "en", "a", 1),
+        (5, base + " mehr", "en", "a", 1),
+        (5, other, "en", None, 1),
+        (None, base, None, "b", 1),
+        (None, third, None, "b", 1),
+        (None, third + " x", None, "b", 1),
+        (7, prose(rng, 30000), "en", "a", 1),
+        (8, None, None, None, None),
+        (9, "", "en", "a", 0),
+    ]
     for name, data, kind in (("documents", rows, kinds), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
         spark.createDataFrame(data, kind).write.parquet(f"{at}/{name}.parquet")
     kept = P.drop_copies(spark, P.table(spark, at, "documents"), at)
     # of the rows that share the id 5 only the copy goes; rows without an id are copies too
-    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept.collect() if r["doc_id"] != 7) == sorted([(1, base[:20]), (5, other[:20]), (0, third[:20]), (8, ""), (9, "")])
+    assert sorted(
+        (r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept.collect() if r["doc_id"] != 7
+    ) == sorted([(1, base[:20]), (5, other[:20]), (0, third[:20]), (8, ""), (9, "")])
     assert P.drop_leaks(spark, P.table(spark, at, "documents"), at).count() == len(rows)
     assert P.drop_toxic(spark, P.table(spark, at, "documents"), at).count() == len(rows)
     none = str(tmp_path_factory.mktemp("none"))

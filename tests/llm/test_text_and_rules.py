@@ -96,13 +96,26 @@ def test_kept_equals_brute_force(spark):
         if rng.random() < 0.8:
             labels.append((i, int(rng.random() < (0.003 if kind < 4 else 0.97))))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: (r["base_failed"], r["failed_rule"], r["kept"]) for r in Q.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int"), alpha=alpha, delta=delta).collect()}
+    got = {
+        r["doc_id"]: (r["base_failed"], r["failed_rule"], r["kept"]) for r in Q.quality_rules(
+            df,
+            spark.createDataFrame(labels, "doc_id long, quality int"),
+            alpha=alpha,
+            delta=delta,
+        ).collect()
+    }
     label = dict(labels)
 
     def shares(t):
         n, chars, symbols, dup, repeats = brute(t)
         lines = sum(bool(WORDS.search(x)) for x in t.split("\n"))
-        part = {"symbols": (symbols, chars), "dup_lines": (dup, lines), "repeats": (repeats, n), "capitals": (sum("A" <= c <= "Z" for c in t), chars), "exclaims": (t.count("!"), n)}
+        part = {
+            "symbols": (symbols, chars),
+            "dup_lines": (dup, lines),
+            "repeats": (repeats, n),
+            "capitals": (sum("A" <= c <= "Z" for c in t), chars),
+            "exclaims": (t.count("!"), n),
+        }
         return n < 20 or 100 * repeats > 30 * n, {k: min(Q.BINS, Q.BINS * a // max(1, b)) for k, (a, b) in part.items()}
 
     facts = {i: (s, *shares(t)) for i, t, s, _ in rows}

@@ -63,7 +63,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("n-gram jaccard join", drop_copies), ("benchmark decontamination", drop_leaks), ("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("n-gram jaccard join", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
 
 #: Classifiers, fingerprints and seeded choices have no SQL: tests compare with brute force.
 ORACLE_SQL = None

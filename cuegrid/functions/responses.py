@@ -65,7 +65,10 @@ def _whole(v: Column) -> Column:
     kind = F.schema_of_variant(v)
     text = T.strip(v.try_cast("string"))
     number = F.when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), v.try_cast("double").cast("long"))
-    return number.when(kind == "BIGINT", v.try_cast("long")).when(kind == "BOOLEAN", v.try_cast("boolean").cast("long")).when((kind == "STRING") & text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    return number.when(kind == "BIGINT", v.try_cast("long")).when(kind == "BOOLEAN", v.try_cast("boolean").cast("long")).when(
+        (kind == "STRING") & text.rlike(r"^[+-]?\d+$"),
+        text.try_cast("long"),
+    )
 
 
 def cue_ids(item: Column, default: int = 1) -> Column:

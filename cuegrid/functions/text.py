@@ -118,8 +118,23 @@ def llm_errors(x: Column, arabic: Column | None = None) -> Column:
     arabic = runs(x) if arabic is None else arabic
     kaf = F.transform(F.filter(arabic, lambda w: F.contains(w, F.lit("ك")) & F.contains(w, F.lit("ی"))), lambda _: F.lit("mixed_script"))
     yeh = F.transform(F.filter(arabic, lambda w: F.contains(w, F.lit("ي"))), lambda _: F.lit("arabic_yeh"))
-    triple = F.transform(F.array(tokens(x)), lambda ws: F.transform(F.filter(F.when(F.size(ws) > 2, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>")), lambda i: (F.get(ws, i) == F.get(ws, i + 1)) & (F.get(ws, i) == F.get(ws, i + 2)) & (F.length(F.get(ws, i)) > 1)), lambda _: F.lit("triple_word")))[0]
-    single = F.array_compact(F.array(F.when(x.rlike(r"\([^)]*[A-Za-z]{3,}[^)]*\)"), "note"), F.when(F.contains(x, F.lit("**")) | F.contains(x, F.lit("__")), "markdown"), F.when(x.rlike(r"(?U)^\d+[.)]\s"), "numbered_list")))
+    triple = F.transform(
+        F.array(tokens(x)),
+        lambda ws: F.transform(
+            F.filter(
+                F.when(F.size(ws) > 2, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>")),
+                lambda i: (F.get(ws, i) == F.get(ws, i + 1)) & (F.get(ws, i) == F.get(ws, i + 2)) & (F.length(F.get(ws, i)) > 1),
+            ),
+            lambda _: F.lit("triple_word"),
+        ),
+    )[0]
+    single = F.array_compact(
+        F.array(
+            F.when(x.rlike(r"\([^)]*[A-Za-z]{3,}[^)]*\)"), "note"),
+            F.when(F.contains(x, F.lit("**")) | F.contains(x, F.lit("__")), "markdown"),
+            F.when(x.rlike(r"(?U)^\d+[.)]\s"), "numbered_list"),
+        ),
+    )
     return F.concat(kaf, yeh, triple, single)
 
 
@@ -169,7 +184,10 @@ def route(clean: Column, foreign: Column | None = None) -> Column:
     indicator = normalize(F.concat(F.lit("["), F.coalesce(F.try_element_at(names, F.lower(language)), language), F.lit(f" {K.SPEAKS}]")))
     made = lambda case, action, ind=F.lit(None).cast("string"), o=False: F.struct(F.lit(case).alias("case_type"), F.lit(o).alias("opaque"), ind.alias("indicator"), F.lit(action).alias("action"))
     missing = (foreign if foreign is not None else F.lit(False)) & (clean == "")
-    return F.when(clean.rlike(opaque), made("B", "preserve_opaque", indicator, True)).when(missing, made("D", "transcribe_exception")).otherwise(made("A", "translate"))
+    return F.when(
+        clean.rlike(opaque),
+        made("B", "preserve_opaque", indicator, True),
+    ).when(missing, made("D", "transcribe_exception")).otherwise(made("A", "translate"))
 
 
 def content_key(*parts: Column) -> Column:

@@ -24,16 +24,34 @@ def scene_cost(cues: DataFrame, model: str, keys: tuple[str, ...] = ("track_id",
     n, chars = F.count("*"), F.sum(F.length("source_text"))
     facts = cues.groupBy(*keys).agg(F.floor((2000 + chars + 50 * n) / 4).alias("input_tokens"), F.floor((chars * 12 + 1000) / 20).alias("output_tokens"))
     out = priced(facts.withColumn("model", F.lit(model)))
-    return out.select(*keys, "input_tokens", "output_tokens", F.round((F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) * 1000).cast("long").alias("usd_e6"))
+    return out.select(
+        *keys,
+        "input_tokens",
+        "output_tokens",
+        F.round((F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) * 1000).cast("long").alias("usd_e6"),
+    )
 
 
 def file_cost(cues: DataFrame, model: str) -> DataFrame:
     """For each track, from its number of cues and their average length (whole characters): scenes of twenty, two and a half calls of input, two of output."""
     facts = cues.groupBy("track_id").agg(F.count("*").alias("cues"), F.floor(F.sum(F.length("source_text")) / F.count("*")).alias("avg_len"))
     facts = facts.withColumn("scenes", F.greatest(F.lit(1), F.floor(F.col("cues") / 20)))
-    tokens = facts.withColumns({"input_tokens": F.floor((2000 + 20 * (F.col("avg_len") + 50)) * F.col("scenes") * 5 / 8), "output_tokens": F.floor(F.col("avg_len") * 24 * F.col("scenes"))})
+    tokens = facts.withColumns(
+        {
+            "input_tokens": F.floor((2000 + 20 * (F.col("avg_len") + 50)) * F.col("scenes") * 5 / 8),
+            "output_tokens": F.floor(F.col("avg_len") * 24 * F.col("scenes")),
+        },
+    )
     out = priced(tokens.withColumn("model", F.lit(model)))
-    return out.select("track_id", "cues", "avg_len", "scenes", "input_tokens", "output_tokens", F.round((F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) * 10).cast("long").alias("usd_e4"))
+    return out.select(
+        "track_id",
+        "cues",
+        "avg_len",
+        "scenes",
+        "input_tokens",
+        "output_tokens",
+        F.round((F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) * 10).cast("long").alias("usd_e4"),
+    )
 
 
 def ledger(calls: DataFrame, limit_e6: int, keys: tuple[str, ...] = ("project_id",), order: tuple[str, ...] = ("call_id",)) -> DataFrame:

@@ -37,14 +37,27 @@ def fuzzy(cues: DataFrame, memory: DataFrame, ids: list[str], text: str = "sourc
     """ids, tm_id, tm_target, ratio_e3: the best entry at or above the threshold, the oldest of equals.  Distinct texts are looked up once."""
     width = -math.log(threshold / (2 - threshold))
     wanted = cues.select(key(F.col(text)).alias("a")).where("a <> ''").distinct().withColumns({"la": F.length("a"), "bag_a": _bag(F.col("a"))})
-    entries = memory.select("tm_id", "target_text", key(F.col("source_text")).alias("b")).where("b <> ''").withColumns({"lb": F.length("b"), "bag_b": _bag(F.col("b"))})
+    entries = memory.select(
+        "tm_id",
+        "target_text",
+        key(F.col("source_text")).alias("b"),
+    ).where("b <> ''").withColumns({"lb": F.length("b"), "bag_b": _bag(F.col("b"))})
     bucket = lambda n: F.floor(F.log(n) / width).cast("int")
     left = wanted.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("la")) + d)))
     met = left.join(entries.withColumn("bucket", bucket(F.col("lb"))), "bucket")
-    near = met.where((F.least("la", "lb") * (2 - threshold) >= F.greatest("la", "lb") * threshold - 1e-9) & (2 * F.size(F.array_intersect("bag_a", "bag_b")) >= threshold * (F.col("la") + F.col("lb")) - 1e-9))
+    near = met.where(
+        (F.least("la", "lb") * (2 - threshold) >= F.greatest("la", "lb") * threshold - 1e-9) & (
+            2 * F.size(F.array_intersect("bag_a", "bag_b")) >= threshold * (F.col("la") + F.col("lb")) - 1e-9
+        ),
+    )
     rated = near.select("a", "tm_id", "target_text", match_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= threshold)
     best = rated.groupBy("a").agg(F.max(F.struct("ratio", (-F.col("tm_id")).alias("o"), F.col("target_text").alias("t"))).alias("m"))
-    return cues.select(*ids, key(F.col(text)).alias("a")).join(best, "a").select(*ids, (-F.col("m.o")).alias("tm_id"), F.col("m.t").alias("tm_target"), F.round(F.col("m.ratio") * 1000).cast("int").alias("ratio_e3"))
+    return cues.select(*ids, key(F.col(text)).alias("a")).join(best, "a").select(
+        *ids,
+        (-F.col("m.o")).alias("tm_id"),
+        F.col("m.t").alias("tm_target"),
+        F.round(F.col("m.ratio") * 1000).cast("int").alias("ratio_e3"),
+    )
 
 
 def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:

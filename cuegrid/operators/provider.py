@@ -39,7 +39,13 @@ class DictionaryProvider:
         return cues.select("track_id", "seq", T.dictionary_translation(F.col("source_text")).alias("translation"))
 
     def verify(self, cues: DataFrame) -> DataFrame:
-        return cues.select("track_id", "seq", F.lit("agree").alias("decision"), F.lit("none").alias("severity"), F.lit(None).cast("string").alias("alternative"))
+        return cues.select(
+            "track_id",
+            "seq",
+            F.lit("agree").alias("decision"),
+            F.lit("none").alias("severity"),
+            F.lit(None).cast("string").alias("alternative"),
+        )
 
 
 class ProviderError(Exception):
@@ -59,7 +65,13 @@ def _as_it_is(texts: pd.Series) -> pd.Series:
 class BatchProvider(DictionaryProvider):
     """A function of a pandas batch (source_text) to translations, called once for each distinct text, with retries after 1, 2, 4 ... seconds.  A failure whose code can't pass isn't retried.  What fails for good goes to the fallback (the source text); with None it has no translation."""
 
-    def __init__(self, call: Callable[[pd.Series], pd.Series], retries: int = 3, fallback: Callable[[pd.Series], pd.Series] | None = _as_it_is, backoff: float = 1.0):
+    def __init__(
+        self,
+        call: Callable[[pd.Series], pd.Series],
+        retries: int = 3,
+        fallback: Callable[[pd.Series], pd.Series] | None = _as_it_is,
+        backoff: float = 1.0,
+    ):
         self.call, self.retries, self.fallback, self.backoff = call, retries, fallback, backoff
 
     def translate(self, cues: DataFrame) -> DataFrame:
@@ -96,9 +108,13 @@ class CachedProvider(DictionaryProvider):
         schema = "content_key string, translation string"
         keyed = cues.withColumn("content_key", T.content_key(*[F.lit(p) for p in self.parts], F.col("source_text")))
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        kept = spark.read.schema(schema).parquet(self.path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+        kept = spark.read.schema(schema).parquet(self.path) if at.getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration(),
+        ).exists(at) else spark.createDataFrame([], schema)
         # one cue for each text that is asked for
-        new = keyed.join(kept, "content_key", "left_anti").groupBy("content_key").agg(F.min(F.struct("track_id", "seq", *[c for c in cues.columns if c not in ("track_id", "seq")])).alias("c")).select("content_key", "c.*")
+        new = keyed.join(kept, "content_key", "left_anti").groupBy("content_key").agg(
+            F.min(F.struct("track_id", "seq", *[c for c in cues.columns if c not in ("track_id", "seq")])).alias("c"),
+        ).select("content_key", "c.*")
         made = self.inner.translate(new.drop("content_key")).join(new.select("track_id", "seq", "content_key"), ["track_id", "seq"])
         made.where("translation IS NOT NULL").select("content_key", "translation").write.mode("append").parquet(self.path)
         known = spark.read.schema(schema).parquet(self.path).groupBy("content_key").agg(F.min("translation").alias("translation"))
@@ -125,8 +141,16 @@ def translate_missing(cues: DataFrame, provider: Provider, memory: DataFrame | N
     """target_text and its origin (given, memory, provider) of every cue.  The memory is that of earlier runs, so results don't depend on the order of scenes."""
     keys = ["track_id", "seq"]
     todo = cues.where("coalesce(target_text, '') = ''")
-    found = M.fuzzy(todo, memory, keys, threshold=threshold).select(*keys, F.col("tm_target")) if memory is not None else todo.select(*keys, F.lit(None).cast("string").alias("tm_target")).limit(0)
+    found = M.fuzzy(todo, memory, keys, threshold=threshold).select(*keys, F.col("tm_target")) if memory is not None else todo.select(
+        *keys,
+        F.lit(None).cast("string").alias("tm_target"),
+    ).limit(0)
     made = provider.translate(todo.join(found, keys, "left_anti"))
     out = cues.join(found, keys, "left").join(made, keys, "left")
     given = F.nullif("target_text", F.lit(""))
-    return out.withColumns({"origin": F.when(given.isNotNull(), "given").when(F.col("tm_target").isNotNull(), "memory").otherwise("provider"), "target_text": F.coalesce(given, "tm_target", "translation")}).drop("tm_target", "translation")
+    return out.withColumns(
+        {
+            "origin": F.when(given.isNotNull(), "given").when(F.col("tm_target").isNotNull(), "memory").otherwise("provider"),
+            "target_text": F.coalesce(given, "tm_target", "translation"),
+        },
+    ).drop("tm_target", "translation")

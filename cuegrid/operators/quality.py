@@ -40,12 +40,31 @@ def messages(profile: Profile) -> dict[str, Column]:
     joined = lambda x: F.array_join(x, ", ")
     ratio = F.concat(F.lit("ratio "), F.format_string("%d %%", F.floor(F.col("tgt_letters") * 100 / F.greatest(F.lit(1), F.col("src_word_chars")))))
     return {
-        "hard_max_cps": F.concat(F.lit("reading speed "), _hundredths(F.col("cps_x100")), F.lit(f" above {profile.hard_max_cps:g} characters a second")), "hard_max_cpl": F.concat(F.lit("line of "), F.col("max_cpl").cast("string"), F.lit(f" characters above {profile.hard_max_cpl}")),
-        "max_lines": F.concat(F.col("line_count").cast("string"), F.lit(f" lines, {profile.max_lines} allowed")), "min_duration": F.concat(F.lit("shown for "), F.col("duration_ms").cast("string"), F.lit(f" ms, less than {profile.min_duration_ms}")),
-        "kurmanji_contamination": F.concat(F.lit("Kurmanji: "), joined("found_kurmanji")), "untranslated_english": F.concat(F.lit("English left: "), joined("found_english")),
-        "llm_error_pattern": F.concat(F.lit("error patterns: "), joined(F.slice("found_llm", 1, 3))), "excessive_ezafe_chain": F.concat(F.lit("chains of words in yeh: "), joined(F.transform(F.slice("found_ezafe", 1, 2), lambda n: n.cast("string")))),
-        "number_inconsistency": F.concat(F.lit("numbers lost: "), joined("lost_numbers")), "negation_reversal": F.lit("the source denies, the translation may not"), "question_mark_missing": F.lit("question mark lost"),
-        "mock_fallback_detected": F.lit("a placeholder, no translation"), "length_ratio_too_short": F.concat(F.lit("very short, "), ratio), "length_ratio_too_long": F.concat(F.lit("very long, "), ratio), "duplicate_translation": F.lit("the same as the cue before"),
+        "hard_max_cps": F.concat(
+            F.lit("reading speed "),
+            _hundredths(F.col("cps_x100")),
+            F.lit(f" above {profile.hard_max_cps:g} characters a second"),
+        ), "hard_max_cpl": F.concat(F.lit("line of "), F.col("max_cpl").cast("string"), F.lit(f" characters above {profile.hard_max_cpl}")),
+        "max_lines": F.concat(F.col("line_count").cast("string"), F.lit(f" lines, {profile.max_lines} allowed")), "min_duration": F.concat(
+            F.lit("shown for "),
+            F.col("duration_ms").cast("string"),
+            F.lit(f" ms, less than {profile.min_duration_ms}"),
+        ),
+        "kurmanji_contamination": F.concat(F.lit("Kurmanji: "), joined("found_kurmanji")), "untranslated_english": F.concat(
+            F.lit("English left: "),
+            joined("found_english"),
+        ),
+        "llm_error_pattern": F.concat(F.lit("error patterns: "), joined(F.slice("found_llm", 1, 3))), "excessive_ezafe_chain": F.concat(
+            F.lit("chains of words in yeh: "),
+            joined(F.transform(F.slice("found_ezafe", 1, 2), lambda n: n.cast("string"))),
+        ),
+        "number_inconsistency": F.concat(
+            F.lit("numbers lost: "),
+            joined("lost_numbers"),
+        ), "negation_reversal": F.lit("the source denies, the translation may not"), "question_mark_missing": F.lit("question mark lost"),
+        "mock_fallback_detected": F.lit(
+            "a placeholder, no translation",
+        ), "length_ratio_too_short": F.concat(F.lit("very short, "), ratio), "length_ratio_too_long": F.concat(F.lit("very long, "), ratio), "duplicate_translation": F.lit("the same as the cue before"),
     }
 
 
@@ -71,7 +90,12 @@ def evaluate(cues: DataFrame, names: list[str] | None = None, keys: tuple[str, .
     fired = [F.when(when[r], issue(r, c, s, p, says[r])) for r, c, s, p in K.RULES if getattr(profile, c)]
     for name in names or []:
         if len(name) > 2 and profile.semantic:
-            fired.append(F.when(F.contains(F.lower("clean"), F.lit(name.lower())) & (F.length(T.strip(F.col("tgt"))) < 3), issue("proper_noun_missing", "semantic", "major", 15, F.lit(f"the name {name} is lost"))))
+            fired.append(
+                F.when(
+                    F.contains(F.lower("clean"), F.lit(name.lower())) & (F.length(T.strip(F.col("tgt"))) < 3),
+                    issue("proper_noun_missing", "semantic", "major", 15, F.lit(f"the name {name} is lost")),
+                ),
+            )
     out = base.withColumn("issues", F.array_compact(F.array(*fired)) if fired else F.array().cast(ISSUES))
     points = lambda c: F.greatest(F.lit(0), 100 - F.aggregate(F.filter("issues", lambda x: x["category"] == c), F.lit(0), lambda a, x: a + x["points"]))
     out = out.withColumns({c: points(c) for c in ("technical", "linguistic", "semantic")})
@@ -93,22 +117,38 @@ def cue_records(cues: DataFrame, heard: DataFrame | None = None, text: str = "so
     foreign = F.col("foreign_language") if "foreign_language" in cues.columns else F.lit(False)
     out = out.withColumns({"clean": clean, "names": T.suspicious_names(clean)})
     return out.select(
-        "track_id", "seq", F.when(said, F.round(1.0 - match_ratio(F.lower("clean"), F.lower("transcript")), 3)).otherwise(0.0).alias("mismatch"), F.lit(False).alias("missing_speech"), (F.size("names") > 0).alias("suspicious_names"),
-        (F.coalesce(foreign, F.lit(False)) | F.col("clean").rlike(r"(?iU)\[(speaking|in)\s+[a-z]+\]")).alias("foreign_speech"), F.when(said, F.col("transcript")).alias("transcript"), F.when(F.size("names") > 0, F.concat(F.lit("possible names: "), F.size("names"))).alias("note"),
+        "track_id", "seq", F.when(
+            said,
+            F.round(1.0 - match_ratio(F.lower("clean"), F.lower("transcript")), 3),
+        ).otherwise(0.0).alias("mismatch"), F.lit(False).alias("missing_speech"), (F.size("names") > 0).alias("suspicious_names"),
+        (
+            F.coalesce(foreign, F.lit(False)) | F.col("clean").rlike(r"(?iU)\[(speaking|in)\s+[a-z]+\]")
+        ).alias("foreign_speech"), F.when(said, F.col("transcript")).alias("transcript"), F.when(F.size("names") > 0, F.concat(F.lit("possible names: "), F.size("names"))).alias("note"),
     )
 
 
 def summary(evaluated: DataFrame, *keys: str) -> DataFrame:
     """Counts for each key: cues, passed, for review, critical issues, sum of the overall points."""
     critical = F.size(F.filter("issues", lambda x: x["severity"] == "critical"))
-    return evaluated.groupBy(*keys).agg(F.count("*").alias("cues"), F.count_if("passed").alias("passed"), F.count_if("requires_review").alias("for_review"), F.sum(critical).cast("long").alias("critical_issues"), F.sum("overall").cast("long").alias("points"))
+    return evaluated.groupBy(*keys).agg(
+        F.count("*").alias("cues"),
+        F.count_if("passed").alias("passed"),
+        F.count_if("requires_review").alias("for_review"),
+        F.sum(critical).cast("long").alias("critical_issues"),
+        F.sum("overall").cast("long").alias("points"),
+    )
 
 
 def findings(texts: DataFrame, text: str = "text") -> DataFrame:
     """Findings of each detector over all texts: category, n_findings, n_texts."""
     t = F.col(text)
     known = texts.select(F.coalesce(t, F.lit("")).alias(text)).withColumn("runs", T.runs(t))
-    found = {"kurmanji": T.kurmanji(t, F.col("runs")), "untranslated": T.untranslated(t), "ezafe": T.ezafe_chains(t, F.col("runs")), "llm_errors": T.llm_errors(t, F.col("runs"))}
+    found = {
+        "kurmanji": T.kurmanji(t, F.col("runs")),
+        "untranslated": T.untranslated(t),
+        "ezafe": T.ezafe_chains(t, F.col("runs")),
+        "llm_errors": T.llm_errors(t, F.col("runs")),
+    }
     sizes = known.select(F.explode(F.create_map(*[x for k, f in found.items() for x in (F.lit(k), F.size(f))])).alias("category", "n"))
     return sizes.groupBy("category").agg(F.sum("n").cast("long").alias("n_findings"), F.count_if(F.col("n") > 0).alias("n_texts"))
 

@@ -19,9 +19,17 @@ def queue(evaluated: DataFrame, severity: str | None = None) -> DataFrame:
 def decide(cues: DataFrame, decisions: DataFrame) -> DataFrame:
     """decisions: track_id, seq, action, approved, alternative.  accept keeps, choose_alternative takes the alternative if there is one, others take the approved text."""
     was = F.coalesce("target_text", F.lit(""))
-    final = F.when(F.col("action") == "accept", was).when((F.col("action") == "choose_alternative") & (F.coalesce("alternative", F.lit("")) != ""), F.col("alternative")).otherwise(F.coalesce("approved", was))
+    final = F.when(F.col("action") == "accept", was).when(
+        (F.col("action") == "choose_alternative") & (F.coalesce("alternative", F.lit("")) != ""),
+        F.col("alternative"),
+    ).otherwise(F.coalesce("approved", was))
     out = cues.join(decisions, ["track_id", "seq"], "left")
-    return out.withColumns({"final_text": F.when(F.col("action").isNull(), F.col("target_text")).otherwise(final), "status": F.when(F.col("action").isNull(), "pending").when(F.col("action") == "accept", "accepted").otherwise("edited")})
+    return out.withColumns(
+        {
+            "final_text": F.when(F.col("action").isNull(), F.col("target_text")).otherwise(final),
+            "status": F.when(F.col("action").isNull(), "pending").when(F.col("action") == "accept", "accepted").otherwise("edited"),
+        },
+    )
 
 
 def record(corrections: DataFrame) -> DataFrame:
@@ -80,7 +88,10 @@ def compliance(targets: DataFrame, text: str = "target_text") -> DataFrame:
 
 def active_characters(scenes: DataFrame, characters: DataFrame, text: str = "text") -> DataFrame:
     """Each character once for a scene that names it or one of its aliases.  characters: id, name, aliases."""
-    names = characters.select("id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("term"))
+    names = characters.select(
+        "id",
+        F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("term"),
+    )
     keys = [c for c in scenes.columns if c != text]
     return contains_join(scenes, names, text).select(*keys, "id").distinct()
 

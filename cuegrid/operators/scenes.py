@@ -53,7 +53,16 @@ def fold_breaks(gap: np.ndarray, first: np.ndarray, n: int, scene: int, low: int
     return out, size - at, scene
 
 
-def segment(cues: DataFrame, low: int = K.SCENE_MIN_CUES, high: int = K.SCENE_MAX_CUES, gap: int = K.SCENE_GAP_MS, track: str = "track_id", order: str = "seq", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def segment(
+    cues: DataFrame,
+    low: int = K.SCENE_MIN_CUES,
+    high: int = K.SCENE_MAX_CUES,
+    gap: int = K.SCENE_GAP_MS,
+    track: str = "track_id",
+    order: str = "seq",
+    start: str = "start_ms",
+    end: str = "end_ms",
+) -> DataFrame:
     """Adds scene_no (1..n in each track) and, from the neighbours in the scene, next_start_ms and prev_target (null at its edges)."""
     w = Window.partitionBy(track).orderBy(order)
     pause = F.col(start) - F.lag(end).over(w)
@@ -87,12 +96,20 @@ def segment(cues: DataFrame, low: int = K.SCENE_MIN_CUES, high: int = K.SCENE_MA
 
 def bounds(cues: DataFrame) -> DataFrame:
     """A row for each scene: cues, first start, the last cue's end (not the largest), id, neighbours' ids, text."""
-    facts = cues.groupBy("track_id", "scene_no").agg(F.count("*").alias("cues"), F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"))
+    facts = cues.groupBy("track_id", "scene_no").agg(
+        F.count("*").alias("cues"),
+        F.min_by("start_ms", "seq").alias("start_ms"),
+        F.max_by("end_ms", "seq").alias("end_ms"),
+    )
     name = lambda n: F.format_string("S%03d", n)
     w = Window.partitionBy("track_id").orderBy("scene_no")
-    return facts.withColumns({"scene_id": name(F.col("scene_no")), "previous_id": name(F.lag("scene_no").over(w)), "next_id": name(F.lead("scene_no").over(w))}).withColumns({k: F.when(F.col(k) != "Snull", F.col(k)) for k in ("previous_id", "next_id")})
+    return facts.withColumns(
+        {"scene_id": name(F.col("scene_no")), "previous_id": name(F.lag("scene_no").over(w)), "next_id": name(F.lead("scene_no").over(w))},
+    ).withColumns({k: F.when(F.col(k) != "Snull", F.col(k)) for k in ("previous_id", "next_id")})
 
 
 def scene_text(cues: DataFrame) -> DataFrame:
     """The source texts of each scene in order, joined by blanks; scenes hold max_cues at most."""
-    return cues.groupBy("track_id", "scene_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_text"))), lambda x: x["source_text"]), " ").alias("text"))
+    return cues.groupBy("track_id", "scene_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_text"))), lambda x: x["source_text"]), " ").alias("text"),
+    )

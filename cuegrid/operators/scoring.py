@@ -17,17 +17,33 @@ def char_ngrams(rows: DataFrame, key: list[str], text: str, order: int = 6) -> D
     """key, n, gram, cnt: character n-grams of each blank-separated word with a blank at both ends."""
     words = rows.select(*key, F.explode(T.tokens(F.col(text))).alias("w")).withColumn("w", F.concat(F.lit(" "), F.col("w"), F.lit(" ")))
     sized = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(order)))).where(F.length("w") >= F.col("n"))
-    grams = sized.select(*key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring(F.col("w"), i, F.col("n")))).alias("gram"))
+    grams = sized.select(
+        *key,
+        "n",
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring(F.col("w"), i, F.col("n")))).alias("gram"),
+    )
     return grams.groupBy(*key, "n", "gram").agg(F.count("*").alias("cnt"))
 
 
 def word_ngrams(rows: DataFrame, key: list[str], text: str, order: int) -> DataFrame:
     ws = rows.select(*key, T.tokens(F.col(text)).alias("ws")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(order)))).where(F.size("ws") >= F.col("n"))
-    grams = ws.select(*key, "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("n")), lambda i: F.array_join(F.slice("ws", i + 1, F.col("n")), " "))).alias("gram"))
+    grams = ws.select(
+        *key,
+        "n",
+        F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("n")), lambda i: F.array_join(F.slice("ws", i + 1, F.col("n")), " "))).alias("gram"),
+    )
     return grams.groupBy(*key, "n", "gram").agg(F.count("*").alias("cnt"))
 
 
-def chrf(pairs: DataFrame, key: list[str], reference: str = "reference", hypothesis: str = "hypothesis", chars: int = 6, words: int = 0, beta: int = 2) -> DataFrame:
+def chrf(
+    pairs: DataFrame,
+    key: list[str],
+    reference: str = "reference",
+    hypothesis: str = "hypothesis",
+    chars: int = 6,
+    words: int = 0,
+    beta: int = 2,
+) -> DataFrame:
     """key, chrf_e4: floor of 10,000 times the F-score; 10,000 where both are blank or equal after stripping of blanks, 0 where one is blank."""
     both = pairs.select(*key, F.col(reference).alias("r"), F.col(hypothesis).alias("h"))
 
@@ -38,7 +54,10 @@ def chrf(pairs: DataFrame, key: list[str], reference: str = "reference", hypothe
     at = [*key, "kind", "n"]
     # one exchange serves both: the two sides are counted, then met, by the same key and gram
     met = counts("h").withColumn("side", F.lit("h")).unionByName(counts("r").withColumn("side", F.lit("r")))
-    met = met.groupBy(*at, "gram").agg(F.sum(F.when(F.col("side") == "h", F.col("cnt")).otherwise(0)).alias("ch"), F.sum(F.when(F.col("side") == "r", F.col("cnt")).otherwise(0)).alias("cr"))
+    met = met.groupBy(*at, "gram").agg(
+        F.sum(F.when(F.col("side") == "h", F.col("cnt")).otherwise(0)).alias("ch"),
+        F.sum(F.when(F.col("side") == "r", F.col("cnt")).otherwise(0)).alias("cr"),
+    )
     sums = met.groupBy(*at).agg(F.sum("ch").alias("th"), F.sum("cr").alias("tr"), F.sum(F.least("ch", "cr")).alias("m")).where("th > 0 AND tr > 0")
     avg = sums.groupBy(*key).agg(F.avg(F.col("m") / F.col("th")).alias("p"), F.avg(F.col("m") / F.col("tr")).alias("q"))
     b2 = beta * beta
@@ -46,7 +65,10 @@ def chrf(pairs: DataFrame, key: list[str], reference: str = "reference", hypothe
     blank = (T.strip(F.col("r")) == "") | (T.strip(F.col("h")) == "")
     same = T.strip(F.col("r")) == T.strip(F.col("h"))
     scored = both.join(avg.select(*key, f.alias("f")), key, "left")
-    return scored.select(*key, F.when(blank, F.when(same, 10000).otherwise(0)).otherwise(F.floor(F.coalesce("f", F.lit(0.0)) * 10000 + 1e-6)).cast("long").alias("chrf_e4"))
+    return scored.select(
+        *key,
+        F.when(blank, F.when(same, 10000).otherwise(0)).otherwise(F.floor(F.coalesce("f", F.lit(0.0)) * 10000 + 1e-6)).cast("long").alias("chrf_e4"),
+    )
 
 
 def gold_verdicts(items: DataFrame, translation: str = "translation") -> DataFrame:
@@ -61,13 +83,23 @@ def gold_verdicts(items: DataFrame, translation: str = "translation") -> DataFra
 
 def gold_chrf(items: DataFrame, translation: str = "translation") -> DataFrame:
     """id, chrf_e4: the best against the gold text and its alternatives."""
-    refs = items.select("id", T.score_key(F.col(translation)).alias("hypothesis"), F.posexplode(F.concat(F.array("gold"), F.coalesce("alternatives", F.array().cast("array<string>")))).alias("k", "ref"))
+    refs = items.select(
+        "id",
+        T.score_key(F.col(translation)).alias("hypothesis"),
+        F.posexplode(F.concat(F.array("gold"), F.coalesce("alternatives", F.array().cast("array<string>")))).alias("k", "ref"),
+    )
     return chrf(refs.withColumn("reference", T.score_key(F.col("ref"))), ["id", "k"]).groupBy("id").agg(F.max("chrf_e4").alias("chrf_e4"))
 
 
 def category_report(scored: DataFrame) -> DataFrame:
     """Per category and, in the row without one, over all: items, passed, literal errors, sums of scores."""
-    return scored.rollup("category").agg(F.count("*").alias("items"), F.count_if(F.col("score_x100") >= 90).alias("passed"), F.count_if("literal").alias("literal_errors"), F.sum("score_x100").cast("long").alias("score_sum"), F.sum("chrf_e4").cast("long").alias("chrf_sum"))
+    return scored.rollup("category").agg(
+        F.count("*").alias("items"),
+        F.count_if(F.col("score_x100") >= 90).alias("passed"),
+        F.count_if("literal").alias("literal_errors"),
+        F.sum("score_x100").cast("long").alias("score_sum"),
+        F.sum("chrf_e4").cast("long").alias("chrf_sum"),
+    )
 
 
 def consensus(first: Column, second: Column | None) -> Column:
@@ -121,7 +153,9 @@ def compare(pairs: DataFrame, original: str = "original", revised: str = "revise
     """Adds has_changes, wer, cer and diff_html of the normalized texts; the UDFs see changed pairs only."""
     facts = pairs.withColumns({"o": T.normalize(F.col(original)), "n": T.normalize(F.col(revised))}).withColumn("has_changes", F.col("o") != F.col("n"))
     changed = facts.where("has_changes").withColumns({"wer": word_error_rate("o", "n"), "cer": char_error_rate("o", "n"), "diff_html": diff_html("o", "n")})
-    same = facts.where("NOT has_changes").withColumns({"wer": F.lit(0.0), "cer": F.lit(0.0), "diff_html": F.concat(F.lit("<span>"), F.col("o"), F.lit("</span>"))})
+    same = facts.where("NOT has_changes").withColumns(
+        {"wer": F.lit(0.0), "cer": F.lit(0.0), "diff_html": F.concat(F.lit("<span>"), F.col("o"), F.lit("</span>"))},
+    )
     return changed.unionByName(same).drop("o", "n")
 
 

@@ -27,7 +27,13 @@ def metrics(cues: DataFrame, keys: tuple[str, ...] = ("track_id", "scene_no"), p
     shown = F.coalesce(F.nullif("target_text", F.lit("")), "source_text")
     lines = F.transform(F.filter(F.split(shown, "\n"), lambda x: T.strip(x) != ""), lambda x: F.length(T.strip(x)))
     out = cues.withColumn("duration_ms", F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))).withColumn("line_lengths", lines)
-    out = out.withColumns({"line_count": F.size("line_lengths"), "char_count": F.aggregate("line_lengths", F.lit(0), lambda a, n: a + n).cast("long"), "max_cpl": F.coalesce(F.array_max("line_lengths"), F.lit(0))}).drop("line_lengths")
+    out = out.withColumns(
+        {
+            "line_count": F.size("line_lengths"),
+            "char_count": F.aggregate("line_lengths", F.lit(0), lambda a, n: a + n).cast("long"),
+            "max_cpl": F.coalesce(F.array_max("line_lengths"), F.lit(0)),
+        },
+    ).drop("line_lengths")
     span = F.greatest(F.lit(100), F.col("duration_ms"))
     out = out.withColumn("cps_x100", F.floor((F.col("char_count") * 200000 + span) / (span * 2)))
     out = out.withColumn("gap_ms", next_start(cues, keys) - F.col("end_ms"))

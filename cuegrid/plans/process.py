@@ -22,24 +22,74 @@ from cuegrid.operators import quality, review, scenes, timing
 from cuegrid.profiles import HOUSE, Profile
 from cuegrid.sources import subtitles, writers
 
-KEPT = ["track_id", "scene_no", "seq", "start_ms", "end_ms", "source_text", "target_text", "speaker", "origin", "failed", "technical", "linguistic", "semantic", "overall", "passed", "requires_review", "issues"]
-
-
-def localize(cues: DataFrame, provider: P.Provider | None = None, memory: DataFrame | None = None, terms: dict[str, tuple[str, str]] | None = None, names: list[str] | None = None, profile: Profile = HOUSE) -> DataFrame:
+KEPT = [
+    "track_id",
+    "scene_no",
+    "seq",
+    "start_ms",
+    "end_ms",
+    "source_text",
+    "target_text",
+    "speaker",
+    "origin",
+    "failed",
+    "technical",
+    "linguistic",
+    "semantic",
+    "overall",
+    "passed",
+    "requires_review",
+    "issues",
+]
+
+
+def localize(
+    cues: DataFrame,
+    provider: P.Provider | None = None,
+    memory: DataFrame | None = None,
+    terms: dict[str, tuple[str, str]] | None = None,
+    names: list[str] | None = None,
+    profile: Profile = HOUSE,
+) -> DataFrame:
     """Segmented cues to translated, retimed, wrapped and evaluated ones (KEPT).  origin: given, routed, memory or provider; failed: a cue of its scene got no translation, so the scene has no points and awaits review."""
     clean = T.clean_source(F.col("source_text"), F.col("speaker"))
     route = T.route(clean)
     given = F.coalesce("target_text", F.lit(""))
-    routed = cues.withColumns({"original": F.col("source_text"), "source_text": clean}).withColumns({"was": F.when(given != "", "given").when(route["case_type"] == "B", "routed"), "target_text": F.when(route["case_type"] == "B", route["indicator"]).otherwise(F.col("target_text"))})
+    routed = cues.withColumns({"original": F.col("source_text"), "source_text": clean}).withColumns(
+        {
+            "was": F.when(given != "", "given").when(route["case_type"] == "B", "routed"),
+            "target_text": F.when(route["case_type"] == "B", route["indicator"]).otherwise(F.col("target_text")),
+        },
+    )
     made = P.translate_missing(routed, provider or P.DictionaryProvider(), memory, profile.memory_threshold)
-    made = made.withColumns({"origin": F.coalesce("was", "origin"), "source_text": F.col("original"), "target_text": T.enforce_honorifics(F.col("source_text"), F.col("target_text"), T.glossary(terms))}).drop("was", "original")
+    made = made.withColumns(
+        {
+            "origin": F.coalesce("was", "origin"),
+            "source_text": F.col("original"),
+            "target_text": T.enforce_honorifics(F.col("source_text"), F.col("target_text"), T.glossary(terms)),
+        },
+    ).drop("was", "original")
     timed = timing.retime(made, profile=profile).select(*made.columns, "new_end_ms")
-    wrapped = timed.withColumns({"end_ms": F.col("new_end_ms"), "target_text": F.when(F.coalesce("target_text", F.lit("")) != "", T.line_breaks(F.col("target_text"), profile.preferred_cpl)).otherwise(F.col("target_text"))})
+    wrapped = timed.withColumns(
+        {
+            "end_ms": F.col("new_end_ms"),
+            "target_text": F.when(
+                F.coalesce("target_text", F.lit("")) != "",
+                T.line_breaks(F.col("target_text"), profile.preferred_cpl),
+            ).otherwise(F.col("target_text")),
+        },
+    )
     # the neighbour's text as it is now
     judged = quality.evaluate(wrapped.drop("prev_target", "new_end_ms"), names, profile=profile)
     failed = F.max(F.col("target_text").isNull()).over(Window.partitionBy("track_id", "scene_no"))
     out = judged.withColumn("failed", failed)
-    return out.withColumns({"overall": F.when(F.col("failed"), 0).otherwise(F.col("overall")), "passed": ~F.col("failed") & F.col("passed"), "requires_review": F.col("failed") | F.col("requires_review")}).select(*KEPT)
+    return out.withColumns(
+        {
+            "overall": F.when(F.col("failed"), 0).otherwise(F.col("overall")),
+            "passed": ~F.col("failed") & F.col("passed"),
+            "requires_review": F.col("failed") | F.col("requires_review"),
+        },
+    ).select(*KEPT)
 
 
 @dataclass
@@ -60,17 +110,41 @@ def summarize(judged: DataFrame) -> DataFrame:
     asked, hit = F.col("origin").isin("memory", "provider"), F.col("origin") == "memory"
     n = F.count("*")
     failed = F.count_distinct(F.when(F.col("failed"), F.struct("track_id", "scene_no")))
-    return judged.agg(n.alias("cues"), F.count_if("passed").alias("passed"), F.floor(F.count_if("passed") * 1000 / F.greatest(F.lit(1), n)).alias("pass_permille"), F.coalesce(F.sum(critical), F.lit(0)).cast("long").alias("critical_issues"), failed.alias("failed_scenes"), F.count_if("requires_review").alias("queue"), F.count_if(asked).alias("lookups"), F.count_if(hit).alias("hits"))
+    return judged.agg(
+        n.alias("cues"),
+        F.count_if("passed").alias("passed"),
+        F.floor(F.count_if("passed") * 1000 / F.greatest(F.lit(1), n)).alias("pass_permille"),
+        F.coalesce(F.sum(critical), F.lit(0)).cast("long").alias("critical_issues"),
+        failed.alias("failed_scenes"),
+        F.count_if("requires_review").alias("queue"),
+        F.count_if(asked).alias("lookups"),
+        F.count_if(hit).alias("hits"),
+    )
 
 
 def new_memory(judged: DataFrame) -> DataFrame:
     """source_text, target_text and context of the translations that passed: one for each text."""
-    good = judged.where("passed AND NOT failed AND coalesce(target_text, '') <> ''").withColumn("source_text", T.clean_source(F.col("source_text"), F.col("speaker"))).where("source_text <> ''")
+    good = judged.where("passed AND NOT failed AND coalesce(target_text, '') <> ''").withColumn(
+        "source_text",
+        T.clean_source(F.col("source_text"), F.col("speaker")),
+    ).where("source_text <> ''")
     where = F.format_string("scene:S%03d project:%s", "scene_no", "track_id")
-    return good.groupBy("source_text").agg(F.max_by(F.struct("target_text", where.alias("context_notes")), F.struct("track_id", "seq")).alias("x")).select("source_text", "x.*")
-
-
-def process(spark: SparkSession, source: str, out: str, provider: P.Provider | None = None, memory: DataFrame | None = None, terms: dict[str, tuple[str, str]] | None = None, names: list[str] | None = None, profile: Profile = HOUSE, strict: bool = False) -> Run:
+    return good.groupBy("source_text").agg(
+        F.max_by(F.struct("target_text", where.alias("context_notes")), F.struct("track_id", "seq")).alias("x"),
+    ).select("source_text", "x.*")
+
+
+def process(
+    spark: SparkSession,
+    source: str,
+    out: str,
+    provider: P.Provider | None = None,
+    memory: DataFrame | None = None,
+    terms: dict[str, tuple[str, str]] | None = None,
+    names: list[str] | None = None,
+    profile: Profile = HOUSE,
+    strict: bool = False,
+) -> Run:
     """All subtitle files of a folder, to SRT, VTT, ASS, HTML and QC reports (one of each for a file) under `out`, with a checkpoint table beside them.  strict: a file that can't be scanned fails the run; else it is refused."""
     files = subtitles.read_files(spark, source).withColumn("path", F.regexp_extract("path", r"([^/]*)$", 1))
     rows, rejects = subtitles.scan(files, strict=strict)
@@ -87,8 +161,21 @@ def process(spark: SparkSession, source: str, out: str, provider: P.Provider | N
     review.save_checkpoint(fresh.where("NOT failed"), at)
     stored = review.load_checkpoint(spark, at, made.schema)
     judged = stored.unionByName(fresh.where("failed")).drop("run")
-    qc = judged.select("track_id", "seq", F.lit(1).alias("version"), F.col("overall").alias("confidence"), "passed", F.transform("issues", lambda x: x["message"]).alias("messages"))
-    for kind, contents in (("srt", writers.to_srt(judged)), ("vtt", writers.to_vtt(judged)), ("ass", writers.to_ass(judged)), ("html", writers.to_html(judged, qc)), ("qc", writers.to_qc_report(judged))):
+    qc = judged.select(
+        "track_id",
+        "seq",
+        F.lit(1).alias("version"),
+        F.col("overall").alias("confidence"),
+        "passed",
+        F.transform("issues", lambda x: x["message"]).alias("messages"),
+    )
+    for kind, contents in (
+        ("srt", writers.to_srt(judged)),
+        ("vtt", writers.to_vtt(judged)),
+        ("ass", writers.to_ass(judged)),
+        ("html", writers.to_html(judged, qc)),
+        ("qc", writers.to_qc_report(judged)),
+    ):
         writers.save(contents, f"{out}/{kind}")
     queue = review.queue(judged.withColumn("version", F.lit(1)))
     return Run(judged, rejects, subtitles.guard(files), queue, new_memory(judged), summarize(judged))

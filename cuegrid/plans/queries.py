@@ -36,7 +36,21 @@ def evaluated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cue_metrics(spark, d):
-    return timing.metrics(cues(spark, d)).select("track_id", "seq", "duration_ms", "char_count", "line_count", "max_cpl", "cps_x100", "gap_ms", "cps_exceeded", "cpl_exceeded", "lines_exceeded", "too_short", "gap_too_short")
+    return timing.metrics(cues(spark, d)).select(
+        "track_id",
+        "seq",
+        "duration_ms",
+        "char_count",
+        "line_count",
+        "max_cpl",
+        "cps_x100",
+        "gap_ms",
+        "cps_exceeded",
+        "cpl_exceeded",
+        "lines_exceeded",
+        "too_short",
+        "gap_too_short",
+    )
 
 
 @query
@@ -57,9 +71,17 @@ def scene_texts(spark, d):
 @query
 def session_gap_events(spark, d):
     """The scene rule on users' events: sessions of 10 to 30 events, closed by a pause of two hours."""
-    e = load(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).withColumn("seq", F.struct("ms", "event_id"))
+    e = load(spark, d, "events").select(
+        "user_id",
+        "event_id",
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+    ).withColumn("seq", F.struct("ms", "event_id"))
     out = scenes.segment(e, gap=2 * 3600 * 1000, track="user_id", start="ms", end="ms")
-    return out.groupBy("user_id", F.col("scene_no").alias("session")).agg(F.count("*").alias("events"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    return out.groupBy("user_id", F.col("scene_no").alias("session")).agg(
+        F.count("*").alias("events"),
+        F.min("ms").alias("first_ms"),
+        F.max("ms").alias("last_ms"),
+    )
 
 
 @query
@@ -91,7 +113,12 @@ def progress(spark, d):
 def inspect_stats(spark, d):
     c = cues(spark, d).withColumn("clean", T.clean_source(F.col("source_text"), F.col("speaker")))
     rate = F.floor(F.length("clean") * 100000 / F.greatest(F.lit(100), F.col("end_ms") - F.col("start_ms")))
-    return c.groupBy("track_id").agg(F.count("*").alias("cues"), (F.max_by("end_ms", "seq") - F.min_by("start_ms", "seq")).alias("span_ms"), F.sum(F.size(T.tokens(F.col("clean")))).cast("long").alias("words"), F.sum(rate).alias("cps_x100_sum"))
+    return c.groupBy("track_id").agg(
+        F.count("*").alias("cues"),
+        (F.max_by("end_ms", "seq") - F.min_by("start_ms", "seq")).alias("span_ms"),
+        F.sum(F.size(T.tokens(F.col("clean")))).cast("long").alias("words"),
+        F.sum(rate).alias("cps_x100_sum"),
+    )
 
 
 # --- text
@@ -99,7 +126,12 @@ def inspect_stats(spark, d):
 
 @query
 def clean_text(spark, d):
-    return cues(spark, d).select("track_id", "seq", T.clean_source(F.col("source_text"), F.col("speaker")).alias("clean"), T.speaker_label(F.col("source_text")).alias("label"))
+    return cues(spark, d).select(
+        "track_id",
+        "seq",
+        T.clean_source(F.col("source_text"), F.col("speaker")).alias("clean"),
+        T.speaker_label(F.col("source_text")).alias("label"),
+    )
 
 
 @query
@@ -114,7 +146,12 @@ def normalize_text(spark, d):
 
 @query
 def normalize_marks(spark, d):
-    return cues(spark, d).select("track_id", "seq", T.normalize(F.col("target_text"), digits=True, marks=True).alias("normal"), T.score_key(F.col("target_text")).alias("score_key"))
+    return cues(spark, d).select(
+        "track_id",
+        "seq",
+        T.normalize(F.col("target_text"), digits=True, marks=True).alias("normal"),
+        T.score_key(F.col("target_text")).alias("score_key"),
+    )
 
 
 @query
@@ -125,7 +162,14 @@ def line_breaks(spark, d):
 @query
 def detectors(spark, d):
     t = F.coalesce("target_text", F.lit(""))
-    return cues(spark, d).select("track_id", "seq", F.array_join(T.kurmanji(t), ",").alias("kurmanji"), F.array_join(T.untranslated(t), ",").alias("english"), F.array_join(F.array_sort(T.llm_errors(t)), ",").alias("llm"), F.array_join(T.ezafe_chains(t), ",").alias("ezafe"))
+    return cues(spark, d).select(
+        "track_id",
+        "seq",
+        F.array_join(T.kurmanji(t), ",").alias("kurmanji"),
+        F.array_join(T.untranslated(t), ",").alias("english"),
+        F.array_join(F.array_sort(T.llm_errors(t)), ",").alias("llm"),
+        F.array_join(T.ezafe_chains(t), ",").alias("ezafe"),
+    )
 
 
 @query
@@ -135,7 +179,11 @@ def validate_counts(spark, d):
 
 @query
 def suspicious_names(spark, d):
-    return cues(spark, d).select("track_id", "seq", F.array_join(T.suspicious_names(T.clean_source(F.col("source_text"), F.col("speaker"))), ",").alias("names"))
+    return cues(spark, d).select(
+        "track_id",
+        "seq",
+        F.array_join(T.suspicious_names(T.clean_source(F.col("source_text"), F.col("speaker"))), ",").alias("names"),
+    )
 
 
 @query
@@ -146,7 +194,10 @@ def foreign_routing(spark, d):
 
 @query
 def glossary_enforce(spark, d):
-    source = F.when(F.col("seq") % 6 == 0, F.concat(F.lit("Captain and Dr. "), F.col("source_text"))).when(F.col("seq") % 6 == 1, F.concat(F.lit("Mrs. "), F.col("source_text"))).otherwise(F.col("source_text"))
+    source = F.when(
+        F.col("seq") % 6 == 0,
+        F.concat(F.lit("Captain and Dr. "), F.col("source_text")),
+    ).when(F.col("seq") % 6 == 1, F.concat(F.lit("Mrs. "), F.col("source_text"))).otherwise(F.col("source_text"))
     return cues(spark, d).select("track_id", "seq", T.enforce_honorifics(source, F.col("target_text")).alias("enforced"))
 
 
@@ -162,7 +213,12 @@ def content_keys(spark, d):
 
 @query
 def cue_search(spark, d):
-    return cues(spark, d).where(F.contains("source_text", F.lit("the")) | F.contains(F.coalesce("target_text", F.lit("")), F.lit("باش")) | F.contains(F.col("seq").cast("string"), F.lit("7"))).select("track_id", "seq")
+    return cues(spark, d).where(
+        F.contains("source_text", F.lit("the")) | F.contains(
+            F.coalesce("target_text", F.lit("")),
+            F.lit("باش"),
+        ) | F.contains(F.col("seq").cast("string"), F.lit("7")),
+    ).select("track_id", "seq")
 
 
 @query
@@ -198,7 +254,13 @@ def qc_summary(spark, d):
 
 @query
 def run_summary(spark, d):
-    return evaluated(spark, d).agg(F.count("*").alias("cues"), F.count_if("passed").alias("passed"), F.floor(F.count_if("passed") * 1000 / F.count("*")).alias("pass_permille"), F.sum(F.size(F.filter("issues", lambda x: x["severity"] == "critical"))).cast("long").alias("critical_issues"), F.count_if("requires_review").alias("queue"))
+    return evaluated(spark, d).agg(
+        F.count("*").alias("cues"),
+        F.count_if("passed").alias("passed"),
+        F.floor(F.count_if("passed") * 1000 / F.count("*")).alias("pass_permille"),
+        F.sum(F.size(F.filter("issues", lambda x: x["severity"] == "critical"))).cast("long").alias("critical_issues"),
+        F.count_if("requires_review").alias("queue"),
+    )
 
 
 @query
@@ -210,7 +272,13 @@ def proper_nouns(spark, d):
 @query
 def verification(spark, d):
     ev = evaluated(spark, d)
-    verdicts = ev.select("track_id", "seq", F.when(F.col("seq") % 3 == 0, "disagree").otherwise("agree").alias("decision"), F.when(F.col("seq") % 4 == 0, "major").otherwise("none").alias("severity"), F.lit(None).cast("string").alias("alternative"))
+    verdicts = ev.select(
+        "track_id",
+        "seq",
+        F.when(F.col("seq") % 3 == 0, "disagree").otherwise("agree").alias("decision"),
+        F.when(F.col("seq") % 4 == 0, "major").otherwise("none").alias("severity"),
+        F.lit(None).cast("string").alias("alternative"),
+    )
     return quality.verification(ev, verdicts).drop("alternative")
 
 
@@ -222,7 +290,13 @@ def review_queue(spark, d):
 @query
 def decisions(spark, d):
     c = cues(spark, d)
-    made = c.where("seq % 4 <> 0").select("track_id", "seq", F.when(F.col("seq") % 4 == 1, "accept").when(F.col("seq") % 4 == 2, "choose_alternative").otherwise("edit").alias("action"), F.concat(F.lit("ok "), F.col("seq")).alias("approved"), F.when(F.col("seq") % 8 == 2, F.lit("alt")).alias("alternative"))
+    made = c.where("seq % 4 <> 0").select(
+        "track_id",
+        "seq",
+        F.when(F.col("seq") % 4 == 1, "accept").when(F.col("seq") % 4 == 2, "choose_alternative").otherwise("edit").alias("action"),
+        F.concat(F.lit("ok "), F.col("seq")).alias("approved"),
+        F.when(F.col("seq") % 8 == 2, F.lit("alt")).alias("alternative"),
+    )
     return review.decide(c, made).select("track_id", "seq", "final_text", "status")
 
 
@@ -237,7 +311,13 @@ def compliance_terms(spark, d):
 
 @query
 def glossary_match(spark, d):
-    rows = [("Licensed", "approved", True), ("licensed", "approved", True), ("THE and", "approved", False), ("idiot", "approved", None), ("of the", "draft", False)]
+    rows = [
+        ("Licensed", "approved", True),
+        ("licensed", "approved", True),
+        ("THE and", "approved", False),
+        ("idiot", "approved", None),
+        ("of the", "draft", False),
+    ]
     terms = spark.createDataFrame(rows, "term string, status string, case_sensitive boolean")
     return review.glossary_matches(load(spark, d, "documents").select("doc_id", "text"), terms).select("doc_id", "term")
 
@@ -246,7 +326,10 @@ def glossary_match(spark, d):
 def glossary_custom(spark, d):
     """A project's own honorific, one that takes the place of a fixed one, and a general term, which changes nothing."""
     terms = T.glossary({"Queen": ("شاژن", "honorific"), "captain": ("سەرکردە", "honorific"), "Dr.": ("پزیشک", "general")})
-    source = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Captain and Dr. "), F.col("source_text"))).when(F.col("seq") % 4 == 1, F.concat(F.lit("The queen "), F.col("source_text"))).otherwise(F.col("source_text"))
+    source = F.when(
+        F.col("seq") % 4 == 0,
+        F.concat(F.lit("Captain and Dr. "), F.col("source_text")),
+    ).when(F.col("seq") % 4 == 1, F.concat(F.lit("The queen "), F.col("source_text"))).otherwise(F.col("source_text"))
     return cues(spark, d).select("track_id", "seq", T.enforce_honorifics(source, F.col("target_text"), terms).alias("enforced"))
 
 
@@ -258,7 +341,10 @@ def cue_records(spark, d):
 
 @query
 def active_characters(spark, d):
-    people = spark.createDataFrame([("c1", "Thandor", ["than", "ander"]), ("c2", "Idiot", ["scum", "clown"]), ("c3", "Erin", None)], "id string, name string, aliases array<string>")
+    people = spark.createDataFrame(
+        [("c1", "Thandor", ["than", "ander"]), ("c2", "Idiot", ["scum", "clown"]), ("c3", "Erin", None)],
+        "id string, name string, aliases array<string>",
+    )
     return review.active_characters(scenes.scene_text(segmented(spark, d)), people)
 
 
@@ -267,7 +353,10 @@ def active_characters(spark, d):
 
 def _benchmark_pairs(spark, d) -> DataFrame:
     b = load(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("reference")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis")), "item_id")
+    return b.select("item_id", F.col("text").alias("reference")).join(
+        b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis")),
+        "item_id",
+    )
 
 
 @query
@@ -283,8 +372,18 @@ def chrf_words(spark, d):
 def _gold(spark, d) -> DataFrame:
     b = load(spark, d, "benchmark")
     text = F.col("text")
-    got = F.when(F.col("item_id") % 5 == 0, F.concat(text, F.lit(" !"))).when(F.col("item_id") % 5 == 1, F.lower(text)).when(F.col("item_id") % 5 == 2, F.concat(F.lit("wrong "), text)).when(F.col("item_id") % 5 == 3, F.lit("ok")).otherwise(F.substring(text, 1, 40))
-    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("cat"), F.col("item_id") % 3).alias("category"), text.alias("gold"), F.array(F.lower(text)).alias("alternatives"), F.array(F.lit("wrong")).alias("literals"), got.alias("translation"))
+    got = F.when(F.col("item_id") % 5 == 0, F.concat(text, F.lit(" !"))).when(F.col("item_id") % 5 == 1, F.lower(text)).when(
+        F.col("item_id") % 5 == 2,
+        F.concat(F.lit("wrong "), text),
+    ).when(F.col("item_id") % 5 == 3, F.lit("ok")).otherwise(F.substring(text, 1, 40))
+    return b.select(
+        F.col("item_id").alias("id"),
+        F.concat(F.lit("cat"), F.col("item_id") % 3).alias("category"),
+        text.alias("gold"),
+        F.array(F.lower(text)).alias("alternatives"),
+        F.array(F.lit("wrong")).alias("literals"),
+        got.alias("translation"),
+    )
 
 
 @query
@@ -313,13 +412,26 @@ def benchmark_run(spark, d):
     b = load(spark, d, "benchmark")
     text = F.col("text")
     gold = F.when(F.col("item_id") % 3 == 0, T.dictionary_translation(text)).otherwise(F.lit("سڵاو هاوڕێم"))
-    items = b.select(F.col("item_id").alias("id"), F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"), text.alias("source"), gold.alias("gold"), F.array(T.dictionary_translation(F.lower(text))).alias("alternatives"), F.array(F.lit("وشە")).alias("literals"))
+    items = b.select(
+        F.col("item_id").alias("id"),
+        F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"),
+        text.alias("source"),
+        gold.alias("gold"),
+        F.array(T.dictionary_translation(F.lower(text))).alias("alternatives"),
+        F.array(F.lit("وشە")).alias("literals"),
+    )
     return scoring.benchmark(items, provider.DictionaryProvider())
 
 
 @query
 def diff_metrics(spark, d):
-    pairs = cues(spark, d).select("track_id", "seq", "source_text", F.col("target_text").alias("original"), F.regexp_replace("target_text", "ا", "").alias("revised"))
+    pairs = cues(spark, d).select(
+        "track_id",
+        "seq",
+        "source_text",
+        F.col("target_text").alias("original"),
+        F.regexp_replace("target_text", "ا", "").alias("revised"),
+    )
     return scoring.compare(pairs).select("track_id", "seq", "has_changes", "wer", "cer", F.length("diff_html").alias("html_length"))
 
 
@@ -340,24 +452,39 @@ def asr_mismatch(spark, d):
 
 
 def _memory(spark, d) -> DataFrame:
-    return load(spark, d, "conversations").where("text IS NOT NULL").groupBy(F.col("text").alias("source_text")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("tm_id")).select("tm_id", "source_text", F.translate(F.lower("source_text"), "aeiou", "اێیۆو").alias("target_text"))
+    return load(spark, d, "conversations").where("text IS NOT NULL").groupBy(F.col("text").alias("source_text")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("tm_id")).select(
+        "tm_id",
+        "source_text",
+        F.translate(F.lower("source_text"), "aeiou", "اێیۆو").alias("target_text"),
+    )
 
 
 @query
 def tm_exact(spark, d):
-    return memory.exact(load(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("source_text")), _memory(spark, d)).select("conv_id", "turn", "tm_id")
+    return memory.exact(
+        load(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("source_text")),
+        _memory(spark, d),
+    ).select("conv_id", "turn", "tm_id")
 
 
 @query
 def tm_fuzzy(spark, d):
     c = lines(spark, d).select("track_id", "seq", F.regexp_replace("line", "and", "nd").alias("source_text"))
-    m = lines(spark, d).groupBy(F.col("line").alias("source_text")).agg(F.min(F.col("track_id").cast("long") * 1000 + F.col("seq")).alias("tm_id")).select("tm_id", "source_text", F.col("source_text").alias("target_text"))
+    m = lines(spark, d).groupBy(F.col("line").alias("source_text")).agg(
+        F.min(F.col("track_id").cast("long") * 1000 + F.col("seq")).alias("tm_id"),
+    ).select("tm_id", "source_text", F.col("source_text").alias("target_text"))
     return memory.fuzzy(c, m, ["track_id", "seq"]).drop("tm_target")
 
 
 @query
 def tm_upsert(spark, d):
-    old = load(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("tm_id"), F.sha2("text", 256).alias("source_text"), F.col("source").alias("target_text"), F.lit(None).cast("string").alias("context_notes"), F.lit(1).cast("long").alias("version"))
+    old = load(spark, d, "documents").where("text IS NOT NULL").select(
+        F.col("doc_id").alias("tm_id"),
+        F.sha2("text", 256).alias("source_text"),
+        F.col("source").alias("target_text"),
+        F.lit(None).cast("string").alias("context_notes"),
+        F.lit(1).cast("long").alias("version"),
+    )
     new = old.withColumns({"tm_id": F.col("tm_id") + 1000000, "version": F.lit(2).cast("long"), "target_text": F.upper("target_text")}).where("tm_id % 2 = 0")
     return memory.upsert(old, new).select("tm_id", "source_text", "target_text", "version")
 
@@ -369,7 +496,10 @@ def translate_missing(spark, d):
 
 @query
 def tm_hit_rate(spark, d):
-    hits = memory.exact(lines(spark, d).select("track_id", "seq", F.col("line").alias("source_text")), _memory(spark, d)).select("track_id", "seq", F.lit(1).alias("hit"))
+    hits = memory.exact(
+        lines(spark, d).select("track_id", "seq", F.col("line").alias("source_text")),
+        _memory(spark, d),
+    ).select("track_id", "seq", F.lit(1).alias("hit"))
     return lines(spark, d).join(hits, ["track_id", "seq"], "left").agg(F.count("*").alias("cues"), F.count("hit").alias("hits"))
 
 
@@ -378,7 +508,16 @@ def tm_hit_rate(spark, d):
 
 def _corrections(spark, d) -> DataFrame:
     docs = load(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("src "), F.col("lang")).alias("source_text"), F.col("source").alias("original_translation"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.upper("source")).alias("corrected_translation"), F.when(F.col("doc_id") % 2 == 0, "edit").otherwise("accept").alias("correction_type"), F.concat(F.lit("p"), F.col("doc_id") % 4).alias("project_id"), F.lit(None).cast("string").alias("scene_id"), F.timestamp_seconds(F.col("doc_id") % 977).alias("ts"))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("src "), F.col("lang")).alias("source_text"),
+        F.col("source").alias("original_translation"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.upper("source")).alias("corrected_translation"),
+        F.when(F.col("doc_id") % 2 == 0, "edit").otherwise("accept").alias("correction_type"),
+        F.concat(F.lit("p"), F.col("doc_id") % 4).alias("project_id"),
+        F.lit(None).cast("string").alias("scene_id"),
+        F.timestamp_seconds(F.col("doc_id") % 977).alias("ts"),
+    )
 
 
 @query
@@ -430,7 +569,16 @@ def localized_scenes(spark, d):
     """The whole way from untranslated cues to evaluated ones, a row for each scene."""
     out = _localized(spark, d).groupBy("track_id", "scene_no")
     critical = F.size(F.filter("issues", lambda x: x["severity"] == "critical"))
-    return out.agg(F.count("*").alias("cues"), F.count_if("passed").alias("passed"), F.count_if("requires_review").alias("for_review"), F.sum(critical).cast("long").alias("critical_issues"), F.sum("overall").cast("long").alias("points"), F.sum("end_ms").alias("ends"), F.sum(F.length("target_text")).alias("chars"), F.count_if(F.col("origin") == "routed").alias("routed"))
+    return out.agg(
+        F.count("*").alias("cues"),
+        F.count_if("passed").alias("passed"),
+        F.count_if("requires_review").alias("for_review"),
+        F.sum(critical).cast("long").alias("critical_issues"),
+        F.sum("overall").cast("long").alias("points"),
+        F.sum("end_ms").alias("ends"),
+        F.sum(F.length("target_text")).alias("chars"),
+        F.count_if(F.col("origin") == "routed").alias("routed"),
+    )
 
 
 @query
@@ -441,7 +589,11 @@ def localized_summary(spark, d):
 @query
 def overlay_edits(spark, d):
     c = cues(spark, d)
-    edits = c.where("seq % 3 = 0").select("track_id", "seq", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).withColumn("target_text", F.concat(F.lit("edit "), F.col("version")))
+    edits = c.where("seq % 3 = 0").select(
+        "track_id",
+        "seq",
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("version"),
+    ).withColumn("target_text", F.concat(F.lit("edit "), F.col("version")))
     return review.overlay(c, edits).select("track_id", "seq", "target_text")
 
 
@@ -455,7 +607,12 @@ def zip_files(spark, d):
 @query
 def first_interpretation(spark, d):
     c = cues(spark, d).select("track_id", "seq")
-    said = c.where("seq % 2 = 1").select("track_id", F.col("seq").alias("pos"), F.array("seq", F.col("seq") + 1, F.col("seq") + 2).alias("cue_ids"), F.concat(F.lit("m"), F.col("seq")).alias("meaning"))
+    said = c.where("seq % 2 = 1").select(
+        "track_id",
+        F.col("seq").alias("pos"),
+        F.array("seq", F.col("seq") + 1, F.col("seq") + 2).alias("cue_ids"),
+        F.concat(F.lit("m"), F.col("seq")).alias("meaning"),
+    )
     return review.first_interpretation(c, said)
 
 
@@ -465,7 +622,11 @@ def first_interpretation(spark, d):
 @query
 def export_srt(spark, d):
     # numbered anew, whatever seq is
-    return writers.to_srt(cues(spark, d).withColumn("seq", F.col("seq") * 3 + 5)).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
+    return writers.to_srt(cues(spark, d).withColumn("seq", F.col("seq") * 3 + 5)).select(
+        "track_id",
+        F.sha2("content", 256).alias("content_hash"),
+        F.length("content").alias("n_chars"),
+    )
 
 
 @query
@@ -481,7 +642,14 @@ def export_ass(spark, d):
 @query
 def export_html(spark, d):
     ev = evaluated(spark, d)
-    qc = ev.where("seq % 5 <> 0").select("track_id", "seq", F.lit(1).alias("version"), F.col("overall").alias("confidence"), "passed", F.transform("issues", lambda x: x["message"]).alias("messages"))
+    qc = ev.where("seq % 5 <> 0").select(
+        "track_id",
+        "seq",
+        F.lit(1).alias("version"),
+        F.col("overall").alias("confidence"),
+        "passed",
+        F.transform("issues", lambda x: x["message"]).alias("messages"),
+    )
     return writers.to_html(cues(spark, d), qc).select("track_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
@@ -493,8 +661,16 @@ def qc_report(spark, d):
     r = rep.select("track_id", F.from_json("content", shape).alias("r")).select("track_id", "r.*")
     fired = F.flatten(F.transform("evaluations", lambda e: e["issues"]))
     return r.select(
-        "track_id", "total_cues", "passed_cues", "review_required_cues", F.round(F.col("average_confidence") * 1000).cast("long").alias("average_permille"), F.size("evaluations").cast("long").alias("evaluations"), F.aggregate("evaluations", F.lit(0).cast("long"), lambda a, e: a + e["overall"]).alias("points"),
-        F.aggregate(fired, F.lit(0).cast("long"), lambda a, i: a + i["points"]).alias("lost"), F.array_join(F.transform("evaluations", lambda e: e["seq"].cast("string")), ",").alias("seqs"), F.size(F.filter(fired, lambda i: i["status"] == "open")).cast("long").alias("open_issues"),
+        "track_id", "total_cues", "passed_cues", "review_required_cues", F.round(F.col("average_confidence") * 1000).cast("long").alias("average_permille"), F.size("evaluations").cast("long").alias("evaluations"), F.aggregate(
+            "evaluations",
+            F.lit(0).cast("long"),
+            lambda a,
+            e: a + e["overall"],
+        ).alias("points"),
+        F.aggregate(fired, F.lit(0).cast("long"), lambda a, i: a + i["points"]).alias("lost"), F.array_join(
+            F.transform("evaluations", lambda e: e["seq"].cast("string")),
+            ",",
+        ).alias("seqs"), F.size(F.filter(fired, lambda i: i["status"] == "open")).cast("long").alias("open_issues"),
     )
 
 
@@ -502,7 +678,14 @@ def _roundtrip(spark, d, write, ext: str) -> DataFrame:
     shown = cues(spark, d).withColumn("target_text", F.lit(None).cast("string"))
     files = write(shown).withColumn("path", F.concat("track_id", F.lit(ext)))
     got, _ = subtitles.scan(files)
-    return got.select(F.regexp_replace("track_id", r"\.[a-z]+$", "").alias("track_id"), F.col("cue_id").cast("long").alias("seq"), "start_ms", "end_ms", "source_text", "speaker")
+    return got.select(
+        F.regexp_replace("track_id", r"\.[a-z]+$", "").alias("track_id"),
+        F.col("cue_id").cast("long").alias("seq"),
+        "start_ms",
+        "end_ms",
+        "source_text",
+        "speaker",
+    )
 
 
 @query
@@ -524,8 +707,14 @@ def ass_roundtrip(spark, d):
 def track_ranking(spark, d):
     """Sidecars and embedded streams of each media file; one without either asks for speech recognition."""
     pages = load(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("media"))
-    listed = pages.select("media", F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, ".en.srt").when(F.col("page_id") % 3 == 1, ".forced.ass").otherwise(".txt")).alias("path")).where(F.length("media") % 3 != 0)
-    probe = F.when(F.col("page_id") % 4 == 0, F.lit('{"streams":[{"codec_type":"video"},{"codec_type":"subtitle","codec_name":"subrip","tags":{"language":"eng","title":"SDH"}}]}')).when(F.col("page_id") % 4 == 1, F.lit('{"streams":[{"codec_type":"subtitle"}]}')).otherwise(F.lit("no probe"))
+    listed = pages.select(
+        "media",
+        F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, ".en.srt").when(F.col("page_id") % 3 == 1, ".forced.ass").otherwise(".txt")).alias("path"),
+    ).where(F.length("media") % 3 != 0)
+    probe = F.when(
+        F.col("page_id") % 4 == 0,
+        F.lit('{"streams":[{"codec_type":"video"},{"codec_type":"subtitle","codec_name":"subrip","tags":{"language":"eng","title":"SDH"}}]}'),
+    ).when(F.col("page_id") % 4 == 1, F.lit('{"streams":[{"codec_type":"subtitle"}]}')).otherwise(F.lit("no probe"))
     probes = pages.where(F.length("media") % 3 == 1).groupBy("media").agg(F.max("page_id").alias("page_id")).select("media", probe.alias("probe"))
     return subtitles.master_track(subtitles.track_candidates(listed).unionByName(subtitles.embedded_candidates(probes)), files=pages)
 
@@ -533,14 +722,23 @@ def track_ranking(spark, d):
 @query
 def response_content(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.col("source").alias("s"))
-    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("s"), F.lit('"}}]}'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"content":[{"text":"'), F.col("s"), F.lit('"}]}'))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), F.col("s"), F.lit('"}]}}]}'))).otherwise(F.lit("{}"))
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("s"), F.lit('"}}]}'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"content":[{"text":"'), F.col("s"), F.lit('"}]}'))).when(
+        F.col("doc_id") % 4 == 2,
+        F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), F.col("s"), F.lit('"}]}}]}')),
+    ).otherwise(F.lit("{}"))
     return docs.select("doc_id", R.content(body).alias("content"))
 
 
 #: An item for each remainder of doc_id, and the ids it must give ({0} stands for doc_id).
 ITEMS = [
-    ('{{"cue_ids":[{0},"{0}","x",null]}}', "{0},{0}"), ('{{"cue_id":"{0}"}}', "{0}"), ('{{"id":{0}}}', "{0}"), ('{{"cue_ids":"none"}}', "1"), ("{{}}", "1"), ('{{"cue_ids":[-{0}.5,{0}.9]}}', "-{0},{0}"), ('{{"cue_ids":["{0}.5"]}}', "1"),
-    ('{{"cue_id":-{0}.7}}', "-{0}"), ('{{"cue_ids":null,"cue_id":null,"id":" {0} "}}', "{0}"), ('{{"cue_ids":[],"id":{0}}}', "1"), ('{{"cue_ids":{{"a":{0}}}}}', "1"), ("no JSON {0}", "1"), ('{{"cue_ids":[[{0}],true,{0}]}}', "1,{0}"),
+    (
+        '{{"cue_ids":[{0},"{0}","x",null]}}',
+        "{0},{0}",
+    ), ('{{"cue_id":"{0}"}}', "{0}"), ('{{"id":{0}}}', "{0}"), ('{{"cue_ids":"none"}}', "1"), ("{{}}", "1"), ('{{"cue_ids":[-{0}.5,{0}.9]}}', "-{0},{0}"), ('{{"cue_ids":["{0}.5"]}}', "1"),
+    ('{{"cue_id":-{0}.7}}', "-{0}"), (
+        '{{"cue_ids":null,"cue_id":null,"id":" {0} "}}',
+        "{0}",
+    ), ('{{"cue_ids":[],"id":{0}}}', "1"), ('{{"cue_ids":{{"a":{0}}}}}', "1"), ("no JSON {0}", "1"), ('{{"cue_ids":[[{0}],true,{0}]}}', "1,{0}"),
 ]
 
 
@@ -560,8 +758,14 @@ def cue_id_coercion(spark, d):
 
 #: Answers of a model, and what they hold.
 ANSWERS = [
-    ('```json\n{{"id": {0}}}\n```', '{{"id": {0}}}'), ("Sure: [{0}] done", '{{"items": [{0}], "translations": [{0}]}}'), ("nothing here {0}", "{{}}"), ("```\n[{0}, 1]", '{{"items": [{0}, 1], "translations": [{0}, 1]}}'), ('So {{"a": [{0}]}} it is', '{{"a": [{0}]}}'),
-    ("Text ```JSON [{0}]``` and more", '{{"items": [{0}], "translations": [{0}]}}'), ("broken {{ x }} then [{0}]", '{{"items": [{0}], "translations": [{0}]}}'), ('{{"a": {0}', "{{}}"),
+    ('```json\n{{"id": {0}}}\n```', '{{"id": {0}}}'), ("Sure: [{0}] done", '{{"items": [{0}], "translations": [{0}]}}'), ("nothing here {0}", "{{}}"), (
+        "```\n[{0}, 1]",
+        '{{"items": [{0}, 1], "translations": [{0}, 1]}}',
+    ), ('So {{"a": [{0}]}} it is', '{{"a": [{0}]}}'),
+    (
+        "Text ```JSON [{0}]``` and more",
+        '{{"items": [{0}], "translations": [{0}]}}',
+    ), ("broken {{ x }} then [{0}]", '{{"items": [{0}], "translations": [{0}]}}'), ('{{"a": {0}', "{{}}"),
 ]
 
 

@@ -30,7 +30,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def guard_reason(files: DataFrame, content: str = "content") -> Column:
     """Why a file can't be scanned; null if it can."""
-    return F.when(F.col("size") == 0, "empty").when(F.col("size") > MAX_BYTES, "too large").when(F.col(content).isNull() | ~F.col(content).rlike(r"\S"), "blank")
+    return F.when(F.col("size") == 0, "empty").when(F.col("size") > MAX_BYTES, "too large").when(
+        F.col(content).isNull() | ~F.col(content).rlike(r"\S"),
+        "blank",
+    )
 
 
 def guard(files: DataFrame) -> DataFrame:
@@ -59,7 +62,13 @@ def _paragraphs(content: Column, arrow) -> Column:
     """Blocks between blank lines that hold an arrow line; arrow(lines) is its place, from 1, 0 without one."""
     lines = F.transform(F.split(T.strip(_body(content)), r"(?U)\n\s*\n"), lambda b: _stripped(F.split(b, "\n")))
     placed = F.filter(F.transform(lines, lambda ls: F.struct(ls.alias("ls"), arrow(ls).cast("int").alias("at"))), lambda x: x["at"] > 0)
-    ends = F.transform(placed, lambda x: F.struct(F.split(F.get(x["ls"], x["at"] - 1), "-->").alias("ends"), F.array_join(F.slice(x["ls"], x["at"] + 1, F.size(x["ls"])), "\n").alias("words")))
+    ends = F.transform(
+        placed,
+        lambda x: F.struct(
+            F.split(F.get(x["ls"], x["at"] - 1), "-->").alias("ends"),
+            F.array_join(F.slice(x["ls"], x["at"] + 1, F.size(x["ls"])), "\n").alias("words"),
+        ),
+    )
     return F.transform(ends, lambda x: _block(T.strip(F.get(x["ends"], F.lit(0))), F.get(T.tokens(F.get(x["ends"], F.lit(1))), F.lit(0)), x["words"]))
 
 
@@ -84,7 +93,13 @@ def ass_blocks(content: Column) -> Column:
     def rows(ls: Column) -> Column:
         formats = F.filter(ls, lambda x: F.startswith(F.lower(x), F.lit("format:")))
         fields = F.transform(F.split(F.coalesce(F.lower(F.regexp_replace(F.get(formats, F.lit(0)), r"(?i)^format:", "")), default), ","), lambda x: F.trim(x))
-        return _bound(fields, lambda names: F.transform(F.filter(ls, lambda x: F.startswith(x, F.lit("Dialogue:"))), lambda line: row(names, F.call_function("split", F.regexp_replace(line, "^Dialogue:", ""), F.lit(","), F.size(names)))))
+        return _bound(
+            fields,
+            lambda names: F.transform(
+                F.filter(ls, lambda x: F.startswith(x, F.lit("Dialogue:"))),
+                lambda line: row(names, F.call_function("split", F.regexp_replace(line, "^Dialogue:", ""), F.lit(","), F.size(names))),
+            ),
+        )
 
     def row(names: Column, values: Column) -> Column:
         field = lambda v, name: T.strip(F.get(v, F.array_position(names, F.lit(name)).cast("int") - 1))
@@ -99,7 +114,18 @@ def parsed(files: DataFrame, content: str = "content", track: str = "path") -> D
     ext = F.lower(F.regexp_extract(F.col(track), r"\.([^./]*)$", 1))
 
     def timed(split, to_ms) -> Column:
-        return F.transform(split(F.col(content)), lambda b, i: F.struct(i.alias("pos"), b["start"].alias("start"), b["end"].alias("end"), to_ms(b["start"]).alias("start_ms"), to_ms(b["end"]).alias("end_ms"), b["source_text"].alias("source_text")))
+        return F.transform(
+            split(F.col(content)),
+            lambda b,
+            i: F.struct(
+                i.alias("pos"),
+                b["start"].alias("start"),
+                b["end"].alias("end"),
+                to_ms(b["start"]).alias("start_ms"),
+                to_ms(b["end"]).alias("end_ms"),
+                b["source_text"].alias("source_text"),
+            ),
+        )
 
     blocks = F.when(ext == "vtt", timed(vtt_blocks, C.vtt_ms)).when(ext.isin("ass", "ssa"), timed(ass_blocks, C.ass_ms)).otherwise(timed(srt_blocks, C.srt_ms))
     rows = files.select(F.col(track).alias("track_id"), (~ext.isin("vtt", "ass", "ssa")).alias("speakers"), blocks.alias("blocks"))
@@ -118,7 +144,14 @@ def scan(files: DataFrame, content: str = "content", track: str = "path", strict
             one = one.join(refused, "track_id")
             why = F.coalesce(F.concat(F.col("reason"), F.lit(" file: "), F.col("track_id")), why)
         one = one.withColumn("good", F.when(why.isNull(), F.col("good")).otherwise(F.raise_error(why).cast(one.schema["good"].dataType)))
-    cues = one.select("track_id", "speakers", F.posexplode("good").alias("i", "b")).select("track_id", (F.col("i") + 1).alias("cue_id"), "b.start_ms", "b.end_ms", "b.source_text", "speakers")
+    cues = one.select("track_id", "speakers", F.posexplode("good").alias("i", "b")).select(
+        "track_id",
+        (F.col("i") + 1).alias("cue_id"),
+        "b.start_ms",
+        "b.end_ms",
+        "b.source_text",
+        "speakers",
+    )
     bad = one.select("track_id", F.explode("bad").alias("b")).select("track_id", "b.pos", "b.start", "b.end")
     return cues.withColumn("speaker", F.when(F.col("speakers"), T.speaker_label(F.col("source_text")))).drop("speakers"), bad
 
@@ -131,7 +164,14 @@ def track_candidates(paths: DataFrame, media: str = "media", path: str = "path")
     kind = F.when(F.contains(low, F.lit("forced")), "forced").when(F.contains(low, F.lit("sdh")) | F.contains(low, F.lit("cc")), "sdh").otherwise("full")
     fmt = F.regexp_extract(low, r"\.(srt|ass|vtt)$", 1)
     score = 90 + F.when(F.startswith(low, base), 5).otherwise(0) + F.when(english, 5).otherwise(0)
-    return paths.select(media, path, F.when(english, "en").otherwise("unknown").alias("language"), fmt.alias("format"), kind.alias("track_type"), score.alias("score")).where("format <> ''")
+    return paths.select(
+        media,
+        path,
+        F.when(english, "en").otherwise("unknown").alias("language"),
+        fmt.alias("format"),
+        kind.alias("track_type"),
+        score.alias("score"),
+    ).where("format <> ''")
 
 
 PROBE = "streams array<struct<codec_type: string, codec_name: string, tags: struct<language: string, title: string>>>"
@@ -142,18 +182,44 @@ def embedded_candidates(probes: DataFrame, media: str = "media", probe: str = "p
     streams = probes.select(media, F.posexplode(F.from_json(F.col(probe), PROBE)["streams"]).alias("number", "s")).where("s.codec_type = 'subtitle'")
     title, language = F.lower(F.coalesce("s.tags.title", F.lit(""))), F.coalesce("s.tags.language", F.lit("unknown"))
     kind = F.when(F.contains(title, F.lit("forced")), "forced").when(F.contains(title, F.lit("sdh")) | F.contains(title, F.lit("cc")), "sdh").otherwise("full")
-    return streams.select(media, F.concat(F.col(media), F.lit("#"), F.col("number")).alias("path"), F.when(language.isin("eng", "en"), "en").otherwise(language).alias("language"), F.coalesce("s.codec_name", F.lit("srt")).alias("format"), kind.alias("track_type"), F.when(language == "eng", 95).otherwise(50).alias("score"))
-
-
-def master_track(candidates: DataFrame, overrides: DataFrame | None = None, media: str = "media", path: str = "path", files: DataFrame | None = None) -> DataFrame:
+    return streams.select(
+        media,
+        F.concat(F.col(media), F.lit("#"), F.col("number")).alias("path"),
+        F.when(language.isin("eng", "en"), "en").otherwise(language).alias("language"),
+        F.coalesce("s.codec_name", F.lit("srt")).alias("format"),
+        kind.alias("track_type"),
+        F.when(language == "eng", 95).otherwise(50).alias("score"),
+    )
+
+
+def master_track(
+    candidates: DataFrame,
+    overrides: DataFrame | None = None,
+    media: str = "media",
+    path: str = "path",
+    files: DataFrame | None = None,
+) -> DataFrame:
     """The candidate of each media file: a manual override wins, then the score, then the path.  files: all media files; one without a candidate gets a row that asks for speech recognition."""
-    marked = candidates.withColumn("manual", F.lit(0)) if overrides is None else candidates.join(overrides.select(media, path, F.lit(1).alias("manual")), [media, path], "left").fillna(0, ["manual"])
+    marked = candidates.withColumn("manual", F.lit(0)) if overrides is None else candidates.join(
+        overrides.select(media, path, F.lit(1).alias("manual")),
+        [media, path],
+        "left",
+    ).fillna(0, ["manual"])
     order = Window.partitionBy(media).orderBy(F.desc("manual"), F.desc("score"), path)
     best = marked.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "manual")
     if files is None:
         return best
     asked = files.select(media).distinct().join(best.select(media), media, "left_anti")
-    return best.unionByName(asked.select(media, F.col(media).alias(path), F.lit("en").alias("language"), F.lit("asr").alias("format"), F.lit("full").alias("track_type"), F.lit(70).alias("score")))
+    return best.unionByName(
+        asked.select(
+            media,
+            F.col(media).alias(path),
+            F.lit("en").alias("language"),
+            F.lit("asr").alias("format"),
+            F.lit("full").alias("track_type"),
+            F.lit(70).alias("score"),
+        ),
+    )
 
 
 def gold_items(spark: SparkSession, path: str) -> DataFrame:

@@ -24,15 +24,33 @@ def _by_track(cues: DataFrame, block: Column, sep: str, head: str = "", tail: st
 
 def to_srt(cues: DataFrame) -> DataFrame:
     """cues: track_id, seq (the order), start_ms, end_ms, source_text, target_text.  Blocks are numbered from 1 whatever seq is."""
-    return _by_track(cues, F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown()), "\n\n", tail="\n", numbered=True)
+    return _by_track(
+        cues,
+        F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown()),
+        "\n\n",
+        tail="\n",
+        numbered=True,
+    )
 
 
 def to_vtt(cues: DataFrame) -> DataFrame:
-    return _by_track(cues, F.concat(F.col("seq"), F.lit("\n"), C.vtt_stamp(F.col("start_ms")), F.lit(" --> "), C.vtt_stamp(F.col("end_ms")), F.lit("\n"), shown(), F.lit("\n")), "\n", head="WEBVTT\n\n")
+    return _by_track(
+        cues,
+        F.concat(F.col("seq"), F.lit("\n"), C.vtt_stamp(F.col("start_ms")), F.lit(" --> "), C.vtt_stamp(F.col("end_ms")), F.lit("\n"), shown(), F.lit("\n")),
+        "\n",
+        head="WEBVTT\n\n",
+    )
 
 
 def to_ass(cues: DataFrame, title: str = "Subtitles") -> DataFrame:
-    line = F.concat(F.lit("Dialogue: 0,"), C.ass_stamp(F.col("start_ms")), F.lit(","), C.ass_stamp(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), F.replace(shown(), F.lit("\n"), F.lit("\\N")))
+    line = F.concat(
+        F.lit("Dialogue: 0,"),
+        C.ass_stamp(F.col("start_ms")),
+        F.lit(","),
+        C.ass_stamp(F.col("end_ms")),
+        F.lit(",Default,,0,0,0,,"),
+        F.replace(shown(), F.lit("\n"), F.lit("\\N")),
+    )
     return _by_track(cues, line, "\n", head=K.ASS_HEADER.format(title=title), tail="\n")
 
 
@@ -48,8 +66,16 @@ def to_html_rows(cues: DataFrame, qc: DataFrame) -> DataFrame:
     joined = cues.join(last, ["track_id", "seq"], "left")
     colour = F.when(F.coalesce(F.col("q.passed"), F.lit(False)), "#28a745").otherwise("#dc3545")
     conf = F.coalesce(F.format_string("%d.%02d", F.floor(F.col("q.confidence") / 100), F.col("q.confidence") % 100), F.lit("N/A"))
-    cells = [F.col("seq").cast("string"), F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --&gt; "), C.srt_stamp(F.col("end_ms"))), escape(T.clean_source(F.col("source_text"), F.col("speaker")))]
-    tail = [F.concat(F.lit('<td dir="rtl">'), escape(F.coalesce("target_text", F.lit(""))), F.lit("</td>")), F.concat(F.lit('<td style="color: '), colour, F.lit('">'), F.when(F.col("q").isNull(), "N/A").otherwise(conf), F.lit("</td>")), F.concat(F.lit("<td>"), escape(F.coalesce(F.array_join("q.messages", ", "), F.lit(""))), F.lit("</td>"))]
+    cells = [
+        F.col("seq").cast("string"),
+        F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --&gt; "), C.srt_stamp(F.col("end_ms"))),
+        escape(T.clean_source(F.col("source_text"), F.col("speaker"))),
+    ]
+    tail = [
+        F.concat(F.lit('<td dir="rtl">'), escape(F.coalesce("target_text", F.lit(""))), F.lit("</td>")),
+        F.concat(F.lit('<td style="color: '), colour, F.lit('">'), F.when(F.col("q").isNull(), "N/A").otherwise(conf), F.lit("</td>")),
+        F.concat(F.lit("<td>"), escape(F.coalesce(F.array_join("q.messages", ", "), F.lit(""))), F.lit("</td>")),
+    ]
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], *tail, F.lit("</tr>"))
     return joined.select("track_id", "seq", row.alias("html"))
 
@@ -76,9 +102,20 @@ def to_html(cues: DataFrame, qc: DataFrame, title: str = "Bilingual inspection")
 def to_qc_report(evaluated: DataFrame) -> DataFrame:
     """track_id and a JSON report: totals, the average confidence (0 to 1, three places, halves up) and the evaluations of the track in cue order."""
     one = F.struct("seq", "technical", "linguistic", "semantic", "overall", "passed", "requires_review", "issues")
-    facts = evaluated.groupBy("track_id").agg(F.count("*").alias("total_cues"), F.count_if("passed").alias("passed_cues"), F.count_if("requires_review").alias("review_required_cues"), F.sum("overall").cast("long").alias("points"), F.array_sort(F.collect_list(one)).alias("evaluations"))
+    facts = evaluated.groupBy("track_id").agg(
+        F.count("*").alias("total_cues"),
+        F.count_if("passed").alias("passed_cues"),
+        F.count_if("requires_review").alias("review_required_cues"),
+        F.sum("overall").cast("long").alias("points"),
+        F.array_sort(F.collect_list(one)).alias("evaluations"),
+    )
     average = F.floor((F.col("points") * 20 + F.col("total_cues")) / (2 * F.col("total_cues"))) / 1000
-    return facts.select("track_id", F.to_json(F.struct("track_id", "total_cues", "passed_cues", "review_required_cues", average.alias("average_confidence"), "evaluations")).alias("content"))
+    return facts.select(
+        "track_id",
+        F.to_json(
+            F.struct("track_id", "total_cues", "passed_cues", "review_required_cues", average.alias("average_confidence"), "evaluations"),
+        ).alias("content"),
+    )
 
 
 def save(contents: DataFrame, path: str, content: str = "content") -> None:
@@ -91,4 +128,15 @@ def save(contents: DataFrame, path: str, content: str = "content") -> None:
 def training_rows(corrections: DataFrame, limit: int = 10_000) -> DataFrame:
     """Of the latest corrections, those that changed something by an edit.  The limit comes before the filter."""
     latest = corrections.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
-    return latest.where("correction_type = 'edit' AND corrected_translation <> original_translation").select("id", F.to_json(F.struct(F.col("source_text").alias("source"), F.col("original_translation").alias("original"), F.col("corrected_translation").alias("corrected"), "project_id", "scene_id")).alias("line"))
+    return latest.where("correction_type = 'edit' AND corrected_translation <> original_translation").select(
+        "id",
+        F.to_json(
+            F.struct(
+                F.col("source_text").alias("source"),
+                F.col("original_translation").alias("original"),
+                F.col("corrected_translation").alias("corrected"),
+                "project_id",
+                "scene_id",
+            ),
+        ).alias("line"),
+    )

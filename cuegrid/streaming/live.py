@@ -37,7 +37,12 @@ def live_scenes(cues: DataFrame, low: int = K.SCENE_MIN_CUES, high: int = K.SCEN
 
 def live_sessions(events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "3.5 seconds", late: str = "1 minute") -> DataFrame:
     """The unbounded variant: sessions closed by a pause alone, with late events up to a bound."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), key).agg(F.count("*").alias("events")).select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "events")
+    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), key).agg(F.count("*").alias("events")).select(
+        key,
+        F.col("session.start").alias("start"),
+        F.col("session.end").alias("end"),
+        "events",
+    )
 
 
 def drop_repeats(cues: DataFrame, time: str, keys: list[str], late: str = "1 minute") -> DataFrame:

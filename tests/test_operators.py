@@ -81,7 +81,13 @@ def test_scans(spark):
     files = spark.createDataFrame([("a.srt", SRT), ("b.vtt", VTT), ("c.ass", ASS), ("d.txt", "")], "path string, content string")
     cues, bad = subtitles.scan(files)
     got = [tuple(r) for r in cues.orderBy("track_id", "cue_id").collect()]
-    assert got == [("a.srt", 1, 1000, 2500, "CAPTAIN: Go", "CAPTAIN"), ("a.srt", 2, 3000, 4000, "line one\nline two", None), ("b.vtt", 1, 1000, 2000, "Hello\nthere", None), ("b.vtt", 2, 3000, 4000, "", None), ("c.ass", 1, 1000, 2500, "a, b\nc", None)]
+    assert got == [
+        ("a.srt", 1, 1000, 2500, "CAPTAIN: Go", "CAPTAIN"),
+        ("a.srt", 2, 3000, 4000, "line one\nline two", None),
+        ("b.vtt", 1, 1000, 2000, "Hello\nthere", None),
+        ("b.vtt", 2, 3000, 4000, "", None),
+        ("c.ass", 1, 1000, 2500, "a, b\nc", None),
+    ]
     assert [r["track_id"] for r in bad.collect()] == ["a.srt"]
     with pytest.raises(Exception, match="bad timestamp"):
         subtitles.scan(files.where("path = 'a.srt'"), strict=True)[0].collect()
@@ -100,7 +106,10 @@ def test_files_and_guards(spark, tmp_path):
 
 
 def test_tracks(spark):
-    paths = spark.createDataFrame([("/m/film.mkv", p) for p in ("/m/film.french.srt", "/m/other.vtt", "/m/film.forced.ass", "/m/x.txt")], "media string, path string")
+    paths = spark.createDataFrame(
+        [("/m/film.mkv", p) for p in ("/m/film.french.srt", "/m/other.vtt", "/m/film.forced.ass", "/m/x.txt")],
+        "media string, path string",
+    )
     c = {r["path"][3:]: (r["language"], r["track_type"], r["score"]) for r in subtitles.track_candidates(paths).collect()}
     assert c == {"film.french.srt": ("en", "full", 100), "other.vtt": ("unknown", "full", 90), "film.forced.ass": ("unknown", "forced", 95)}
     master = lambda o=None: subtitles.master_track(subtitles.track_candidates(paths), o).first()["path"]
@@ -117,7 +126,9 @@ def cue_rows(spark, *rows):
 def test_metrics_and_retiming(spark):
     c = cue_rows(spark, (0, 1000, "x" * 34, None), (1500, 1550, "ab\n cd ", ""), (9000, 10000, "y" * 60, "y" * 60))
     m = timing.metrics(c).orderBy("seq").collect()
-    assert [(r["char_count"], r["line_count"], r["max_cpl"], r["cps_x100"], r["gap_ms"]) for r in m] == [(34, 1, 34, 3400, 500), (4, 2, 2, 4000, 7450), (60, 1, 60, 6000, None)]
+    assert [
+        (r["char_count"], r["line_count"], r["max_cpl"], r["cps_x100"], r["gap_ms"]) for r in m
+    ] == [(34, 1, 34, 3400, 500), (4, 2, 2, 4000, 7450), (60, 1, 60, 6000, None)]
     assert [r["new_end_ms"] for r in timing.retime(c).orderBy("seq").collect()] == [1420, 1735, 12529]
 
 
@@ -165,7 +176,10 @@ def test_every_rule(spark):
         "number_inconsistency": (0, 9000, "x 5", "٦"), "negation_reversal": (0, 9000, "do not go", "بڕۆ"), "question_mark_missing": (0, 9000, "go?", "بڕۆن"), "mock_fallback_detected": (0, 9000, "x", "تەرجەمەی: x"),
         "length_ratio_too_short": (0, 9000, "x" * 40, "بڕۆن"), "length_ratio_too_long": (0, 9000, "xxxx", letters * 3),
     }
-    rows = [(r, 1, s, e, src, tgt, None) for r, (s, e, src, tgt) in cases.items()] + [("duplicate_translation", 1, 0, 9000, "x y", letters, None), ("duplicate_translation", 2, 9500, 19000, "z", letters, None)]
+    rows = [(r, 1, s, e, src, tgt, None) for r, (s, e, src, tgt) in cases.items()] + [
+        ("duplicate_translation", 1, 0, 9000, "x y", letters, None),
+        ("duplicate_translation", 2, 9500, 19000, "z", letters, None),
+    ]
     ev = quality.evaluate(spark.createDataFrame(rows, CUE))
     fired = {}
     for r in quality.issues_long(ev).collect():
@@ -179,7 +193,10 @@ def test_every_rule(spark):
 
 
 def test_scores(spark):
-    pairs = spark.createDataFrame([(1, "the cat sat", "the cat sat"), (2, "", "x"), (3, " ", ""), (4, "abc", "xyz")], "id int, reference string, hypothesis string")
+    pairs = spark.createDataFrame(
+        [(1, "the cat sat", "the cat sat"), (2, "", "x"), (3, " ", ""), (4, "abc", "xyz")],
+        "id int, reference string, hypothesis string",
+    )
     got = {r["id"]: r["chrf_e4"] for r in scoring.chrf(pairs, ["id"]).collect()}
     assert got[1] == 10000 and got[2] == 0 and got[3] == 10000 and 0 < got[4] < 2000  # the blanks around words match
     d = scoring.compare(spark.createDataFrame([("a b c", "a x c"), ("s", "s")], "original string, revised string")).orderBy("original").collect()
@@ -193,9 +210,19 @@ def test_memory(spark):
 
     rng = random.Random(6)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randint(5, 60))).strip() for _ in range(40)]
-    mem = spark.createDataFrame([(i, b, f"t{i}", None, 1) for i, b in enumerate(base)], "tm_id long, source_text string, target_text string, context_notes string, version long")
+    mem = spark.createDataFrame(
+        [(i, b, f"t{i}", None, 1) for i, b in enumerate(base)],
+        "tm_id long, source_text string, target_text string, context_notes string, version long",
+    )
     cues = [(i, b[:3] + "X" + b[3:] if i % 2 else b.upper()) for i, b in enumerate(base)]
-    got = {r["seq"]: (r["tm_id"], r["ratio_e3"]) for r in memory.fuzzy(spark.createDataFrame(cues, "seq long, source_text string"), mem, ["seq"], threshold=0.85).collect()}
+    got = {
+        r["seq"]: (r["tm_id"], r["ratio_e3"]) for r in memory.fuzzy(
+            spark.createDataFrame(cues, "seq long, source_text string"),
+            mem,
+            ["seq"],
+            threshold=0.85,
+        ).collect()
+    }
     want = {}
     for i, c in cues:
         best = max(((difflib.SequenceMatcher(None, c.strip().lower(), b.strip().lower()).ratio(), -j) for j, b in enumerate(base)), default=(0, 0))
@@ -221,7 +248,10 @@ def test_provider_and_review(spark):
         raise OSError
 
     assert {r["target_text"] for r in provider.translate_missing(c, provider.BatchProvider(fail, backoff=0)).collect()} == {"hello", "given"}
-    made = spark.createDataFrame([("t", 1, "accept", "n", None), ("t", 2, "choose_alternative", None, "alt"), ("t", 3, "edit", "new", None)], "track_id string, seq long, action string, approved string, alternative string")
+    made = spark.createDataFrame(
+        [("t", 1, "accept", "n", None), ("t", 2, "choose_alternative", None, "alt"), ("t", 3, "edit", "new", None)],
+        "track_id string, seq long, action string, approved string, alternative string",
+    )
     assert [(r["final_text"], r["status"]) for r in review.decide(c, made).orderBy("seq").collect()] == [("", "accepted"), ("alt", "edited"), ("new", "edited")]
 
 
@@ -238,8 +268,28 @@ def test_costs(spark):
 def test_responses(spark):
     said = ['```json\n{"a": 1}\n```', "x [1, 2] y", 'pre {"b": [1]} post', "[1] and {", "none", ""]
     df = spark.createDataFrame([(s,) for s in said], "s string")
-    assert [r["x"] for r in df.select(R.lenient_json("s").alias("x")).collect()] == ['{"a": 1}', '{"items": [1, 2], "translations": [1, 2]}', '{"b": [1]}', '{"items": [1], "translations": [1]}', "{}", "{}"]
-    for item, ids in (('{"cue_ids":[1,"2","x"]}', [1, 2]), ('{"cue_id":"7"}', [7]), ('{"id":3.9}', [3]), ('{"id":"x"}', [1]), ("{}", [1]), ('{"cue_ids":[]}', [1]), ('{"cue_ids":[-1.5]}', [-1]), ('{"cue_ids":["2.5"]}', [1]), ('{"id":" +5 "}', [5]), ('{"cue_ids":null,"id":4}', [4]), ('{"cue_ids":{"a":1}}', [1]), ("no", [1])):
+    assert [r["x"] for r in df.select(R.lenient_json("s").alias("x")).collect()] == [
+        '{"a": 1}',
+        '{"items": [1, 2], "translations": [1, 2]}',
+        '{"b": [1]}',
+        '{"items": [1], "translations": [1]}',
+        "{}",
+        "{}",
+    ]
+    for item, ids in (
+        ('{"cue_ids":[1,"2","x"]}', [1, 2]),
+        ('{"cue_id":"7"}', [7]),
+        ('{"id":3.9}', [3]),
+        ('{"id":"x"}', [1]),
+        ("{}", [1]),
+        ('{"cue_ids":[]}', [1]),
+        ('{"cue_ids":[-1.5]}', [-1]),
+        ('{"cue_ids":["2.5"]}', [1]),
+        ('{"id":" +5 "}', [5]),
+        ('{"cue_ids":null,"id":4}', [4]),
+        ('{"cue_ids":{"a":1}}', [1]),
+        ("no", [1]),
+    ):
         assert one(spark, R.cue_ids, item) == ids
 
 
@@ -248,7 +298,10 @@ def test_sinks(spark):
     assert writers.to_srt(c).first()["content"] == "1\n01:01:01,500 --> 01:01:02,000\n<a> & 'b'\n\n2\n01:01:03,000 --> 01:01:04,000\nدوو\nهێڵ\n"
     assert writers.to_vtt(c).first()["content"].startswith("WEBVTT\n\n1\n01:01:01.500 --> 01:01:02.000\n")
     assert "Dialogue: 0,1:01:03.00,1:01:04.00,Default,,0,0,0,,دوو\\Nهێڵ" in writers.to_ass(c).first()["content"]
-    qc = spark.createDataFrame([("t", 2, 1, 40, False, ["old"]), ("t", 2, 2, 97, True, ["m"])], "track_id string, seq long, version int, confidence int, passed boolean, messages array<string>")
+    qc = spark.createDataFrame(
+        [("t", 2, 1, 40, False, ["old"]), ("t", 2, 2, 97, True, ["m"])],
+        "track_id string, seq long, version int, confidence int, passed boolean, messages array<string>",
+    )
     html = {r["seq"]: r["html"] for r in writers.to_html_rows(c, qc).collect()}
     assert "&amp; &#x27;b&#x27;" in html[1] and "N/A" in html[1] and "0.97" in html[2] and "#28a745" in html[2]
     rep = writers.to_qc_report(quality.evaluate(c)).first()["content"]

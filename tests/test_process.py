@@ -32,7 +32,10 @@ def folder(tmp_path):
     at = tmp_path / "in"
     at.mkdir()
     (at / "film.srt").write_text(FILM, encoding="utf-8")
-    (at / "long.srt").write_text("\n\n".join(f"{i + 1}\n00:{i // 60:02d}:{i % 60:02d},000 --> 00:{i // 60:02d}:{i % 60:02d},900\nyes, number {i}" for i in range(45)), encoding="utf-8")
+    (at / "long.srt").write_text(
+        "\n\n".join(f"{i + 1}\n00:{i // 60:02d}:{i % 60:02d},000 --> 00:{i // 60:02d}:{i % 60:02d},900\nyes, number {i}" for i in range(45)),
+        encoding="utf-8",
+    )
     (at / "none.srt").write_text("", encoding="utf-8")
     return at
 
@@ -83,7 +86,10 @@ def test_failed_scenes_are_tried_again(spark, folder, tmp_path):
 
 def test_memory_comes_before_the_provider_and_grows(spark):
     c = scenes.segment(cue_rows(spark, (0, 2000, "hello my friends", None), (2500, 4000, "yes", None)))
-    mem = spark.createDataFrame([(1, "hello my friend", "سڵاو هاوڕێیان", None, 1)], "tm_id long, source_text string, target_text string, context_notes string, version long")
+    mem = spark.createDataFrame(
+        [(1, "hello my friend", "سڵاو هاوڕێیان", None, 1)],
+        "tm_id long, source_text string, target_text string, context_notes string, version long",
+    )
     out = P.localize(c, memory=mem)
     assert [r["origin"] for r in out.orderBy("seq").collect()] == ["memory", "provider"]
     kept = {r["source_text"]: r["target_text"] for r in P.new_memory(out).collect()}
@@ -100,7 +106,14 @@ def test_strict_scans_fail(spark, folder):
 
 
 def test_tracks_of_other_origins(spark):
-    probes = spark.createDataFrame([("a", '{"streams":[{"codec_type":"audio"},{"codec_type":"subtitle","codec_name":"ass","tags":{"language":"ger","title":"Forced"}}]}'), ("b", "{"), ("c", None)], "media string, probe string")
+    probes = spark.createDataFrame(
+        [
+            ("a", '{"streams":[{"codec_type":"audio"},{"codec_type":"subtitle","codec_name":"ass","tags":{"language":"ger","title":"Forced"}}]}'),
+            ("b", "{"),
+            ("c", None),
+        ],
+        "media string, probe string",
+    )
     got = subtitles.embedded_candidates(probes).collect()
     assert [tuple(r) for r in got] == [("a", "a#1", "ger", "ass", "forced", 50)]
     master = subtitles.master_track(subtitles.embedded_candidates(probes), files=probes).collect()
@@ -109,7 +122,10 @@ def test_tracks_of_other_origins(spark):
 
 def test_large_dictionaries_are_joined_on_their_first_characters(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "Under the Weather"), (2, "a b"), (3, ""), (4, None), (5, "THE")], "id long, text string")
-    terms = spark.createDataFrame([("the", False), ("The", True), ("weather", False), ("b", False), ("er", None), ("", False), (None, False), ("nowhere", False)], "term string, case_sensitive boolean")
+    terms = spark.createDataFrame(
+        [("the", False), ("The", True), ("weather", False), ("b", False), ("er", None), ("", False), (None, False), ("nowhere", False)],
+        "term string, case_sensitive boolean",
+    )
     join = lambda: sorted((r["id"], r["term"]) for r in review.contains_join(texts, terms, "text", case_sensitive="case_sensitive").collect())
     small = join()
     monkeypatch.setattr(review, "FOLD_BYTES", 10)
@@ -117,7 +133,10 @@ def test_large_dictionaries_are_joined_on_their_first_characters(spark, monkeypa
 
 
 def test_providers_by_name_and_their_cache(spark, tmp_path):
-    assert isinstance(provider.get_provider(" Dictionary "), provider.DictionaryProvider) and isinstance(provider.get_provider("x"), provider.DictionaryProvider)
+    assert isinstance(
+        provider.get_provider(" Dictionary "),
+        provider.DictionaryProvider,
+    ) and isinstance(provider.get_provider("x"), provider.DictionaryProvider)
     with pytest.raises(ValueError, match="unknown"):
         provider.get_provider("x", fallback=False)
     calls = spark.sparkContext.accumulator(0)

@@ -21,7 +21,9 @@ def test_live_scenes_equal_batch_scenes(spark, tmp_path):
 
 def test_sessions_and_repeats(spark, tmp_path):
     schema = "user_id long, ts timestamp"
-    spark.sql("SELECT 1L user_id, timestamp_seconds(1000 + x) ts FROM (SELECT explode(array(0, 1, 1, 2, 20, 21, 500)) x)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.sql(
+        "SELECT 1L user_id, timestamp_seconds(1000 + x) ts FROM (SELECT explode(array(0, 1, 1, 2, 20, 21, 500)) x)",
+    ).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     run(live_sessions(stream()), "live_sessions_out", "complete")
     assert sorted(r["events"] for r in spark.table("live_sessions_out").collect()) == [1, 2, 4]

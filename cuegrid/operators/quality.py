@@ -155,8 +155,9 @@ def findings(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def verification(evaluated: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The second opinion, asked for only where confidence is low or an issue critical.  verdicts: track_id, seq, decision, severity, alternative.  Never overrides."""
-    asked = evaluated.where("requires_review").select("track_id", "seq").join(verdicts, ["track_id", "seq"])
-    joined = evaluated.select("track_id", "seq", "requires_review").join(asked, ["track_id", "seq"], "left")
+    # one pass over the evaluated cues: a verdict that wasn't asked for doesn't count
+    joined = evaluated.select("track_id", "seq", "requires_review").join(verdicts, ["track_id", "seq"], "left")
+    joined = joined.withColumns({c: F.when(F.col("requires_review"), F.col(c)) for c in ("decision", "severity", "alternative")})
     decision, severity = F.coalesce("decision", F.lit("agree")), F.coalesce("severity", F.lit("none"))
     escalate = F.col("requires_review") & (decision.isin("disagree", "uncertain") | severity.isin("major", "critical"))
     return joined.select("track_id", "seq", decision.alias("decision"), severity.alias("severity"), "alternative", escalate.alias("escalated"))

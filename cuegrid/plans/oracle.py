@@ -382,6 +382,7 @@ SQL["tm_hit_rate"] = on(
 )
 
 _corr = "corr AS (SELECT doc_id AS id, 'src ' || lang AS source_text, source AS original_translation, CASE WHEN doc_id % 3 = 0 THEN source ELSE upper(source) END AS corrected_translation, CASE WHEN doc_id % 2 = 0 THEN 'edit' ELSE 'accept' END AS correction_type, 'p' || doc_id % 4 AS project_id, doc_id % 977 AS ts FROM documents)"
+SQL["recorded_corrections"] = on(_corr, "SELECT id, source_text, corrected_translation FROM corr WHERE id % 5 <> 0 AND id % 6 <> 0 AND source_text <> '' AND corrected_translation <> ''")
 SQL["frequent_corrections"] = on(
     _corr,
     "SELECT source_text, corrected_translation, count(*) AS frequency FROM corr WHERE correction_type = 'edit' GROUP BY ALL HAVING count(*) >= 3",
@@ -469,6 +470,10 @@ SQL["ass_roundtrip"] = on(
     CUES,
     rf"SELECT track_id, seq, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, {strip(r'''regexp_replace(source_text, '\{[^}]*\}', '', 'g')''')} AS source_text, CAST(NULL AS VARCHAR) AS speaker FROM cues",
 )
+SQL["decoded_files"] = r"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END) AS text_hash FROM documents"
+_guarded = "SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(10) || chr(9) WHEN doc_id % 11 = 0 THEN '' ELSE text END AS content FROM documents"
+SQL["file_guards"] = rf"""WITH f AS ({_guarded}), g AS (SELECT path, CASE WHEN path % 13 <> 0 AND strlen(content) = 0 THEN 'empty' WHEN path % 13 = 0 THEN 'too large' WHEN content IS NULL OR NOT regexp_matches(content, '\S') THEN 'blank' END AS reason FROM f)
+SELECT path, reason FROM g WHERE reason IS NOT NULL"""
 SQL["track_ranking"] = r"""WITH p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS media FROM pages),
 l AS (SELECT media, url || CASE page_id % 3 WHEN 0 THEN '.en.srt' WHEN 1 THEN '.forced.ass' ELSE '.txt' END AS path FROM p WHERE length(media) % 3 <> 0),
 n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS low, lower(regexp_replace(regexp_extract(media, '([^/]*)$', 1), '\.[^.]*$', '')) AS base FROM l),

@@ -272,7 +272,7 @@ def proper_nouns(spark, d):
 @query
 def verification(spark, d):
     ev = evaluated(spark, d)
-    verdicts = ev.select(
+    verdicts = cues(spark, d).select(
         "track_id",
         "seq",
         F.when(F.col("seq") % 3 == 0, "disagree").otherwise("agree").alias("decision"),
@@ -520,6 +520,17 @@ def _corrections(spark, d) -> DataFrame:
     )
 
 
+@query
+def recorded_corrections(spark, d):
+    """Corrections without a source or a corrected text aren't kept."""
+    c = _corrections(spark, d)
+    gaps = c.withColumns({
+        "source_text": F.when(F.col("id") % 5 != 0, F.col("source_text")),
+        "corrected_translation": F.when(F.col("id") % 6 == 0, F.lit("")).otherwise(F.col("corrected_translation")),
+    })
+    return review.record(gaps).select("id", "source_text", "corrected_translation")
+
+
 @query
 def frequent_corrections(spark, d):
     return review.frequent(_corrections(spark, d))
@@ -703,6 +714,24 @@ def ass_roundtrip(spark, d):
     return _roundtrip(spark, d, writers.to_ass, ".ass")
 
 
+@query
+def decoded_files(spark, d):
+    """Every second text as Latin-1 bytes."""
+    latin = F.regexp_replace("text", r"[^\x00-\xFF]", "?")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(latin, "ISO-8859-1"))
+    docs = load(spark, d, "documents").select("doc_id", raw.alias("content"))
+    return docs.select("doc_id", F.sha2(subtitles.decoded(F.col("content")), 256).alias("text_hash"))
+
+
+@query
+def file_guards(spark, d):
+    """Why files of these contents and sizes can't be scanned."""
+    content = F.when(F.col("doc_id") % 7 == 0, F.lit(" \n\t")).when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text"))
+    files = load(spark, d, "documents").select(F.col("doc_id").alias("path"), content.alias("content"))
+    sized = files.withColumn("size", F.when(F.col("path") % 13 == 0, F.lit(subtitles.MAX_BYTES + 1)).otherwise(F.octet_length("content")))
+    return subtitles.guard(sized)
+
+
 @query
 def track_ranking(spark, d):
     """Sidecars and embedded streams of each media file; one without either asks for speech recognition."""

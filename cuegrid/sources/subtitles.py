@@ -17,11 +17,15 @@ from cuegrid.functions import timecode as C
 MAX_BYTES = 10 * 1024 * 1024
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 if they are that, else Latin-1."""
+    return F.coalesce(F.call_function("try_validate_utf8", content.cast("string")), F.decode(content, "ISO-8859-1"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, size, content (UTF-8, else Latin-1), one row per file; files beyond the size limit keep a null content.  Empty files, which the reader skips, are listed by the driver."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
-    utf8 = F.call_function("try_validate_utf8", F.col("content").cast("string"))
-    full = raw.select("path", "size", F.when(F.col("size") <= MAX_BYTES, F.coalesce(utf8, F.decode("content", "ISO-8859-1"))).alias("content"))
+    full = raw.select("path", "size", F.when(F.col("size") <= MAX_BYTES, decoded(F.col("content"))).alias("content"))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at.suffix("/*")) or []
     none = [(str(f.getPath().toString()), 0, "") for f in listed if f.isFile() and f.getLen() == 0]

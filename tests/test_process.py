@@ -209,3 +209,23 @@ def test_plans(spark):
     cues, bad = subtitles.scan(files)
     assert "Exchange" not in plan_of(cues) and "Exchange" not in plan_of(bad) and plan_of(cues).count("Scan ExistingRDD") == 1
     assert cues.select(F.max("cue_id")).first()[0] == 3
+
+
+def test_gold_sets(spark, tmp_path):
+    at = tmp_path / "gold.json"
+    at.write_text(
+        '[{"id": 1, "category": "idiom", "source": "yes", "gold_sorani": "بەڵێ", "acceptable_alternatives": ["ئا"], "unacceptable_literal_examples": []},\n {"id": 2, "category": "idiom", "source": "wait"}]',
+        encoding="utf-8",
+    )
+    got = subtitles.gold_items(spark, str(at)).orderBy("id").collect()
+    assert [(r["id"], r["source"], r["acceptable_alternatives"]) for r in got] == [(1, "yes", ["ئا"]), (2, "wait", None)]
+    items = subtitles.gold_items(spark, str(at)).selectExpr(
+        "id",
+        "category",
+        "source",
+        "coalesce(gold_sorani, '') gold",
+        "coalesce(acceptable_alternatives, array()) alternatives",
+        "coalesce(unacceptable_literal_examples, array()) literals",
+    )
+    total = {r["category"]: r for r in scoring.benchmark(items, provider.DictionaryProvider()).collect()}
+    assert total["idiom"]["items"] == 2 and total["idiom"]["passed"] == 1

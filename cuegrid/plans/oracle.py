@@ -313,10 +313,10 @@ _terms = [
     ("professor", "پڕۆفیسۆر"),
     ("captain", "سەرکردە"),
     ("detective", "پشکنەر"),
-    ("queen", "شاژن"),
+    ("sheriff", "شێریف"),
 ]
 SQL["glossary_custom"] = honorifics(
-    f"{CUES}, h0 AS (SELECT track_id, seq, target_text AS t, lower(CASE WHEN seq % 4 = 0 THEN 'Captain and Dr. ' || source_text WHEN seq % 4 = 1 THEN 'The queen ' || source_text ELSE source_text END) AS s FROM cues)",
+    f"{CUES}, h0 AS (SELECT track_id, seq, target_text AS t, lower(CASE WHEN seq % 4 = 0 THEN 'Captain and Dr. ' || source_text WHEN seq % 4 = 1 THEN 'The sheriff ' || source_text ELSE source_text END) AS s FROM cues)",
     _terms,
     "SELECT track_id, seq, t AS enforced",
 )

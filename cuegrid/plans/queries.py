@@ -325,11 +325,11 @@ def glossary_match(spark, d):
 @query
 def glossary_custom(spark, d):
     """A project's own honorific, one that takes the place of a fixed one, and a general term, which changes nothing."""
-    terms = T.glossary({"Queen": ("شاژن", "honorific"), "captain": ("سەرکردە", "honorific"), "Dr.": ("پزیشک", "general")})
+    terms = T.glossary({"Sheriff": ("شێریف", "honorific"), "captain": ("سەرکردە", "honorific"), "Dr.": ("پزیشک", "general")})
     source = F.when(
         F.col("seq") % 4 == 0,
         F.concat(F.lit("Captain and Dr. "), F.col("source_text")),
-    ).when(F.col("seq") % 4 == 1, F.concat(F.lit("The queen "), F.col("source_text"))).otherwise(F.col("source_text"))
+    ).when(F.col("seq") % 4 == 1, F.concat(F.lit("The sheriff "), F.col("source_text"))).otherwise(F.col("source_text"))
     return cues(spark, d).select("track_id", "seq", T.enforce_honorifics(source, F.col("target_text"), terms).alias("enforced"))
 
 

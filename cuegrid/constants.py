@@ -85,3 +85,6 @@ Style: Default,Noto Naskh Arabic,28,&H00FFFFFF,&H000000FF,&H00000000,&H64000000,
 [Events]
 Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
 """
+
+# Codes of a provider's failures that may pass.
+RETRIED_CODES = [429, 500, 502, 503, 529]

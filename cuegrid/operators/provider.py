@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuegrid import constants as K
 from cuegrid.functions import text as T
 from cuegrid.operators import memory as M
 
@@ -49,9 +50,9 @@ class DictionaryProvider:
 
 
 class ProviderError(Exception):
-    """A provider's failure; those of the codes in RETRIED may pass."""
+    """A provider's failure; those of the codes in RETRIED (fixed values) may pass."""
 
-    RETRIED = frozenset({429, 500, 502, 503, 529})
+    RETRIED = frozenset(K.RETRIED_CODES)
 
     def __init__(self, code: int, message: str = ""):
         super().__init__(f"{code} {message}".strip())

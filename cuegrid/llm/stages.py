@@ -114,6 +114,13 @@ def map_texts(df: DataFrame, fn: Callable[[TextBlock, pa.RecordBatch], dict], dd
     return df.mapInArrow(run, kind)
 
 
+def carried(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """doc_id, text and the named columns, and the DDL of those that a result keeps beside doc_id."""
+    more = [n for n in names if n not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows, "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in ["text"] * ("text" in names) + more)
+
+
 def emit_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
     """fn turns a partition's batches into dicts of columns."""
     kind, arrow = schema_of(ddl)

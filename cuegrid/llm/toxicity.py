@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import fold, gather, labelled_sample, map_texts, materialise, one_label, ragged, table
+from cuegrid.llm.stages import carried, fold, gather, labelled_sample, map_texts, materialise, one_label, ragged, table
 from cuegrid.llm.textblock import TextBlock
 
 FOLDS, HELD_OUT = 5, 0
@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     return keys, weight, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score, predicted, text_hash."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry: tuple[str, ...] = (), **bounds: int) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the rows' own columns named by `carry`."""
     keys, weight, bias = fit(docs, labels, **bounds)
     look = Lookup(keys)
 
@@ -173,19 +173,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
         with np.errstate(over="ignore"):
             return {"score": 1 / (1 + np.exp(-s))}
 
-    out = map_texts(
-        docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash"),
-        score,
-        "doc_id long, score double, text_hash long",
-    )
-    return out.select(
-        "doc_id",
-        (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "text_hash",
-    )
+    rows, more = carried(docs, carry)
+    out = map_texts(rows, score, "doc_id long, score double" + more)
+    held_out = (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out")
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return out.select("doc_id", held_out, "score", predicted, *[c for c in carry if c != "doc_id"])
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

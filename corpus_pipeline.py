@@ -29,13 +29,13 @@ def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is predicted to be toxic go.  Without toxic labels all stay; null and empty texts are judged as texts without features; an empty table stays empty."""
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows whose text is predicted to be toxic go, where they are judged: no join.  Without toxic labels all stay; null and empty texts are judged as texts without features; an empty table stays empty."""
+    return toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is predicted to be of poor quality go.  With labels of one kind only all are judged alike; null and empty texts are judged as texts without words; an empty table stays empty."""
-    return _without(docs, quality_classifier(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Rows whose text is predicted to be of poor quality go, where they are judged.  With labels of one kind only all are judged alike; null and empty texts are judged as texts without words; an empty table stays empty."""
+    return quality_classifier(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

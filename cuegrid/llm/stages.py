@@ -50,11 +50,11 @@ def _kept(df: DataFrame, at: str) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: what follows has no lineage and survives lost executors.  The files go by release(), or when the application ends."""
+def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: what follows has no lineage and survives lost executors.  The files go by release(), or when the application ends.  by: a column of few values, each in a folder of its own."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
+    df.write.option("compression", codec).partitionBy(*[by] * bool(by)).parquet(at)
     return _kept(spark.read.schema(df.schema).parquet(at), at)
 
 

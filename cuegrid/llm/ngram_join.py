@@ -67,12 +67,12 @@ def least_depth(threshold: float, target: float) -> int:
 
 
 def estimated_recall(found: np.ndarray, threshold: float, at: int, depth: int) -> float:
-    """Recall at `depth`, from the numbers of pairs found at depth `at` in each bin of similarity."""
+    """The least recall at `depth` of the bins of similarity in which pairs were found at depth `at`, and that of all pairs with one more at the threshold: many near copies don't make up for lost pairs of less likeness, and nothing found is no proof."""
     low = threshold + (1 - threshold) * np.arange(BINS) / BINS  # the lower edges, the worse side
     seen = found.astype(float)
     seen[0] += met(threshold, at)
-    pairs = seen / met(low, at)
-    return float((pairs * met(low, depth)).sum() / pairs.sum())
+    pairs, share = seen / met(low, at), met(low, depth)
+    return float(min((pairs * share).sum() / pairs.sum(), share[np.asarray(found) > 0].min(initial=1.0)))
 
 
 def _sets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:

@@ -82,6 +82,28 @@ def test_recall_at_the_threshold(spark):
     assert missed <= 1, missed
 
 
+def test_near_copies_do_not_hide_pairs_at_the_threshold(spark):
+    """600 pairs at 0.80 to 0.82 beside 30 families of 100 nearly equal texts, with the registered parameters."""
+    rng = random.Random(34)
+    rows, n = [], 0
+    while n < 600:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(49, 120))]
+        v = list(w)
+        for at in rng.sample(range(0, len(w), 6), max(1, round(len(w) * 0.022))):
+            v[at] = "anders"
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(v))]
+            n += 1
+    for f in range(30):
+        w = [f"f{rng.randrange(10**9)}" for _ in range(400)]
+        rows += [(10_000 + 100 * f + i, " ".join([*w, f"x{i}"])) for i in range(100)]
+    out = N.ngram_join(spark.createDataFrame([row(*r) for r in rows], DOCS)).collect()
+    missed = sum(r["class_id"] != r["doc_id"] // 2 * 2 for r in out if r["doc_id"] < 10_000)
+    assert missed <= 1, missed
+    assert all(r["class_id"] == r["doc_id"] // 100 * 100 and r["n_links"] == 99 for r in out if r["doc_id"] >= 10_000)
+
+
 def test_prefixes_are_shortened_as_far_as_the_links_need(spark):
     assert N.least_depth(0.8, 0.9999) < N.DEPTH and N.met(0.8, N.least_depth(0.8, 0.9999)) >= 0.9999
     like, unlike = np.zeros(N.BINS, int), np.zeros(N.BINS, int)
@@ -89,6 +111,9 @@ def test_prefixes_are_shortened_as_far_as_the_links_need(spark):
     assert N.estimated_recall(like, 0.8, N.DEPTH, N.DEPTH) > 0.9999  # nearly equal texts: the full depth does
     assert N.estimated_recall(unlike, 0.8, N.DEPTH, N.DEPTH) < 0.99 < N.estimated_recall(unlike, 0.8, N.DEPTH, 5)
     assert N.estimated_recall(np.zeros(N.BINS, int), 0.8, N.DEPTH, N.DEPTH) < 0.99  # nothing found is no proof
+    both = like.copy()
+    both[3] = 1  # one pair of less likeness asks for its own recall, however many others there are
+    assert N.estimated_recall(both, 0.8, N.DEPTH, N.DEPTH) < 0.999 < 0.9999 <= N.estimated_recall(both, 0.8, N.DEPTH, 4)
 
 
 def test_tries_keep_matched_keys_only(spark):
@@ -280,3 +305,17 @@ def test_related_licenses_are_told_apart(spark):
             best[r["doc_id"]].add(r["license"])
     assert {k: v for k, v in best.items() if k != 99} == {i: {n} for i, n in enumerate(names)} and best[99] == {"mit", "bsd-3-clause"}
     assert any(r["license"] == "bsd-2-clause" and not r["best"] for r in found if r["doc_id"] == 1)
+
+
+def test_a_shingle_repeated_through_a_long_text(spark):
+    """The words of the item's shingle fill a long text; the passage itself stands in it once."""
+    from cuegrid.llm.decontaminate import leaks
+
+    rng = random.Random(5)
+    item = ["la"] * 12 + [f"q{rng.randrange(10**6)}" for _ in range(28)]
+    filler = ["la"] * 6000
+    long = " ".join(filler[:3000] + item + filler[3000:])
+    docs = spark.createDataFrame([row(1, long), row(2, " ".join(filler)), row(3, " ".join(item))], DOCS)
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"z{i}" for i in range(30)))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["n_words"]) for r in leaks(docs, bench).collect()}
+    assert got == {(1, 7): (1.0, 40), (3, 7): (1.0, 40)}

@@ -137,11 +137,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     # the texts with windows; a text that many documents share is one skewed key, which a join alone may split
     matched = materialise(texts.join(spots.select("tk"), "tk"))
     whole = matched.groupBy("tk").agg(F.first("text").alias("text")).join(spots, "tk").select("tk", "spots", words_of("text").alias("w"))
-    cut = F.transform(
-        "spots",
-        lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice(F.col("w"), x["start"] + 1, x["stop"] - x["start"]).alias("ww")),
-    )
-    windows = materialise(whole.select("tk", F.explode(cut).alias("x")).select("tk", "x.*").withColumn("wh", F.xxhash64("ww")))
+    # exploded first, cut after: no row holds the words of more than one window beside the text's
+    cut = F.slice(F.col("w"), F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("ww")
+    windows = materialise(whole.select("tk", "w", F.explode("spots").alias("x")).select("tk", "x.start", "x.length", cut).withColumn("wh", F.xxhash64("ww")))
 
     once = windows.groupBy("wh", "length").agg(F.first("ww").alias("ww")).where(F.size("ww") >= K).withColumn("fp", fingerprint(F.col("ww")))
     once = materialise(once.withColumn("grams", _grams("ww")).drop("ww"))

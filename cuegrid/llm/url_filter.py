@@ -70,11 +70,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: s
     held = intervals(entries)
     deep, wide = held.agg(F.max(F.size(F.split("key", "/")) - 1), F.max(F.size(F.split(F.regexp_extract("key", r"^([^/]*)", 1), r"\.")))).first()
     rows = captures.select(F.col("page_id"), F.col(url).alias("url"), F.col(day).cast("long").alias("fetch_day"))
-    asked = rows.where("url IS NOT NULL AND fetch_day IS NOT NULL").select(
-        "url",
-        "fetch_day",
-        F.explode(lookup_keys(F.col("url"), deep or 0, wide or 0)).alias("k"),
-    )
+    once = rows.where("url IS NOT NULL AND fetch_day IS NOT NULL").select("url", "fetch_day").distinct()
+    asked = once.select("url", "fetch_day", F.explode(lookup_keys(F.col("url"), deep or 0, wide or 0)).alias("k"))
     side = held.select(F.col("key").alias("key_r"), "since", "until", "action")
     met = asked.join(
         side,

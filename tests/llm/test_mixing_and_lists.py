@@ -188,3 +188,13 @@ def test_lists_are_read_as_of_the_fetch(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert {r["page_id"]: (r["matched_key"], r["allowed"]) for r in U.url_filter(df, e).collect()} == got
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_captures_are_looked_up_once(spark):
+    captures = spark.range(2000).selectExpr("id page_id", "concat('http://a', id % 3, '.example.net/x/y') url", "5 + id % 2 fetch_day")
+    entries = spark.createDataFrame([("example.net", "block", 1, 0)], "key string, action string, day long, seq long")
+    out = U.url_filter(captures, entries)
+    assert out.where("NOT allowed").count() == 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("Generate")
+    assert "Aggregate [url" in plan[at:]  # distinct before the keys are exploded

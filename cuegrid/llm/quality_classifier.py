@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import carried, emit_rows, fold, gather, labelled_sample, map_texts, materialise, one_label, ragged, table
+from cuegrid.llm.stages import carried, emit_rows, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, table
 from cuegrid.llm.textblock import TextBlock, chunks
 
 FOLDS, HELD_OUT = 5, 0
@@ -249,9 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[Voca
     blank = np.zeros((1 + SHAPES, DIM), np.float32)
     if len(sizes) < 2:
         return none, blank, float(0 not in sizes)
-    # at most 2 * per_class ids: a proven bound for the broadcast
-    ids = F.broadcast(labelled_sample(labels, "quality", per_class, FOLDS, HELD_OUT))
-    sample = materialise(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "y"))
+    # at most 2 * per_class ids and rows; a fixed number of tasks for that many
+    sample = materialise(one_text(docs, labelled_sample(labels, "quality", per_class, FOLDS, HELD_OUT)).repartition(24, "doc_id"))
     words = vocabulary(sample)
     vectors = word_vectors(docs, words)
     index = index_vectors()

@@ -152,6 +152,12 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, mod: int = 5,
     return parts[0].unionByName(parts[1])
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chosen ids (of a proven number, so they are broadcast) with one text each, the one of the least hash where an id stands in several rows: as many rows as ids at most."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy(*ids.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *[c for c in ids.columns if c != "doc_id"])
+
+
 def gather(df: DataFrame) -> pa.Table:
     """A result of a proven size bound, to the driver."""
     return df.toArrow()

@@ -11,12 +11,14 @@ sample.  A linear numpy classifier then minimises the class-prior-corrected risk
 where a step goes up the second term's gradient while it is negative.
 
 Only ids outside the held-out fold are learned from: at most ``positives`` toxic
-ones and ``unlabelled`` others, both in a seeded order; pi is the toxic share of
-all labelled ids outside the fold.  Defined results: null or empty texts get the
+ones and ``unlabelled`` others, both in a seeded order, with one text each; pi is the
+toxic share of all labelled ids outside the fold.  At most ``features`` (2,048) features
+are kept, of those that four texts of the sample hold and whose z is above 3: a bound of
+the model's size, which does not depend on the corpus.  Defined results: null or empty texts get the
 score of a text without features; very long texts are read whole; equal texts get
 equal scores; features of equal z are ordered by their hash; without any toxic label
 every score is 0; an empty table gives no rows; extra columns are ignored; repeated
-ids are scored row by row.
+ids are scored row by row and learned from once, by the text of the least hash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import carried, fold, gather, labelled_sample, map_texts, materialise, one_label, ragged, table
+from cuegrid.llm.stages import carried, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, table
 from cuegrid.llm.textblock import TextBlock
 
 FOLDS, HELD_OUT = 5, 0
@@ -133,15 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
         return np.zeros(0, np.uint64), np.zeros(0), -np.inf
     prior = min(0.9, max(1e-3, toxic / total))
     pos = labelled_sample(labels, "toxic", positives, FOLDS, HELD_OUT).where("y = 1").select("doc_id", F.lit(True).alias("positive"))
-    ids = docs.select("doc_id").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull())
+    ids = docs.select("doc_id").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()).distinct()
     unl = ids.withColumn(
         "h",
         F.xxhash64(F.lit("unlabelled"), "doc_id"),
     ).orderBy("h", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    # at most positives + unlabelled ids: a proven bound for the broadcast
-    sample = materialise(
-        docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id").select("doc_id", "text", "positive").repartition(24, "doc_id"),
-    )
+    # at most positives + unlabelled ids and rows; a fixed number of tasks for that many
+    sample = materialise(one_text(docs, pos.unionByName(unl)).repartition(24, "doc_id"))
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_unl:

@@ -11,6 +11,7 @@ from cuegrid.llm import language_model as M
 from cuegrid.llm import quality_classifier as C
 from cuegrid.llm import token_counts as TC
 from cuegrid.llm import toxicity as X
+from cuegrid.llm.stages import one_text
 from tests.llm.conftest import DOCS, WORDS, lower, prose, row
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -348,3 +349,27 @@ def test_every_word_before_has_its_own_restaurant(spark):
     per_token = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
     # half of the tokens are sure, the others one of 80; without contexts all are one of 160
     assert per_token > -1.1 and sum(r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) < -2
+
+
+def test_one_id_in_many_rows_is_learned_from_once(spark):
+    """5,000 rows of one id beside 400 others: no product of rows, and the same model as without the repeats."""
+    import time
+
+    rng = random.Random(6)
+    rows = [row(i, prose(rng, 30) + (" vile filth" if i % 3 == 0 else " fine words")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    hot = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 and i % 3 == 0)
+    once = spark.createDataFrame(rows, DOCS)
+    many = once.unionByName(spark.createDataFrame([rows[hot]] * 5000, DOCS)).repartition(4)
+    began = time.time()
+    for module, label in ((X.toxicity, "toxic"), (C.quality_classifier, "quality")):
+        a = {r["doc_id"]: r["score"] for r in module(once, labels).collect()}
+        b = module(many, labels).collect()
+        assert len(b) == 5400 and {r["doc_id"] for r in b} == set(a)
+        if label == "toxic":  # the context sums of the other count every row of the corpus
+            assert all(abs(a[r["doc_id"]] - r["score"]) < 1e-9 for r in b)
+    assert time.time() - began < 90
+    # two texts of one id: one row, by the text's hash
+    two = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, y int")
+    assert sorted((r["doc_id"], r["y"]) for r in one_text(two, ids).collect()) == [(1, 0), (2, 1)]

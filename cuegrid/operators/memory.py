@@ -1,9 +1,17 @@
 """Translation memory: exact and fuzzy lookup, upsert.
 
-The fuzzy lookup is exact in its results: a ratio of t or more needs lengths within
-t / (2 - t) of each other, so lengths are bucketed on a logarithmic scale and only
-neighbouring buckets meet; a bound on common characters follows, and only what is
-left reaches the Python ratio.
+The fuzzy lookup is exact in its results, by an index of segments.  A ratio of t or
+more means that the two texts share a common subsequence so long that what is left of
+both, the difference, is at most (1 - t) of their lengths together.  An entry is cut
+into one segment more than the difference can be.  Walking along the entry, each
+segment either holds none of the differences or uses up one at least, so one segment
+number i stands unchanged in the query text behind exactly i differences: its place is
+moved by -i, -i + 2 ... i characters.  Texts meet on (segment length, number, segment);
+the bounds of the pair's lengths are part of the join, a bound on common runs of GRAM
+characters follows, and only what is left reaches the Python ratio.
+
+Texts beyond LONG characters, whose segments would have too many places, meet by
+length instead, and the same bound; the results are the same.
 """
 
 from __future__ import annotations
@@ -16,6 +24,12 @@ from pyspark.sql import functions as F
 from cuegrid.functions import text as T
 from cuegrid.operators.scoring import match_ratio
 
+#: Characters of a text that is looked up by segments: at 0.92 a text of 1,024 has about 16,000 places, one of 50 about 50.
+LONG = 1024
+#: Characters of the runs that two texts must have in common.
+GRAM = 5
+EPS = 1e-9
+
 
 def key(x: Column) -> Column:
     return F.lower(T.strip(x))
@@ -27,31 +41,91 @@ def exact(cues: DataFrame, memory: DataFrame, text: str = "source_text") -> Data
     return cues.withColumn("k", key(F.col(text))).join(best, "k").drop("k").select("*", "hit.tm_id", F.col("hit.target_text").alias("tm_target")).drop("hit")
 
 
-def _bag(x: Column) -> Column:
-    """Characters with a running number for repeats, so that set operations act on the multiset."""
-    chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
-    return F.transform(F.array(chars), lambda cs: F.transform(cs, lambda c, i: F.concat(c, i - F.array_position(cs, c).cast("int") + 1)))[0]
+def _grams(x: Column, n: int = GRAM) -> Column:
+    """Hashes of the distinct runs of n characters."""
+    made = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.xxhash64(F.substring(x, i, F.lit(n))))
+    return F.when(F.length(x) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<long>"))
 
 
-def fuzzy(cues: DataFrame, memory: DataFrame, ids: list[str], text: str = "source_text", threshold: float = 0.92) -> DataFrame:
-    """ids, tm_id, tm_target, ratio_e3: the best entry at or above the threshold, the oldest of equals.  Distinct texts are looked up once."""
+def _difference(la: Column | int, lb: Column | int, threshold: float) -> Column:
+    """The largest difference at which the ratio still reaches the threshold."""
+    return F.floor((la + lb) * (1 - threshold) + EPS).cast("int")
+
+
+def _longest(n: Column, threshold: float) -> Column:
+    """The longest text that can reach the threshold with one of n characters."""
+    return F.floor(n * (2 - threshold) / threshold + EPS).cast("int")
+
+
+def _segments(length: Column, threshold: float) -> Column:
+    """Into how many segments an entry is cut: one more than its difference to any text can be."""
+    return _difference(length, _longest(length, threshold), threshold) + 1
+
+
+def _met(size: Column, number: Column, segment: Column) -> Column:
+    return F.xxhash64(size, number, segment)
+
+
+def by_segments(wanted: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a_id, b_id that share a segment in a place that the threshold allows.  wanted: a_id, a, la; entries: b_id, b, lb."""
+    n = _segments(F.col("lb"), threshold)
+    index = entries.withColumn("n", n).withColumn("size", F.expr("cast(greatest(1, lb div n) AS int)")).withColumn("i", F.explode(F.expr("sequence(0, least(n, lb) - 1)")))
+    index = index.select("b_id", "lb", _met(F.col("size"), F.col("i"), F.expr("substring(b, i * size + 1, size)")).alias("k"))
+    shortest, longest = F.ceil(F.col("la") * threshold / (2 - threshold) - EPS).cast("int"), _longest(F.col("la"), threshold)
+    asked = wanted.withColumns({"shortest": F.greatest(F.lit(1), shortest), "longest": longest}).withColumn("most", _difference(F.col("la"), F.col("longest"), threshold))
+    # the sizes of the segments of all entries that a text may meet: one or two
+    sizes = F.array_distinct(F.transform(F.sequence("shortest", "longest"), lambda lb: F.greatest(F.lit(1), F.floor(lb / _segments(lb, threshold)).cast("int"))))
+    asked = asked.withColumn("size", F.explode(sizes)).withColumn("i", F.explode(F.expr("sequence(0, cast(least(most, longest div size - 1) AS int))")))
+    asked = asked.withColumn("moved", F.explode(F.expr("sequence(-i, i, 2)")))
+    asked = asked.where("moved BETWEEN la - longest - most + i AND la - shortest + most - i AND i * size + moved BETWEEN 0 AND la - size")
+    places = asked.select("a_id", "la", "i", "moved", _met(F.col("size"), F.col("i"), F.expr("substring(a, i * size + moved + 1, size)")).alias("k"))
+    # behind the segment stand the other differences, and they must make up the rest of the lengths
+    rest = F.abs(F.col("la") - F.col("lb") - F.col("moved")) <= _difference(F.col("la"), F.col("lb"), threshold) - F.col("i")
+    return places.join(index, "k").where(rest).select("a_id", "b_id").distinct()
+
+
+def by_length(wanted: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a_id, b_id whose lengths the threshold allows: lengths are bucketed on a logarithmic scale and only neighbouring buckets meet."""
     width = -math.log(threshold / (2 - threshold))
-    wanted = cues.select(key(F.col(text)).alias("a")).where("a <> ''").distinct().withColumns({"la": F.length("a"), "bag_a": _bag(F.col("a"))})
-    entries = memory.select(
-        "tm_id",
-        "target_text",
-        key(F.col("source_text")).alias("b"),
-    ).where("b <> ''").withColumns({"lb": F.length("b"), "bag_b": _bag(F.col("b"))})
     bucket = lambda n: F.floor(F.log(n) / width).cast("int")
     left = wanted.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("la")) + d)))
     met = left.join(entries.withColumn("bucket", bucket(F.col("lb"))), "bucket")
-    near = met.where(
-        (F.least("la", "lb") * (2 - threshold) >= F.greatest("la", "lb") * threshold - 1e-9) & (
-            2 * F.size(F.array_intersect("bag_a", "bag_b")) >= threshold * (F.col("la") + F.col("lb")) - 1e-9
-        ),
+    return met.where(F.least("la", "lb") * (2 - threshold) >= F.greatest("la", "lb") * threshold - EPS).select("a_id", "b_id")
+
+
+def candidates(wanted: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs that the ratio has to be found for.  wanted: distinct texts a; entries: distinct texts b."""
+    a = wanted.withColumns({"a_id": F.xxhash64("a"), "la": F.length("a")})
+    b = entries.withColumns({"b_id": F.xxhash64("b"), "lb": F.length("b")})
+    # a text of LONG characters reaches the threshold with none beyond this
+    most = int(LONG * (2 - threshold) / threshold) + 1
+    pairs = by_segments(a.where(F.col("la") <= LONG), b.where(F.col("lb") <= most), threshold).unionByName(
+        by_length(a.where(F.col("la") > LONG), b.where(F.col("lb") > int(LONG * threshold / (2 - threshold))), threshold),
+    )
+    full = pairs.join(a.withColumn("grams_a", _grams(F.col("a"))), "a_id").join(b.withColumn("grams_b", _grams(F.col("b"))), "b_id")
+    # a run is lost where its first character has no partner, and GRAM - 1 for each difference that stands between partners
+    total = F.col("la") + F.col("lb")
+    kept = lambda n: F.col(n) - total * threshold / 2 + (GRAM - 1) * (1 - threshold) * total + EPS
+    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    return full.where((common >= F.size("grams_a") - kept("la")) & (common >= F.size("grams_b") - kept("lb"))).select("a", "b")
+
+
+def fuzzy(cues: DataFrame, memory: DataFrame, ids: list[str], text: str = "source_text", threshold: float = 0.92) -> DataFrame:
+    """ids, tm_id, tm_target, ratio_e3: the best entry at or above the threshold (above 0 and at most 1), the oldest of equals.  Distinct texts are looked up once; null and blank ones find nothing."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    wanted = cues.select(key(F.col(text)).alias("a")).where("a <> ''").distinct()
+    entries = memory.select(key(F.col("source_text")).alias("b"), F.struct("tm_id", "target_text").alias("entry")).where("b <> ''")
+    # texts that are there as they are have a ratio of 1 and need no index
+    entries = entries.groupBy("b").agg(F.min_by("entry", F.col("entry.tm_id")).alias("entry"))
+    same = wanted.join(entries, F.col("a") == F.col("b")).select("a", F.lit(1.0).alias("ratio"), "entry")
+    near = candidates(wanted.join(entries.select(F.col("b").alias("a")), "a", "left_anti"), entries.select("b"), threshold)
+    # few small rows, but each costs the Python ratio's time: dealt over as many tasks as other shuffles, and the threshold comes after the best is found, so that it is found once
+    near = near.repartition(int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    rated = near.select("a", "b", match_ratio("a", "b").alias("ratio")).join(entries, "b")
+    best = same.unionByName(rated.select("a", "ratio", "entry")).groupBy("a").agg(F.max(F.struct("ratio", (-F.col("entry.tm_id")).alias("o"), F.col("entry.target_text").alias("t"))).alias("m")).where(
+        F.col("m.ratio") >= threshold,
     )
-    rated = near.select("a", "tm_id", "target_text", match_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= threshold)
-    best = rated.groupBy("a").agg(F.max(F.struct("ratio", (-F.col("tm_id")).alias("o"), F.col("target_text").alias("t"))).alias("m"))
     return cues.select(*ids, key(F.col(text)).alias("a")).join(best, "a").select(
         *ids,
         (-F.col("m.o")).alias("tm_id"),

@@ -1,5 +1,6 @@
 """Hand-computed cases of the subtitle operators."""
 
+import difflib
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from cuegrid.functions import responses as R
 from cuegrid.functions import text as T
 from cuegrid.functions import timecode as C
 from cuegrid.operators import cost, memory, provider, quality, review, scenes, scoring, timing
+from cuegrid.plans import queries
 from cuegrid.sources import subtitles, writers
 
 
@@ -206,7 +208,6 @@ def test_scores(spark):
 
 
 def test_memory(spark):
-    import difflib
 
     rng = random.Random(6)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randint(5, 60))).strip() for _ in range(40)]
@@ -233,6 +234,51 @@ def test_memory(spark):
     assert up.count() == mem.select("source_text").distinct().count() and up.where("target_text = 'new'").count() == 1
 
 
+def test_fuzzy_memory_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(120)]
+
+    def spoilt(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 8))):
+            k = rng.randrange(len(t) + 1)
+            if rng.random() < 0.5:
+                t.insert(k, rng.choice("xab"))
+            elif k < len(t):
+                del t[k]
+        return "".join(t)
+
+    asked = [spoilt(b) for b in base] + ["", " ", None, "a", "ab", base[0].upper(), "zz" + base[1], base[2] + "zz"]
+    mem = spark.createDataFrame(
+        [(i % 100, b, f"t{i}", None, 1) for i, b in enumerate([*base, base[3], None, "", "ab"])],
+        "tm_id long, source_text string, target_text string, context_notes string, version long",
+    )
+    frame = spark.createDataFrame(list(enumerate(asked)), "seq long, source_text string")
+    entries = [(r["tm_id"], r["source_text"].strip().lower()) for r in mem.collect() if r["source_text"] and r["source_text"].strip()]
+    ratio = {}
+    for i, c in enumerate(asked):
+        if c and c.strip():
+            ratio[i] = [(difflib.SequenceMatcher(None, c.strip().lower(), b).ratio(), -j) for j, b in entries]
+    for threshold, long in ((0.92, 1024), (0.8, 1024), (1.0, 1024), (0.85, 40), (0.92, 0)):
+        monkeypatch.setattr(memory, "LONG", long)
+        want = {i: (-best[1], round(best[0] * 1000)) for i, all_ in ratio.items() if (best := max(all_))[0] >= threshold}
+        got = {r["seq"]: (r["tm_id"], r["ratio_e3"]) for r in memory.fuzzy(frame, mem, ["seq"], threshold=threshold).collect()}
+        assert got == want and (len(want) > 25 or threshold == 1.0)
+    assert memory.fuzzy(frame, mem.limit(0), ["seq"]).count() == 0 and memory.fuzzy(frame.limit(0), mem, ["seq"]).count() == 0
+    with pytest.raises(ValueError):
+        memory.fuzzy(frame, mem, ["seq"], threshold=0)
+
+
+def test_fuzzy_memory_rates_few_pairs(spark):
+    c = queries.lines(spark, "/root/testdata/sf0.001")
+    asked = c.select(memory.key(F.regexp_replace("line", "and", "nd")).alias("a")).distinct()
+    known = c.select(memory.key(F.col("line")).alias("b")).distinct()
+    n = memory.candidates(asked, known, 0.92).count()
+    matches = memory.candidates(asked, known, 0.92).select(scoring.match_ratio("a", "b").alias("r")).where("r >= 0.92").count()
+    assert 0 < n <= 10 * matches
+
+
 def test_provider_and_review(spark):
     c = cue_rows(spark, (0, 900, "hello", None), (1000, 1900, "hello", ""), (2000, 2900, "x", "given"))
     calls = spark.sparkContext.accumulator(0)

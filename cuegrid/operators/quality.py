@@ -106,7 +106,8 @@ def evaluate(cues: DataFrame, names: list[str] | None = None, keys: tuple[str, .
 
 
 def issues_long(evaluated: DataFrame) -> DataFrame:
-    return evaluated.select("track_id", "seq", F.explode("issues").alias("i")).select("track_id", "seq", "i.*")
+    """A row for each issue.  The outer explode, whose empty row is dropped behind it, keeps the optimizer from asking before it which cues have any, by a second copy of all rules."""
+    return evaluated.select("track_id", "seq", F.explode_outer("issues").alias("i")).where("i IS NOT NULL").select("track_id", "seq", "i.*")
 
 
 def cue_records(cues: DataFrame, heard: DataFrame | None = None, text: str = "source_text") -> DataFrame:

@@ -30,9 +30,16 @@ class Provider(Protocol):
     def verify(self, cues: DataFrame) -> DataFrame: ...
 
 
+def identity(provider: Provider) -> str:
+    """What tells a provider's answers from another's: its `identity`, else its class."""
+    return str(getattr(provider, "identity", None) or type(provider).__qualname__)
+
+
 class DictionaryProvider:
     """Offline: phrases of a fixed dictionary, else the text behind a placeholder."""
 
+    identity = "dictionary"
+
     def analyze(self, cues: DataFrame) -> DataFrame:
         return cues.select("track_id", "seq", F.col("source_text").alias("meaning"))
 
@@ -53,6 +60,8 @@ class ProviderError(Exception):
     """A provider's failure; those of the codes in RETRIED (fixed values) may pass."""
 
     RETRIED = frozenset(K.RETRIED_CODES)
+    #: The caller isn't let in, whatever it asks.
+    REFUSED = frozenset((401, 403))
 
     def __init__(self, code: int, message: str = ""):
         super().__init__(f"{code} {message}".strip())
@@ -64,7 +73,7 @@ def _as_it_is(texts: pd.Series) -> pd.Series:
 
 
 class BatchProvider(DictionaryProvider):
-    """A function of a pandas batch (source_text) to translations, called once for each distinct text, with retries after 1, 2, 4 ... seconds.  A failure whose code can't pass isn't retried.  What fails for good goes to the fallback (the source text); with None it has no translation."""
+    """A function of a pandas batch (source_text) to translations, called once for each distinct text, with retries after 1, 2, 4 ... seconds.  A failure whose code can't pass isn't retried.  A batch that fails for good is halved, and each half is tried once more, until the texts that fail stand alone; a failure that any text would meet (REFUSED codes) isn't.  What fails alone goes to the fallback (the source text); with None it has no translation."""
 
     def __init__(
         self,
@@ -72,25 +81,34 @@ class BatchProvider(DictionaryProvider):
         retries: int = 3,
         fallback: Callable[[pd.Series], pd.Series] | None = _as_it_is,
         backoff: float = 1.0,
+        name: str = "batch",
     ):
-        self.call, self.retries, self.fallback, self.backoff = call, retries, fallback, backoff
+        self.call, self.retries, self.fallback, self.backoff, self.identity = call, retries, fallback, backoff, name
 
     def translate(self, cues: DataFrame) -> DataFrame:
         call, retries, fallback, backoff = self.call, self.retries, self.fallback, self.backoff
 
-        def attempt(texts: pd.Series):
-            for k in range(retries):
+        def attempt(texts: pd.Series, tries: int) -> list:
+            for k in range(tries):
                 try:
-                    return call(texts)
+                    made = list(call(texts))
+                    if len(made) != len(texts):
+                        raise ValueError(f"{len(made)} answers to {len(texts)} texts")
+                    return made
                 except Exception as e:  # noqa: BLE001  a provider may fail in any way
-                    if k == retries - 1 or isinstance(e, ProviderError) and e.code not in ProviderError.RETRIED:
-                        break
-                    time.sleep(backoff * 2**k)
-            return fallback(texts) if fallback else [None] * len(texts)
+                    code = e.code if isinstance(e, ProviderError) else None
+                    if k < tries - 1 and (code is None or code in ProviderError.RETRIED):
+                        time.sleep(backoff * 2**k)
+                        continue
+                    if len(texts) > 1 and code not in ProviderError.REFUSED:
+                        half = len(texts) // 2
+                        return attempt(texts.iloc[:half], 1) + attempt(texts.iloc[half:], 1)
+                    break
+            return list(fallback(texts)) if fallback else [None] * len(texts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"content_key": b["content_key"], "translation": list(attempt(b["source_text"]))})
+                yield pd.DataFrame({"content_key": b["content_key"], "translation": attempt(b["source_text"], retries)})
 
         keyed = cues.withColumn("content_key", T.content_key(F.col("source_text")))
         distinct = keyed.groupBy("content_key").agg(F.first("source_text").alias("source_text"))
@@ -102,7 +120,7 @@ class CachedProvider(DictionaryProvider):
     """Answers of another provider, kept in a table by provider, model, prompt version and text; only what the table lacks is asked for, and what is answered is added."""
 
     def __init__(self, inner: Provider, path: str, name: str = "provider", model: str = "", version: str = "1"):
-        self.inner, self.path, self.parts = inner, path, (name, model, version)
+        self.inner, self.path, self.parts, self.identity = inner, path, (name, model, version), f"{name}/{model}/{version}"
 
     def translate(self, cues: DataFrame) -> DataFrame:
         spark = cues.sparkSession

@@ -408,6 +408,15 @@ SQL["budget_running"] = on(
     True,
 )
 SQL["resume_scenes"] = on(SCENES, "SELECT track_id, seq, CASE WHEN scene_no = 1 THEN 'done' ELSE 'todo' END AS state FROM seg", True)
+SQL["resumed_scenes"] = on(
+    SCENES,
+    "SELECT track_id, scene_no, CAST(CASE WHEN bool_or(seq % 31 = 0) THEN 2 ELSE 1 END AS INTEGER) AS run, count(*) AS cues FROM seg WHERE CAST(track_id AS BIGINT) % 5 <> 0 GROUP BY ALL",
+    True,
+)
+SQL["nested_tracks"] = on(
+    CUES,
+    "SELECT 's' || CAST(track_id AS BIGINT) % 7 || '/film' || CAST(track_id AS BIGINT) // 7 || '.srt' AS track_id, seq, start_ms, end_ms, source_text FROM cues",
+)
 SQL["overlay_edits"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq % 3 = 0 THEN 'edit 2' ELSE target_text END AS target_text FROM cues")
 SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq % 5 <> 0")
 SQL["first_interpretation"] = on(

@@ -1,16 +1,18 @@
-"""The whole way of a folder of subtitle files: scan, scenes, routing, memory, provider, glossary, timing, line breaks, quality, review, checkpoint, export.
-
-`localize` is one lazy plan over cues.  `process` runs it over files: what it makes is
-written once, as the checkpoint, and all exports read that.  A second run takes
-scenes that the checkpoint holds as they are; scenes in which a translation failed
-aren't stored, so they are tried again.
+"""The whole way of a folder of subtitle files: scan, scenes, routing, memory, provider, glossary, timing, line breaks, quality, review, state, export.
+
+`localize` is one lazy plan over cues.  `process` runs it over files, which are told
+apart by their path below the folder.  What it makes is written once, as a version of
+the scene state, and all exports read that.  A scene's row carries a hash of its cues
+(places, times, texts, speakers) and of the profile, terms, names and provider; a second
+run takes the scenes whose hash is there and done, and works on the others: new ones,
+changed ones and those in which a translation failed.  Scenes that are in no file any
+more are left out of the run and removed from the state.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from cuegrid.operators import provider as P
 from cuegrid.operators import quality, review, scenes, timing
 from cuegrid.profiles import HOUSE, Profile
 from cuegrid.sources import subtitles, writers
+from cuegrid.sources.files import reachable
+from cuegrid.sources.state import StateTable
 
 KEPT = [
     "track_id",
@@ -52,15 +56,17 @@ def localize(
     profile: Profile = HOUSE,
 ) -> DataFrame:
     """Segmented cues to translated, retimed, wrapped and evaluated ones (KEPT).  origin: given, routed, memory or provider; failed: a cue of its scene got no translation, so the scene has no points and awaits review."""
-    clean = T.clean_source(F.col("source_text"), F.col("speaker"))
-    route = T.route(clean)
     given = F.coalesce("target_text", F.lit(""))
-    routed = cues.withColumns({"original": F.col("source_text"), "source_text": clean}).withColumns(
+    # cleaned and routed once: what follows reads columns
+    routed = cues.withColumns({"original": F.col("source_text"), "source_text": T.clean_source(F.col("source_text"), F.col("speaker"))})
+    routed = routed.withColumn("route", T.route(F.col("source_text")))
+    opaque = F.col("route")["case_type"] == "B"
+    routed = routed.withColumns(
         {
-            "was": F.when(given != "", "given").when(route["case_type"] == "B", "routed"),
-            "target_text": F.when(route["case_type"] == "B", route["indicator"]).otherwise(F.col("target_text")),
+            "was": F.when(given != "", "given").when(opaque, "routed"),
+            "target_text": F.when(opaque, F.col("route")["indicator"]).otherwise(F.col("target_text")),
         },
-    )
+    ).drop("route")
     made = P.translate_missing(routed, provider or P.DictionaryProvider(), memory, profile.memory_threshold)
     made = made.withColumns(
         {
@@ -102,6 +108,38 @@ class Run:
     queue: DataFrame
     memory: DataFrame
     summary: DataFrame
+    version: int = 0
+
+
+#: A scene's row in the state: its cues as localize gives them, and failed or done.
+SCENE_KEY = ["track_id", "scene_no"]
+MEMORY = "source_text string, target_text string, context_notes string"
+
+
+def scene_keys(segmented: DataFrame, said: str = "") -> DataFrame:
+    """track_id, scene_no, scene_key: a hash of what the scene is made from, and of what else is said."""
+    cue = F.struct("seq", "start_ms", "end_ms", "source_text", "target_text", "speaker")
+    content = F.to_json(F.array_sort(F.collect_list(cue)), {"ignoreNullFields": "false"})
+    return segmented.groupBy(*SCENE_KEY).agg(F.sha2(F.concat(F.lit(said + "\n"), content), 256).alias("scene_key"))
+
+
+def scene_rows(judged: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row for each scene: its key, status (done or failed) and cues."""
+    cue = F.struct("seq", *[c for c in judged.columns if c not in ("seq", *SCENE_KEY)])
+    rows = judged.groupBy(*SCENE_KEY).agg(F.array_sort(F.collect_list(cue)).alias("cues"), F.max("failed").alias("_failed"))
+    status = F.when(F.col("_failed"), "failed").otherwise("done").alias("status")
+    return rows.join(keys, SCENE_KEY).select(*SCENE_KEY, "scene_key", status, "cues")
+
+
+def resume_scenes(state: StateTable, segmented: DataFrame, keys: DataFrame, work) -> tuple[DataFrame, int]:
+    """Every scene's cues and the version that holds them: work(cues) for scenes that the state lacks, or has with another key or as failed, the state's for the rest."""
+    done = state.read().where("status = 'done'").select(*SCENE_KEY, "scene_key")
+    todo = segmented.join(keys.join(done, [*SCENE_KEY, "scene_key"], "left_anti").select(*SCENE_KEY), SCENE_KEY)
+    version = state.upsert(scene_rows(work(todo), keys))
+    gone = state.read(version).select(*SCENE_KEY).join(keys, SCENE_KEY, "left_anti")
+    version = max(version, state.delete(gone))
+    now = state.read(version).join(keys, [*SCENE_KEY, "scene_key"], "left_semi")
+    return now.select(*SCENE_KEY, F.inline("cues")), version
 
 
 def summarize(judged: DataFrame) -> DataFrame:
@@ -144,41 +182,39 @@ def process(
     names: list[str] | None = None,
     profile: Profile = HOUSE,
     strict: bool = False,
+    remember: bool = False,
 ) -> Run:
-    """All subtitle files of a folder, to SRT, VTT, ASS, HTML and QC reports (one of each for a file) under `out`, with a checkpoint table beside them.  strict: a file that can't be scanned fails the run; else it is refused."""
-    files = subtitles.read_files(spark, source).withColumn("path", F.regexp_extract("path", r"([^/]*)$", 1))
+    """All subtitle files below a folder, to SRT, VTT, ASS, HTML and QC reports (one of each for a file) under `out`, with the state beside them.
+
+    A track is a file's path below the folder.  strict: a file that can't be scanned
+    fails the run; else it is refused.  remember: what passes goes to the memory in the
+    state, and earlier runs' memory is looked up where none is given; what it holds isn't
+    part of a scene's key, so scenes that are done stay as they are.
+    """
+    provider = provider or P.DictionaryProvider()
+    files = subtitles.read_files(spark, source).withColumn("path", subtitles.below(spark, source, F.col("path")))
     rows, rejects = subtitles.scan(files, strict=strict)
     cues = rows.withColumns({"seq": F.col("cue_id").cast("long"), "target_text": F.lit(None).cast("string")}).drop("cue_id")
     segmented = scenes.segment(cues, profile.scene_min_cues, profile.scene_max_cues)
-    plan = localize(segmented, provider, memory, terms, names, profile)
-    at, run = f"{out}/checkpoint", F.lit(f"{time.time_ns():020d}")
-    done = review.load_checkpoint(spark, at, plan.withColumn("run", run).schema)
-    todo = segmented.join(done.select("track_id", "scene_no").distinct(), ["track_id", "scene_no"], "left_anti")
-    made = localize(todo, provider, memory, terms, names, profile).withColumn("run", run)
-    trial = f"{out}/run-{uuid.uuid4().hex}"
-    made.write.parquet(trial)
-    fresh = spark.read.schema(made.schema).parquet(trial)
-    review.save_checkpoint(fresh.where("NOT failed"), at)
-    stored = review.load_checkpoint(spark, at, made.schema)
-    judged = stored.unionByName(fresh.where("failed")).drop("run")
-    qc = judged.select(
-        "track_id",
-        "seq",
-        F.lit(1).alias("version"),
-        F.col("overall").alias("confidence"),
-        "passed",
-        F.transform("issues", lambda x: x["message"]).alias("messages"),
-    )
-    for kind, contents in (
-        ("srt", writers.to_srt(judged)),
-        ("vtt", writers.to_vtt(judged)),
-        ("ass", writers.to_ass(judged)),
-        ("html", writers.to_html(judged, qc)),
-        ("qc", writers.to_qc_report(judged)),
-    ):
-        writers.save(contents, f"{out}/{kind}")
+    known = StateTable(spark, f"{out}/state/memory", MEMORY, ["source_text"])
+    if remember and memory is None and known.version():
+        memory = known.read().withColumn("tm_id", F.xxhash64("source_text"))
+    work = lambda todo: localize(todo, provider, memory, terms, names, profile)
+    said = json.dumps([asdict(profile), terms, names, P.identity(provider)], sort_keys=True, default=str)
+    made = work(segmented).schema
+    shape = scene_rows(spark.createDataFrame([], made), spark.createDataFrame([], "track_id string, scene_no int, scene_key string")).schema
+    state = StateTable(spark, f"{out}/state/scenes", shape, SCENE_KEY)
+    judged, version = resume_scenes(state, segmented, scene_keys(segmented, said), work)
+    judged = judged.select(*KEPT)
+    if reachable(out):
+        writers.save_all(judged, out)
+    else:
+        writers.save_folders(judged, out)
+    learnt = new_memory(judged)
+    if remember:
+        known.upsert(learnt)
     queue = review.queue(judged.withColumn("version", F.lit(1)))
-    return Run(judged, rejects, subtitles.guard(files), queue, new_memory(judged), summarize(judged))
+    return Run(judged, rejects, subtitles.guard(files), queue, learnt, summarize(judged), version)
 
 
-__all__ = ["KEPT", "Run", "localize", "new_memory", "process", "summarize"]
+__all__ = ["KEPT", "Run", "localize", "new_memory", "process", "resume_scenes", "scene_keys", "scene_rows", "summarize"]

@@ -13,6 +13,7 @@ from cuegrid.operators import cost, memory, provider, quality, review, scenes, s
 from cuegrid.plans import process
 from cuegrid.plans.cues import cues, lines, load
 from cuegrid.sources import subtitles, writers
+from cuegrid.sources.state import StateTable, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MODEL = "gemini-2.5-flash"
@@ -597,6 +598,31 @@ def localized_summary(spark, d):
     return process.summarize(_localized(spark, d))
 
 
+@query
+def resumed_scenes(spark, d):
+    """Three runs over one state: all tracks; then without every fifth track and with every 31st cue changed; then the same again, and no work.  A row for each scene: the run that made it."""
+    state = StateTable(spark, scratch(spark), "track_id string, scene_no int, scene_key string, status string, cues array<struct<seq: long, run: int, failed: boolean>>", process.SCENE_KEY)
+    first = cues(spark, d)
+    changed = first.where("cast(track_id as long) % 5 <> 0").withColumn("source_text", F.when(F.col("seq") % 31 == 0, "changed").otherwise(F.col("source_text")))
+    for run, rows in ((1, first), (2, changed), (3, changed)):
+        seg = scenes.segment(rows)
+        work = lambda todo, run=run: todo.select("track_id", "scene_no", "seq", F.lit(run).alias("run"), F.lit(False).alias("failed"))
+        out, _ = process.resume_scenes(state, seg, process.scene_keys(seg), work)
+    return out.groupBy("track_id", "scene_no").agg(F.max("run").alias("run"), F.count("*").alias("cues"))
+
+
+@query
+def nested_tracks(spark, d):
+    """Tracks as SRT files of a few base names in seven folders, written and read again by their paths below the top."""
+    at = scratch(spark)
+    named = cues(spark, d).withColumn("n", F.col("track_id").cast("long"))
+    named = named.withColumn("track_id", F.concat(F.lit("s"), F.col("n") % 7, F.lit("/film"), F.expr("n div 7"), F.lit(".srt")))
+    writers.save_tracks(named.withColumn("target_text", F.lit(None).cast("string")), at, "srt")
+    got = subtitles.read_files(spark, f"{at}/srt").withColumn("path", subtitles.below(spark, f"{at}/srt", F.col("path")))
+    rows, _ = subtitles.scan(got)
+    return rows.select("track_id", F.col("cue_id").cast("long").alias("seq"), "start_ms", "end_ms", "source_text")
+
+
 @query
 def overlay_edits(spark, d):
     c = cues(spark, d)

@@ -8,6 +8,8 @@ speaker.  Cues with unreadable timestamps go to a reject table in bulk mode; wit
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,31 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.call_function("try_validate_utf8", content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
+def _fixed(path: str) -> str:
+    """The part of a path before its first pattern."""
+    cut = re.search(r"[*?\[{]", path)
+    return (path[: cut.start()].rsplit("/", 1)[0] if cut else path).rstrip("/") or "/"
+
+
+def below(spark: SparkSession, source: str, path: Column) -> Column:
+    """A file's path below the folder that was read (below its fixed part, where that is a pattern); a single file's own name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_fixed(source))
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 20)).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, content (UTF-8, else Latin-1), one row per file; files beyond the size limit keep a null content.  Empty files, which the reader skips, are listed by the driver."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
+    """path, size, content (UTF-8, else Latin-1), one row per file of the folder and the folders in it; files beyond the size limit keep a null content.  Empty files, which the reader skips, are listed by the driver."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
     full = raw.select("path", "size", F.when(F.col("size") <= MAX_BYTES, decoded(F.col("content"))).alias("content"))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at.suffix("/*")) or []
-    none = [(str(f.getPath().toString()), 0, "") for f in listed if f.isFile() and f.getLen() == 0]
+    system, none = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for top in system.globStatus(at) or []:
+        listed = system.listFiles(top.getPath(), True)
+        while listed.hasNext():
+            file = listed.next()
+            if file.getLen() == 0 and file.getPath().getName()[0] not in "._":
+                none.append((file.getPath().toString(), 0, ""))
     return full.where("size > 0").unionByName(spark.createDataFrame(none, "path string, size long, content string"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuegrid import constants as K
 from cuegrid.functions import text as T
 from cuegrid.functions import timecode as C
+from cuegrid.sources import files
 
 
 def shown() -> Column:
@@ -15,34 +16,30 @@ def shown() -> Column:
     return F.coalesce(F.col("target_text"), F.col("source_text"))
 
 
-def _by_track(cues: DataFrame, block: Column, sep: str, head: str = "", tail: str = "", numbered: bool = False) -> DataFrame:
-    """Blocks of a track in cue order, if wanted with their number before them; a track is one file, so its text is one row."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), block.alias("b"))))
-    shown_as = (lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["b"])) if numbered else (lambda x: x["b"])
-    return cues.groupBy("track_id").agg(F.concat(F.lit(head), F.array_join(F.transform(parts, shown_as), sep), F.lit(tail)).alias("content"))
+def _layout(head: str = "", sep: str = "\n", tail: str = "\n", numbered: bool = False) -> dict:
+    return {"head": head, "sep": sep, "tail": tail, "numbered": numbered}
 
 
-def to_srt(cues: DataFrame) -> DataFrame:
-    """cues: track_id, seq (the order), start_ms, end_ms, source_text, target_text.  Blocks are numbered from 1 whatever seq is."""
-    return _by_track(
-        cues,
-        F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown()),
-        "\n\n",
-        tail="\n",
-        numbered=True,
-    )
+def _joined(blocks: DataFrame, layout: dict) -> DataFrame:
+    """Blocks of a track in cue order, if wanted with their number before them, as one text."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "block")))
+    shown_as = (lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["block"])) if layout["numbered"] else (lambda x: x["block"])
+    text = F.array_join(F.transform(parts, shown_as), layout["sep"])
+    return blocks.groupBy("track_id").agg(F.concat(F.lit(layout["head"]), text, F.lit(layout["tail"])).alias("content"))
 
 
-def to_vtt(cues: DataFrame) -> DataFrame:
-    return _by_track(
-        cues,
-        F.concat(F.col("seq"), F.lit("\n"), C.vtt_stamp(F.col("start_ms")), F.lit(" --> "), C.vtt_stamp(F.col("end_ms")), F.lit("\n"), shown(), F.lit("\n")),
-        "\n",
-        head="WEBVTT\n\n",
-    )
+def _srt(cues: DataFrame) -> tuple[DataFrame, dict]:
+    block = F.concat(C.srt_stamp(F.col("start_ms")), F.lit(" --> "), C.srt_stamp(F.col("end_ms")), F.lit("\n"), shown())
+    return cues.select("track_id", "seq", block.alias("block")), _layout(sep="\n\n", numbered=True)
 
 
-def to_ass(cues: DataFrame, title: str = "Subtitles") -> DataFrame:
+def _vtt(cues: DataFrame) -> tuple[DataFrame, dict]:
+    stamps = F.concat(C.vtt_stamp(F.col("start_ms")), F.lit(" --> "), C.vtt_stamp(F.col("end_ms")))
+    block = F.concat(F.col("seq"), F.lit("\n"), stamps, F.lit("\n"), shown(), F.lit("\n"))
+    return cues.select("track_id", "seq", block.alias("block")), _layout("WEBVTT\n\n", tail="")
+
+
+def _ass(cues: DataFrame, title: str) -> tuple[DataFrame, dict]:
     line = F.concat(
         F.lit("Dialogue: 0,"),
         C.ass_stamp(F.col("start_ms")),
@@ -51,7 +48,25 @@ def to_ass(cues: DataFrame, title: str = "Subtitles") -> DataFrame:
         F.lit(",Default,,0,0,0,,"),
         F.replace(shown(), F.lit("\n"), F.lit("\\N")),
     )
-    return _by_track(cues, line, "\n", head=K.ASS_HEADER.format(title=title), tail="\n")
+    return cues.select("track_id", "seq", line.alias("block")), _layout(K.ASS_HEADER.format(title=title))
+
+
+def _html(cues: DataFrame, qc: DataFrame, title: str) -> tuple[DataFrame, dict]:
+    rows = to_html_rows(cues, qc)
+    return rows.select("track_id", "seq", F.col("html").alias("block")), _layout(PAGE.format(title=title), tail="\n</tbody>\n</table>\n</body>\n</html>\n")
+
+
+def to_srt(cues: DataFrame) -> DataFrame:
+    """cues: track_id, seq (the order), start_ms, end_ms, source_text, target_text.  Blocks are numbered from 1 whatever seq is."""
+    return _joined(*_srt(cues))
+
+
+def to_vtt(cues: DataFrame) -> DataFrame:
+    return _joined(*_vtt(cues))
+
+
+def to_ass(cues: DataFrame, title: str = "Subtitles") -> DataFrame:
+    return _joined(*_ass(cues, title))
 
 
 def escape(x: Column) -> Column:
@@ -96,7 +111,7 @@ PAGE = """<!DOCTYPE html>
 
 def to_html(cues: DataFrame, qc: DataFrame, title: str = "Bilingual inspection") -> DataFrame:
     """A page for each track: track_id, content.  qc: as for to_html_rows."""
-    return _by_track(to_html_rows(cues, qc), F.col("html"), "\n", head=PAGE.format(title=title), tail="\n</tbody>\n</table>\n</body>\n</html>\n")
+    return _joined(*_html(cues, qc, title))
 
 
 def to_qc_report(evaluated: DataFrame) -> DataFrame:
@@ -125,6 +140,49 @@ def save(contents: DataFrame, path: str, content: str = "content") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track_id").text(path)
 
 
+def _judgements(evaluated: DataFrame) -> DataFrame:
+    """What the page shows of each cue's evaluation."""
+    said = F.transform("issues", lambda x: x["message"])
+    return evaluated.select("track_id", "seq", F.lit(1).alias("version"), F.col("overall").alias("confidence"), "passed", said.alias("messages"))
+
+
+def save_all(evaluated: DataFrame, path: str, title: str = "Subtitles", page_title: str = "Bilingual inspection") -> None:
+    """All outputs of evaluated cues in one pass: path/srt, vtt, ass, html and qc, a file for each track, under the track's name.  Blocks go from rows to files; only a track's QC report is one row.  Files of tracks that aren't there any more go."""
+    qc = _judgements(evaluated)
+    report = to_qc_report(evaluated).select("track_id", F.lit(0).cast("long").alias("seq"), F.col("content").alias("block"))
+    made = {
+        "srt": _srt(evaluated),
+        "vtt": _vtt(evaluated),
+        "ass": _ass(evaluated, title),
+        "html": _html(evaluated, qc, page_title),
+        "qc": (report, _layout(tail="\n")),
+    }
+    blocks = None
+    for kind, (rows, _) in made.items():
+        rows = rows.select("track_id", F.lit(kind).alias("kind"), F.col("seq").cast("long").alias("seq"), "block")
+        blocks = rows if blocks is None else blocks.unionByName(rows)
+    files.save(blocks, path, {kind: layout for kind, (_, layout) in made.items()}, overwrite=True)
+
+
+def save_tracks(cues: DataFrame, path: str, kind: str, title: str = "Subtitles") -> None:
+    """Cues as files of one kind (srt, vtt or ass), path/kind/track; others stay."""
+    rows, layout = {"srt": _srt, "vtt": _vtt, "ass": lambda c: _ass(c, title)}[kind](cues)
+    files.save(rows.withColumn("kind", F.lit(kind)), path, {kind: layout})
+
+
+def save_folders(evaluated: DataFrame, path: str) -> None:
+    """The same outputs by Spark's own text writer, for stores that only Spark reaches: a folder for each track, in which a part file holds the text."""
+    qc = _judgements(evaluated)
+    for kind, contents in (
+        ("srt", to_srt(evaluated)),
+        ("vtt", to_vtt(evaluated)),
+        ("ass", to_ass(evaluated)),
+        ("html", to_html(evaluated, qc)),
+        ("qc", to_qc_report(evaluated)),
+    ):
+        save(contents, f"{path}/{kind}")
+
+
 def training_rows(corrections: DataFrame, limit: int = 10_000) -> DataFrame:
     """Of the latest corrections, those that changed something by an edit.  The limit comes before the filter."""
     latest = corrections.orderBy(F.desc("ts"), F.desc("id")).limit(limit)

@@ -41,36 +41,99 @@ def folder(tmp_path):
 
 
 def outputs(at):
-    return {f.parent.parent.name + "/" + f.parent.name.split("=")[1]: f.read_text(encoding="utf-8") for f in sorted(at.glob("*/track_id=*/part-*.txt"))}
+    return {f"{k}/{f.relative_to(at / k)}": f.read_text(encoding="utf-8") for k in ("srt", "vtt", "ass", "html", "qc") for f in sorted((at / k).rglob("*")) if f.is_file()}
 
 
-def test_files_to_five_outputs_and_back_from_the_checkpoint(spark, folder, tmp_path):
+def test_files_to_five_outputs_and_back_from_the_state(spark, folder, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
     def say(texts):
         calls.add(len(texts))
         return texts.str.lower().str.replace("4", "")
 
-    out = tmp_path / "out"
-    run = P.process(spark, str(folder), str(out), provider.BatchProvider(say), terms={"luck": ("بەخت", "honorific")})
+    out, terms = tmp_path / "out", {"luck": ("بەخت", "honorific")}
+    run = P.process(spark, str(folder), str(out), provider.BatchProvider(say), terms=terms)
     made = outputs(out)
-    assert sorted(made) == sorted(f"{k}/{t}.srt" for k in ("srt", "vtt", "ass", "html", "qc") for t in ("film", "long"))
+    assert sorted(made) == sorted(["srt/film.srt", "srt/long.srt"] + [f"{k}/{t}.srt.{k}" for k in ("vtt", "ass", "html", "qc") for t in ("film", "long")])
     assert made["srt/film.srt"].startswith("1\n00:00:01,000 --> 00:00:03,000\nبەخت") and "\n3\n00:00:07,000" in made["srt/film.srt"]
-    assert f"[{K.LANGUAGES['spanish']} {K.SPEAKS}]" in made["vtt/film.srt"] and made["vtt/film.srt"].startswith("WEBVTT\n") and "[Events]" in made["ass/film.srt"]
-    assert made["html/film.srt"].startswith("<!DOCTYPE html>") and made["html/film.srt"].count("<tr>") == 4 and "English left" in made["html/film.srt"] and '"total_cues":3' in made["qc/film.srt"]
+    assert f"[{K.LANGUAGES['spanish']} {K.SPEAKS}]" in made["vtt/film.srt.vtt"] and made["vtt/film.srt.vtt"].startswith("WEBVTT\n") and "[Events]" in made["ass/film.srt.ass"]
+    page = made["html/film.srt.html"]
+    assert page.startswith("<!DOCTYPE html>") and page.count("<tr>") == 4 and "English left" in page and '"total_cues":3' in made["qc/film.srt.qc"]
     summary = run.summary.first().asDict()
     assert (summary["cues"], summary["lookups"], summary["failed_scenes"]) == (48, 47, 0) and summary["queue"] == run.queue.count() > 0
     assert [(r["path"], r["reason"]) for r in run.refused.collect()] == [("none.srt", "empty")]
     assert run.cues.where("track_id = 'film.srt' AND seq = 2").first()["origin"] == "routed"
     asked = calls.value
     assert asked == 47
-    # a second run takes everything from the checkpoint
-    again = P.process(spark, str(folder), str(out), provider.BatchProvider(say))
-    assert calls.value == asked and again.summary.first().asDict() == summary and outputs(out) == made
+    # a second run takes everything from the state
+    again = P.process(spark, str(folder), str(out), provider.BatchProvider(say), terms=terms)
+    assert calls.value == asked and again.version == run.version and again.summary.first().asDict() == summary and outputs(out) == made
     # a new file is the only thing that is worked on
     (folder / "new.srt").write_text(FILM, encoding="utf-8")
-    third = P.process(spark, str(folder), str(out), provider.BatchProvider(say))
+    third = P.process(spark, str(folder), str(out), provider.BatchProvider(say), terms=terms)
     assert calls.value == asked + 2 and third.summary.first()["cues"] == 51
+    # other terms, another provider or profile: all scenes are worked on
+    P.process(spark, str(folder), str(out), provider.BatchProvider(say))
+    assert calls.value > asked + 40
+    before = calls.value
+    P.process(spark, str(folder), str(out), provider.BatchProvider(say, name="other"))
+    assert calls.value > before + 40
+
+
+def test_equal_names_changed_and_deleted_files(spark, tmp_path):
+    at, out = tmp_path / "in", tmp_path / "out"
+    cue = "{0}\n00:00:0{0},000 --> 00:00:0{0},900\n{1}\n"
+    for name, words in (("a/x.srt", ["hello", "goodbye"]), ("b/x.srt", ["thanks"]), ("season=1/x.srt", ["yes"])):
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_text("\n".join(cue.format(i + 1, w) for i, w in enumerate(words)), encoding="utf-8")
+    say = provider.BatchProvider(lambda texts: "<" + texts + ">")
+    texts = lambda run: {(r["track_id"], r["seq"]): (r["source_text"], r["target_text"], r["start_ms"]) for r in run.cues.collect()}
+    got = texts(P.process(spark, str(at), str(out), say))
+    assert got == {
+        ("a/x.srt", 1): ("hello", "<hello>", 1000),
+        ("a/x.srt", 2): ("goodbye", "<goodbye>", 2000),
+        ("b/x.srt", 1): ("thanks", "<thanks>", 1000),
+        ("season=1/x.srt", 1): ("yes", "<yes>", 1000),
+    }
+    assert (out / "srt/a/x.srt").read_text().count("-->") == 2 and (out / "srt/b/x.srt").read_text().count("-->") == 1
+    # by a pattern the tracks are named below its fixed part
+    assert set(texts(P.process(spark, str(at / "*"), str(tmp_path / "other"), say))) == set(got)
+    (at / "a/x.srt").write_text(cue.format(3, "changed"), encoding="utf-8")
+    (at / "b/x.srt").unlink()
+    now = texts(P.process(spark, str(at), str(out), say))
+    assert now == {("a/x.srt", 1): ("changed", "<changed>", 3000), ("season=1/x.srt", 1): ("yes", "<yes>", 1000)}
+    assert sorted(k for k in outputs(out) if k.startswith("srt")) == ["srt/a/x.srt", "srt/season=1/x.srt"]
+    assert sorted(f.name for f in out.iterdir()) == ["ass", "html", "qc", "srt", "state", "vtt"]
+
+
+def test_memory_of_earlier_runs(spark, tmp_path):
+    at, out = tmp_path / "in", str(tmp_path / "out")
+    at.mkdir()
+    (at / "one.srt").write_text("1\n00:00:01,000 --> 00:00:03,000\nyes\n", encoding="utf-8")
+    first = P.process(spark, str(at), out, remember=True)
+    assert [r["origin"] for r in first.cues.collect()] == ["provider"] and first.memory.count() == 1
+    (at / "two.srt").write_text("1\n00:00:01,000 --> 00:00:03,000\nYes\n", encoding="utf-8")
+    second = P.process(spark, str(at), out, remember=True)
+    assert {r["track_id"]: (r["origin"], r["target_text"]) for r in second.cues.collect()} == {"one.srt": ("provider", "بەڵێ"), "two.srt": ("memory", "بەڵێ")}
+
+
+def test_one_bad_text_falls_back_alone(spark):
+    tries = spark.sparkContext.accumulator(0)
+
+    def say(texts):
+        tries.add(1)
+        if (texts == "bad 17").any():
+            raise provider.ProviderError(400)
+        return texts.str.upper()
+
+    c = cue_rows(spark, *[(i * 1000, i * 1000 + 900, f"bad {i}", None) for i in range(40)]).coalesce(1).select("track_id", "seq", "source_text")
+    got = {r["seq"]: r["translation"] for r in provider.BatchProvider(say, fallback=None, backoff=0).translate(c).collect()}
+    assert got == {i + 1: None if i == 17 else f"BAD {i}" for i in range(40)} and tries.value < 60
+
+    def short(texts):
+        return texts.iloc[:-1]
+
+    assert set(r["translation"] for r in provider.BatchProvider(short, backoff=0, retries=1).translate(c).collect()) == {f"bad {i}" for i in range(40)}
 
 
 def test_failed_scenes_are_tried_again(spark, folder, tmp_path):
@@ -200,6 +263,13 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_findings_are_made_once(spark):
+    optimized = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    long, short = optimized("qc_issues"), optimized("qc_summary")
+    for what in ("regexp_extract_all", "regexp_replace"):
+        assert 0 < long.count(what) <= short.count(what) + 1, what
+
+
 def test_plans(spark):
     """One exchange brings the cues of a track together; files are read once and no rows of theirs are moved."""
     d = "/root/testdata/sf0.001"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid import constants as K
@@ -46,16 +46,65 @@ def recent(corrections: DataFrame, n: int, project: str | None = None) -> DataFr
     return rows.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
-FOLD_BYTES = 1 << 20
+#: A dictionary of up to so many bytes (some hundred terms) is tested term by term in each row.
+FOLD_BYTES = 1 << 14
+#: Classes in which the texts' grams are counted, and by which a text's grams are told to be in the index.
+SLOTS = 1 << 16
+GRAM = 3
+
+
+def _folded(x: Column) -> Column:
+    """Lower case, in which a sigma is the same at any place."""
+    return F.translate(F.lower(x), "ς", "σ")
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SLOTS).cast("long")).cast("int")
+
+
+def _grams(x: Column, n: int = GRAM) -> Column:
+    """The distinct runs of n characters."""
+    made = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))
+    return F.when(F.length(x) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_grams(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """term_id, gram: each term's gram of which the texts hold least.  terms: term_id, low; texts: low.  Grams are counted in SLOTS classes, over all texts but only those classes that the terms' grams are in; terms shorter than a gram are their own."""
+    parts = terms.select("term_id", F.explode(F.when(F.length("low") >= GRAM, _grams(F.col("low"))).otherwise(F.array("low"))).alias("gram"))
+    parts = parts.withColumn("slot", _slot(F.col("gram")))
+    # SLOTS rows at most: a proven bound for both broadcasts
+    asked = parts.select("slot").distinct()
+    seen = texts.select(F.explode(_grams(F.col("low"))).alias("gram")).select(_slot(F.col("gram")).alias("slot")).join(F.broadcast(asked), "slot", "left_semi")
+    counts = seen.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    rated = parts.join(F.broadcast(counts), "slot", "left").select("term_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
+    return rated.groupBy("term_id").agg(F.min("g").alias("g")).select("term_id", "g.gram")
+
+
+def _large_join(texts: DataFrame, known: DataFrame, text: str, term: str, hit) -> DataFrame:
+    """texts' columns and _x, the entry, of each text and term that it may hold."""
+    fields = known.columns
+    entries = known.select(F.struct(*fields).alias("_x"), F.xxhash64(*fields).alias("term_id"), _folded(F.col(term)).alias("low"))
+    once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct().select(F.xxhash64("t").alias("text_id"), _folded(F.col("t")).alias("low"))
+    index = rarest_grams(entries.select("term_id", "low").distinct(), once)
+    shorter = sorted(r[0] for r in entries.where(F.length("low") < GRAM).select(F.length("low")).distinct().collect())  # 0 to GRAM - 1
+    grams = F.concat(_grams(F.col("low")), *[_grams(F.col("low"), n) if n else F.array(F.lit("")) for n in shorter])
+    slots = index.select(_slot(F.col("gram")).alias("slot")).distinct()
+    own = once.select("text_id", F.explode(grams).alias("gram")).withColumn("slot", _slot(F.col("gram"))).join(F.broadcast(slots), "slot", "left_semi")
+    pairs = own.select("text_id", "gram").join(index, "gram").select("text_id", "term_id").distinct()
+    # numbers met so far; texts and entries come to them once
+    pairs = pairs.select(F.col("text_id").alias("_text_id"), F.col("term_id").alias("_term_id"))
+    full = texts.withColumn("_text_id", F.xxhash64(text)).join(pairs, "_text_id")
+    return full.join(entries.select(F.col("term_id").alias("_term_id"), "_x"), "_term_id").where(hit(F.col("_x"))).drop("_text_id", "_term_id")
 
 
 def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "term", case_sensitive: bool | str = False) -> DataFrame:
     """Each text with each term of a dictionary that it contains; case_sensitive may name a column of the dictionary.
 
     A dictionary of FOLD_BYTES or less, which is measured, is folded into the rows as
-    one array.  A larger one is joined on the terms' first three characters with the
-    distinct character triples of each text (pairs and single ones for shorter terms),
-    and what meets is checked; no pairs are formed that share nothing.
+    one array.  A larger one is indexed by each term's rarest run of three characters,
+    as counted over the texts; distinct texts meet it on the runs that stand in the
+    index, as numbers, and only what meets is checked.  Null texts and terms hold and
+    are nothing; an empty term is in every text; equal entries count each.
     """
     fields = [c for c in terms.columns]
     exact = (lambda x: x[case_sensitive]) if isinstance(case_sensitive, str) else (lambda x: F.lit(case_sensitive))
@@ -64,14 +113,11 @@ def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "te
     known = terms.where(F.col(term).isNotNull())
     size = known.agg(F.sum(F.octet_length(F.to_json(F.struct(*fields))))).first()[0] or 0
     if size <= FOLD_BYTES:
-        packed = known.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("terms"))
-        joined = texts.withColumn("terms", packed.scalar()).withColumn("x", F.explode(F.filter("terms", hit))).drop("terms")
+        packed = known.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_terms"))
+        joined = texts.withColumn("_terms", packed.scalar()).withColumn("_x", F.explode(F.filter("_terms", hit))).drop("_terms")
     else:
-        starts = known.select(F.struct(*fields).alias("x"), F.substring(F.lower(term), 1, 3).alias("_gram"))
-        grams = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        each = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))))
-        joined = each.join(starts, "_gram").where(hit(F.col("x"))).drop("_gram")
-    return joined.select(*texts.columns, *[F.col(f"x.{f}").alias(f) for f in fields])
+        joined = _large_join(texts, known, text, term, hit)
+    return joined.select(*texts.columns, *[F.col(f"_x.{f}").alias(f) for f in fields])
 
 
 def glossary_matches(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:

@@ -417,6 +417,10 @@ SQL["nested_tracks"] = on(
     CUES,
     "SELECT 's' || CAST(track_id AS BIGINT) % 7 || '/film' || CAST(track_id AS BIGINT) // 7 || '.srt' AS track_id, seq, start_ms, end_ms, source_text FROM cues",
 )
+SQL["term_search"] = on(
+    LINES,
+    f", l AS (SELECT track_id, seq, lower(line) AS line FROM lines), t AS (SELECT DISTINCT unnest({toks('line')}) AS term FROM l) SELECT term, count(*) AS lines FROM t JOIN l ON contains(l.line, t.term) WHERE length(term) >= 8 GROUP BY term",
+)
 SQL["overlay_edits"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq % 3 = 0 THEN 'edit 2' ELSE target_text END AS target_text FROM cues")
 SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq % 5 <> 0")
 SQL["first_interpretation"] = on(

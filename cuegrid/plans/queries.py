@@ -598,6 +598,14 @@ def localized_summary(spark, d):
     return process.summarize(_localized(spark, d))
 
 
+@query
+def term_search(spark, d):
+    """A dictionary that grows with the texts: all longer words of the lines, each with the number of lines that hold it anywhere."""
+    rows = lines(spark, d).select("track_id", "seq", F.lower("line").alias("line"))
+    terms = rows.select(F.explode(T.tokens(F.col("line"))).alias("term")).where("length(term) >= 8").distinct()
+    return review.contains_join(rows, terms, "line").groupBy("term").agg(F.count("*").alias("lines"))
+
+
 @query
 def resumed_scenes(spark, d):
     """Three runs over one state: all tracks; then without every fifth track and with every 31st cue changed; then the same again, and no work.  A row for each scene: the run that made it."""

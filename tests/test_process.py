@@ -1,5 +1,6 @@
 """The whole way of files, its parts, and the shape of the plans."""
 
+import random
 import re
 
 import pytest
@@ -195,6 +196,35 @@ def test_large_dictionaries_are_joined_on_their_first_characters(spark, monkeypa
     assert join() == small and (1, "er") in small and (1, "The") not in small and (5, "the") in small
 
 
+def test_large_dictionaries_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(review, "FOLD_BYTES", 10)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdé ΣσςİA") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 60))) for i in range(200)] + [(200, None), (201, ""), (0, "twice"), (0, "twice"), (202, "x" * 5000 + "ΟΔΟΣa")]
+    terms = [(word(rng.randint(1, 5)), rng.random() < 0.3) for _ in range(800)] + [("", False), (None, True), ("twi", False), ("twi", False), ("ΟΔΟΣ", True), ("xxxxx", False)]
+    frame = spark.createDataFrame([(*t, "own") for t in texts], "id long, t string, gram string").repartition(3)
+    entries = spark.createDataFrame([(*t, "e") for t in terms], "term string, case_sensitive boolean, note string").repartition(3)
+    got = review.contains_join(frame, entries, "t", case_sensitive="case_sensitive")
+    assert got.columns == ["id", "t", "gram", "term", "case_sensitive", "note"]
+    monkeypatch.setattr(review, "FOLD_BYTES", 1 << 30)
+    want = review.contains_join(frame, entries, "t", case_sensitive="case_sensitive")
+    rows = lambda df: sorted((r["id"], r["t"], r["term"], r["case_sensitive"]) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 1000
+    brute = sum(1 for _, t in texts if t is not None for x, exact in terms if x is not None and (x in t if exact else x == ""))
+    assert sum(1 for r in rows(got) if r[3] or r[2] == "") == brute
+
+
+def test_a_hundred_thousand_terms(spark):
+    n = 100_000
+    terms = spark.range(n).selectExpr("concat('term ', lpad(cast(id as string), 6, '0')) term")
+    texts = spark.range(300).selectExpr("id", "concat('a long line with term ', lpad(cast(id * 331 as string), 6, '0'), ' in it') t")
+    got = review.contains_join(texts, terms, "t")
+    assert got.where("contains(t, term)").count() == got.count() == 300
+    # what is dealt by grams are numbers and grams; the texts move with their pairs alone
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") >= 2
+
+
 def test_providers_by_name_and_their_cache(spark, tmp_path):
     assert isinstance(
         provider.get_provider(" Dictionary "),

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, Window
@@ -94,6 +95,86 @@ def segment(
     return ready.mapInArrow(run, schema)
 
 
+def chunk_map(gap: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a run of cues does to the open scene, whatever came before: for 1 to `high` cues in it, the run's first included, the cues in the open scene behind the run and the scenes that the run opens after its first cue.  Ways that open a scene at the same cue are one from there on, so each cue is looked at once."""
+    size = len(gap)
+    gaps = np.flatnonzero(gap[1:]) + 1
+    known: dict[int, tuple[int, int]] = {}  # where a scene opens: cues behind, scenes opened later
+
+    def following(at: int) -> int:
+        k = np.searchsorted(gaps, at + low)
+        return min(at + high, int(gaps[k]) if k < len(gaps) else size)
+
+    left, opened = np.zeros(high + 1, np.int64), np.zeros(high + 1, np.int64)
+    for n in range(1, high + 1):
+        way, at = [], 1 - n
+        while at not in known and (nxt := following(at)) < size:
+            way.append(at)
+            at = nxt
+        held, more = known.setdefault(at, (size - at, 0))
+        for place in reversed(way):
+            more += 1
+            known[place] = (held, more)
+        left[n], opened[n] = held, more
+    return left, opened
+
+
+def segment_chunks(
+    cues: DataFrame,
+    chunk: int = 100_000,
+    low: int = K.SCENE_MIN_CUES,
+    high: int = K.SCENE_MAX_CUES,
+    gap: int = K.SCENE_GAP_MS,
+) -> DataFrame:
+    """scene_no as `segment` has it, for tracks of any length over many tasks.
+
+    A track is cut into runs of `chunk` numbers of seq (a whole number).  Each run is
+    turned into its map, from the cues in the open scene before it to those behind it
+    (`high` numbers); the maps of a track are followed in order, one row for each run;
+    then each run is numbered on its own.  A track's rows are never in one task.
+    """
+    placed = cues.withColumn("_chunk", F.coalesce(F.floor(F.col("seq") / chunk).cast("long"), F.lit(-(1 << 62))))
+    slim = placed.select("track_id", "_chunk", "seq", "start_ms", "end_ms")
+    none, kept = -(1 << 62), cues.columns
+
+    def pauses(rows: pd.DataFrame, before: float | None) -> np.ndarray:
+        start, end = rows["start_ms"].to_numpy(float), rows["end_ms"].to_numpy(float)
+        return start - np.concatenate(([np.nan if before is None else before], end[:-1])) >= gap  # unknown times are no pause
+
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable", na_position="first")
+        left, opened = chunk_map(pauses(rows, None), low, high)
+        first, last = rows["start_ms"].iloc[0], rows["end_ms"].iloc[-1]
+        return pd.DataFrame({"track_id": [rows["track_id"].iloc[0]], "_chunk": [rows["_chunk"].iloc[0]], "first": [none if pd.isna(first) else int(first)], "last": [none if pd.isna(last) else int(last)], "left": [left.tolist()], "opened": [opened.tolist()]})
+
+    maps = slim.groupBy("track_id", "_chunk").applyInPandas(summary, "track_id string, _chunk long, first long, last long, left array<long>, opened array<long>")
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        n, scene, end, out = 0, 0, none, []
+        for r in rows.sort_values("_chunk").itertuples(index=False):
+            out.append((r.track_id, r[1], n, scene, end))
+            pause = r.first != none and end != none and r.first - end >= gap
+            opens = n == 0 or n >= high or (n >= low and pause)
+            entry, scene = (1, scene + 1) if opens else (n + 1, scene)
+            n, scene, end = int(r.left[entry]), scene + int(r.opened[entry]), r.last
+        return pd.DataFrame(out, columns=["track_id", "_chunk", "_n", "_scene", "_end"])
+
+    starts = maps.groupBy("track_id").applyInPandas(follow, "track_id string, _chunk long, _n long, _scene long, _end long")
+    shape = StructType([*[cues.schema[c] for c in cues.columns]]).add("scene_no", IntegerType())
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable", na_position="first")
+        n, scene, end = int(rows["_n"].iloc[0]), int(rows["_scene"].iloc[0]), int(rows["_end"].iloc[0])
+        first = np.zeros(len(rows), bool)
+        first[0] = n == 0
+        made, _, _ = fold_breaks(pauses(rows, None if end == none else end), first, n, scene, low, high)
+        return rows[kept].assign(scene_no=made)
+
+    joined = placed.join(starts, placed["track_id"].eqNullSafe(starts["track_id"]) & (placed["_chunk"] == starts["_chunk"]))
+    joined = joined.select(*[placed[c] for c in cues.columns], placed["_chunk"], "_n", "_scene", "_end")
+    return joined.groupBy("track_id", "_chunk").applyInPandas(number, shape)
+
+
 def bounds(cues: DataFrame) -> DataFrame:
     """A row for each scene: cues, first start, the last cue's end (not the largest), id, neighbours' ids, text."""
     facts = cues.groupBy("track_id", "scene_no").agg(

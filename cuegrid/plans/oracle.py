@@ -421,6 +421,18 @@ SQL["term_search"] = on(
     LINES,
     f", l AS (SELECT track_id, seq, lower(line) AS line FROM lines), t AS (SELECT DISTINCT unnest({toks('line')}) AS term FROM l) SELECT term, count(*) AS lines FROM t JOIN l ON contains(l.line, t.term) WHERE length(term) >= 8 GROUP BY term",
 )
+SQL["one_long_track"] = on(
+    f"""{CUES},
+o AS (SELECT CAST(track_id AS BIGINT) * 100000 + seq AS seq, start_ms + CAST(track_id AS BIGINT) * 3600000 AS start_ms, end_ms + CAST(track_id AS BIGINT) * 3600000 AS end_ms FROM cues),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM o),
+walk(r, end_ms, n, scene_no) AS (SELECT r, end_ms, 1, 1 FROM r WHERE r = 1
+  UNION ALL SELECT c.r, c.end_ms,
+    CASE WHEN w.n >= {K.SCENE_MAX_CUES} OR (w.n >= {K.SCENE_MIN_CUES} AND c.start_ms - w.end_ms >= {K.SCENE_GAP_MS}) THEN 1 ELSE w.n + 1 END,
+    CASE WHEN w.n >= {K.SCENE_MAX_CUES} OR (w.n >= {K.SCENE_MIN_CUES} AND c.start_ms - w.end_ms >= {K.SCENE_GAP_MS}) THEN w.scene_no + 1 ELSE w.scene_no END
+  FROM walk w JOIN r c ON c.r = w.r + 1)""",
+    "SELECT seq, start_ms, CAST(scene_no AS INTEGER) AS scene_no FROM r JOIN walk USING (r)",
+    True,
+)
 SQL["overlay_edits"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq % 3 = 0 THEN 'edit 2' ELSE target_text END AS target_text FROM cues")
 SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq % 5 <> 0")
 SQL["first_interpretation"] = on(

@@ -69,6 +69,19 @@ def scene_texts(spark, d):
     return scenes.scene_text(segmented(spark, d)).select("track_id", "scene_no", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"))
 
 
+@query
+def one_long_track(spark, d):
+    """All cues as one track, an hour for each of theirs, cut into runs of few cues: the scenes of one key over many tasks."""
+    n = F.col("track_id").cast("long")
+    one = cues(spark, d).select(
+        F.lit("all").alias("track_id"),
+        (n * 100_000 + F.col("seq")).alias("seq"),
+        (F.col("start_ms") + n * 3_600_000).alias("start_ms"),
+        (F.col("end_ms") + n * 3_600_000).alias("end_ms"),
+    )
+    return scenes.segment_chunks(one, chunk=100_000).select("seq", "start_ms", "scene_no")
+
+
 @query
 def session_gap_events(spark, d):
     """The scene rule on users' events: sessions of 10 to 30 events, closed by a pause of two hours."""

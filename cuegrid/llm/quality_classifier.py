@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import carried, emit_rows, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, table
+from cuegrid.llm.stages import carried, emit_rows, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, scored, table
 from cuegrid.llm.textblock import TextBlock, chunks
 
 FOLDS, HELD_OUT = 5, 0
@@ -275,14 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> tuple[Voca
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 5000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, and the rows' own columns named by `carry`."""
-    rows, more = carried(docs, carry)
+    rows = carried(docs, carry)
     words, vectors, model = fit(rows, labels, per_class)
     index = index_vectors()
 
-    def score(block: TextBlock, _: pa.RecordBatch) -> dict:
-        return {"score": np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, words, vectors, index).astype(np.float64))}
+    def score(block: TextBlock) -> np.ndarray:
+        return np.full(block.n, model) if isinstance(model, float) else model.score(pooled(block, words, vectors, index).astype(np.float64))
 
-    out = map_texts(rows, score, "doc_id long, score double" + more)
+    out = scored(rows, score)
     held_out = (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return out.select("doc_id", held_out, "score", predicted, *[c for c in carry if c != "doc_id"])

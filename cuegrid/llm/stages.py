@@ -114,11 +114,22 @@ def map_texts(df: DataFrame, fn: Callable[[TextBlock, pa.RecordBatch], dict], dd
     return df.mapInArrow(run, kind)
 
 
-def carried(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, str]:
-    """doc_id, text and the named columns, and the DDL of those that a result keeps beside doc_id."""
+def scored(df: DataFrame, fn: Callable[[TextBlock], np.ndarray], name: str = "score", text: str = "text", limit: int = 1 << 19) -> DataFrame:
+    """The rows with one more column of doubles, fn(block) of their texts.  Only the texts go to the Python workers, in blocks of `limit` bytes, and only the numbers come back; what follows, filters included, reads the number and doesn't find it again."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            made = [np.asarray(fn(block), np.float64) for _, _, block in chunks(column, limit)]
+            yield pa.array(np.concatenate(made) if made else np.zeros(0))
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(name, F.arrow_udf(run, "double").asNondeterministic()(F.col(text)))
+
+
+def carried(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """doc_id, text and the named columns."""
     more = [n for n in names if n not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return rows, "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in ["text"] * ("text" in names) + more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def emit_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:

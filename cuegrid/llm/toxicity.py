@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.stages import carried, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, table
+from cuegrid.llm.stages import carried, fold, gather, labelled_sample, map_texts, materialise, one_label, one_text, ragged, scored, table
 from cuegrid.llm.textblock import TextBlock
 
 FOLDS, HELD_OUT = 5, 0
@@ -167,14 +167,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry:
     keys, weight, bias = fit(docs, labels, **bounds)
     look = Lookup(keys)
 
-    def score(block: TextBlock, _: pa.RecordBatch) -> dict:
+    def score(block: TextBlock) -> np.ndarray:
         text, number = look.of(block)
         s = np.bincount(text, weight[number], minlength=block.n) + bias if len(keys) else np.full(block.n, bias)
         with np.errstate(over="ignore"):
-            return {"score": 1 / (1 + np.exp(-s))}
+            return 1 / (1 + np.exp(-s))
 
-    rows, more = carried(docs, carry)
-    out = map_texts(rows, score, "doc_id long, score double" + more)
+    out = scored(carried(docs, carry), score)
     held_out = (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return out.select("doc_id", held_out, "score", predicted, *[c for c in carry if c != "doc_id"])

@@ -433,6 +433,10 @@ walk(r, end_ms, n, scene_no) AS (SELECT r, end_ms, 1, 1 FROM r WHERE r = 1
     "SELECT seq, start_ms, CAST(scene_no AS INTEGER) AS scene_no FROM r JOIN walk USING (r)",
     True,
 )
+SQL["localized_opinions"] = on(
+    f"{CUES}, c AS (SELECT track_id, seq, {CLEAN} AS clean FROM cues)",
+    r"SELECT track_id, seq, clean AS meaning, CASE WHEN regexp_matches(clean, '(?i)^\[(speaking|in|speaks)\s+([a-z\s]+)\]$') THEN 'routed' ELSE 'provider' END AS origin, 'agree' AS decision, CAST(NULL AS VARCHAR) AS alternative, false AS escalated FROM c",
+)
 SQL["overlay_edits"] = on(CUES, "SELECT track_id, seq, CASE WHEN seq % 3 = 0 THEN 'edit 2' ELSE target_text END AS target_text FROM cues")
 SQL["zip_files"] = on(CUES, "SELECT track_id, seq, source_text, target_text AS other_target_text FROM cues WHERE seq % 5 <> 0")
 SQL["first_interpretation"] = on(

@@ -44,6 +44,10 @@ KEPT = [
     "passed",
     "requires_review",
     "issues",
+    "meaning",
+    "decision",
+    "alternative",
+    "escalated",
 ]
 
 
@@ -55,7 +59,7 @@ def localize(
     names: list[str] | None = None,
     profile: Profile = HOUSE,
 ) -> DataFrame:
-    """Segmented cues to translated, retimed, wrapped and evaluated ones (KEPT).  origin: given, routed, memory or provider; failed: a cue of its scene got no translation, so the scene has no points and awaits review."""
+    """Segmented cues to translated, retimed, wrapped and evaluated ones (KEPT).  The provider analyzes each scene, translates what memory lacks and gives a second opinion on what awaits review.  origin: given, routed, memory or provider; failed: a cue of its scene got no translation, so the scene has no points and awaits review."""
     given = F.coalesce("target_text", F.lit(""))
     # cleaned and routed once: what follows reads columns
     routed = cues.withColumns({"original": F.col("source_text"), "source_text": T.clean_source(F.col("source_text"), F.col("speaker"))})
@@ -67,7 +71,8 @@ def localize(
             "target_text": F.when(opaque, F.col("route")["indicator"]).otherwise(F.col("target_text")),
         },
     ).drop("route")
-    made = P.translate_missing(routed, provider or P.DictionaryProvider(), memory, profile.memory_threshold)
+    provider = provider or P.DictionaryProvider()
+    made = P.translate_missing(P.with_meanings(routed, provider), provider, memory, profile.memory_threshold)
     made = made.withColumns(
         {
             "origin": F.coalesce("was", "origin"),
@@ -89,13 +94,14 @@ def localize(
     judged = quality.evaluate(wrapped.drop("prev_target", "new_end_ms"), names, profile=profile)
     failed = F.max(F.col("target_text").isNull()).over(Window.partitionBy("track_id", "scene_no"))
     out = judged.withColumn("failed", failed)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "overall": F.when(F.col("failed"), 0).otherwise(F.col("overall")),
             "passed": ~F.col("failed") & F.col("passed"),
             "requires_review": F.col("failed") | F.col("requires_review"),
         },
-    ).select(*KEPT)
+    )
+    return P.with_verdicts(out, provider).select(*KEPT)
 
 
 @dataclass

@@ -606,6 +606,12 @@ def localized_scenes(spark, d):
     )
 
 
+@query
+def localized_opinions(spark, d):
+    """What the built-in provider means and decides, cue by cue."""
+    return _localized(spark, d).select("track_id", "seq", "meaning", "origin", "decision", "alternative", "escalated")
+
+
 @query
 def localized_summary(spark, d):
     return process.summarize(_localized(spark, d))

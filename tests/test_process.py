@@ -2,7 +2,9 @@
 
 import random
 import re
+from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,56 @@ def test_memory_comes_before_the_provider_and_grows(spark):
     assert kept["yes"] == "بەڵێ"
 
 
+def test_scenes_are_analyzed_translated_and_verified(spark):
+    """A provider that fails now and then: whole calls pass on a retry, one bad cue falls back alone, and the second opinion is asked for what awaits review only."""
+    tries, sizes, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def flaky(cues):
+        """Fails with a code that may pass at the first call for each scene, and for good where the cue `bad` is in it."""
+        tries.add(1)
+        if (cues["source_text"] == "bad").any():
+            raise provider.ProviderError(500)
+
+    def analyze(cues):
+        flaky(cues)
+        sizes.add(len(cues))
+        return ["means " + t for t in cues["source_text"]]
+
+    def translate(cues):
+        flaky(cues)
+        return [f"{m}!" for m in cues["meaning"]]
+
+    def verify(cues):
+        asked.add(len(cues))
+        return [("disagree", "major", "other") if "3" in t else ("agree", "none", None) for t in cues["source_text"]]
+
+    rows = [("t", i, i * 1000, i * 1000 + 950, "bad" if i == 7 else f"line {i}", None, None) for i in range(40)] + [("u", 1, 0, 5000, "hi there", "سڵاو", None)]
+    segmented = scenes.segment(spark.createDataFrame(rows, CUE))
+    made = provider.SceneProvider(translate, analyze, verify, retries=2, backoff=0, calls=3, fallback=lambda cues: cues["source_text"])
+    out = {(r["track_id"], r["seq"]): r for r in P.localize(segmented, made, profile=replace(HOUSE, review_below=100)).collect()}
+    assert len(out) == 41
+    assert out["t", 7]["meaning"] == "bad" and out["t", 7]["target_text"].startswith("bad")
+    assert all(out["t", i]["meaning"] == f"means line {i}" and out["t", i]["target_text"].replace("\n", " ") == f"means line {i}!" for i in range(40) if i != 7)
+    reviewed = {k for k, r in out.items() if r["requires_review"]}
+    assert asked.value >= len(reviewed) > 0
+    for k, r in out.items():
+        doubted = k in reviewed and "3" in r["source_text"]
+        assert (r["decision"], r["escalated"], r["alternative"]) == (("disagree", True, "other") if doubted else ("agree", False, None)), k
+    # without a fallback a cue that fails leaves its scene failed, and only its scene
+    none = P.localize(segmented, provider.SceneProvider(translate, analyze, retries=1, backoff=0))
+    assert {(r["track_id"], r["scene_no"]) for r in none.where("failed").collect()} == {("t", 1)}
+
+
+def test_calls_keep_their_rate():
+    import time
+
+    asker = provider.Asker(lambda items: items, rate=50)
+    began = time.monotonic()
+    for _ in range(11):
+        asker.ask(pd.Series(["x"]))
+    assert time.monotonic() - began >= 0.19
+
+
 def test_strict_scans_fail(spark, folder):
     files = subtitles.read_files(spark, str(folder))
     with pytest.raises(Exception, match="empty file"):

@@ -54,12 +54,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a passage of the benchmark go.  An empty benchmark takes none; null, empty and very short texts stay."""
+    """Rows whose text holds a passage of the benchmark go, repeated rows all or none.  An empty benchmark takes none; null, empty and very short texts stay."""
     return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, its size, its source's size and target, and the words taken of it."""
+    """doc_id, its size, its source's size and target, and the words taken of it.  A null text has size 0 and a null source is one of its own; repeated rows are numbered and taken one by one; ties of the seeded order are broken by id, number and size; an empty table gives no rows."""
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -48,63 +48,80 @@ def recent(corrections: DataFrame, n: int, project: str | None = None) -> DataFr
 
 #: A dictionary of up to so many bytes (some hundred terms) is tested term by term in each row.
 FOLD_BYTES = 1 << 14
-#: Classes in which the texts' grams are counted, and by which a text's grams are told to be in the index.
-SLOTS = 1 << 16
-GRAM = 3
-
-
-def _folded(x: Column) -> Column:
-    """Lower case, in which a sigma is the same at any place."""
-    return F.translate(F.lower(x), "ς", "σ")
-
-
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS).cast("long")).cast("int")
-
-
-def _grams(x: Column, n: int = GRAM) -> Column:
-    """The distinct runs of n characters."""
-    made = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))
-    return F.when(F.length(x) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
-
-
-def rarest_grams(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """term_id, gram: each term's gram of which the texts hold least.  terms: term_id, low; texts: low.  Grams are counted in SLOTS classes, over all texts but only those classes that the terms' grams are in; terms shorter than a gram are their own."""
-    parts = terms.select("term_id", F.explode(F.when(F.length("low") >= GRAM, _grams(F.col("low"))).otherwise(F.array("low"))).alias("gram"))
-    parts = parts.withColumn("slot", _slot(F.col("gram")))
-    # SLOTS rows at most: a proven bound for both broadcasts
-    asked = parts.select("slot").distinct()
-    seen = texts.select(F.explode(_grams(F.col("low"))).alias("gram")).select(_slot(F.col("gram")).alias("slot")).join(F.broadcast(asked), "slot", "left_semi")
-    counts = seen.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    rated = parts.join(F.broadcast(counts), "slot", "left").select("term_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
-    return rated.groupBy("term_id").agg(F.min("g").alias("g")).select("term_id", "g.gram")
-
-
-def _large_join(texts: DataFrame, known: DataFrame, text: str, term: str, hit) -> DataFrame:
-    """texts' columns and _x, the entry, of each text and term that it may hold."""
-    fields = known.columns
-    entries = known.select(F.struct(*fields).alias("_x"), F.xxhash64(*fields).alias("term_id"), _folded(F.col(term)).alias("low"))
-    once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct().select(F.xxhash64("t").alias("text_id"), _folded(F.col("t")).alias("low"))
-    index = rarest_grams(entries.select("term_id", "low").distinct(), once)
-    shorter = sorted(r[0] for r in entries.where(F.length("low") < GRAM).select(F.length("low")).distinct().collect())  # 0 to GRAM - 1
-    grams = F.concat(_grams(F.col("low")), *[_grams(F.col("low"), n) if n else F.array(F.lit("")) for n in shorter])
-    slots = index.select(_slot(F.col("gram")).alias("slot")).distinct()
-    own = once.select("text_id", F.explode(grams).alias("gram")).withColumn("slot", _slot(F.col("gram"))).join(F.broadcast(slots), "slot", "left_semi")
-    pairs = own.select("text_id", "gram").join(index, "gram").select("text_id", "term_id").distinct()
-    # numbers met so far; texts and entries come to them once
-    pairs = pairs.select(F.col("text_id").alias("_text_id"), F.col("term_id").alias("_term_id"))
-    full = texts.withColumn("_text_id", F.xxhash64(text)).join(pairs, "_text_id")
-    return full.join(entries.select(F.col("term_id").alias("_term_id"), "_x"), "_term_id").where(hit(F.col("_x"))).drop("_text_id", "_term_id")
+#: Terms' words of up to so many characters are met at their length; longer ones by their first 32, 64, 128 ... characters.
+WHOLE = 32
+
+
+def _runs(x: Column) -> Column:
+    """Runs of blanks and of other characters, in turn."""
+    return F.regexp_extract_all(x, F.lit(r"\s+|\S+"), F.lit(0))
+
+
+def _width(x: Column) -> Column:
+    """How many characters of a word are met."""
+    n = F.length(x)
+    return F.when(n <= WHOLE, n).otherwise(F.lit(WHOLE) * F.pow(F.lit(2), F.floor(F.log2(n / WHOLE)))).cast("int")
+
+
+def _needle(x: Column, exact: Column, term: str) -> tuple[Column, Column]:
+    """Whether case counts for an entry, and what is looked for."""
+    kind = F.coalesce(exact, F.lit(False))
+    return kind, F.when(kind, x[term]).otherwise(F.lower(x[term]))
+
+
+def words_holding(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """exact, word, piece: distinct words with the pieces, themselves without a border between blanks and others, that stand in them.  words: exact, word; pieces: exact, piece."""
+    sized = pieces.withColumn("width", _width(F.col("piece")))
+    # WHOLE + 1 lengths and one more for each doubling at most
+    widths = sorted(r[0] for r in sized.select("width").distinct().collect())
+    asked = words.withColumn("width", F.explode(F.filter(F.array(*[F.lit(w) for w in widths]).cast("array<int>"), lambda w: (w <= F.length("word")) & ((w > 0) | (F.col("word") == "")))))
+    windows = F.array_distinct(F.transform(F.expr("sequence(1, length(word) - width + 1)"), lambda i: F.xxhash64("exact", F.substring("word", i, F.col("width")))))
+    index = sized.select("exact", "piece", F.xxhash64("exact", F.substring("piece", F.lit(1), F.col("width"))).alias("k"))
+    met = asked.select("exact", "word", F.explode(windows).alias("k")).join(index, ["k", "exact"])
+    return met.where(F.contains("word", "piece")).select("exact", "word", "piece")
+
+
+def _large_join(texts: DataFrame, known: DataFrame, text: str, term: str, exact) -> DataFrame:
+    """texts' columns and _x, the entry, of each text and term that it holds."""
+    kind, needle = _needle(F.col("_x"), exact(F.col("_x")), term)
+    entries = known.select(F.struct(*known.columns).alias("_x")).withColumns({"_exact": kind, "_needle": needle})
+    needles = entries.select(F.col("_exact").alias("exact"), F.col("_needle").alias("needle")).distinct().withColumn("parts", _runs(F.col("needle")))
+    kinds = needles.groupBy("exact").agg(F.max(F.size("parts") > 1)).collect()
+    # distinct texts, numbered by 96 bits
+    numbers = lambda x: {"_text_id": F.xxhash64(x), "_text_no": F.hash(x)}
+    once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct().withColumns(numbers("t"))
+    ways = F.array(*[F.struct(F.lit(k).alias("exact"), (F.col("t") if k else F.lower("t")).alias("t")) for k, _ in kinds])
+    told = once.select("_text_id", "_text_no", F.explode(ways).alias("w")).select("_text_id", "_text_no", "w.exact", F.explode(F.array_distinct(F.concat(_runs(F.col("w.t")), F.array(F.lit(""))))).alias("word"))
+    # a needle of one run stands in one of the text's; of another, each run does
+    one = needles.where("size(parts) <= 1").select("exact", F.col("needle").alias("piece"), "needle")
+    more = needles.where("size(parts) > 1").select("exact", F.explode(F.array_distinct(F.filter("parts", lambda p: p.rlike(r"\S")))).alias("piece"), "needle")
+    several = any(r[1] for r in kinds)
+    pieces = one.select("exact", "piece").unionByName(more.select("exact", "piece")).distinct() if several else one.select("exact", "piece")
+    met = words_holding(told.select("exact", "word").distinct(), pieces)
+    asked = one
+    if several:
+        # it is looked for in the texts that hold its rarest word
+        texts_of = told.groupBy("exact", "word").agg(F.count("*").alias("n"))
+        counts = met.join(texts_of, ["exact", "word"]).groupBy("exact", "piece").agg(F.sum("n").alias("n"))
+        rare = more.join(counts, ["exact", "piece"], "left").groupBy("exact", "needle").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+        asked = one.unionByName(rare.select("exact", "piece", "needle"))
+    held = told.join(met.join(asked, ["exact", "piece"]).select("exact", "word", "needle"), ["exact", "word"])
+    held = held.select("_text_id", "_text_no", F.col("exact").alias("_exact"), F.col("needle").alias("_needle")).distinct()
+    full = texts.withColumns(numbers(text)).join(held, ["_text_id", "_text_no"]).join(entries, ["_exact", "_needle"])
+    if several:
+        full = full.where(F.contains(F.when(F.col("_exact"), F.col(text)).otherwise(F.lower(text)), F.col("_needle")))
+    return full.drop("_text_id", "_text_no", "_exact", "_needle")
 
 
 def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "term", case_sensitive: bool | str = False) -> DataFrame:
     """Each text with each term of a dictionary that it contains; case_sensitive may name a column of the dictionary.
 
     A dictionary of FOLD_BYTES or less, which is measured, is folded into the rows as
-    one array.  A larger one is indexed by each term's rarest run of three characters,
-    as counted over the texts; distinct texts meet it on the runs that stand in the
-    index, as numbers, and only what meets is checked.  Null texts and terms hold and
-    are nothing; an empty term is in every text; equal entries count each.
+    one array.  Of a larger one, a term without blanks inside stands within a word of
+    the text, so distinct words meet distinct terms on their runs of the terms' lengths,
+    and texts get the terms of their words; a term of several words is checked in the
+    texts that hold its rarest.  Null texts and terms hold and are nothing; an empty
+    term is in every text; equal entries count each.
     """
     fields = [c for c in terms.columns]
     exact = (lambda x: x[case_sensitive]) if isinstance(case_sensitive, str) else (lambda x: F.lit(case_sensitive))
@@ -116,7 +133,7 @@ def contains_join(texts: DataFrame, terms: DataFrame, text: str, term: str = "te
         packed = known.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_terms"))
         joined = texts.withColumn("_terms", packed.scalar()).withColumn("_x", F.explode(F.filter("_terms", hit))).drop("_terms")
     else:
-        joined = _large_join(texts, known, text, term, hit)
+        joined = _large_join(texts, known, text, term, exact)
     return joined.select(*texts.columns, *[F.col(f"_x.{f}").alias(f) for f in fields])
 
 

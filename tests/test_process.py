@@ -277,6 +277,40 @@ def test_a_hundred_thousand_terms(spark):
     assert plan.count("Generate explode") >= 2
 
 
+def _joined(plan) -> list[int]:
+    """Rows of each join of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _joined(plan.executedPlan())
+    below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.longMetric("numOutputRows").value()] if kind.endswith("JoinExec") else []
+    return own + [n for x in below for n in _joined(x)]
+
+
+def test_words_of_the_same_characters_meet_few_terms(spark):
+    # three letters: each term's runs of three characters stand in nearly every text
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(14)) for _ in range(3000)]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(words) + "x" for _ in range(8))) for i in range(1000)], "id long, t string")
+    terms = spark.createDataFrame([(w[2:],) for w in words] + [(f"{w[4:]}x {words[0]}",) for w in words], "term string")
+    got = review.contains_join(texts, terms, "t")
+    n = len(got.collect())
+    assert n >= 7000 and max(_joined(got._jdf.queryExecution().executedPlan())) <= 4 * n
+
+
+def test_large_dictionaries_of_blanks_and_long_words(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    long = [word(200) for _ in range(4)]
+    texts = [f"{x}{y}{z}" for x in long for y in (" ", "\t", " \n ", "\u00a0", "") for z in long] + ["", "   ", " x", "Aa bB"]
+    terms = [x[i : i + n] for x in long for i in (0, 3, 90) for n in (1, 31, 32, 33, 63, 64, 65, 110)] + ["", " ", "  ", "\t", " \n", "\u00a0", "a ", " b", "a b", "b \n a", "aA Bb", long[0] + " " + long[1][:40]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    entries = spark.createDataFrame([(x, i % 2 == 0) for i, x in enumerate(terms)], "term string, exact boolean")
+    monkeypatch.setattr(review, "FOLD_BYTES", 10)
+    got = sorted((r["id"], r["term"], r["exact"]) for r in review.contains_join(frame, entries, "t", case_sensitive="exact").collect())
+    assert got == sorted((i, x, k % 2 == 0) for i, t in enumerate(texts) for k, x in enumerate(terms) if (x in t if k % 2 == 0 else x.lower() in t.lower()))
+
+
 def test_providers_by_name_and_their_cache(spark, tmp_path):
     assert isinstance(
         provider.get_provider(" Dictionary "),

@@ -110,10 +110,14 @@ def consensus(first: Column, second: Column | None) -> Column:
     return F.when(a == b, 100).when((a != "") & (b != ""), 75).otherwise(0)
 
 
+def ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
 @pandas_udf(DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; not symmetric."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _spans(a, b) -> int:

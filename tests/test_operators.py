@@ -279,6 +279,58 @@ def test_fuzzy_memory_rates_few_pairs(spark):
     assert 0 < n <= 10 * matches
 
 
+def test_best_entries_equal_brute_force(monkeypatch):
+    """Few letters and long texts, in which difflib leaves popular characters out; small chunks and few levels."""
+    rng = random.Random(16)
+    for k, letters in enumerate(("ab", "abcdefgh ", "etaoin shrdlu,.é", "xyz\U0001f600 ")):
+        monkeypatch.setattr(memory, "CHUNK", 7)
+        monkeypatch.setattr(memory, "AT_ONCE", 50)
+        monkeypatch.setattr(memory, "LEVELS", (2048, 20)[k % 2])
+        entries = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 5, 30, 150, 199, 200, 201, 420)))) for _ in range(40)]
+        texts = []
+        for b in entries * 2:
+            t = list(b)
+            for _ in range(rng.randint(0, max(1, len(t) // 9))):
+                i = rng.randrange(len(t) + 1)
+                if rng.random() < 0.5:
+                    t.insert(i, rng.choice(letters + "Q"))
+                elif i < len(t):
+                    del t[i]
+            if t:
+                i = rng.randrange(len(t))
+                texts += ["".join(t), "".join(t[i:] + t[:i])]
+        texts, entries = sorted({*texts}), sorted({*entries, *texts[::9]})
+        rated = {x: [(difflib.SequenceMatcher(None, x, b).ratio(), b) for b in entries] for x in texts}
+        for threshold in (0.92, 0.8, 0.5):
+            want = sorted((x, b, r) for x, all_ in rated.items() for r, b in all_ if r == max(all_)[0] >= threshold)
+            assert want and all(sorted(memory._best(texts, entries, threshold, long)) == want for long in (0, 200, 10_000))
+
+
+def test_fuzzy_memory_meets_by_blocks(spark, monkeypatch):
+    c = queries.lines(spark, "/root/testdata/sf0.01")
+    asked = c.select(memory.key(F.regexp_replace("line", "and", "nd")).alias("a")).distinct()
+    known = c.select(memory.key(F.col("line")).alias("b")).distinct()
+    found = memory.candidates(asked, known, 0.92)
+    rows = found.collect()
+
+    def made(plan) -> list[int]:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return made(plan.executedPlan())
+        below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = [plan.longMetric("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+        return own + [n for x in below for n in made(x)]
+
+    assert max(made(found._jdf.queryExecution().executedPlan())) <= 10 * known.count()
+    best = {(r["a"], r["ratio"]) for r in rows}
+    # blocks of any size find the same
+    monkeypatch.setattr(memory, "ROWS", 100)
+    top = {}
+    for r in memory.candidates(asked, known, 0.92).collect():
+        top[r["a"]] = max(r["ratio"], top.get(r["a"], 0))
+    assert {*top.items()} == best and len(best) > 400
+
+
 def test_provider_and_review(spark):
     c = cue_rows(spark, (0, 900, "hello", None), (1000, 1900, "hello", ""), (2000, 2900, "x", "given"))
     calls = spark.sparkContext.accumulator(0)
